@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing
 
 QUERIES = {
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
 }
 ORACLES = {
+    "op2_source_mixing": mixing.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
