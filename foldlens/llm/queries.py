@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import decontam, line_dedup, mixing
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
 }
 ORACLES = {
+    "op1_benchmark_decontamination": decontam.OP1_SQL,
     "op2_source_mixing": mixing.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
