@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, mixing
+from . import decontam, jpeg, line_dedup, mixing, secrets
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op9_media_columns": jpeg.op9_media_columns,
 }
 ORACLES = {
     "op1_benchmark_decontamination": decontam.OP1_SQL,
