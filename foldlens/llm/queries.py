@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jpeg, line_dedup, mixing, secrets
+from . import decontam, jpeg, line_dedup, mixing, pii, secrets
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op9_media_columns": jpeg.op9_media_columns,
+    "op10_pii_redaction": pii.op10_pii_redaction,
 }
 ORACLES = {
     "op1_benchmark_decontamination": decontam.OP1_SQL,
