@@ -65,12 +65,19 @@ class Words:
         self.hash = self._hash() if hashes else None
 
     def _hash(self) -> np.ndarray:
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _power("up", n), out=sums[1:])
-        if not n:
+        self.sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE[self.data] * _power("up", len(self.data)), out=self.sums[1:])
+        return self.hash_to(self.end)
+
+    def hash_to(self, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from each word's start to ``end``."""
+        if not len(self.start):
             return np.zeros(0, np.uint64)
-        return mix64((sums[self.end] - sums[self.start]) * _power("down", n)[self.start])
+        return mix64((self.sums[end] - self.sums[self.start]) * _power("down", len(self.data))[self.start])
+
+    def beginnings(self, n: int) -> np.ndarray:
+        """Hashes of each word's first ``n`` bytes; other than those of words of n bytes."""
+        return self.hash_to(np.minimum(self.start + n, self.end)) ^ np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
 
     def __len__(self) -> int:
         return len(self.start)
