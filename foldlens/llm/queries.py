@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, jpeg, line_dedup, mixing, pii, secrets
+from . import decontam, html_text, jpeg, line_dedup, mixing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_quality": quality.op8_quality,
     "op9_media_columns": jpeg.op9_media_columns,
     "op10_pii_redaction": pii.op10_pii_redaction,
 }
