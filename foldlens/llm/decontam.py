@@ -162,6 +162,7 @@ def find_contamination(
     need(docs, text_col)
     need(benchmark, "item_id", "text")
     spark = docs.sparkSession
+    docs = docs.drop("n_words", "hit_words", "item_ids")
     columns = docs.columns
     out = T.StructType(
         [

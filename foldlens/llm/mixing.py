@@ -103,6 +103,7 @@ def mix(
 ) -> DataFrame:
     """``docs`` (with a column ``size``) plus ``source_size``, ``target`` and ``taken``."""
     need(docs, id_col, source_col, "size")
+    docs = docs.drop("source_size", "target", "taken")
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("size")))
     marked = docs.withColumns({"__mark": mark, "__source": F.col(source_col)})
     marked = marked.withColumn("__bucket", _hex(F.col("__mark"), 4))
@@ -118,11 +119,11 @@ def mix(
     sources = durable(sources.select("source", "sid", "source_size", "target", "n_shards", F.col("won").alias("blocks")))
     small = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda df: df)
 
-    def shard(bucket: str) -> Column:
-        return F.floor(F.col(bucket) * F.col("n_shards") / BUCKETS).cast("long")
+    def shard(bucket: str, shards: str) -> Column:
+        return F.floor(F.col(bucket) * F.col(shards) / BUCKETS).cast("long")
 
     shards = buckets.join(small(sources), buckets["source"].eqNullSafe(sources["source"]))
-    shards = shards.groupBy("sid", shard("bucket").alias("shard")).agg(
+    shards = shards.groupBy("sid", shard("bucket", "n_shards").alias("shard")).agg(
         F.sum("words").alias("length"), F.first("blocks").alias("blocks")
     )
     shards = apportion(shards, ["sid"], "shard", "length", "blocks")
@@ -134,10 +135,10 @@ def mix(
     )
 
     known = sources.select(
-        F.col("source").alias("__of"), F.col("sid").alias("__sid"), "source_size", "target", "n_shards"
+        F.col("source").alias("__of"), F.col("sid").alias("__sid"), "source_size", "target", F.col("n_shards").alias("__shards")
     )
     placed = marked.join(small(known), F.col("__source").eqNullSafe(F.col("__of")))
-    placed = placed.withColumn("__shard", shard("__bucket"))
+    placed = placed.withColumn("__shard", shard("__bucket", "__shards"))
     order = Window.partitionBy("__sid", "__shard").orderBy("__mark", "size")
     placed = placed.withColumn("__end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(shards, ["__sid", "__shard"])

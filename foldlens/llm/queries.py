@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, jpeg, line_dedup, mixing, pii, quality, secrets, toxicity
+from . import decontam, html_text, jaccard, jpeg, line_dedup, mixing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_html_text": html_text.op7_html_text,
     "op8_quality": quality.op8_quality,
@@ -19,4 +20,5 @@ ORACLES = {
     "op1_benchmark_decontamination": decontam.OP1_SQL,
     "op2_source_mixing": mixing.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op5_ngram_jaccard": jaccard.OP5_SQL,
 }
