@@ -20,13 +20,21 @@ differs in just one element. (A set with z > 1 also signs, as empty, the empty s
 the way there; where half or more of the segments are empty, the empty ones are signed as
 well.)
 
-Verification. A signature's members are linked to its smallest one as candidates, never
-with each other. Connected candidates form a cluster; its sets are dealt to chunks of at
-most ``CHUNK_SETS`` sets and ``CHUNK_ELEMENTS`` elements, and each pair of chunks is one task's work: exact
-intersections from an inverted list of the chunk, and only links that join two components
-are returned (a spanning forest), so a group of k copies gives at most k rows and no pair is
-emitted twice. Components of candidates, of links and of classes come from alternating
-large-star and small-star steps, cut by checkpoints in the shared folder.
+Packing. Signatures are many and mostly unique, so they don't travel as rows: a task packs
+those of many documents by destination (6 bytes and a 2-byte place in the pack's list of
+classes), and a destination sorts what it gets and reports shared signatures only.
+
+Filter. Every class has a sketch: how many of its elements fall into each of 64 parts of the
+universe. The sum of the absolute differences of two sketches never exceeds the number of
+elements in which the sets differ, so it drops most chance meetings and no link. In each
+bucket (a set of classes with a common signature) classes that pass are joined into trees.
+
+Verification. Connected candidates form a cluster; its sets are dealt to chunks of about
+``CHUNK_SETS`` sets and ``CHUNK_ELEMENTS`` elements, and two chunks are one task's work: exact
+intersections by an inverted list, and only links that join two components are returned. So a
+group of k copies gives at most k rows for each task that sees it, never its pairs.
+Components of candidates and of links come from alternating large-star and small-star steps,
+cut by checkpoints in the shared folder.
 
 Defined results: a text without words has an empty set and is linked with nothing; fewer
 words than a shingle make one element; ids are integers; a row without id is linked with
@@ -42,12 +50,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import Scratch, durable, need
 from .words import NOT_BLANK, Words, mix64, packs, to_bytes
 
 CHUNK_SETS = 512
 CHUNK_ELEMENTS = 1 << 20
+PARTS = 64
+#: Signatures that a task collects before it packs them.
+PACK_SIGNS = 1 << 20
 #: Up to so many clustered sets (8 bytes each and their cluster) are broadcast to the texts.
 BROADCAST_NODES = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -158,31 +170,247 @@ def _neighbourhoods(part, size, first, sums, held, z: int, m: int, tag: int) ->
     return np.concatenate(found)
 
 
-def document_signs(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, c1, c2, signs): the hash of each document's set and its signatures."""
+def sketches(element: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """(sets, PARTS): how many elements of each set are in each part of the universe."""
+    owner = np.repeat(np.arange(len(per)), per)
+    part = (mix64(element ^ _SALTS[0]) >> np.uint64(58)).astype(np.int64)
+    counts = np.bincount(owner * PARTS + part, minlength=len(per) * PARTS).reshape(len(per), PARTS)
+    return np.minimum(counts, 65_535).astype(np.uint16)  # cut-off counts differ less, never more
+
+
+SIGNED = T.StructType(
+    [
+        *[T.StructField(c, T.LongType()) for c in ("id", "n_shingles", "c1", "c2")],
+        T.StructField("sketch", T.BinaryType()),
+        T.StructField("part", T.IntegerType()),
+        *[T.StructField(c, T.BinaryType()) for c in ("signs", "owners", "classes")],
+    ]
+)
+
+
+class Packer:
+    """Collects (class, signature) rows and packs them by destination."""
+
+    def __init__(self, parts: int):
+        self.parts = parts
+        self._clear()
+
+    def _clear(self) -> None:
+        self.signs, self.classes, self.known, self.held = [], [], set(), 0
+
+    def add(self, c1: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
+        """Classes that this pack has had already are left out, so copies are signed once."""
+        fresh = np.zeros(len(c1), bool)
+        for i, c in enumerate(c1.tolist()):
+            fresh[i] = c not in self.known
+            self.known.add(c)
+        use = fresh[owner]
+        self.signs.append(sign[use])
+        self.classes.append(c1[owner[use]])
+        self.held += int(use.sum())
+
+    def rows(self) -> pd.DataFrame:
+        sign, c1 = np.concatenate(self.signs), np.concatenate(self.classes)
+        self._clear()
+        part = ((sign >> np.uint64(48)) % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        sign, c1, part = sign[order], c1[order], part[order]
+        low = np.ascontiguousarray(sign).view(np.uint8).reshape(-1, 8)[:, :6]
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        rows = []
+        for a, b in zip(begin, np.append(begin[1:], len(part)), strict=True):
+            for k in range(a, b, 65_536):
+                classes, owner = np.unique(c1[k : min(b, k + 65_536)], return_inverse=True)
+                rows.append((int(part[k]), low[k : min(b, k + 65_536)].tobytes(), owner.astype(np.uint16).tobytes(), classes.tobytes()))
+        return _as_signed(pd.DataFrame(rows, columns=["part", "signs", "owners", "classes"]))
+
+
+def _as_signed(df: pd.DataFrame) -> pd.DataFrame:
+    df = df.reindex(columns=SIGNED.names)
+    for c in ("id", "n_shingles", "c1", "c2"):
+        df[c] = df[c].astype("Int64")
+    df["part"] = df["part"].astype("Int32")
+    return df.astype({c: object for c in ("sketch", "signs", "owners", "classes")}).where(df.notna(), None)
+
+
+def sign_documents(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, parts: int) -> DataFrame:
+    """One row for each document (part is null) and rows of packed signatures."""
 
     def run(frames):
-        bands = Bands(num, den)
+        bands, packer = Bands(num, den), Packer(parts)
         for pdf in frames:
             raw = [to_bytes(t) for t in pdf["text"]]
             for a, b in packs(raw):
                 element, per = shingle_sets(raw[a:b], n)
                 c1, c2 = _class_hash(element, per)
-                owner, sign = signatures(element, per, bands)
-                sign = sign.view(np.int64)[np.argsort(owner, kind="stable")]
-                ends = np.cumsum(np.bincount(owner, minlength=b - a))
-                yield pd.DataFrame(
-                    {
-                        "id": pdf["id"].iloc[a:b].to_numpy(),
-                        "n_shingles": per.astype(np.int64),
-                        "c1": c1,
-                        "c2": c2,
-                        "signs": np.split(sign, ends[:-1]),
-                    }
+                packer.add(c1, *signatures(element, per, bands))
+                yield _as_signed(
+                    pd.DataFrame(
+                        {
+                            "id": pdf["id"].iloc[a:b].to_numpy(),
+                            "n_shingles": per.astype(np.int64),
+                            "c1": c1,
+                            "c2": c2,
+                            "sketch": [row.tobytes() for row in sketches(element, per)],
+                        }
+                    )
                 )
+                if packer.held >= PACK_SIGNS:
+                    yield packer.rows()
+        if packer.held:
+            yield packer.rows()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, "id long, n_shingles long, c1 long, c2 long, signs array<long>")
+    return slim.mapInPandas(run, SIGNED)
+
+
+def shared_signatures(packed: DataFrame) -> DataFrame:
+    """(bucket, size, c1): the classes of each signature that several classes have.
+
+    A bucket is named by its classes, so signatures shared by the same classes give one.
+    """
+
+    def bucket_rows(held: list) -> pd.DataFrame:
+        sign = np.concatenate([_six_bytes(s) for s, _, _ in held])
+        c1 = np.concatenate([np.frombuffer(c, np.int64)[np.frombuffer(o, np.uint16)] for _, o, c in held])
+        order = np.lexsort((c1, sign))
+        sign, c1 = sign[order], c1[order]
+        new = np.append(True, sign[1:] != sign[:-1])
+        fresh = new | np.append(True, c1[1:] != c1[:-1])
+        sign, c1 = sign[fresh], c1[fresh]
+        begin = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
+        size = np.diff(np.append(begin, len(sign)))
+        with np.errstate(over="ignore"):
+            name = mix64(np.add.reduceat(mix64(c1.view(np.uint64) ^ _SALTS[1]), begin) + size.astype(np.uint64)).view(np.int64)
+        first = np.unique(name, return_index=True)[1]
+        keep = np.zeros(len(begin), bool)
+        keep[first] = True
+        rows = np.repeat(keep & (size > 1), size)
+        return pd.DataFrame({"bucket": np.repeat(name, size)[rows], "size": np.repeat(size, size)[rows], "c1": c1[rows]})
+
+    def run(frames):
+        part, held = None, []
+        for pdf in frames:
+            for p, *pack in zip(pdf["part"].tolist(), pdf["signs"], pdf["owners"], pdf["classes"], strict=True):
+                if p != part and held:
+                    yield bucket_rows(held)
+                    held = []
+                part = p
+                held.append(pack)
+        if held:
+            yield bucket_rows(held)
+
+    dealt = packed.filter("part is not null").select("part", "signs", "owners", "classes").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInPandas(run, "bucket long, size long, c1 long").distinct()
+
+
+def _six_bytes(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).reshape(-1)
+
+
+class Forest:
+    """Union-find over places 0 ... n - 1, with the largest component."""
+
+    def __init__(self, n: int):
+        self.up, self.size, self.largest = list(range(n)), [1] * n, 0
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        if self.size[x] < self.size[y]:
+            x, y = y, x
+        self.up[y] = x
+        self.size[x] += self.size[y]
+        if self.size[x] >= self.size[self.find(self.largest)]:
+            self.largest = x
+        return True
+
+    def in_largest(self, x: int) -> bool:
+        return self.find(x) == self.find(self.largest)
+
+
+def spanning_links(n: int, neighbours) -> list[tuple[int, int]]:
+    """Links that connect 0 ... n - 1 just as all links would; ``neighbours(i)`` has i's.
+
+    Members of the largest component aren't asked: a link between components has an end
+    outside of it, and when all outside have been asked, no such link is left.
+    """
+    forest, links, todo = Forest(n), [], list(range(n))
+    while todo:
+        rest, asked = [], False
+        for i in todo:
+            if asked and forest.in_largest(i):
+                rest.append(i)
+                continue
+            asked = True
+            for j in neighbours(i).tolist():
+                if forest.join(i, j):
+                    links.append((i, j))
+        todo = [i for i in rest if not forest.in_largest(i)]
+    return links
+
+
+def passing_forest(sketch: np.ndarray, size: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) that connect the sets of one bucket whose sketches may belong to a link."""
+
+    def passing(i: int) -> np.ndarray:
+        apart = np.abs(sketch - sketch[i]).sum(axis=1)
+        return np.flatnonzero(apart * (num + den) <= (size + size[i]) * (den - num))
+
+    return spanning_links(len(size), passing)
+
+
+def candidates(buckets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): trees over the classes of each bucket that pass by size and sketch."""
+
+    def tried(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, PARTS).astype(np.int32)
+        size, c1 = pdf["n_shingles"].to_numpy(), pdf["c1"].to_numpy()
+        key = pdf[["bucket", "x", "y"]].to_numpy()
+        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+        count = np.diff(np.append(begin, len(key)))
+        two = begin[count == 2]
+        apart = np.abs(sketch[two] - sketch[two + 1]).sum(axis=1)
+        two = two[apart * (num + den) <= (size[two] + size[two + 1]) * (den - num)]
+        a, b = [c1[two]], [c1[two + 1]]
+        for at, k in zip(begin[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            links = np.array(passing_forest(sketch[at : at + k], size[at : at + k], num, den), np.int64).reshape(-1, 2)
+            a.append(c1[at + links[:, 0]])
+            b.append(c1[at + links[:, 1]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    def run(frames):
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = pdf[["bucket", "x", "y"]].iloc[-1]
+            open_ = (pdf["bucket"] == last["bucket"]) & (pdf["x"] == last["x"]) & (pdf["y"] == last["y"])
+            rest = pdf[open_]
+            if not open_.all():
+                yield tried(pdf[~open_].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield tried(rest.reset_index(drop=True))
+
+    # Classes whose first halves of the hash agree come together and are told apart later.
+    rows = buckets.withColumn("chunks", F.ceil(F.col("size") / CHUNK_SETS)).join(classes.select("c1", "n_shingles", "sketch"), "c1")
+    rows = chunk_pairs(rows.withColumn("chunk", F.pmod(F.xxhash64("c1"), F.col("chunks"))))
+    rows = rows.select("bucket", "x", "y", "c1", "n_shingles", "sketch").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return rows.mapInPandas(run, "a long, b long").distinct()
+
+
+def chunk_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` (chunk, chunks) once for each pair of chunks x < y that theirs is in; (0, 0) if there is one only."""
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: (c != F.col("chunk")) | (F.col("chunks") == 1))
+    paired = rows.withColumn("other", F.explode(others))
+    return paired.withColumns({"x": F.least("chunk", "other"), "y": F.greatest("chunk", "other")}).drop("other")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -224,94 +452,60 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return hung.union(hung.select(F.col("root").alias("node"), "root").distinct())
 
 
-class Forest:
-    """Union-find over places 0 ... n - 1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def similar_forest(sets: list[np.ndarray], split: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links of similarity num / den or more that join components.
-
-    ``split`` > 0: the sets from there on are another chunk, and only pairs across are tried
-    (each chunk's own links come from its own task).
-    """
+def similar_forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links of similarity num / den or more that join components."""
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
-    element = np.concatenate(sets)
-    _, code = np.unique(element, return_inverse=True)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(code, kind="stable")
     posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
     ends = np.cumsum(size)
-    forest, links = Forest(len(sets)), []
-    for i in range(len(sets) if not split else split):
+
+    def linked(i: int) -> np.ndarray:
         codes = code[ends[i] - size[i] : ends[i]]
-        low, high = begin[codes], begin[codes + 1]
-        count = high - low
+        low, count = begin[codes], begin[codes + 1] - begin[codes]
         spread = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
         shared = np.bincount(posting[spread], minlength=len(sets))
-        shared[: split or i + 1] = 0
-        for j in np.flatnonzero(den * shared >= num * (size[i] + size - shared)):
-            if shared[j] and forest.join(i, int(j)):
-                links.append((i, int(j)))
-    return links
+        return np.flatnonzero((den * shared >= num * (size[i] + size - shared)) & (shared > 0))
+
+    return spanning_links(len(sets), linked)
 
 
 def _verify(work: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b) links of each piece of work (cluster, x, y): the chunks x <= y of a cluster."""
+    """(a, b) links of each piece of work (cluster, x, y): two chunks of a cluster."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk", "node"], kind="stable")
         raw, sets = [to_bytes(t) for t in pdf["text"]], []
         for a, b in packs(raw):
             element, per = shingle_sets(raw[a:b], n)
             sets += np.split(element, np.cumsum(per)[:-1])
         node = pdf["node"].to_numpy()
-        across = pdf["x"].iloc[0] != pdf["y"].iloc[0]
-        split = int((pdf["chunk"] == pdf["x"]).sum()) if across else 0
-        links = [] if across and split in (0, len(sets)) else similar_forest(sets, split, num, den)
+        links = similar_forest(sets, num, den)
         return pd.DataFrame({"a": [node[i] for i, _ in links], "b": [node[j] for _, j in links]}, dtype="int64")
 
     return work.groupBy("cluster", "x", "y").applyInPandas(run, "a long, b long")
 
 
-def _meetings(signs: DataFrame) -> DataFrame:
-    """(a, b): each node with the smallest node that shares one of its signatures."""
-    rows = signs.select(F.explode("signs").alias("sign"), "node")
-    rows = rows.withColumn("least", F.min("node").over(Window.partitionBy("sign")))
-    return rows.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-
-
 def near_duplicates(
     docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id (the smallest id it is linked to)."""
     need(docs, id_col, text_col)
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    signed = scratch.write(document_signs(docs, id_col, text_col, n, num, den), "signed")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    parts = min(65_536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    signed = scratch.write(sign_documents(docs, id_col, text_col, n, num, den, parts), "signed")
 
     # Equal sets are one class, its node is its smallest id.
-    thin = signed.select("id", "n_shingles", "c1", "c2")
+    thin = signed.filter("part is null").select("id", "n_shingles", "c1", "c2", "sketch")
     known = thin.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = scratch.write(known.groupBy("c1", "c2").agg(F.min("id").alias("node")), "classes")
-    first = signed.join(classes, ["c1", "c2"]).filter(F.col("id") == F.col("node"))
-    clusters = components(_meetings(first.select("node", "signs"))).select("node", F.col("root").alias("cluster"))
-    clusters = durable(clusters)
+    classes = known.groupBy("c1", "c2").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    classes = scratch.write(classes, "classes")
+    edges = candidates(shared_signatures(signed), classes, num, den)
+    clusters = components(edges).select(F.col("node").alias("c1"), F.col("root").alias("cluster"))
 
     # Sets of each cluster in chunks, and each pair of chunks once.
-    sized = first.select("node", "n_shingles").dropDuplicates(["node"]).join(clusters, "node")
-    sized = durable(sized)
+    sized = durable(classes.select("c1", "node", "n_shingles").join(clusters, "c1"))
     chunks = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("elements"))
     chunks = chunks.select(
         "cluster",
@@ -320,14 +514,11 @@ def near_duplicates(
     placed = durable(sized.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))))
     small = F.broadcast if placed.count() <= BROADCAST_NODES else (lambda df: df)
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    members = texts.join(small(placed.select("node", "cluster", "chunk", "chunks")), "node")
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    work = members.select(
-        "node", "text", "cluster", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y")
-    )
-    links = _verify(work, n, num, den)
+    members = chunk_pairs(texts.join(small(placed.select("node", "cluster", "chunk", "chunks")), "node"))
+    links = _verify(members.select("node", "text", "cluster", "x", "y"), n, num, den)
 
-    mapped = durable(thin.join(classes, ["c1", "c2"], "left").select("id", "n_shingles", "node"))
+    own = classes.select("c1", "c2", "node")
+    mapped = durable(thin.drop("sketch").join(own, ["c1", "c2"], "left").select("id", "n_shingles", "node"))
     scratch.remove()
     # An id with several texts is one document.
     several = mapped.filter("node is not null").select("id", "node").distinct()
