@@ -110,6 +110,10 @@ class PageLines(HTMLParser):
     def handle_data(self, data):
         self.held.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """Sections such as <![if x]> are comments up to the next >; the parser's own rule raises."""
+        return self.rawdata.find(">", i) + 1 or -1
+
     def close(self):
         super().close()
         self._flush()
@@ -193,6 +197,9 @@ def content_lines(lines: list[Line]) -> list[Line]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    last = html.rfind("<")
+    if ">" not in html[last:] and re.match(r"</?[A-Za-z]|<!", html[last : last + 3]):
+        html = html[:last]  # the page ends within a tag
     parser = PageLines()
     parser.feed(html)
     parser.close()
