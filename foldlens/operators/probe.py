@@ -87,3 +87,25 @@ def permuted(rows: DataFrame, columns: list[str], mode: str, seed: str = "perm")
         donors = rows.select("fold", F.row_number().over(Window.partitionBy("fold").orderBy(order, "id")).alias("place"), *part)
         base = base.join(donors, ["fold", "place"])
     return base.select("id", "fold", *columns)
+
+
+def feature_blocks(rows: DataFrame, image: str, metadata: list[str]) -> DataFrame:
+    """``rows`` with the three inputs of a probe: image_only, metadata_only and concat.
+
+    Metadata is one-hot by each fold's training vocabulary; values unseen there are all zero.
+    """
+    from ..functions.arrays import one_hot
+
+    out = rows
+    for name in metadata:
+        table = train_vocabulary(rows, name).withColumnRenamed("vocabulary", f"__{name}")
+        out = out.join(F.broadcast(table), "fold")
+    hot = F.concat(*[one_hot(F.col(name).cast("string"), F.col(f"__{name}")) for name in metadata])
+    out = out.withColumns({"image_only": F.transform(image, lambda x: x.cast("double")), "metadata_only": hot})
+    return out.withColumn("concat", F.concat("image_only", "metadata_only")).drop(*[f"__{name}" for name in metadata])
+
+
+def fold_log(predicted: DataFrame) -> DataFrame:
+    """(fold, n_test, accuracy) of out-of-fold predictions (fold, label, predicted)."""
+    hit = F.avg((F.col("label") == F.col("predicted")).cast("double"))
+    return predicted.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), hit.alias("accuracy"))
