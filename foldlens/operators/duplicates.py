@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import fingerprint, hamming
 from ..functions.cleaning import identifies
+from ..functions.ordering import running_sums
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -98,8 +99,9 @@ def candidate_pairs(images: DataFrame, distance: int = 6) -> DataFrame:
 
 def numbered_pairs(pairs: DataFrame, exact: str, distance: str) -> DataFrame:
     """``pairs`` with pair_id 1 ... n: exact ones first, then by distance and ids."""
-    order = Window.orderBy(F.col(exact).desc(), distance, "id_a", "id_b")
-    return pairs.withColumn("pair_id", F.row_number().over(order))
+    place = F.when(F.col(exact), 0).otherwise(65) + F.col(distance)
+    rows = running_sums(pairs.withColumn("__all", F.lit(0)), ["__all"], place, [F.col("id_a"), F.col("id_b")], {"pair_id": F.lit(1).cast("long")})
+    return rows.drop("__all")
 
 
 def within_cohort(pairs: DataFrame, cohort: DataFrame) -> DataFrame:

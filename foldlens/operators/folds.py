@@ -1,8 +1,9 @@
 """Stratified and grouped folds, their manifests and invariants.
 
 Order comes from md5 of seed and id, so folds don't depend on partitions or on any random
-generator. ``id_col`` is unique. Ranks within strata are windows; the global cyclic order
-needed for even folds adds the strata's offsets, so that no window spans the table.
+generator. ``id_col`` is unique. Ranks within strata are taken in buckets of the digest, and
+the global cyclic order needed for even folds adds the strata's offsets, so that no window
+spans the table or a large stratum.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import hashed_rank
+
 
 def seeded(seed: int | str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
@@ -22,8 +25,8 @@ def stratified_folds(rows: DataFrame, id_col: str, label_col: str, k: int = 7, s
     One cyclic sequence runs through all labels: restarting it in each label would always
     favour the first folds.
     """
-    within = Window.partitionBy("label").orderBy(seeded(seed, F.col("id")), "id")
-    ranked = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).withColumn("place", F.row_number().over(within))
+    slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    ranked = hashed_rank(slim, ["label"], seeded(seed, F.col("id")), "id", "place")
     sizes = ranked.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
@@ -53,8 +56,7 @@ def manifest(folds: DataFrame, k: int = 7, seed: int = 42, validation: float = 0
     counts = rest.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("size"))
     wanted = F.ceil(F.round(F.sum("size").over(Window.partitionBy("fold")) * validation, 9)).cast("long")
     takes = _largest_remainder(counts, ["fold"], "label", wanted)
-    order = Window.partitionBy("fold", "label").orderBy(seeded_by_fold(seed), "id")
-    ranked = rest.withColumn("place", F.row_number().over(order))
+    ranked = hashed_rank(rest, ["fold", "label"], seeded_by_fold(seed), "id", "place")
     joined = ranked.join(F.broadcast(takes), ["fold", "label"])
     role = F.when(F.col("place") <= F.col("take"), "Val").otherwise("Train")
     test = runs.filter("own = fold").select("id", "label", "fold", F.lit("Test").alias("role"))
@@ -74,8 +76,8 @@ def stratified_sample(rows: DataFrame, id_col: str, label_col: str, n: int, seed
     slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     counts = slim.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     takes = _largest_remainder(counts, [], "label", F.lit(n))
-    order = Window.partitionBy("label").orderBy(seeded(seed, F.col("id")), "id")
-    return slim.withColumn("place", F.row_number().over(order)).join(F.broadcast(takes), "label").filter("place <= take").select("id", "label")
+    ranked = hashed_rank(slim, ["label"], seeded(seed, F.col("id")), "id", "place")
+    return ranked.join(F.broadcast(takes), "label").filter("place <= take").select("id", "label")
 
 
 def grouped_folds(rows: DataFrame, id_col: str, label_col: str, cluster_col: str, k: int = 7, seed: int = 42) -> DataFrame:
@@ -91,8 +93,7 @@ def grouped_folds(rows: DataFrame, id_col: str, label_col: str, cluster_col: str
     per = slim.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     shapes = per.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.min("label").alias("label"))
     usual = shapes.filter("labels = 1 and size = 1").select("cluster", "label")
-    order = Window.partitionBy("label").orderBy(seeded(seed, F.col("cluster")), "cluster")
-    usual = usual.withColumn("place", F.row_number().over(order))
+    usual = hashed_rank(usual, ["label"], seeded(seed, F.col("cluster")), "cluster", "place")
     others = per.join(shapes.filter("labels > 1 or size > 1").select("cluster"), "cluster")
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax
+from ..functions.ordering import running_sums
 from ..functions.statistics import ratio, wilson
 
 #: Clipping of probabilities in the log-loss: the spacing of doubles at 1.
@@ -173,13 +174,17 @@ def _by_score(preds: DataFrame, classes: list[str]) -> DataFrame:
     )
 
 
+def _score_bucket(score: Column) -> Column:
+    """65,536 buckets of probabilities, in their order."""
+    return F.floor(score * 65_535).cast("long")
+
+
 def ovr_auc(preds: DataFrame, classes: list[str]) -> DataFrame:
     """One-vs-rest AUC per class by average ranks; NULL if a class is absent or universal.
 
     macro is the mean only if all classes can be estimated.
     """
-    below = Window.partitionBy("model", "cls").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    scored = _by_score(preds, classes).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    scored = running_sums(_by_score(preds, classes), ["model", "cls"], _score_bucket(F.col("score")), [F.col("score")], {"under": F.col("neg")}, own=False)
     won = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2))
     per = scored.groupBy("model", "cls").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), won.alias("won"))
     per = per.withColumn("auc", F.try_divide(F.col("won"), (F.col("positives") * F.col("negatives")).cast("double")))
@@ -193,13 +198,20 @@ def ovr_auc(preds: DataFrame, classes: list[str]) -> DataFrame:
 
 def roc_points(preds: DataFrame, classes: list[str]) -> DataFrame:
     """(model, cls, threshold, fpr, tpr): one point for each distinct score, from the highest."""
-    upto = Window.partitionBy("model", "cls").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("model", "cls")
-    return _by_score(preds, classes).select(
-        "model", "cls", F.col("score").alias("threshold"),
-        ratio(F.sum("neg").over(upto), F.sum("neg").over(every)).alias("fpr"),
-        ratio(F.sum("pos").over(upto), F.sum("pos").over(every)).alias("tpr"),
-    )
+    keys = ["model", "cls"]
+    sums = {"false_upto": F.col("neg"), "true_upto": F.col("pos")}
+    scored = running_sums(_by_score(preds, classes), keys, -_score_bucket(F.col("score")), [F.col("score").desc()], sums)
+    totals = one_vs_rest_totals(preds, classes)
+    return scored.join(F.broadcast(totals), keys).select(
+        *keys, F.col("score").alias("threshold"), ratio(F.col("false_upto"), F.col("negatives")).alias("fpr"), ratio(F.col("true_upto"), F.col("positives")).alias("tpr")
+    )
+
+
+def one_vs_rest_totals(preds: DataFrame, classes: list[str]) -> DataFrame:
+    """(model, cls, positives, negatives): a few rows."""
+    counts = preds.groupBy("model").agg(*[F.count_if(F.col("y_true") == c).alias(f"c{i}") for i, c in enumerate(classes)], F.count(F.lit(1)).alias("n"))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.col(f"c{i}").alias("positives")) for i, c in enumerate(classes)]))
+    return counts.select("model", "n", rows.alias("r")).select("model", "r.cls", "r.positives", (F.col("n") - F.col("r.positives")).alias("negatives"))
 
 
 def macro_roc(points: DataFrame, classes: int) -> DataFrame:

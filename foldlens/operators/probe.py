@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import hashed_rank
+
 UNKNOWN = "<UNK>"
 
 
@@ -77,15 +79,14 @@ def permuted(rows: DataFrame, columns: list[str], mode: str, seed: str = "perm")
     """``rows`` (id, fold, columns) with columns shuffled within each fold.
 
     'joint' moves whole tuples, 'independent' each column by its own order. A permutation is
-    a join of ranks in id order with ranks in hashed order.
+    a join of ranks in one hashed order with ranks in another.
     """
     if mode not in ("joint", "independent"):
         raise ValueError("mode is 'joint' or 'independent'")
-    base = rows.select("id", "fold", F.row_number().over(Window.partitionBy("fold").orderBy("id")).alias("place"))
+    rank = lambda df, name: hashed_rank(df, ["fold"], F.md5(F.concat_ws("|", F.lit(seed), F.lit(name), F.col("id").cast("string"))), "id", "place")
+    base = rank(rows.select("id", "fold"), "base")
     for name, part in [("tuple", columns)] if mode == "joint" else [(c, [c]) for c in columns]:
-        order = F.md5(F.concat_ws("|", F.lit(seed), F.lit(name), F.col("id").cast("string")))
-        donors = rows.select("fold", F.row_number().over(Window.partitionBy("fold").orderBy(order, "id")).alias("place"), *part)
-        base = base.join(donors, ["fold", "place"])
+        base = base.join(rank(rows.select("id", "fold", *part), name).drop("id"), ["fold", "place"])
     return base.select("id", "fold", *columns)
 
 

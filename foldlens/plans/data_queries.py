@@ -178,7 +178,7 @@ QUERIES = {
     "candidate_pairs": (lambda s, d: duplicates.candidate_pairs(images(s, d), 15), None),
     "numbered_pairs": (
         lambda s, d: duplicates.numbered_pairs(duplicates.hamming_pairs(hashes(s, d), 18).withColumn("exact", F.col("id_b") % 2 == 0), "exact", "distance"),
-        W + HASHES + f", p AS (SELECT a.id AS id_a, b.id AS id_b, {HAMMING} AS distance, b.id % 2 = 0 AS exact FROM hashes a JOIN hashes b ON a.id < b.id WHERE {HAMMING} <= 18) SELECT *, row_number() OVER (ORDER BY exact DESC, distance, id_a, id_b)::INT AS pair_id FROM p",
+        W + HASHES + f", p AS (SELECT a.id AS id_a, b.id AS id_b, {HAMMING} AS distance, b.id % 2 = 0 AS exact FROM hashes a JOIN hashes b ON a.id < b.id WHERE {HAMMING} <= 18) SELECT *, row_number() OVER (ORDER BY exact DESC, distance, id_a, id_b) AS pair_id FROM p",
     ),
     "cohort_semi_join": (
         lambda s, d: duplicates.within_cohort(doc_pairs(s, d), cohort(s, d)),

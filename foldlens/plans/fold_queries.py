@@ -102,7 +102,7 @@ def permutation(spark, d, mode: str) -> DataFrame:
 
 
 def _permuted_sql(mode: str) -> str:
-    base = W + "docs AS (SELECT doc_id AS id, (doc_id % 7 + 1)::INT AS fold, lang, source FROM documents), base AS (SELECT id, fold, row_number() OVER (PARTITION BY fold ORDER BY id) AS place FROM docs)"
+    base = W + "docs AS (SELECT doc_id AS id, (doc_id % 7 + 1)::INT AS fold, lang, source FROM documents), base AS (SELECT id, fold, row_number() OVER (PARTITION BY fold ORDER BY md5('perm|base|' || id), id) AS place FROM docs)"
     ranked = "SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY md5('perm|{name}|' || id), id) AS place, {part} FROM docs"
     if mode == "joint":
         return f"{base} SELECT base.id, base.fold, lang, source FROM base JOIN ({ranked.format(name='tuple', part='lang, source')}) USING (fold, place)"
