@@ -57,7 +57,8 @@ from .words import NOT_BLANK, Words, mix64, packs, to_bytes
 
 CHUNK_SETS = 512
 CHUNK_ELEMENTS = 1 << 20
-PARTS = 64
+#: Elements in a part of a sketch.
+PART_ELEMENTS = 8
 #: Signatures that a task collects before it packs them.
 PACK_SIGNS = 1 << 20
 #: Up to so many clustered sets (8 bytes each and their cluster) are broadcast to the texts.
@@ -170,22 +171,41 @@ def _neighbourhoods(part, size, first, sums, held, z: int, m: int, tag: int) ->
     return np.concatenate(found)
 
 
-def sketches(element: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """(sets, PARTS): how many elements of each set are in each part of the universe."""
+def sketches(element: np.ndarray, per: np.ndarray) -> list[bytes]:
+    """How many elements of each set are in each part of the universe, a byte for each part.
+
+    A set of n elements has 64, 128, ... parts, about n / 8 and more: with larger parts
+    unrelated large sets would look alike. Counts are cut off at 255; cut-off counts differ
+    less, never more.
+    """
     owner = np.repeat(np.arange(len(per)), per)
-    part = (mix64(element ^ _SALTS[0]) >> np.uint64(58)).astype(np.int64)
-    counts = np.bincount(owner * PARTS + part, minlength=len(per) * PARTS).reshape(len(per), PARTS)
-    return np.minimum(counts, 65_535).astype(np.uint16)  # cut-off counts differ less, never more
-
-
-SIGNED = T.StructType(
-    [
-        *[T.StructField(c, T.LongType()) for c in ("id", "n_shingles", "c1", "c2")],
-        T.StructField("sketch", T.BinaryType()),
-        T.StructField("part", T.IntegerType()),
-        *[T.StructField(c, T.BinaryType()) for c in ("signs", "owners", "classes")],
-    ]
-)
+    bits = 6 + np.ceil(np.log2(np.maximum(per / (64 * PART_ELEMENTS), 1))).astype(np.int64)
+    parts = 1 << bits
+    begin = np.cumsum(parts) - parts
+    spot = begin[owner] + (mix64(element ^ _SALTS[0]) >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(spot, minlength=int(parts.sum())), 255).astype(np.uint8)
+    return [row.tobytes() for row in np.split(counts, begin[1:])]
+
+
+def aligned(raw: list[bytes]) -> np.ndarray:
+    """Sketches with as many parts as the shortest: neighbouring parts are added."""
+    least = min(map(len, raw))
+    rows = [np.frombuffer(r, np.uint8).reshape(least, -1).sum(axis=1, dtype=np.int32) for r in raw]
+    return np.minimum(np.stack(rows), 255)
+
+
+#: Ids pass as text: as pandas numbers they would be rounded where some are NULL.
+_THIN = [T.StructField("id", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_shingles", "c1", "c2")], T.StructField("sketch", T.BinaryType())]
+SIGNED = T.StructType([T.StructField("part", T.IntegerType()), *_THIN, *[T.StructField(c, T.BinaryType()) for c in ("signs", "owners", "classes")]])
+MET = T.StructType([T.StructField("kind", T.IntegerType()), *_THIN, T.StructField("bucket", T.LongType()), T.StructField("size", T.LongType())])
+
+
+def _shaped(df: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
+    """``df`` with all columns of ``schema``; those that it lacks are 0 or NULL."""
+    df = df.reset_index(drop=True)
+    whole = (T.LongType(), T.IntegerType())
+    lacking = {f.name: 0 if f.dataType in whole else pd.Series([None] * len(df), dtype=object) for f in schema.fields if f.name not in df}
+    return df.assign(**lacking)[schema.names]
 
 
 class Packer:
@@ -222,19 +242,14 @@ class Packer:
             for k in range(a, b, 65_536):
                 classes, owner = np.unique(c1[k : min(b, k + 65_536)], return_inverse=True)
                 rows.append((int(part[k]), low[k : min(b, k + 65_536)].tobytes(), owner.astype(np.uint16).tobytes(), classes.tobytes()))
-        return _as_signed(pd.DataFrame(rows, columns=["part", "signs", "owners", "classes"]))
-
-
-def _as_signed(df: pd.DataFrame) -> pd.DataFrame:
-    df = df.reindex(columns=SIGNED.names)
-    for c in ("id", "n_shingles", "c1", "c2"):
-        df[c] = df[c].astype("Int64")
-    df["part"] = df["part"].astype("Int32")
-    return df.astype({c: object for c in ("sketch", "signs", "owners", "classes")}).where(df.notna(), None)
+        return _shaped(pd.DataFrame(rows, columns=["part", "signs", "owners", "classes"]), SIGNED)
 
 
 def sign_documents(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, parts: int) -> DataFrame:
-    """One row for each document (part is null) and rows of packed signatures."""
+    """One row for each document (signs is null) and rows of packed signatures.
+
+    Documents are dealt to the parts in turn, so that copies don't meet in one.
+    """
 
     def run(frames):
         bands, packer = Bands(num, den), Packer(parts)
@@ -244,30 +259,33 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str, n: int, num: int
                 element, per = shingle_sets(raw[a:b], n)
                 c1, c2 = _class_hash(element, per)
                 packer.add(c1, *signatures(element, per, bands))
-                yield _as_signed(
+                yield _shaped(
                     pd.DataFrame(
                         {
+                            "part": (np.arange(a, b) % parts).astype(np.int32),
                             "id": pdf["id"].iloc[a:b].to_numpy(),
                             "n_shingles": per.astype(np.int64),
                             "c1": c1,
                             "c2": c2,
-                            "sketch": [row.tobytes() for row in sketches(element, per)],
+                            "sketch": sketches(element, per),
                         }
-                    )
+                    ),
+                    SIGNED,
                 )
                 if packer.held >= PACK_SIGNS:
                     yield packer.rows()
         if packer.held:
             yield packer.rows()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"))
     return slim.mapInPandas(run, SIGNED)
 
 
-def shared_signatures(packed: DataFrame) -> DataFrame:
-    """(bucket, size, c1): the classes of each signature that several classes have.
+def meet(signed: DataFrame) -> DataFrame:
+    """The documents' rows (kind 0), and (bucket, size, c1) of shared signatures (kind 1).
 
-    A bucket is named by its classes, so signatures shared by the same classes give one.
+    A bucket has the classes of a signature that several have. It is named by them, so
+    signatures shared by the same classes give one bucket.
     """
 
     def bucket_rows(held: list) -> pd.DataFrame:
@@ -286,11 +304,14 @@ def shared_signatures(packed: DataFrame) -> DataFrame:
         keep = np.zeros(len(begin), bool)
         keep[first] = True
         rows = np.repeat(keep & (size > 1), size)
-        return pd.DataFrame({"bucket": np.repeat(name, size)[rows], "size": np.repeat(size, size)[rows], "c1": c1[rows]})
+        return _shaped(pd.DataFrame({"kind": np.int32(1), "bucket": np.repeat(name, size)[rows], "size": np.repeat(size, size)[rows], "c1": c1[rows]}), MET)
 
     def run(frames):
         part, held = None, []
         for pdf in frames:
+            packed = pdf["signs"].notna()
+            yield _shaped(pdf[~packed].assign(kind=np.int32(0)), MET)
+            pdf = pdf[packed]
             for p, *pack in zip(pdf["part"].tolist(), pdf["signs"], pdf["owners"], pdf["classes"], strict=True):
                 if p != part and held:
                     yield bucket_rows(held)
@@ -300,8 +321,7 @@ def shared_signatures(packed: DataFrame) -> DataFrame:
         if held:
             yield bucket_rows(held)
 
-    dealt = packed.filter("part is not null").select("part", "signs", "owners", "classes").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInPandas(run, "bucket long, size long, c1 long").distinct()
+    return signed.repartition("part").sortWithinPartitions("part").mapInPandas(run, MET)
 
 
 def _six_bytes(raw: bytes) -> np.ndarray:
@@ -372,20 +392,16 @@ def candidates(buckets: DataFrame, classes: DataFrame, num: int, den: int) -> Da
     """(a, b): trees over the classes of each bucket that pass by size and sketch."""
 
     def tried(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, PARTS).astype(np.int32)
-        size, c1 = pdf["n_shingles"].to_numpy(), pdf["c1"].to_numpy()
+        sketch, size, c1 = pdf["sketch"].tolist(), pdf["n_shingles"].to_numpy(), pdf["c1"].to_numpy()
         key = pdf[["bucket", "x", "y"]].to_numpy()
         begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
         count = np.diff(np.append(begin, len(key)))
-        two = begin[count == 2]
-        apart = np.abs(sketch[two] - sketch[two + 1]).sum(axis=1)
-        two = two[apart * (num + den) <= (size[two] + size[two + 1]) * (den - num)]
-        a, b = [c1[two]], [c1[two + 1]]
-        for at, k in zip(begin[count > 2].tolist(), count[count > 2].tolist(), strict=True):
-            links = np.array(passing_forest(sketch[at : at + k], size[at : at + k], num, den), np.int64).reshape(-1, 2)
-            a.append(c1[at + links[:, 0]])
-            b.append(c1[at + links[:, 1]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        a, b = [], []
+        for at, k in zip(begin.tolist(), count.tolist(), strict=True):
+            for i, j in passing_forest(aligned(sketch[at : at + k]), size[at : at + k], num, den) if k > 1 else ():
+                a.append(c1[at + i])
+                b.append(c1[at + j])
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     def run(frames):
         rest = None
@@ -494,14 +510,15 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     parts = min(65_536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signed = scratch.write(sign_documents(docs, id_col, text_col, n, num, den, parts), "signed")
+    met = scratch.write(meet(sign_documents(docs, id_col, text_col, n, num, den, parts)), "met", "kind")
 
     # Equal sets are one class, its node is its smallest id.
-    thin = signed.filter("part is null").select("id", "n_shingles", "c1", "c2", "sketch")
+    thin = met.filter("kind = 0").select(F.col("id").cast("long").alias("id"), "n_shingles", "c1", "c2", "sketch")
     known = thin.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("c1", "c2").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
-    edges = candidates(shared_signatures(signed), classes, num, den)
+    buckets = met.filter("kind = 1").select("bucket", "size", "c1").distinct()
+    edges = candidates(buckets, classes, num, den)
     clusters = components(edges).select(F.col("node").alias("c1"), F.col("root").alias("cluster"))
 
     # Sets of each cluster in chunks, and each pair of chunks once.
