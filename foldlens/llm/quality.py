@@ -7,7 +7,7 @@ weighs the encodings, and a logistic unit scores their weighted sum. Encoder, at
 and score are learned together from document labels (Adam, back-propagation in numpy), so
 which passages matter is learned without passage labels.
 
-Fitted on the driver with at most ``labelled.SAMPLE`` labelled documents; every text is
+Fitted on the driver with at most ``SAMPLE`` labelled documents; every text is
 scored whole, in passages. Labels, language, source and id are no input of a score.
 
 Defined results: a text without words is one passage whose features are 0; without
@@ -25,6 +25,8 @@ from .labelled import fold, training_sample
 from .words import NOT_BLANK, Words, packs, to_bytes
 
 PASSAGE = 64
+#: At most so many labelled documents are taken to the driver for the fit.
+SAMPLE = 3000
 THRESHOLD = 0.3
 
 #: Character classes whose shares of a passage's bytes are features.
@@ -157,7 +159,7 @@ def score_quality(docs: DataFrame, model: AttentionMil) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> AttentionMil:
-    return AttentionMil().fit(*training_sample(docs, labels, "quality", 5, 0))
+    return AttentionMil().fit(*training_sample(docs, labels, "quality", 5, 0, SAMPLE))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are joined up to so many bytes; a longer text is cut between words.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
