@@ -8,6 +8,9 @@ spans the table or a large stratum.
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,40 +86,39 @@ def stratified_sample(rows: DataFrame, id_col: str, label_col: str, n: int, seed
 def grouped_folds(rows: DataFrame, id_col: str, label_col: str, cluster_col: str, k: int = 7, seed: int = 42) -> DataFrame:
     """(id, label, cluster, fold): clusters stay together, labels are spread evenly.
 
-    Clusters are dealt by a greedy pass over the table of cluster x label counts, the least
-    even clusters first, each to the fold that keeps the labels' spread smallest. That pass
-    is sequential, so clusters are first combined: single-label clusters of one size (almost
-    all) are interchangeable and are dealt in seeded order by a window; only the others,
-    with several labels or unusual sizes, go through the greedy pass, as one task.
+    Clusters with equal counts of every label are interchangeable. Of m such clusters, in
+    seeded order, m - m % k are dealt in turn, as many to each fold. The other m % k go
+    through a greedy pass, the least even counts first, each to the fold that keeps the
+    labels' spread smallest. That pass is sequential and one task, which gets a row for each
+    distinct vector of counts, whatever the number of clusters. A null label is a label.
     """
     slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(cluster_col).alias("cluster"))
-    per = slim.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    shapes = per.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.min("label").alias("label"))
-    usual = shapes.filter("labels = 1 and size = 1").select("cluster", "label")
-    usual = hashed_rank(usual, ["label"], seeded(seed, F.col("cluster")), "cluster", "place")
-    others = per.join(shapes.filter("labels > 1 or size > 1").select("cluster"), "cluster")
+    per = slim.filter("cluster is not null").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    vector = F.to_json(F.array_sort(F.collect_list(F.struct("label", "n"))))
+    shapes = per.groupBy("cluster").agg(vector.alias("shape"))
+    sizes = shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("clusters"))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="cluster", columns="label", values="n", aggfunc="sum", fill_value=0).sort_index()
-        counts = table.to_numpy(float)
-        total = counts.sum(axis=0)
-        held, out = [counts[0] * 0 for _ in range(k)], {}
-        spread = counts.std(axis=1)
-        for i in sorted(range(len(counts)), key=lambda i: (-spread[i], -counts[i].sum(), str(table.index[i]))):
-            scores = []
-            for f in range(k):
-                tried = [h + counts[i] if g == f else h for g, h in enumerate(held)]
-                mean = sum(tried) / k
-                scores.append((sum((((t - mean) / total) ** 2).sum() for t in tried), held[f].sum(), f))
-            best = min(scores)[2]
-            held[best] = held[best] + counts[i]
-            out[table.index[i]] = best + 1
-        return pd.DataFrame({"cluster": list(out), "fold": list(out.values())})
-
-    kind = slim.schema["cluster"].dataType.simpleString()
-    greedy = others.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(deal, f"cluster {kind}, fold int")
-    dealt = usual.select("cluster", ((F.col("place") - 1) % k + 1).cast("int").alias("fold")).unionByName(greedy)
-    return slim.join(dealt, "cluster").select("id", "label", "cluster", "fold")
+        pdf = pdf.sort_values("shape", ignore_index=True)
+        vectors = [{c.get("label"): c["n"] for c in json.loads(shape)} for shape in pdf["shape"]]
+        labels = sorted({label for vector in vectors for label in vector}, key=lambda x: (x is None, x or ""))
+        counts = np.array([[vector.get(label, 0) for label in labels] for vector in vectors], float)
+        weights = counts / (counts * pdf["clusters"].to_numpy(float)[:, None]).sum(axis=0) ** 2
+        spread, held, out = counts.std(axis=1), np.zeros((k, len(labels))), [[] for _ in vectors]
+        for i in sorted(range(len(vectors)), key=lambda i: (-spread[i], -counts[i].sum(), i)):
+            for _ in range(int(pdf["clusters"][i]) % k):
+                # the sum of squares over all folds grows least where this product is least
+                added, full = held @ weights[i], held.sum(axis=1)
+                best = min(range(k), key=lambda f: (added[f], full[f], f))
+                held[best] += counts[i]
+                out[i].append(best + 1)
+        return pd.DataFrame({"shape": pdf["shape"], "even": pdf["clusters"] // k * k, "rest": out})
+
+    greedy = sizes.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(deal, "shape string, even long, rest array<int>")
+    ranked = hashed_rank(shapes, ["shape"], seeded(seed, F.col("cluster")), "cluster", "place").join(greedy, "shape")
+    in_turn = ((F.col("place") - 1) % k + 1).cast("int")
+    fold = F.when(F.col("place") <= F.col("even"), in_turn).otherwise(F.get("rest", (F.col("place") - F.col("even") - 1).cast("int")))
+    return slim.join(ranked.select("cluster", fold.alias("fold")), "cluster").select("id", "label", "cluster", "fold")
 
 
 def role_violations(manifest_rows: DataFrame) -> DataFrame:

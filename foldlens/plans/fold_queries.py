@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import comparison, contracts, folds, probe
@@ -17,7 +17,7 @@ def probe_rows(spark, d) -> DataFrame:
 
 def clustered(spark, d) -> DataFrame:
     """Orders' lines as samples, clustered by order."""
-    rows = v.table(spark, d, "lineitem").filter("l_orderkey % 40 = 0")
+    rows = v.table(spark, d, "lineitem")
     ident = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return rows.select(ident.alias("sample_id"), F.col("l_returnflag").alias("label"), F.col("l_orderkey").alias("order_id"))
 
@@ -26,10 +26,16 @@ def grouped(spark, d) -> DataFrame:
     return folds.grouped_folds(clustered(spark, d), "sample_id", "label", "order_id")
 
 
-def group_roles(spark, d) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with unique ids: some orders have a line number several times."""
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("label"))
+    return rows.withColumn("sample_id", F.concat_ws("-", "sample_id", place.cast("string")))
+
+
+def group_roles(rows: DataFrame) -> DataFrame:
     """A manifest that forgets the clusters: lines of one order land in several roles."""
-    own = folds.stratified_folds(clustered(spark, d), "sample_id", "label")
-    return folds.manifest(own).join(clustered(spark, d).select(F.col("sample_id").alias("id"), F.col("order_id").alias("cluster")), "id")
+    own = folds.stratified_folds(rows, "sample_id", "label")
+    return folds.manifest(own).join(rows.select(F.col("sample_id").alias("id"), F.col("order_id").alias("cluster")), "id")
 
 
 def grouped_violations(spark, d) -> DataFrame:
@@ -41,6 +47,9 @@ def grouped_violations(spark, d) -> DataFrame:
 LINES = """lines AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag AS label, l_orderkey AS cluster FROM lineitem WHERE l_orderkey % 40 = 0)"""
 LINE_MANIFEST = LINES + ", " + v.MANIFEST.replace("SELECT vec_id AS id, label::INT AS label, ((row_number() OVER (ORDER BY label, md5('42|' || vec_id), vec_id) - 1) % 7 + 1)::INT AS fold FROM embeddings", "SELECT id, label, ((row_number() OVER (ORDER BY label, md5('42|' || id), id) - 1) % 7 + 1)::INT AS fold FROM lines")
 
+ALL_LINE_MANIFEST = LINE_MANIFEST.replace(LINES, "lines AS (SELECT l_orderkey || '-' || l_linenumber || '-' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag) AS id, l_returnflag AS label, l_orderkey AS cluster FROM lineitem)")
+CROSSED = " SELECT cluster, fold, string_agg(DISTINCT role, '|' ORDER BY role) AS roles, count(*) AS n FROM manifest JOIN lines USING (id) GROUP BY cluster, fold HAVING count(DISTINCT role) > 1"
+
 
 def vocabulary_rows(spark, d) -> DataFrame:
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("value"), F.col("lang").alias("label"))
@@ -162,10 +171,9 @@ QUERIES = {
     "stratified_sample": (sample, SAMPLE_SQL),
     "grouped_folds": (grouped, None),
     "grouped_fold_violations": (grouped_violations, None),
-    "cluster_role_violations": (
-        lambda s, d: folds.role_violations(group_roles(s, d)),
-        W + LINE_MANIFEST + " SELECT cluster, fold, string_agg(DISTINCT role, '|' ORDER BY role) AS roles, count(*) AS n FROM manifest JOIN lines USING (id) GROUP BY cluster, fold HAVING count(DISTINCT role) > 1",
-    ),
+    # its SQL reads every 40th order; cluster_role_violations_all has all of them
+    "cluster_role_violations": (lambda s, d: folds.role_violations(group_roles(clustered(s, d).filter("order_id % 40 = 0"))), W + LINE_MANIFEST + CROSSED),
+    "cluster_role_violations_all": (lambda s, d: folds.role_violations(group_roles(numbered(clustered(s, d)))), W + ALL_LINE_MANIFEST + CROSSED),
     "missing_training_classes": (
         lambda s, d: folds.missing_training_classes(v.manifest(s, d).filter("not (fold = 3 and label = 4)").unionByName(v.manifest(s, d).filter("fold = 3 and label = 4 and role = 'Test'"))),
         "SELECT 3::INT AS fold, 4::INT AS label",
