@@ -121,6 +121,17 @@ def grouped_folds(rows: DataFrame, id_col: str, label_col: str, cluster_col: str
     return slim.join(ranked.select("cluster", fold.alias("fold")), "cluster").select("id", "label", "cluster", "fold")
 
 
+def grouped_manifest(own: DataFrame, inner: DataFrame, k: int = 7) -> DataFrame:
+    """(id, label, cluster, fold, role) of grouped folds ``own`` and inner folds of the same rows.
+
+    Clusters keep together in the inner folds too, so one of them is each fold's validation.
+    """
+    inner = inner.select("cluster", F.col("fold").alias("inner")).distinct()
+    runs = own.join(inner, "cluster").withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    role = F.when(F.col("own") == F.col("fold"), "Test").when(F.col("inner") == 1, "Val").otherwise("Train")
+    return runs.select("id", "label", "cluster", "fold", role.alias("role"))
+
+
 def role_violations(manifest_rows: DataFrame) -> DataFrame:
     """(cluster, fold, roles, n) of clusters that stand in more than one role of a fold."""
     roles = F.array_join(F.array_sort(F.collect_set("role")), "|")

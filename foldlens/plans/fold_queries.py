@@ -39,9 +39,9 @@ def group_roles(rows: DataFrame) -> DataFrame:
 
 
 def grouped_violations(spark, d) -> DataFrame:
-    """Violations of grouped folds' own manifest: none."""
-    rows = grouped(spark, d)
-    return folds.role_violations(folds.manifest(rows).filter("role = 'Test'").join(rows.select("id", "cluster"), "id"))
+    """Violations over Train, Val and Test of all grouped folds: none."""
+    inner = folds.grouped_folds(clustered(spark, d), "sample_id", "label", "order_id", 6, 43)
+    return folds.role_violations(folds.grouped_manifest(grouped(spark, d), inner))
 
 
 LINES = """lines AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag AS label, l_orderkey AS cluster FROM lineitem WHERE l_orderkey % 40 = 0)"""

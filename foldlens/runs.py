@@ -109,11 +109,8 @@ def grouped_splits(meta: DataFrame, pairs: DataFrame | None = None, k: int = 7,
     if rows.select("cluster").distinct().limit(k).count() < k:
         raise contracts.ContractError(f"fewer than {k} clusters")
     own = folds.grouped_folds(rows, "id", "label", "cluster", k, seed)
-    inner = folds.grouped_folds(rows, "id", "label", "cluster", min(6, k - 1), seed + 1).select("id", F.col("fold").alias("inner"))
-    runs = own.join(inner, "id").withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    # Clusters keep together in the inner folds too, so one of them is each fold's validation.
-    role = F.when(F.col("own") == F.col("fold"), "Test").when(F.col("inner") == 1, "Val").otherwise("Train")
-    manifest = runs.select("id", "label", "cluster", "fold", role.alias("role"))
+    inner = folds.grouped_folds(rows, "id", "label", "cluster", min(6, k - 1), seed + 1)
+    manifest = folds.grouped_manifest(own, inner, k)
     contracts.require_none(folds.role_violations(manifest), "a cluster in several roles")
     contracts.require_none(folds.missing_training_classes(manifest), "a training fold lacks a class")
     return {"manifest": manifest, "fold_counts": folds.fold_counts(manifest)}

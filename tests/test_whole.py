@@ -41,3 +41,30 @@ def test_grouped_folds_deal_equal_clusters_evenly(spark):
     same = [r.n for r in got.filter("cluster < 30").groupBy("fold").agg(F.count_distinct("cluster").alias("n")).collect()]
     assert sorted(same) in ([4] * 5 + [5] * 2, [4] * 6 + [6])
     assert got.filter("label is null").count() == 1
+
+
+def test_grouped_manifest_has_all_roles(spark):
+    rows = spark.range(420).select("id", (F.col("id") % 2).cast("string").alias("label"), (F.col("id") % 140).alias("cluster"))
+    own, inner = folds.grouped_folds(rows, "id", "label", "cluster"), folds.grouped_folds(rows, "id", "label", "cluster", 6, 43)
+    got = folds.grouped_manifest(own, inner).cache()
+    assert got.groupBy("id").agg(F.count_distinct("fold").alias("n"), F.count_if(F.col("role") == "Test").alias("tests")).filter("n = 7 and tests = 1").count() == 420
+    sizes = {(r.fold, r.role): r["count"] for r in got.groupBy("fold", "role").count().collect()}
+    assert len(sizes) == 21 and all(sizes[f, "Train"] > 2 * sizes[f, "Val"] for f in range(1, 8))
+    assert folds.role_violations(got).isEmpty()
+
+
+@fixtures
+@pytest.mark.parametrize("k", [7, 6])
+def test_grouped_fold_violations_sees_a_split_cluster(spark, monkeypatch, k):
+    real = folds.grouped_folds
+
+    def broken(rows, *args):
+        got = real(rows, *args)
+        other = F.when(F.col("cluster") != 7, F.col("fold")).when(F.col("id").endswith("-1"), 1).otherwise(2)
+        return got.withColumn("fold", other) if k == (args[3] if len(args) > 3 else 7) else got
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_orderkey = 7").agg(F.count_if(F.col("l_linenumber") == 1).alias("a"), F.count_if(F.col("l_linenumber") != 1).alias("b")).first()
+    assert lines.a and lines.b
+    assert catalog.QUERIES["grouped_fold_violations"](spark, SF).isEmpty()
+    monkeypatch.setattr(folds, "grouped_folds", broken)
+    assert {r.cluster for r in catalog.QUERIES["grouped_fold_violations"](spark, SF).collect()} == {7}
