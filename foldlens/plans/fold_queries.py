@@ -54,7 +54,7 @@ CROSSED = " SELECT cluster, fold, string_agg(DISTINCT role, '|' ORDER BY role) A
 def vocabulary_rows(spark, d) -> DataFrame:
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("value"), F.col("lang").alias("label"))
     own = folds.stratified_folds(docs, "id", "label")
-    return folds.manifest(own).join(docs.select("id", "value"), "id").filter("fold = 1")
+    return folds.manifest(own).join(docs.select("id", "value"), "id")
 
 
 DOC_FOLDS = v.MANIFEST.replace(
@@ -64,21 +64,22 @@ DOC_FOLDS = v.MANIFEST.replace(
 VOCAB = W + DOC_FOLDS + ", own AS (SELECT m.*, source AS value FROM manifest m JOIN documents ON doc_id = id WHERE fold = 1), vocab AS (SELECT value, row_number() OVER (ORDER BY value) AS code FROM (SELECT DISTINCT value FROM own WHERE role = 'Train' AND value IS NOT NULL))"
 
 
-def encoded(spark, d) -> DataFrame:
-    rows = vocabulary_rows(spark, d)
+VOCAB_ALL = W + DOC_FOLDS + ", own AS (SELECT m.*, source AS value FROM manifest m JOIN documents ON doc_id = id), vocab AS (SELECT fold, value, row_number() OVER (PARTITION BY fold ORDER BY value) AS code FROM (SELECT DISTINCT fold, value FROM own WHERE role = 'Train' AND value IS NOT NULL))"
+
+
+def encoded(rows: DataFrame) -> DataFrame:
     # values that training has not seen must meet the unknown token
     rows = rows.withColumn("value", F.when((F.col("role") == "Test") & (F.col("id") % 5 == 0), "unseen").otherwise(F.col("value")))
-    return probe.encode(rows, "value").select("id", "role", "code")
+    return probe.encode(rows, "value").select("id", "fold", "role", "code")
 
 
-def one_hot_sizes(spark, d) -> DataFrame:
+def one_hot_sizes(rows: DataFrame) -> DataFrame:
     from ..functions.arrays import one_hot
 
-    rows = vocabulary_rows(spark, d)
     vocabulary = probe.train_vocabulary(rows, "value")
     hot = one_hot(F.col("value"), F.col("vocabulary"))
     ones = F.aggregate(hot, F.lit(0.0), lambda a, x: a + x)
-    return rows.join(F.broadcast(vocabulary), "fold").select("id", F.size(hot).alias("width"), (F.array_position(hot, F.lit(1.0)) - 1).alias("place"), ones.alias("ones"))
+    return rows.join(F.broadcast(vocabulary), "fold").select("id", "fold", F.size(hot).alias("width"), (F.array_position(hot, F.lit(1.0)) - 1).alias("place"), ones.alias("ones"))
 
 
 def oof(spark, d) -> DataFrame:
@@ -100,9 +101,11 @@ STANDARD = W + v.MANIFEST + f"""
 , stats AS (SELECT fold, dim, avg(x) AS m, stddev_pop(x) AS s FROM long WHERE role = 'Train' GROUP BY ALL)
 SELECT id, fold, role, dim, round((x - m) / CASE WHEN round(s, 12) = 0 THEN 1 ELSE s END, 6) + 0.0::DOUBLE AS z FROM long JOIN stats USING (fold, dim)"""
 
+STANDARD_ALL = STANDARD.replace(" WHERE m.fold = 1", "")
+
 
-def standardized(spark, d) -> DataFrame:
-    return probe.standardize(probe_rows(spark, d).filter("fold = 1"), "embedding").withColumn("z", F.round("z", 6) + F.lit(0.0))
+def standardized(rows: DataFrame) -> DataFrame:
+    return probe.standardize(rows, "embedding").withColumn("z", F.round("z", 6) + F.lit(0.0))
 
 
 def permutation(spark, d, mode: str) -> DataFrame:
@@ -190,15 +193,25 @@ QUERIES = {
         lambda s, d: contracts.not_test_violations(oof(s, d).select(F.lit("centroid").alias("model"), F.col("id").alias("sample_id"), (F.col("fold") % 7 + (F.col("id") % 2)).cast("int").alias("fold")), v.manifest(s, d)),
         W + v.MANIFEST + ", p AS (SELECT id AS sample_id, (fold % 7 + id % 2)::INT AS fold FROM manifest WHERE role = 'Test') SELECT 'centroid' AS model, sample_id, p.fold, role FROM p LEFT JOIN manifest m ON m.id = sample_id AND m.fold = p.fold WHERE role IS NULL OR role <> 'Test'",
     ),
+    # the SQL of these three reads fold 1; the queries named _all have all folds
     "train_vocab_codes": (
-        encoded,
+        lambda s, d: encoded(vocabulary_rows(s, d).filter("fold = 1")).drop("fold"),
         VOCAB + " SELECT id, role, coalesce(code, 0)::INT AS code FROM (SELECT id, role, CASE WHEN role = 'Test' AND id % 5 = 0 THEN 'unseen' ELSE value END AS value FROM own) LEFT JOIN vocab USING (value)",
     ),
     "train_vocab_onehot": (
-        one_hot_sizes,
+        lambda s, d: one_hot_sizes(vocabulary_rows(s, d).filter("fold = 1")).drop("fold"),
         VOCAB + " SELECT id, (SELECT count(*) + 1 FROM vocab)::INT AS width, coalesce(code, -1)::BIGINT AS place, (code IS NOT NULL)::INT::DOUBLE AS ones FROM own LEFT JOIN vocab USING (value)",
     ),
-    "standardize_train_only": (standardized, STANDARD),
+    "standardize_train_only": (lambda s, d: standardized(probe_rows(s, d).filter("fold = 1")), STANDARD),
+    "train_vocab_codes_all": (
+        lambda s, d: encoded(vocabulary_rows(s, d)),
+        VOCAB_ALL + " SELECT id, fold, role, coalesce(code, 0)::INT AS code FROM (SELECT id, fold, role, CASE WHEN role = 'Test' AND id % 5 = 0 THEN 'unseen' ELSE value END AS value FROM own) LEFT JOIN vocab USING (fold, value)",
+    ),
+    "train_vocab_onehot_all": (
+        lambda s, d: one_hot_sizes(vocabulary_rows(s, d)),
+        VOCAB_ALL + " SELECT id, fold, width, coalesce(code, -1)::BIGINT AS place, (code IS NOT NULL)::INT::DOUBLE AS ones FROM own LEFT JOIN vocab USING (fold, value) JOIN (SELECT fold, (count(*) + 1)::INT AS width FROM vocab GROUP BY fold) USING (fold)",
+    ),
+    "standardize_train_only_all": (lambda s, d: standardized(probe_rows(s, d)), STANDARD_ALL),
     "nearest_centroid_oof": (oof, CENTROIDS + " SELECT fold, id, label, predicted, label = predicted AS hit FROM best"),
     "centroid_fold_log": (oof_per_fold, CENTROIDS + " SELECT fold, count(*) AS n_test, count(*) FILTER (label = predicted) AS hits FROM best GROUP BY fold"),
     "logistic_probe_oof": (lambda s, d: probe.logistic_oof(probe_rows(s, d), "embedding", max_iter=25), None),

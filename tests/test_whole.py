@@ -26,7 +26,7 @@ def test_grouped_folds_have_every_line(spark):
 
 
 @fixtures
-@pytest.mark.parametrize("name", ["cluster_role_violations_all"])
+@pytest.mark.parametrize("name", ["cluster_role_violations_all", "standardize_train_only_all", "train_vocab_codes_all", "train_vocab_onehot_all"])
 def test_whole_tables_match_sql(spark, name):
     matches_sql(spark, name)
 
@@ -68,3 +68,10 @@ def test_grouped_fold_violations_sees_a_split_cluster(spark, monkeypatch, k):
     assert catalog.QUERIES["grouped_fold_violations"](spark, SF).isEmpty()
     monkeypatch.setattr(folds, "grouped_folds", broken)
     assert {r.cluster for r in catalog.QUERIES["grouped_fold_violations"](spark, SF).collect()} == {7}
+
+
+@fixtures
+@pytest.mark.parametrize("name", ["standardize_train_only", "train_vocab_codes", "train_vocab_onehot"])
+def test_all_folds_are_returned(spark, name):
+    sizes = {r.fold: r["count"] for r in catalog.QUERIES[f"{name}_all"](spark, SF).groupBy("fold").count().collect()}
+    assert sizes == dict.fromkeys(range(1, 8), catalog.QUERIES[name](spark, SF).count())
