@@ -3,8 +3,10 @@
 The lexer reads source and configuration syntax around every assignment sign (``=``,
 ``:=``, ``:``, ``=>``) and makes pairs of a name and its literal: the name stands to the
 left (``conn.password``, ``"api_key"``, ``cfg['token']``), to the right an expression of
-string literals, names and bare configuration values joined by ``+``. Names of constants
-are propagated: a later expression that uses one takes its literal's places. A literal
+string literals, names and bare configuration values joined by ``+`` or, in brackets, side
+by side. It goes on over line breaks after the sign, around ``+`` and in brackets. Names of
+constants are propagated: a later expression that uses one takes its literal's places,
+however many. A literal
 is scored by how sensitive its target's name is times how much it looks like a secret
 (length, variety, no placeholder); from ``MIN_SCORE`` on each of its places becomes a
 span of kind ``literal``, unless a base span covers it already.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -48,13 +51,17 @@ def base_spans(text: str) -> list[Span]:
 
 SIGN = re.compile(r":=|=>|=(?![=>~])|:(?![:/])")
 NAME = re.compile(
-    r"""(?:([A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)(?:\[\s*["']([\w.-]+)["']\s*\])?|["']([A-Za-z_][\w. -]*)["'])(?:\x20*:\x20*[A-Za-z_][\w\[\]]*)?[\x20\t]*$"""
+    r"""(?:(?<![\w$])(?:(?![A-Za-z_$])\w)*+([A-Za-z_$][\w$]*+(?:[.-][A-Za-z_$][\w$]*+)*+)(?:\[\s*["']([\w.-]+)["']\s*\])?|["']([A-Za-z_][\w. -]*)["'])(?:\x20*:\x20*[A-Za-z_][\w\[\]]*+)?[\x20\t]*$"""
 )
 TERM = re.compile(
-    r"""[\x20\t]*(?:(?P<string>[rbuf]{0,2}(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<tick>[^`\n]*)`))|(?P<name>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?=[\x20\t]*(?:$|[+;,)\n}]))|(?P<bare>[^\s"'`,;(){}\[\]]+))""",
+    r"""(?:(?P<string>[rbuf]{0,2}(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<tick>[^`\n]*)`))|(?P<name>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?=[\x20\t]*(?:$|[+;,)\n}]))|(?P<bare>[^\s"'`,;(){}\[\]]+))""",
     re.MULTILINE,
 )
-PLUS = re.compile(r"[\x20\t]*(?:\+|\.\.)[\x20\t]*(?=[\"'`A-Za-z_$])")
+BLANKS = re.compile(r"[\x20\t]*")
+GAP = re.compile(r"(?:[\x20\t\r\n]|\\\r?\n)*")
+PLUS = re.compile(r"(?:\+|\.\.)(?=[\s\\(\"'`A-Za-z_$])")
+#: What a name never has; it has one colon at most.
+BREAK = re.compile(r"""[^\w$.\[\]"'\s:-]|\n""")
 
 #: How sensitive the parts of a name are.
 SENSITIVE = {
@@ -77,13 +84,68 @@ def name_score(name: str) -> float:
     return max(best, max((s for k, s in SENSITIVE.items() if len(k) >= 6 and joined.endswith(k)), default=0.0))
 
 
-def literal_score(value: str) -> float:
-    if len(value) < MIN_LITERAL or PLACEHOLDER.match(value) or " " in value.strip():
-        return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return min(1.0, bits / 3.0) * (1.0 if kinds >= 2 else 0.6)
+class Value:
+    """What the score needs of a concatenated value, without the value itself.
+
+    Constants that use each other can stand for texts far longer than the document; every
+    field here adds up from two values, so that no length has to be given up.
+    """
+
+    __slots__ = ("length", "counts", "head", "tail", "lead", "trail", "blank")
+    ENDS = 32
+
+    def __init__(self, text: str = ""):
+        self.length, self.counts, self.blank = len(text), Counter(text), not text.strip()
+        self.head, self.tail = text[: self.ENDS], text[-self.ENDS :]
+        self.lead = text[: len(text) - len(text.lstrip())].count(" ")
+        self.trail = text[len(text.rstrip()) :].count(" ")
+
+    def add(self, other: Value) -> None:
+        """Appends ``other``."""
+        spaces = other.counts[" "]
+        if self.blank:
+            self.lead += other.lead
+        self.trail = self.trail + spaces if other.blank else other.trail
+        self.head, self.tail = (self.head + other.head)[: self.ENDS], (self.tail + other.tail)[-self.ENDS :]
+        self.length += other.length
+        self.blank = self.blank and other.blank
+        self.counts.update(other.counts)
+
+    def placeholder(self) -> bool:
+        """Whether PLACEHOLDER matches: it looks at the ends and at which characters there are."""
+        return bool(PLACEHOLDER.match(self.head + "".join(self.counts) + self.tail))
+
+    def score(self) -> float:
+        if self.length < MIN_LITERAL or self.placeholder() or not self.blank and self.counts[" "] > self.lead + self.trail:
+            return 0.0
+        bits = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values())
+        kinds = sum(any(f(c) for c in self.counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in self.counts)
+        return min(1.0, bits / 3.0) * (1.0 if kinds >= 2 else 0.6)
+
+
+class Expression:
+    """An expression's own literals (text, start, end) and the constants it uses, in order."""
+
+    __slots__ = ("parts", "_value")
+
+    def __init__(self, *parts: tuple[str, int, int] | Expression):
+        self.parts = list(parts)
+        self._value: Value | None = None
+
+    def value(self) -> Value:
+        """The sum of the parts' values, those of constants first; each is made once, if at all."""
+        left = [self]
+        while left:
+            one = left[-1]
+            if one._value is None:
+                if first := [p for p in one.parts if isinstance(p, Expression) and p._value is None]:
+                    left += first
+                    continue
+                one._value = Value()
+                for p in one.parts:
+                    one._value.add(p._value if isinstance(p, Expression) else Value(p[0]))
+            left.pop()
+        return self._value
 
 
 class Lexer:
@@ -91,43 +153,81 @@ class Lexer:
 
     def __init__(self, text: str):
         self.text = text
-        self.constants: dict[str, list[tuple[str, int, int]]] = {}
+        self.constants: dict[str, Expression] = {}
 
     def pairs(self):
-        """(name, parts) for each assignment; a part is (value, start, end)."""
+        """(name, expression) for each assignment."""
+        breaks = [m.end() for m in BREAK.finditer(self.text)]
+        colons = [m.end() for m in re.finditer(":", self.text)]
         for sign in SIGN.finditer(self.text):
             at = sign.start()
-            line = max(self.text.rfind("\n", 0, at) + 1, at - 160)
-            if not (left := NAME.search(self.text[line:at])):
+            b, c = bisect_right(breaks, at), bisect_right(colons, at)
+            begin = max(breaks[b - 1] if b else 0, colons[c - 2] if c > 1 else 0)
+            if not (left := NAME.search(self.text[begin:at])):
                 continue
             name = left[2] or left[1] or left[3]
             full = ".".join(x for x in (left[1], left[2], left[3]) if x)
-            if parts := self._expression(sign.end()):
-                self.constants[full] = self.constants[name.rpartition(".")[2]] = parts
-                yield full, parts
-
-    def _expression(self, at: int) -> list[tuple[str, int, int]]:
-        parts: list[tuple[str, int, int]] = []
-        while term := TERM.match(self.text, at):
+            found = self._expression(sign.end())
+            if found.parts:
+                self.constants[full] = self.constants[name.rpartition(".")[2]] = found
+                yield full, found
+
+    def _term(self, at: int, wrap: bool) -> tuple[re.Match | None, int]:
+        """The term after blanks and open brackets, and the brackets' number.
+
+        With ``wrap``, or after a bracket, it may stand on a later line. There only strings
+        that are no names themselves and constants count: the rest is a line of its own.
+        """
+        start, opened = at, 0
+        while True:
+            after = (GAP if wrap or opened else BLANKS).match(self.text, at).end()
+            if self.text[after : after + 1] != "(":
+                break
+            at, opened = after + 1, opened + 1
+        term = TERM.match(self.text, after)
+        if term and (opened or "\n" in self.text[start:after]):
+            own = term["string"] is not None and not SIGN.match(self.text, BLANKS.match(self.text, term.end()).end())
+            if not own and not (term["name"] in self.constants and not SIGN.match(self.text, term.end())):
+                term = None
+        return term, opened
+
+    def _expression(self, at: int) -> Expression:
+        found, depth, wrap = Expression(), 0, True
+        while True:
+            term, opened = self._term(at, wrap or depth > 0)
+            if not term:
+                break
+            depth += opened
             if term["string"] is not None:
                 kind = next(k for k in ("double", "single", "tick") if term[k] is not None)
-                parts.append((term[kind], *term.span(kind)))
+                found.parts.append((term[kind], *term.span(kind)))
             elif term["name"] is not None and term["name"] in self.constants:
-                parts += self.constants[term["name"]]
-            elif not parts and (kind := "name" if term["name"] is not None else "bare"):
-                return [(term[kind], *term.span(kind))] if len(term[kind]) >= MIN_LITERAL else []
+                found.parts.append(self.constants[term["name"]])
+            elif not found.parts and (kind := "name" if term["name"] is not None else "bare"):
+                return Expression((term[kind], *term.span(kind))) if len(term[kind]) >= MIN_LITERAL else found
             at = term.end()
-            if not (plus := PLUS.match(self.text, at)) or len(parts) > 64:
+            while depth and self.text[(after := GAP.match(self.text, at).end()) : after + 1] == ")":
+                at, depth = after + 1, depth - 1
+            # a line that begins with the sign goes on, too
+            if plus := PLUS.match(self.text, GAP.match(self.text, at).end()):
+                at, wrap = plus.end(), True
+            elif depth and (side := TERM.match(self.text, GAP.match(self.text, at).end())) and side["string"] is not None:
+                at, wrap = side.start(), False
+            else:
                 break
-            at = plus.end()
-        return parts
+        return found
 
 
 def literal_spans(text: str, base: list[Span]) -> list[Span]:
-    found = set()
-    for name, parts in Lexer(text).pairs():
-        if (worth := name_score(name)) and worth * literal_score("".join(v for v, _, _ in parts)) >= MIN_SCORE:
-            found |= {("literal", a, b) for _, a, b in parts if b > a}
+    found, told = set(), set()
+    for name, expression in Lexer(text).pairs():
+        if (worth := name_score(name)) and worth * expression.value().score() >= MIN_SCORE:
+            left = [expression]
+            while left:
+                if (one := left.pop()) not in told:
+                    told.add(one)
+                    left += [p for p in one.parts if isinstance(p, Expression)]
+                    found |= {("literal", p[1], p[2]) for p in one.parts if not isinstance(p, Expression) and p[2] > p[1]}
     return [s for s in found if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
 
 
