@@ -55,10 +55,11 @@ def nearest_centroid(rows: DataFrame, values: str) -> DataFrame:
     return test.select("id", "fold", "label", best["c"].alias("predicted"))
 
 
-def logistic_oof(rows: DataFrame, values: str, c: float = 1.0, max_iter: int = 100) -> DataFrame:
+def logistic_oof(rows: DataFrame, values: str, c: float = 1.0, max_iter: int = 3000) -> DataFrame:
     """(id, fold, label, predicted, p): out-of-fold multinomial logistic regression, L2 with strength c.
 
     Folds are few, so one model is fitted for each; features are standardized with train rows.
+    A fit that has not converged after ``max_iter`` iterations is an error.
     """
     wide = standardize(rows, values).groupBy("id", "fold", "role").agg(
         array_to_vector(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda s: s["z"])).alias("features")
@@ -70,6 +71,8 @@ def logistic_oof(rows: DataFrame, values: str, c: float = 1.0, max_iter: int = 1
         own = data.filter(F.col("fold") == fold)
         train = own.filter("role = 'Train'")
         model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(1, train.count())), standardization=False, maxIter=max_iter).fit(train)
+        if model.summary.totalIterations >= max_iter:
+            raise ValueError(f"fold {fold}: the probe has not converged after {max_iter} iterations")
         scored = model.transform(own.filter("role = 'Test'")).select("id", "fold", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predicted"), F.col("probability").cast("string").alias("p"))
         out = scored if out is None else out.unionByName(scored)
     return out

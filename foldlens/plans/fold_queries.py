@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,15 @@ def standardized(rows: DataFrame) -> DataFrame:
     return probe.standardize(rows, "embedding").withColumn("z", F.round("z", 6) + F.lit(0.0))
 
 
+def logistic(spark, d) -> DataFrame:
+    """Out-of-fold probes of the vectors, of the documents' attributes with their ids, and of both."""
+    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    rows = probe_rows(spark, d).join(docs, "id", "left").na.fill("missing", ["lang", "source"])
+    blocks = probe.feature_blocks(rows, "embedding", ["lang", "source"])
+    parts = [probe.logistic_oof(blocks, b).select(F.lit(b).alias("block"), "*") for b in ("image_only", "metadata_only", "concat")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def permutation(spark, d, mode: str) -> DataFrame:
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 + 1).cast("int").alias("fold"), "lang", "source")
     return probe.permuted(docs, ["lang", "source"], mode)
@@ -214,7 +225,7 @@ QUERIES = {
     "standardize_train_only_all": (lambda s, d: standardized(probe_rows(s, d)), STANDARD_ALL),
     "nearest_centroid_oof": (oof, CENTROIDS + " SELECT fold, id, label, predicted, label = predicted AS hit FROM best"),
     "centroid_fold_log": (oof_per_fold, CENTROIDS + " SELECT fold, count(*) AS n_test, count(*) FILTER (label = predicted) AS hits FROM best GROUP BY fold"),
-    "logistic_probe_oof": (lambda s, d: probe.logistic_oof(probe_rows(s, d), "embedding", max_iter=25), None),
+    "logistic_probe_oof": (logistic, None),
     "permutation_joint": (lambda s, d: permutation(s, d, "joint"), _permuted_sql("joint")),
     "permutation_independent": (lambda s, d: permutation(s, d, "independent"), _permuted_sql("independent")),
     "perturbation_effect": (perturbation, PERTURBED),

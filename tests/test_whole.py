@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from test_queries import test_matches_sql as matches_sql
 
-from foldlens.operators import folds
+from foldlens.operators import folds, probe
 from foldlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,20 @@ def test_grouped_fold_violations_sees_a_split_cluster(spark, monkeypatch, k):
 def test_all_folds_are_returned(spark, name):
     sizes = {r.fold: r["count"] for r in catalog.QUERIES[f"{name}_all"](spark, SF).groupBy("fold").count().collect()}
     assert sizes == dict.fromkeys(range(1, 8), catalog.QUERIES[name](spark, SF).count())
+
+
+@fixtures
+def test_logistic_probe_has_all_blocks(spark, monkeypatch):
+    # the fits take minutes; here only what they get
+    monkeypatch.setattr(probe, "logistic_oof", lambda rows, block: rows.select("id", "fold", F.size(block).alias("width")))
+    got = catalog.QUERIES["logistic_probe_oof"](spark, SF).groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("width").alias("width")).collect()
+    width = {r.block: r.width for r in got}
+    assert {r.n for r in got} == {3500} and width["image_only"] == 64 and width["concat"] == 64 + width["metadata_only"] > 64
+
+
+def test_probe_must_converge(spark):
+    rows = spark.range(60).select("id", (F.col("id") % 2 + 1).cast("int").alias("fold"), F.lit("Test").alias("role"), (F.col("id") % 3).cast("int").alias("label"), F.array(F.sin("id"), F.cos(F.col("id") * F.col("id"))).alias("x"))
+    rows = rows.unionByName(rows.withColumns({"fold": 3 - F.col("fold"), "role": F.lit("Train")}))
+    assert probe.logistic_oof(rows, "x").count() == 60
+    with pytest.raises(ValueError, match="converged"):
+        probe.logistic_oof(rows, "x", max_iter=1)
