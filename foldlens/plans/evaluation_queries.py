@@ -272,6 +272,7 @@ QUERIES = {
         lambda s, d: comparison.agreement(v.raters(s, d), "rater_a", "rater_b", ["0", "1"]),
         W + v.RATERS + ", labelled AS (SELECT 'raters' AS model, * FROM rated), " + ovr_sql("labelled", "model", "['0', '1']") + f", o AS ({OVERALL_TAIL.strip().removeprefix(',').replace('sums AS', 'WITH sums AS', 1)}), h AS (SELECT count(*) FILTER (y_true = y_pred) AS c, count(*) AS n FROM rated) SELECT h.n, (SELECT count(*) FROM raters) - h.n AS missing_pairs, {R('h.c / h.n::DOUBLE', 'agreement')}, {_bounds(('h.c', 'h.n', 'agreement'))}, o.kappa FROM o CROSS JOIN h",
     ),
+    "bootstrap_kappa_2000": (lambda s, d: comparison.bootstrap_kappa(v.raters(s, d), "rater_a", "rater_b", 2000), BOOT_SQL.replace("range(1, 201)", "range(1, 2001)").replace(">= 180", ">= 1800")),
     "bootstrap_kappa": (lambda s, d: comparison.bootstrap_kappa(v.raters(s, d), "rater_a", "rater_b"), BOOT_SQL),
     "prediction_contract_violations": (
         lambda s, d: contracts.prediction_violations(orders(s, d), ["F", "O"]),

@@ -26,7 +26,7 @@ def test_grouped_folds_have_every_line(spark):
 
 
 @fixtures
-@pytest.mark.parametrize("name", ["cluster_role_violations_all", "standardize_train_only_all", "train_vocab_codes_all", "train_vocab_onehot_all"])
+@pytest.mark.parametrize("name", ["cluster_role_violations_all", "standardize_train_only_all", "train_vocab_codes_all", "train_vocab_onehot_all", "bootstrap_kappa_2000"])
 def test_whole_tables_match_sql(spark, name):
     matches_sql(spark, name)
 
@@ -92,3 +92,8 @@ def test_probe_must_converge(spark):
     assert probe.logistic_oof(rows, "x").count() == 60
     with pytest.raises(ValueError, match="converged"):
         probe.logistic_oof(rows, "x", max_iter=1)
+
+
+@fixtures
+def test_bootstrap_has_the_references_replicates(spark):
+    assert catalog.QUERIES["bootstrap_kappa_2000"](spark, SF).first().valid > 1800
