@@ -4,8 +4,10 @@ Every batch of documents becomes one run: the 128-bit hash of each line key with
 the number of the batch's documents that hold it, sorted by hash. Runs wait in
 levels. As soon as a level has ``fanout`` runs they are merged into one sorted run
 of the next level, so n batches leave O(fanout * log n) runs and each hash is
-rewritten O(log n) times. A batch is filtered by joining its lines with the runs
-and removing (anti-join) what they hold often enough.
+rewritten O(log n) times. Batches are not filtered as they come: a line counts over all
+documents, so a batch's lines may become frequent by later batches. The dealt step in
+which each new batch merge-anti-joins the runs is left out; after the last batch all
+lines are semi-joined once with the total counts, by hash, and the runs' order is not used.
 
 Only DataFrame functions run here. Text is never shuffled line by line: per
 document only the hashes of its frequent lines travel, and the documents are
