@@ -9,7 +9,8 @@ one. Within a band at most H = 2 hi (1 - t) / (1 + t) elements of a similar pair
 universe is cut by hash into m = H + 1 segments: some segment must be equal in both sets,
 and the signature (band, segment, sum of mixed elements) meets there.
 
-Allocation. A segment's cost is the number of sets that its signature meets. Empty segments
+Allocation. A fixed rule on emptiness: no cost is measured from the data, so frequent
+passages make large buckets that an allocation by signature counts would avoid. Empty segments
 meet all sets without elements there, so they get nothing, and what they would have
 covered is given to other segments: a set with z empty segments also signs the
 one-deletion neighbourhoods (the segment, and it without each element) of its first z
