@@ -1,27 +1,39 @@
-"""Main text of web pages.
+"""Main text of web pages by smoothed text-to-tag ratios.
 
 The standard library's parser sends events; nothing of the page but its lines is kept.
 A line is the text between two block boundaries, white space collapsed, with the number
-of tags since the line before and the containers that it stands in. Lines in containers
-that hold no article text (navigation, page headers and footers, sidebars, forms, scripts,
-notices, adverts, reader comments, told by element, role, class or id) get ratio 0.
-
-Every line's text-to-tag ratio (characters by tags) is smoothed with a Gaussian over the
-lines; the smoothed ratios fall into two clusters by a threshold of ``SPREAD`` times their
-standard deviation, and what is above it marks content. The content region is the
-``article`` or ``main`` container that holds such lines; without one it is the innermost
-container that holds all of them. All lines of the region are kept, in page order, short
-ones too, save those of the containers above.
+of tags since the line before, how much of it is link text, and the containers that it
+stands in. Elements that never hold article text (scripts, styles, menus, page footers,
+sidebars, hidden parts) are left out by their name or role.
+
+1. Ratio: every line's characters outside of links by its tags; 0 for lines left out.
+2. Smoothing: a Gaussian over the lines, so that headings and short lines between long
+   paragraphs rise and lone long lines between menus fall.
+3. Threshold clustering: what reaches ``SPREAD`` standard deviations of the smoothed ratios
+   is marked as content.
+4. Evidence: a line is worth its characters, ``FAINT`` of them if it isn't marked,
+   ``SEMANTIC`` times them within ``article`` or ``main``. A container that looks by class,
+   id or element like a form, header, sidebar, advert or comment section is left out only
+   if others have evidence too: one that holds ``WRAPPER`` of all of it (comments:
+   ``DISCUSSION``) is a wrapper of the content whatever its name.
+5. Region: from the page down to the container that holds ``SHARE`` of its parent's evidence,
+   until none does, or to an ``article`` or ``main``. All of the region's lines stay, short
+   ones too, save lists of links in a region found by evidence alone; there, marked headings
+   and marked long lines beside the region stay as well.
 
 Defined results: null or empty html gives ''; unclosed and misnested tags are closed by
-the next boundary of an outer element; a page without a content region (no text outside
-of the excluded containers) gives ''.
+the next boundary of an outer element; a page without any line outside of menus, footers,
+scripts and the like gives ''; a page that ends within a tag loses that tag, while a ``<`` that
+begins none is text; repeated rows give repeated results; an empty table gives an empty
+one; columns named text or n_chars are replaced, others stay. A page's memory is its text
+and one path of container numbers for each line.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,43 +49,72 @@ BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary "
     "table tbody td tfoot th thead tr ul".split()
 )
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Elements whose text is never the article's.
 EXCLUDED = frozenset(
-    "head script style noscript template nav header footer aside form button select textarea iframe object svg canvas "
-    "dialog menu title audio video map datalist".split()
+    "head script style noscript template nav footer aside button select textarea iframe object svg canvas dialog menu "
+    "title audio video map datalist".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+#: Elements that may hold a whole page, but mostly don't hold its article.
+DOUBTFUL = frozenset(("form", "header"))
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog toolbar".split())
 #: Parts of class names and ids of containers without article text.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside widget footer masthead cookie cookies consent gdpr notice notices notification "
-    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment "
-    "comments disqus respond replies pagination pager toolbar skip".split()
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
+    "pagination pager toolbar skip".split()
 )
+COMMENTS = frozenset("comment comments disqus respond replies reply".split())
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+CONTAINERS = frozenset("html body div section article main center table tbody tr td form header span".split())
 SIGMA, SPREAD = 1.5, 0.5
+FAINT, SEMANTIC, WRAPPER, DISCUSSION, SHARE = 0.1, 100.0, 0.8, 0.98, 2 / 3
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_NAMED = re.compile(r"<([A-Za-z][A-Za-z0-9]*)")
+_ATTRIBUTE = re.compile(r"\s[A-Za-z-]+\s*=")
 
 
 class Line:
-    __slots__ = ("path", "excluded", "region", "tags", "text")
+    """Text between block boundaries; ``path`` are the numbers of its open elements, outermost first."""
+
+    __slots__ = ("text", "tags", "linked", "excluded", "region", "path", "tag")
+
+    def __init__(self, text, tags, linked, excluded, region, path, tag):
+        self.text, self.tags, self.linked, self.excluded, self.region, self.path, self.tag = text, tags, linked, excluded, region, path, tag
+
+    def ratio(self) -> float:
+        return 0.0 if self.excluded else max(0, len(self.text) - self.linked) / self.tags
+
+    def is_link(self) -> bool:
+        return 2 * self.linked > len(self.text)
+
 
-    def __init__(self, text, tags, excluded, region, path):
-        self.text, self.tags, self.excluded, self.region, self.path = text, tags, excluded, region, path
+class Open:
+    """An open element: what of it its lines inherit."""
+
+    __slots__ = ("tag", "excluded", "region", "number", "link")
+
+    def __init__(self, tag, excluded, region, number, link):
+        self.tag, self.excluded, self.region, self.number, self.link = tag, excluded, region, number, link
 
 
 class PageLines(HTMLParser):
-    """Collects the lines of one page."""
+    """Collects the lines of one page, and what is doubtful or a container of its elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        # (tag, excluded, region, id) of each open element; region: the outermost article or main
-        self.open: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+        # region: the number of the outermost article or main
+        self.open: list[Open] = [Open("", False, 0, 0, False)]
+        self.tag_of: dict[int, str] = {0: ""}
+        #: number of each doubtful element: the share of the evidence that makes it a wrapper
+        self.doubtful: dict[int, float] = {}
         self.held: list[str] = []
+        self.linked = 0
         self.tags = 0
-        self.seen = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -83,15 +124,14 @@ class PageLines(HTMLParser):
             return
         if tag == "p" or tag in HEADINGS or tag == "li":
             self._close_implied(tag)
-        _, excluded, region, _ = self.open[-1]
-        self.seen += 1
-        if tag in CONTENT and not region and not (tag == "article" and excluded and self._is_comment(attrs)):
-            excluded, region = False, self.seen
-        elif not excluded:
-            excluded = self._excludes(tag, attrs, region)
-        elif tag in HEADINGS and region and self._only_header():
-            excluded = False
-        self.open.append((tag, excluded, region, self.seen))
+        outer = self.open[-1]
+        number = len(self.tag_of)
+        self.tag_of[number] = tag
+        region = outer.region or (number if tag in CONTENT else 0)
+        excluded = outer.excluded or tag in EXCLUDED or self._hidden(tag, attrs)
+        if not excluded and (doubt := self._doubt(tag, attrs, bool(outer.region))):
+            self.doubtful[number] = doubt
+        self.open.append(Open(tag, excluded, region, number, outer.link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -103,12 +143,14 @@ class PageLines(HTMLParser):
         if tag in BLOCK:
             self._flush()
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
+            if self.open[i].tag == tag:
                 del self.open[i:]
                 return
 
     def handle_data(self, data):
         self.held.append(data)
+        if self.open[-1].link:
+            self.linked += len(" ".join(data.split()))
 
     def parse_marked_section(self, i, report=1):
         """Sections such as <![if x]> are comments up to the next >; the parser's own rule raises."""
@@ -122,7 +164,7 @@ class PageLines(HTMLParser):
         """A paragraph ends before the next block, a list item before the next item."""
         ends = "li" if tag == "li" else "p"
         for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
+            name = self.open[i].tag
             if name == ends:
                 del self.open[i:]
                 return
@@ -130,28 +172,27 @@ class PageLines(HTMLParser):
                 return
 
     @staticmethod
-    def _is_comment(attrs) -> bool:
-        return bool(_names(attrs) & {"comment", "comments", "reply"})
-
-    def _only_header(self) -> bool:
-        """Whether nothing but the article's own header excludes this place."""
-        first = next(e for e in self.open if e[1] and e[2])
-        return first[0] == "header"
-
-    @staticmethod
-    def _excludes(tag, attrs, region) -> bool:
-        if tag in EXCLUDED:
-            return True
+    def _hidden(tag, attrs) -> bool:
         if not attrs or tag in ("html", "body"):
             return False
         given = dict(attrs)
         if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES:
             return True
-        if (style := given.get("style")) and _HIDDEN.search(style):
-            return True
-        if tag in ("a", "b", "i", "em", "strong", "u", "code", "sub", "sup", "mark", "abbr", "q", "cite") or tag in CONTENT:
-            return False
-        return bool(_names(attrs) & HINTS)
+        return bool((style := given.get("style")) and _HIDDEN.search(style))
+
+    @staticmethod
+    def _doubt(tag, attrs, inside: bool) -> float:
+        """The share that lets an element pass although its name speaks against it, 0 if none does."""
+        if tag == "header" and inside:
+            return 0.0  # an article's own header holds its title; its other lines are told by name
+        if tag in DOUBTFUL:
+            return WRAPPER
+        if not attrs or tag in ("html", "body", "main") or tag in INLINE and tag != "span":
+            return 0.0
+        names = {p.lower() for k, v in attrs if k in ("class", "id") and v for p in _PART.findall(v)}
+        if names & COMMENTS:
+            return DISCUSSION
+        return WRAPPER if names & HINTS and tag != "article" and not tag in HEADINGS else 0.0
 
     def _flush(self):
         if not self.held:
@@ -159,13 +200,11 @@ class PageLines(HTMLParser):
         text = " ".join("".join(self.held).split())
         self.held.clear()
         if text:
-            tag, excluded, region, _ = self.open[-1]
-            self.lines.append(Line(text, max(1, self.tags), excluded, region, tuple(e[3] for e in self.open)))
+            inner = self.open[-1]
+            tag = next((o.tag for o in reversed(self.open) if o.tag not in INLINE), "")
+            self.lines.append(Line(text, max(1, self.tags), min(self.linked, len(text)), inner.excluded, inner.region, tuple(o.number for o in self.open), tag))
             self.tags = 0
-
-
-def _names(attrs) -> set[str]:
-    return {p.lower() for k, v in attrs if k in ("class", "id") and v for p in _PART.findall(v)}
+        self.linked = 0
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -176,34 +215,84 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, weight, "valid") / np.convolve(within, weight, "valid")
 
 
-def content_lines(lines: list[Line]) -> list[Line]:
-    free = [line for line in lines if not line.excluded]
+def _evidence(lines: list[Line], worth: dict[int, float]) -> Counter:
+    """The worth of the lines within each element, by its number; 0 is the page."""
+    mass = Counter()
+    for line in lines:
+        for number in line.path:
+            mass[number] += worth[id(line)]
+    return mass
+
+
+def _region(lines: list[Line], mass: Counter, tag_of: dict[int, str]) -> tuple[int, int]:
+    """(number, depth) of the container that holds most evidence, as far down as one does."""
+    at, depth = 0, 0
+    while tag_of[at] not in CONTENT:
+        inner = {line.path[depth + 1] for line in lines if len(line.path) > depth + 1 and line.path[depth] == at}
+        best = max(inner, key=lambda n: (mass[n], -n), default=0)
+        if not best or tag_of[best] not in CONTAINERS or mass[best] < SHARE * mass[at]:
+            break
+        at, depth = best, depth + 1
+    return at, depth
+
+
+def content_lines(page: PageLines) -> list[Line]:
+    free = [line for line in page.lines if not line.excluded]
     if not free:
         return []
-    ratios = np.array([0.0 if line.excluded else len(line.text) / line.tags for line in lines])
+    ratios = np.array([line.ratio() for line in page.lines])
     smooth = smoothed(ratios)
-    marked = [line for line, s in zip(lines, smooth, strict=True) if not line.excluded and s >= SPREAD * smooth.std()]
-    marked = marked or free
-    regions = {line.region for line in free if line.region}
-    if regions:
-        held = {line.region for line in marked if line.region} or regions
-        return [line for line in free if line.region in held]
-    shared = marked[0].path
-    for line in marked:
-        shared = shared[: next((i for i, (a, b) in enumerate(zip(shared, line.path, strict=False)) if a != b), min(len(shared), len(line.path)))]
-    return [line for line in free if line.path[: len(shared)] == shared]
+    limit = SPREAD * smooth.std()
+    raised = {id(line) for line, s in zip(page.lines, smooth, strict=True) if not line.excluded and s >= limit}
+    worth = {id(line): len(line.text) * (1.0 if id(line) in raised else FAINT) * (SEMANTIC if line.region else 1.0) for line in free}
+
+    if page.doubtful:
+        mass = _evidence(free, worth)
+        gone = {n for n, share in page.doubtful.items() if mass[n] < share * mass[0]}
+        free = [line for line in free if gone.isdisjoint(line.path)]
+    mass = _evidence(free, worth)
+    at, depth = _region(free, mass, page.tag_of)
+    inside = [len(line.path) > depth and line.path[depth] == at for line in free]
+    if page.tag_of[at] in CONTENT:
+        return [line for line, own in zip(free, inside, strict=True) if own]
+
+    size, plain = Counter(), set()
+    for line in free:
+        size.update(line.path)
+        if not line.is_link():
+            plain.update(line.path)
+    menus = {n for n, k in size.items() if k > 2 and n not in plain}
+    long = {id(line) for line, r in zip(page.lines, ratios, strict=True) if r >= limit or line.tag in HEADINGS}
+    kept = []
+    for line, own in zip(free, inside, strict=True):
+        beside = id(line) in raised and id(line) in long and not line.is_link()
+        if menus.isdisjoint(line.path) if own else beside:
+            kept.append(line)
+    return kept
+
+
+def _ending(html: str) -> str:
+    """``html`` without a tag that its end cuts off; a last < that begins no tag is text."""
+    last = html.rfind("<")
+    if last < 0 or ">" in html[last:]:
+        return html
+    rest = html[last:]
+    if re.match(r"</[A-Za-z]|<!|<\?", rest):
+        return html[:last]
+    if not (named := _NAMED.match(rest)):
+        return html
+    known = named[1].lower() in BLOCK | INLINE | VOID | EXCLUDED
+    cut = _ATTRIBUTE.search(rest) or named.end() == len(rest) and not html[:last].endswith((" ", "\n", "\t"))
+    return html[:last] if known and cut else f"{html[:last]}&lt;{rest[1:]}"
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    last = html.rfind("<")
-    if ">" not in html[last:] and re.match(r"</?[A-Za-z]|<!", html[last : last + 3]):
-        html = html[:last]  # the page ends within a tag
     parser = PageLines()
-    parser.feed(html)
+    parser.feed(_ending(html))
     parser.close()
-    return "\n".join(line.text for line in content_lines(parser.lines))
+    return "\n".join(line.text for line in content_lines(parser))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
