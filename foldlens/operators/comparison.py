@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import corrected_t, ratio, wilson
-from .metrics import overall
 
 
 def paired(preds: DataFrame, model_a: str, model_b: str) -> DataFrame:
@@ -64,15 +63,22 @@ def complete_pairs(raters: DataFrame, a: str, b: str) -> DataFrame:
     return raters.select("sample_id", x.alias("y_true"), y.alias("y_pred")).filter("y_true <> '' and y_pred <> ''")
 
 
-def agreement(raters: DataFrame, a: str, b: str, categories: list[str]) -> DataFrame:
-    """n, missing pairs, raw agreement with bounds and Cohen's kappa."""
-    rows = complete_pairs(raters, a, b).withColumn("model", F.lit("raters"))
-    both = overall(rows, categories).join(raters.agg(F.count(F.lit(1)).alias("all_pairs")))
-    hits = F.round(F.col("accuracy") * F.col("n")).cast("long")
-    low, high = wilson(hits, F.col("n"))
+def agreement(raters: DataFrame, a: str, b: str) -> DataFrame:
+    """n, missing pairs, raw agreement with bounds and Cohen's kappa, over all categories that occur.
+
+    Everything comes from the cells (pairs of categories): none is collected or cut off. kappa
+    is NULL where chance alone would agree always.
+    """
+    cells = complete_pairs(raters, a, b).groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    true, pred = (cells.groupBy(F.col(c).alias("c")).agg(F.sum("n").alias(f"m_{c}")) for c in ("y_true", "y_pred"))
+    cross = true.join(pred, "c").agg(F.coalesce(F.sum(F.col("m_y_true").cast("double") * F.col("m_y_pred")), F.lit(0.0)).alias("cross"))
+    hits = F.coalesce(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))), F.lit(0))
+    both = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), hits.alias("hits")).join(cross).join(raters.agg(F.count(F.lit(1)).alias("all_pairs")))
+    low, high = wilson(F.col("hits"), F.col("n"))
+    both = both.withColumns({"agreement": ratio(F.col("hits"), F.col("n")), "pe": ratio(F.col("cross"), F.col("n").cast("double") * F.col("n"))})
     return both.select(
-        "n", (F.col("all_pairs") - F.col("n")).alias("missing_pairs"), F.col("accuracy").alias("agreement"),
-        low.alias("agreement95_low"), high.alias("agreement95_high"), "kappa",
+        "n", (F.col("all_pairs") - F.col("n")).alias("missing_pairs"), "agreement", low.alias("agreement95_low"), high.alias("agreement95_high"),
+        F.try_divide(F.col("agreement") - F.col("pe"), 1 - F.col("pe")).alias("kappa"),
     )
 
 

@@ -154,15 +154,16 @@ def star_edges(members: DataFrame) -> DataFrame:
     return known.join(least, "entity").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def connected_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def connected_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster): the smallest id that each of ``nodes`` (id) is connected to by ``edges`` (a, b).
 
     Each round a node takes the smallest label among its own and its neighbours', and then
-    its label's label, which halves long chains. Rounds are cut by checkpoints.
+    its label's label, which halves long chains, until no label changes: labels only fall, so
+    that comes. Rounds are cut by checkpoints.
     """
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = durable(nodes.select("id", F.col("id").alias("cluster")).distinct())
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("cluster").alias("near"))
         nearer = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("cluster", "near").alias("next"), F.col("cluster").alias("was"))
         jump = labels.select(F.col("id").alias("at"), F.col("cluster").alias("far"))
@@ -171,4 +172,3 @@ def connected_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame
         labels = moved.select("id", "cluster")
         if moved.filter("cluster <> was").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

@@ -83,53 +83,72 @@ def stratified_sample(rows: DataFrame, id_col: str, label_col: str, n: int, seed
     return ranked.join(F.broadcast(takes), "label").filter("place <= take").select("id", "label")
 
 
-def grouped_folds(rows: DataFrame, id_col: str, label_col: str, cluster_col: str, k: int = 7, seed: int = 42) -> DataFrame:
-    """(id, label, cluster, fold): clusters stay together, labels are spread evenly.
+def _shapes(rows: DataFrame) -> DataFrame:
+    """(cluster, shape): the counts of every label of each cluster of ``rows`` (label, cluster)."""
+    per = rows.filter("cluster is not null").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("cluster").agg(F.to_json(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("shape"))
+
+
+def _deal(shapes: DataFrame, parts: list[str], k: int, digest: Column) -> DataFrame:
+    """(parts, cluster, dealt): each part's clusters dealt to 1 ... k, or to as many as it has clusters.
 
     Clusters with equal counts of every label are interchangeable. Of m such clusters, in
     seeded order, m - m % k are dealt in turn, as many to each fold. The other m % k go
     through a greedy pass, the least even counts first, each to the fold that keeps the
-    labels' spread smallest. That pass is sequential and one task, which gets a row for each
-    distinct vector of counts, whatever the number of clusters. A null label is a label.
+    labels' spread smallest. That pass is sequential and one task for each part, which gets a
+    row for each distinct vector of counts, whatever the number of clusters.
     """
-    slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(cluster_col).alias("cluster"))
-    per = slim.filter("cluster is not null").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    vector = F.to_json(F.array_sort(F.collect_list(F.struct("label", "n"))))
-    shapes = per.groupBy("cluster").agg(vector.alias("shape"))
-    sizes = shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("clusters"))
+    sizes = shapes.groupBy(*parts, "shape").agg(F.count(F.lit(1)).alias("clusters"))
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shape", ignore_index=True)
+        many = min(k, int(pdf["clusters"].sum()))
         vectors = [{c.get("label"): c["n"] for c in json.loads(shape)} for shape in pdf["shape"]]
         labels = sorted({label for vector in vectors for label in vector}, key=lambda x: (x is None, x or ""))
         counts = np.array([[vector.get(label, 0) for label in labels] for vector in vectors], float)
         weights = counts / (counts * pdf["clusters"].to_numpy(float)[:, None]).sum(axis=0) ** 2
-        spread, held, out = counts.std(axis=1), np.zeros((k, len(labels))), [[] for _ in vectors]
+        spread, held, out = counts.std(axis=1), np.zeros((many, len(labels))), [[] for _ in vectors]
         for i in sorted(range(len(vectors)), key=lambda i: (-spread[i], -counts[i].sum(), i)):
-            for _ in range(int(pdf["clusters"][i]) % k):
+            for _ in range(int(pdf["clusters"][i]) % many):
                 # the sum of squares over all folds grows least where this product is least
                 added, full = held @ weights[i], held.sum(axis=1)
-                best = min(range(k), key=lambda f: (added[f], full[f], f))
+                best = min(range(many), key=lambda f: (added[f], full[f], f))
                 held[best] += counts[i]
                 out[i].append(best + 1)
-        return pd.DataFrame({"shape": pdf["shape"], "even": pdf["clusters"] // k * k, "rest": out})
+        return pdf[[*parts, "shape"]].assign(even=pdf["clusters"] // many * many, rest=out, many=many)
 
-    greedy = sizes.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(deal, "shape string, even long, rest array<int>")
-    ranked = hashed_rank(shapes, ["shape"], seeded(seed, F.col("cluster")), "cluster", "place").join(greedy, "shape")
-    in_turn = ((F.col("place") - 1) % k + 1).cast("int")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shapes.schema.fields if f.name in parts)
+    dealt = sizes.withColumn("one", F.lit(1)).groupBy("one", *parts).applyInPandas(greedy, f"{kinds}shape string, even long, rest array<int>, many int")
+    ranked = hashed_rank(shapes, [*parts, "shape"], digest, "cluster", "place").join(dealt, [*parts, "shape"])
+    in_turn = ((F.col("place") - 1) % F.col("many") + 1).cast("int")
     fold = F.when(F.col("place") <= F.col("even"), in_turn).otherwise(F.get("rest", (F.col("place") - F.col("even") - 1).cast("int")))
-    return slim.join(ranked.select("cluster", fold.alias("fold")), "cluster").select("id", "label", "cluster", "fold")
+    return ranked.select(*parts, "cluster", fold.alias("dealt"))
+
+
+def grouped_folds(rows: DataFrame, id_col: str, label_col: str, cluster_col: str, k: int = 7, seed: int = 42) -> DataFrame:
+    """(id, label, cluster, fold): clusters stay together, labels are spread evenly.
+
+    A null label is a label; rows without cluster are in no fold.
+    """
+    slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(cluster_col).alias("cluster"))
+    dealt = _deal(_shapes(slim), [], k, seeded(seed, F.col("cluster")))
+    return slim.join(dealt.withColumnRenamed("dealt", "fold"), "cluster").select("id", "label", "cluster", "fold")
 
 
-def grouped_manifest(own: DataFrame, inner: DataFrame, k: int = 7) -> DataFrame:
-    """(id, label, cluster, fold, role) of grouped folds ``own`` and inner folds of the same rows.
+def grouped_manifest(own: DataFrame, k: int = 7, inner: int = 6, seed: int = 42) -> DataFrame:
+    """(id, label, cluster, fold, role) of grouped folds ``own``.
 
-    Clusters keep together in the inner folds too, so one of them is each fold's validation.
+    What is not a fold's test is split anew for each fold, by seed + fold, into ``inner``
+    parts that keep clusters together; the first of them is the fold's validation.
     """
-    inner = inner.select("cluster", F.col("fold").alias("inner")).distinct()
-    runs = own.join(inner, "cluster").withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    role = F.when(F.col("own") == F.col("fold"), "Test").when(F.col("inner") == 1, "Val").otherwise("Train")
-    return runs.select("id", "label", "cluster", "fold", role.alias("role"))
+    once = own.select("label", "cluster", "fold")
+    shapes = _shapes(once).join(once.select("cluster", F.col("fold").alias("own")).distinct(), "cluster")
+    runs = shapes.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    digest = F.md5(F.concat_ws("|", (F.lit(seed) + F.col("fold")).cast("string"), F.col("cluster").cast("string")))
+    dealt = _deal(runs.filter("own <> fold").select("fold", "cluster", "shape"), ["fold"], inner, digest)
+    roles = dealt.select("fold", "cluster", F.when(F.col("dealt") == 1, "Val").otherwise("Train").alias("role"))
+    rest = own.withColumnRenamed("fold", "own").join(roles, "cluster").select("id", "label", "cluster", "fold", "role")
+    return rest.unionByName(own.select("id", "label", "cluster", "fold", F.lit("Test").alias("role")))
 
 
 def role_violations(manifest_rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import wilson
@@ -93,6 +93,23 @@ def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def early_stopping(history: DataFrame, patience: int = 20) -> DataFrame:
-    """(run, best_epoch, best_loss, stop_epoch): the first epoch of least loss, and when waiting ends."""
-    best = history.groupBy("run").agg(F.min(F.struct("loss", "epoch")).alias("b"), F.max("epoch").alias("last"))
-    return best.select("run", F.col("b.epoch").alias("best_epoch"), F.col("b.loss").alias("best_loss"), F.least(F.col("b.epoch") + patience, F.col("last")).alias("stop_epoch"))
+    """(run, best_epoch, best_loss, stop_epoch): where training that waits ``patience`` epochs ends.
+
+    Epochs count in their order, whatever their numbers. An epoch with less loss than all
+    before it is the best so far; one without a loss (NULL, NaN) is none. The run stops at
+    the first epoch that has ``patience`` epochs without a new best up to it, later ones don't
+    count; a run that never waits so long stops at its last epoch. A run's epochs are sorted
+    by one task (they are steps of one training, in sequence), and spill if need be.
+    """
+    order = Window.partitionBy("run").orderBy("epoch")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    loss = F.when(~F.isnan("loss"), F.col("loss"))
+    rows = history.select("run", "epoch", loss.alias("loss"), F.row_number().over(order).alias("place"))
+    least = F.min("loss").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    better = F.col("loss").isNotNull() & (F.col("least").isNull() | (F.col("loss") < F.col("least")))
+    rows = rows.withColumn("least", least).withColumn("best", F.when(better, F.struct("place", "epoch", "loss")))
+    rows = rows.withColumn("best", F.last("best", True).over(upto))
+    waited = F.col("place") - F.coalesce(F.col("best.place"), F.lit(0)) >= patience
+    stop = rows.groupBy("run").agg(F.min(F.when(waited, F.struct("place", "epoch", "best"))).alias("early"), F.max(F.struct("place", "epoch", "best")).alias("late"))
+    ended = stop.select("run", F.coalesce("early", "late").alias("end"))
+    return ended.select("run", F.col("end.best.epoch").alias("best_epoch"), F.col("end.best.loss").alias("best_loss"), F.col("end.epoch").alias("stop_epoch"))

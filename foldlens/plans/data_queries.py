@@ -230,6 +230,12 @@ QUERIES = {
     ),
     "early_stopping": (
         history,
-        f"WITH h AS (SELECT user_id % 10 AS run, event_id AS epoch, round(value, 2) AS loss FROM events), b AS (SELECT run, max(epoch) AS last_ FROM h GROUP BY run), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1) SELECT run, epoch AS best_epoch, {R('loss', 'best_loss')}, least(epoch + 20, last_) AS stop_epoch FROM f JOIN b USING (run)",
+        f"""WITH RECURSIVE h AS (SELECT user_id % 10 AS run, event_id AS epoch, round(value, 2) AS loss, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS place FROM events)
+, walk(run, place, epoch, best_epoch, best_loss, patience) AS (
+  SELECT run, place, epoch, epoch, loss, 0 FROM h WHERE place = 1
+  UNION ALL
+  SELECT h.run, h.place, h.epoch, CASE WHEN h.loss < best_loss THEN h.epoch ELSE best_epoch END, CASE WHEN h.loss < best_loss THEN h.loss ELSE best_loss END, CASE WHEN h.loss < best_loss THEN 0 ELSE patience + 1 END
+  FROM walk JOIN h ON h.run = walk.run AND h.place = walk.place + 1 WHERE patience < 20)
+SELECT run, best_epoch, {R('best_loss', 'best_loss')}, epoch AS stop_epoch FROM walk QUALIFY row_number() OVER (PARTITION BY run ORDER BY place DESC) = 1""",
     ),
 }

@@ -140,13 +140,13 @@ BOOT_SQL = f"""{W}{v.RATERS}
 , cells AS (SELECT y_true, y_pred, count(*) AS n FROM rated GROUP BY ALL)
 , spans AS (SELECT *, sum(n) OVER (ORDER BY y_true, y_pred ROWS UNBOUNDED PRECEDING) AS end_, sum(n) OVER () AS total FROM cells)
 , draws AS (SELECT b.replicate, ('0x' || substr(md5('boot|' || b.replicate || '|' || p.place), 1, 8))::BIGINT % t.total AS at_
-  FROM (SELECT max(total)::BIGINT AS total FROM spans) t, range(1, 201) b(replicate), range(0, (SELECT max(total)::BIGINT FROM spans)) p(place))
+  FROM (SELECT max(total)::BIGINT AS total FROM spans) t, range(1, 2001) b(replicate), range(0, (SELECT max(total)::BIGINT FROM spans)) p(place))
 , drawn AS (SELECT replicate, y_true, y_pred, count(*) AS n FROM draws JOIN spans ON at_ >= end_ - n AND at_ < end_ GROUP BY ALL)
 , t AS (SELECT replicate, y_true AS c, sum(n) AS m FROM drawn GROUP BY ALL), p AS (SELECT replicate, y_pred AS c, sum(n) AS m FROM drawn GROUP BY ALL)
 , chance AS (SELECT replicate, sum(t.m * p.m) AS x FROM t JOIN p USING (replicate, c) GROUP BY ALL)
 , hit AS (SELECT replicate, sum(n) AS n, coalesce(sum(n) FILTER (y_true = y_pred), 0) AS h FROM drawn GROUP BY ALL)
 , kappas AS (SELECT (h / n::DOUBLE - coalesce(x, 0) / (n::DOUBLE * n)) / nullif(1 - coalesce(x, 0) / (n::DOUBLE * n), 0) AS kappa FROM hit LEFT JOIN chance USING (replicate))
-SELECT count(kappa) AS valid, {R("CASE WHEN count(kappa) >= 180 THEN quantile_cont(kappa, 0.025::DOUBLE) END", "kappa95_low")}, {R("CASE WHEN count(kappa) >= 180 THEN quantile_cont(kappa, 0.975::DOUBLE) END", "kappa95_high")} FROM kappas"""
+SELECT count(kappa) AS valid, {R("CASE WHEN count(kappa) >= 1800 THEN quantile_cont(kappa, 0.025::DOUBLE) END", "kappa95_low")}, {R("CASE WHEN count(kappa) >= 1800 THEN quantile_cont(kappa, 0.975::DOUBLE) END", "kappa95_high")} FROM kappas"""
 
 
 def bounds_of_groups(spark, d) -> DataFrame:
@@ -269,11 +269,10 @@ QUERIES = {
         None,
     ),
     "rater_agreement_kappa": (
-        lambda s, d: comparison.agreement(v.raters(s, d), "rater_a", "rater_b", ["0", "1"]),
+        lambda s, d: comparison.agreement(v.raters(s, d), "rater_a", "rater_b"),
         W + v.RATERS + ", labelled AS (SELECT 'raters' AS model, * FROM rated), " + ovr_sql("labelled", "model", "['0', '1']") + f", o AS ({OVERALL_TAIL.strip().removeprefix(',').replace('sums AS', 'WITH sums AS', 1)}), h AS (SELECT count(*) FILTER (y_true = y_pred) AS c, count(*) AS n FROM rated) SELECT h.n, (SELECT count(*) FROM raters) - h.n AS missing_pairs, {R('h.c / h.n::DOUBLE', 'agreement')}, {_bounds(('h.c', 'h.n', 'agreement'))}, o.kappa FROM o CROSS JOIN h",
     ),
-    "bootstrap_kappa_2000": (lambda s, d: comparison.bootstrap_kappa(v.raters(s, d), "rater_a", "rater_b", 2000), BOOT_SQL.replace("range(1, 201)", "range(1, 2001)").replace(">= 180", ">= 1800")),
-    "bootstrap_kappa": (lambda s, d: comparison.bootstrap_kappa(v.raters(s, d), "rater_a", "rater_b"), BOOT_SQL),
+    "bootstrap_kappa": (lambda s, d: comparison.bootstrap_kappa(v.raters(s, d), "rater_a", "rater_b", 2000), BOOT_SQL),
     "prediction_contract_violations": (
         lambda s, d: contracts.prediction_violations(orders(s, d), ["F", "O"]),
         ORDERS + " SELECT 0::BIGINT AS missing_fields, (count(*) FILTER (y_true NOT IN ('F', 'O') OR y_pred NOT IN ('F', 'O')))::BIGINT AS unknown_labels, count(*) AS invalid_probabilities, 0::BIGINT AS not_summing_to_one, (count(*) FILTER (['F', 'O'][list_position(p, list_max(p))] <> y_pred))::BIGINT AS argmax_mismatches, 0::BIGINT AS repeated_predictions, 0::BIGINT AS disagreeing_truths FROM pred_orders",

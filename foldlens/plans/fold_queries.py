@@ -42,14 +42,20 @@ def group_roles(rows: DataFrame) -> DataFrame:
 
 def grouped_violations(spark, d) -> DataFrame:
     """Violations over Train, Val and Test of all grouped folds: none."""
-    inner = folds.grouped_folds(clustered(spark, d), "sample_id", "label", "order_id", 6, 43)
-    return folds.role_violations(folds.grouped_manifest(grouped(spark, d), inner))
+    return folds.role_violations(folds.grouped_manifest(grouped(spark, d)))
 
 
-LINES = """lines AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag AS label, l_orderkey AS cluster FROM lineitem WHERE l_orderkey % 40 = 0)"""
-LINE_MANIFEST = LINES + ", " + v.MANIFEST.replace("SELECT vec_id AS id, label::INT AS label, ((row_number() OVER (ORDER BY label, md5('42|' || vec_id), vec_id) - 1) % 7 + 1)::INT AS fold FROM embeddings", "SELECT id, label, ((row_number() OVER (ORDER BY label, md5('42|' || id), id) - 1) % 7 + 1)::INT AS fold FROM lines")
+def grouped_balance(spark, d) -> DataFrame:
+    """What grouped folds promise, by label: every line once, no cluster split, no fold far from a seventh."""
+    own = grouped(spark, d)
+    per = own.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    spread = per.groupBy("label").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("folds"), (F.max("n") - F.min("n") <= 0.02 * F.sum("n")).alias("even"))
+    split = own.groupBy("cluster").agg(F.count_distinct("fold").alias("f")).agg(F.count_if(F.col("f") > 1).alias("split_clusters"))
+    return spread.join(F.broadcast(split))
+
 
-ALL_LINE_MANIFEST = LINE_MANIFEST.replace(LINES, "lines AS (SELECT l_orderkey || '-' || l_linenumber || '-' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag) AS id, l_returnflag AS label, l_orderkey AS cluster FROM lineitem)")
+LINES = "lines AS (SELECT l_orderkey || '-' || l_linenumber || '-' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag) AS id, l_returnflag AS label, l_orderkey AS cluster FROM lineitem)"
+LINE_MANIFEST = LINES + ", " + v.MANIFEST.replace("SELECT vec_id AS id, label::INT AS label, ((row_number() OVER (ORDER BY label, md5('42|' || vec_id), vec_id) - 1) % 7 + 1)::INT AS fold FROM embeddings", "SELECT id, label, ((row_number() OVER (ORDER BY label, md5('42|' || id), id) - 1) % 7 + 1)::INT AS fold FROM lines")
 CROSSED = " SELECT cluster, fold, string_agg(DISTINCT role, '|' ORDER BY role) AS roles, count(*) AS n FROM manifest JOIN lines USING (id) GROUP BY cluster, fold HAVING count(DISTINCT role) > 1"
 
 
@@ -63,10 +69,7 @@ DOC_FOLDS = v.MANIFEST.replace(
     "SELECT vec_id AS id, label::INT AS label, ((row_number() OVER (ORDER BY label, md5('42|' || vec_id), vec_id) - 1) % 7 + 1)::INT AS fold FROM embeddings",
     "SELECT doc_id AS id, lang AS label, ((row_number() OVER (ORDER BY lang, md5('42|' || doc_id), doc_id) - 1) % 7 + 1)::INT AS fold FROM documents",
 )
-VOCAB = W + DOC_FOLDS + ", own AS (SELECT m.*, source AS value FROM manifest m JOIN documents ON doc_id = id WHERE fold = 1), vocab AS (SELECT value, row_number() OVER (ORDER BY value) AS code FROM (SELECT DISTINCT value FROM own WHERE role = 'Train' AND value IS NOT NULL))"
-
-
-VOCAB_ALL = W + DOC_FOLDS + ", own AS (SELECT m.*, source AS value FROM manifest m JOIN documents ON doc_id = id), vocab AS (SELECT fold, value, row_number() OVER (PARTITION BY fold ORDER BY value) AS code FROM (SELECT DISTINCT fold, value FROM own WHERE role = 'Train' AND value IS NOT NULL))"
+VOCAB = W + DOC_FOLDS + ", own AS (SELECT m.*, source AS value FROM manifest m JOIN documents ON doc_id = id), vocab AS (SELECT fold, value, row_number() OVER (PARTITION BY fold ORDER BY value) AS code FROM (SELECT DISTINCT fold, value FROM own WHERE role = 'Train' AND value IS NOT NULL))"
 
 
 def encoded(rows: DataFrame) -> DataFrame:
@@ -99,13 +102,10 @@ CENTROIDS = W + v.MANIFEST + """
 , best AS (SELECT fold, id, label, c AS predicted FROM far QUALIFY row_number() OVER (PARTITION BY fold, id ORDER BY d, c) = 1)"""
 
 STANDARD = W + v.MANIFEST + f"""
-, long AS (SELECT m.fold, m.role, m.id, unnest(range(0, 64))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM manifest m JOIN embeddings e ON e.vec_id = m.id WHERE m.fold = 1)
+, long AS (SELECT m.fold, m.role, m.id, unnest(range(0, 64))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM manifest m JOIN embeddings e ON e.vec_id = m.id)
 , stats AS (SELECT fold, dim, avg(x) AS m, stddev_pop(x) AS s FROM long WHERE role = 'Train' GROUP BY ALL)
 SELECT id, fold, role, dim, round((x - m) / CASE WHEN round(s, 12) = 0 THEN 1 ELSE s END, 6) + 0.0::DOUBLE AS z FROM long JOIN stats USING (fold, dim)"""
 
-STANDARD_ALL = STANDARD.replace(" WHERE m.fold = 1", "")
-
-
 def standardized(rows: DataFrame) -> DataFrame:
     return probe.standardize(rows, "embedding").withColumn("z", F.round("z", 6) + F.lit(0.0))
 
@@ -184,10 +184,9 @@ QUERIES = {
     ),
     "stratified_sample": (sample, SAMPLE_SQL),
     "grouped_folds": (grouped, None),
-    "grouped_fold_violations": (grouped_violations, None),
-    # its SQL reads every 40th order; cluster_role_violations_all has all of them
-    "cluster_role_violations": (lambda s, d: folds.role_violations(group_roles(clustered(s, d).filter("order_id % 40 = 0"))), W + LINE_MANIFEST + CROSSED),
-    "cluster_role_violations_all": (lambda s, d: folds.role_violations(group_roles(numbered(clustered(s, d)))), W + ALL_LINE_MANIFEST + CROSSED),
+    "grouped_fold_balance": (grouped_balance, "SELECT l_returnflag AS label, count(*) AS lines, 7::BIGINT AS folds, true AS even, 0::BIGINT AS split_clusters FROM lineitem GROUP BY l_returnflag"),
+    "grouped_fold_violations": (grouped_violations, "SELECT l_orderkey AS cluster, 1::INT AS fold, '' AS roles, count(*) AS n FROM lineitem WHERE false GROUP BY l_orderkey"),
+    "cluster_role_violations": (lambda s, d: folds.role_violations(group_roles(numbered(clustered(s, d)))), W + LINE_MANIFEST + CROSSED),
     "missing_training_classes": (
         lambda s, d: folds.missing_training_classes(v.manifest(s, d).filter("not (fold = 3 and label = 4)").unionByName(v.manifest(s, d).filter("fold = 3 and label = 4 and role = 'Test'"))),
         "SELECT 3::INT AS fold, 4::INT AS label",
@@ -204,25 +203,15 @@ QUERIES = {
         lambda s, d: contracts.not_test_violations(oof(s, d).select(F.lit("centroid").alias("model"), F.col("id").alias("sample_id"), (F.col("fold") % 7 + (F.col("id") % 2)).cast("int").alias("fold")), v.manifest(s, d)),
         W + v.MANIFEST + ", p AS (SELECT id AS sample_id, (fold % 7 + id % 2)::INT AS fold FROM manifest WHERE role = 'Test') SELECT 'centroid' AS model, sample_id, p.fold, role FROM p LEFT JOIN manifest m ON m.id = sample_id AND m.fold = p.fold WHERE role IS NULL OR role <> 'Test'",
     ),
-    # the SQL of these three reads fold 1; the queries named _all have all folds
     "train_vocab_codes": (
-        lambda s, d: encoded(vocabulary_rows(s, d).filter("fold = 1")).drop("fold"),
-        VOCAB + " SELECT id, role, coalesce(code, 0)::INT AS code FROM (SELECT id, role, CASE WHEN role = 'Test' AND id % 5 = 0 THEN 'unseen' ELSE value END AS value FROM own) LEFT JOIN vocab USING (value)",
-    ),
-    "train_vocab_onehot": (
-        lambda s, d: one_hot_sizes(vocabulary_rows(s, d).filter("fold = 1")).drop("fold"),
-        VOCAB + " SELECT id, (SELECT count(*) + 1 FROM vocab)::INT AS width, coalesce(code, -1)::BIGINT AS place, (code IS NOT NULL)::INT::DOUBLE AS ones FROM own LEFT JOIN vocab USING (value)",
-    ),
-    "standardize_train_only": (lambda s, d: standardized(probe_rows(s, d).filter("fold = 1")), STANDARD),
-    "train_vocab_codes_all": (
         lambda s, d: encoded(vocabulary_rows(s, d)),
-        VOCAB_ALL + " SELECT id, fold, role, coalesce(code, 0)::INT AS code FROM (SELECT id, fold, role, CASE WHEN role = 'Test' AND id % 5 = 0 THEN 'unseen' ELSE value END AS value FROM own) LEFT JOIN vocab USING (fold, value)",
+        VOCAB + " SELECT id, fold, role, coalesce(code, 0)::INT AS code FROM (SELECT id, fold, role, CASE WHEN role = 'Test' AND id % 5 = 0 THEN 'unseen' ELSE value END AS value FROM own) LEFT JOIN vocab USING (fold, value)",
     ),
-    "train_vocab_onehot_all": (
+    "train_vocab_onehot": (
         lambda s, d: one_hot_sizes(vocabulary_rows(s, d)),
-        VOCAB_ALL + " SELECT id, fold, width, coalesce(code, -1)::BIGINT AS place, (code IS NOT NULL)::INT::DOUBLE AS ones FROM own LEFT JOIN vocab USING (fold, value) JOIN (SELECT fold, (count(*) + 1)::INT AS width FROM vocab GROUP BY fold) USING (fold)",
+        VOCAB + " SELECT id, fold, width, coalesce(code, -1)::BIGINT AS place, (code IS NOT NULL)::INT::DOUBLE AS ones FROM own LEFT JOIN vocab USING (fold, value) JOIN (SELECT fold, (count(*) + 1)::INT AS width FROM vocab GROUP BY fold) USING (fold)",
     ),
-    "standardize_train_only_all": (lambda s, d: standardized(probe_rows(s, d)), STANDARD_ALL),
+    "standardize_train_only": (lambda s, d: standardized(probe_rows(s, d)), STANDARD),
     "nearest_centroid_oof": (oof, CENTROIDS + " SELECT fold, id, label, predicted, label = predicted AS hit FROM best"),
     "centroid_fold_log": (oof_per_fold, CENTROIDS + " SELECT fold, count(*) AS n_test, count(*) FILTER (label = predicted) AS hits FROM best GROUP BY fold"),
     "logistic_probe_oof": (logistic, None),

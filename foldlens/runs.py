@@ -109,8 +109,7 @@ def grouped_splits(meta: DataFrame, pairs: DataFrame | None = None, k: int = 7,
     if rows.select("cluster").distinct().limit(k).count() < k:
         raise contracts.ContractError(f"fewer than {k} clusters")
     own = folds.grouped_folds(rows, "id", "label", "cluster", k, seed)
-    inner = folds.grouped_folds(rows, "id", "label", "cluster", min(6, k - 1), seed + 1)
-    manifest = folds.grouped_manifest(own, inner, k)
+    manifest = folds.grouped_manifest(own, k, seed=seed)
     contracts.require_none(folds.role_violations(manifest), "a cluster in several roles")
     contracts.require_none(folds.missing_training_classes(manifest), "a training fold lacks a class")
     return {"manifest": manifest, "fold_counts": folds.fold_counts(manifest)}
@@ -124,10 +123,7 @@ def rater_agreement(a: DataFrame, b: DataFrame, columns: list[str], confirmed: b
     out = {}
     for column in columns:
         pair = a.select("sample_id", F.col(column).alias("rater_a")).join(b.select("sample_id", F.col(column).alias("rater_b")), "sample_id")
-        seen = comparison.complete_pairs(pair, "rater_a", "rater_b")
-        names = seen.select(F.explode(F.array("y_true", "y_pred")).alias("c")).distinct().orderBy("c").limit(1000)
-        categories = [r.c for r in names.collect()]
-        out[f"{column}_agreement"] = comparison.agreement(pair, "rater_a", "rater_b", categories)
+        out[f"{column}_agreement"] = comparison.agreement(pair, "rater_a", "rater_b")
         out[f"{column}_bootstrap"] = comparison.bootstrap_kappa(pair, "rater_a", "rater_b", replicates)
         out[f"{column}_table"] = pair.na.fill("MISSING").groupBy("rater_a", "rater_b").agg(F.count(F.lit(1)).alias("n"))
     return out

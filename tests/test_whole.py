@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from test_queries import test_matches_sql as matches_sql
 
-from foldlens.operators import folds, probe
+from foldlens.operators import comparison, folds, probe, profile
 from foldlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def test_grouped_folds_have_every_line(spark):
 
 
 @fixtures
-@pytest.mark.parametrize("name", ["cluster_role_violations_all", "standardize_train_only_all", "train_vocab_codes_all", "train_vocab_onehot_all", "bootstrap_kappa_2000"])
+@pytest.mark.parametrize("name", ["cluster_role_violations", "standardize_train_only", "train_vocab_codes", "train_vocab_onehot", "bootstrap_kappa"])
 def test_whole_tables_match_sql(spark, name):
     matches_sql(spark, name)
 
@@ -43,25 +43,38 @@ def test_grouped_folds_deal_equal_clusters_evenly(spark):
     assert got.filter("label is null").count() == 1
 
 
+def test_grouped_folds_balance_single_clusters(spark):
+    rows = spark.range(40).select("id", F.floor(F.col("id") / 2).cast("string").alias("label"), F.col("id").alias("cluster"))
+    got = folds.grouped_folds(rows, "id", "label", "cluster").cache()
+    sizes = [r["count"] for r in got.groupBy("fold").count().collect()]
+    assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
+    assert got.groupBy("label", "fold").count().filter("count > 1").isEmpty()
+
+
 def test_grouped_manifest_has_all_roles(spark):
     rows = spark.range(420).select("id", (F.col("id") % 2).cast("string").alias("label"), (F.col("id") % 140).alias("cluster"))
-    own, inner = folds.grouped_folds(rows, "id", "label", "cluster"), folds.grouped_folds(rows, "id", "label", "cluster", 6, 43)
-    got = folds.grouped_manifest(own, inner).cache()
+    own = folds.grouped_folds(rows, "id", "label", "cluster")
+    got = folds.grouped_manifest(own).cache()
     assert got.groupBy("id").agg(F.count_distinct("fold").alias("n"), F.count_if(F.col("role") == "Test").alias("tests")).filter("n = 7 and tests = 1").count() == 420
     sizes = {(r.fold, r.role): r["count"] for r in got.groupBy("fold", "role").count().collect()}
     assert len(sizes) == 21 and all(sizes[f, "Train"] > 2 * sizes[f, "Val"] for f in range(1, 8))
+    assert all(50 <= sizes[f, "Val"] <= 70 for f in range(1, 8))  # a sixth of what isn't test
     assert folds.role_violations(got).isEmpty()
+    # each fold has a validation of its own
+    chosen = {f: frozenset(r.cluster for r in got.filter(f"fold = {f} and role = 'Val'").select("cluster").distinct().collect()) for f in range(1, 8)}
+    assert len(set(chosen.values())) == 7
+    # few clusters: no more parts than clusters
+    few = folds.grouped_manifest(folds.grouped_folds(rows.filter("cluster < 4"), "id", "label", "cluster", 3), 3)
+    assert few.filter("role = 'Val'").select("fold").distinct().count() == 3
 
 
 @fixtures
-@pytest.mark.parametrize("k", [7, 6])
-def test_grouped_fold_violations_sees_a_split_cluster(spark, monkeypatch, k):
+def test_grouped_fold_violations_sees_a_split_cluster(spark, monkeypatch):
     real = folds.grouped_folds
 
     def broken(rows, *args):
         got = real(rows, *args)
-        other = F.when(F.col("cluster") != 7, F.col("fold")).when(F.col("id").endswith("-1"), 1).otherwise(2)
-        return got.withColumn("fold", other) if k == (args[3] if len(args) > 3 else 7) else got
+        return got.withColumn("fold", F.when(F.col("cluster") != 7, F.col("fold")).when(F.col("id").endswith("-1"), 1).otherwise(2))
 
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_orderkey = 7").agg(F.count_if(F.col("l_linenumber") == 1).alias("a"), F.count_if(F.col("l_linenumber") != 1).alias("b")).first()
     assert lines.a and lines.b
@@ -70,11 +83,31 @@ def test_grouped_fold_violations_sees_a_split_cluster(spark, monkeypatch, k):
     assert {r.cluster for r in catalog.QUERIES["grouped_fold_violations"](spark, SF).collect()} == {7}
 
 
+@pytest.mark.parametrize(
+    ("losses", "want"),
+    [
+        ([2.0, 1.0] + [1.5] * 37 + [0.5], (2, 1.0, 7)), ([3.0, 2.0, 1.0], (3, 1.0, 3)), ([1.0, 1.0, 1.0], (1, 1.0, 3)),
+        ([None, 2.0, float("nan"), 1.0], (4, 1.0, 4)), ([None] * 9, (None, None, 5)), ([1.0, 2.0, 2.0, 2.0, 2.0, 0.5] + [0.6] * 9, (6, 0.5, 11)),
+    ],
+)
+def test_early_stopping(spark, losses, want):
+    rows = spark.createDataFrame([("r", 10 * i, x) for i, x in enumerate(losses, 1)], "run string, epoch long, loss double")
+    got = profile.early_stopping(rows, 5).first()
+    times = lambda e: e and e // 10
+    assert (times(got.best_epoch), got.best_loss, times(got.stop_epoch)) == want
+
+
+def test_agreement_over_many_categories(spark):
+    rows = spark.range(6000).select(F.col("id").alias("sample_id"), (F.col("id") % 1500).cast("string").alias("a"), F.when(F.col("id") < 3000, F.col("id") % 1500).otherwise((F.col("id") + 1) % 1500).cast("string").alias("b"))
+    got = comparison.agreement(rows, "a", "b").first()
+    assert got.n == 6000 and got.agreement == 0.5 and got.kappa == pytest.approx((0.5 - 1 / 1500) / (1 - 1 / 1500))
+
+
 @fixtures
-@pytest.mark.parametrize("name", ["standardize_train_only", "train_vocab_codes", "train_vocab_onehot"])
-def test_all_folds_are_returned(spark, name):
-    sizes = {r.fold: r["count"] for r in catalog.QUERIES[f"{name}_all"](spark, SF).groupBy("fold").count().collect()}
-    assert sizes == dict.fromkeys(range(1, 8), catalog.QUERIES[name](spark, SF).count())
+@pytest.mark.parametrize(("name", "rows"), [("standardize_train_only", 500 * 64), ("train_vocab_codes", 200), ("train_vocab_onehot", 200)])
+def test_all_folds_are_returned(spark, name, rows):
+    sizes = {r.fold: r["count"] for r in catalog.QUERIES[name](spark, SF).groupBy("fold").count().collect()}
+    assert sizes == dict.fromkeys(range(1, 8), rows)
 
 
 @fixtures
@@ -96,4 +129,4 @@ def test_probe_must_converge(spark):
 
 @fixtures
 def test_bootstrap_has_the_references_replicates(spark):
-    assert catalog.QUERIES["bootstrap_kappa_2000"](spark, SF).first().valid > 1800
+    assert catalog.QUERIES["bootstrap_kappa"](spark, SF).first().valid > 1800
