@@ -1,25 +1,37 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Every batch of documents becomes one run: the 128-bit hash of each line key with
-the number of the batch's documents that hold it, sorted by hash. Runs wait in
-levels. As soon as a level has ``fanout`` runs they are merged into one sorted run
-of the next level, so n batches leave O(fanout * log n) runs and each hash is
-rewritten O(log n) times. Batches are not filtered as they come: a line counts over all
-documents, so a batch's lines may become frequent by later batches. The dealt step in
-which each new batch merge-anti-joins the runs is left out; after the last batch all
-lines are semi-joined once with the total counts, by hash, and the runs' order is not used.
-
-Only DataFrame functions run here. Text is never shuffled line by line: per
-document only the hashes of its frequent lines travel, and the documents are
-joined with those short lists once (a broadcast join where the lists are small).
+Every batch of documents becomes one run: the 128-bit hash of each line key with the number
+of the batch's documents that hold it. Runs are tables bucketed and sorted by hash, all by
+the same buckets, so that joining two of them merges them bucket by bucket without any
+shuffle. Runs wait in levels: as soon as a level has ``fanout`` of them, they are merged into
+one run of the next level, so n batches leave O(fanout * log n) runs and each hash is
+rewritten O(log n) times.
+
+Each new batch is merge-anti-joined with the runs and adds its own run. A line counts over all
+documents, so what a run settles is a key that it knows to be in ``min_docs`` documents:
+such keys leave the batch (they will be dropped whatever comes), all others go on being
+counted. After the last batch the runs left are merged once more, and every key that reaches
+``min_docs`` is frequent.
+
+Then each line meets the frequent keys. Up to ``BROADCAST_KEYS`` of them (16 bytes each) are
+broadcast. Beyond that only hot ones are, those that hold more than a ``HOT_SHARE`` of all
+lines, of which there can't be more than ``HOT_SHARE`` times the batches; the others meet
+their lines by a shuffle in which no key is hot. Text is never shuffled line by line: per
+document only the hashes of its frequent lines travel, and the documents are joined with
+those short lists once. Rows without an id are spread over ``NULL_SALTS`` keys there.
+
+Only DataFrame functions run here.
 
 Defined results: a null or empty text is one empty line; keys shorter than
-``min_key_chars`` are always kept; rows that repeat a document count as documents
-of their own; rows with a null id work like others; further columns stay.
+``min_key_chars`` are always kept; rows that repeat a document count as documents of their
+own; rows with a null id work like others; an empty table gives an empty one; texts of any
+length are split whole, one row's lines at a time; columns named n_lines or n_dropped are
+replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +39,10 @@ from pyspark.sql import functions as F
 
 from .shared import BLANKS, Scratch, durable, lower_ascii, need
 
-RUN_COLUMNS = ("k1", "k2", "n")
+KEY = ["k1", "k2"]
+BROADCAST_KEYS = 200_000
+HOT_SHARE = 5_000
+NULL_SALTS = 64
 
 
 def line_key(line: Column) -> Column:
@@ -46,30 +61,41 @@ def lines_of(text: Column) -> Column:
 class LineRuns:
     """Levelled sorted runs of (k1, k2, n): in how many documents a line key was seen."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch | None = None, fanout: int = 2):
+    def __init__(self, spark: SparkSession, scratch: Scratch | None = None, fanout: int = 2, min_docs: int = 10):
         if fanout < 2:
             raise ValueError("fanout is at least 2")
-        self.scratch = scratch or Scratch(spark, "line-runs")
-        self.fanout = fanout
+        self.spark, self.scratch = spark, scratch or Scratch(spark, "line-runs")
+        self.fanout, self.min_docs = fanout, min_docs
+        # as many buckets as a shuffle has partitions: a batch's aggregate is dealt like the runs
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self._made = 0
-        self._like: DataFrame | None = None
 
     def _write(self, counts: DataFrame) -> str:
-        name = f"run-{self._made:06d}"
-        self._made += 1
-        # The aggregate below has already dealt the rows by (k1, k2).
-        self._like = self.scratch.write(counts.select(*RUN_COLUMNS).sortWithinPartitions("k1", "k2"), name)
+        name = f"line_run_{uuid.uuid4().hex}"
+        out = counts.select(*KEY, "n").write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
+        out.option("path", self.scratch.path(name)).saveAsTable(name)
         return name
 
-    def _merge(self, names: list[str]) -> DataFrame:
-        runs = [self.scratch.read(n, self._like) for n in names]
-        return reduce(DataFrame.unionByName, runs).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The sum of runs, by joins of sorted buckets."""
+
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+            return a.join(b.withColumnRenamed("n", "m").hint("merge"), KEY, "full").select(*KEY, n.alias("n"))
+
+        return reduce(two, [self.spark.table(n) for n in names])
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.remove(name)
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: one row (k1, k2) for each key of each of its documents."""
-        run = self._write(keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")))
-        level = 0
+        counts = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+        for name in self.runs():
+            settled = self.spark.table(name).filter(F.col("n") >= self.min_docs).select(*KEY)
+            counts = counts.join(settled.hint("merge"), KEY, "left_anti")
+        run, level = self._write(counts), 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
@@ -77,17 +103,22 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             old, self.levels[level] = self.levels[level], []
-            run = self._write(self._merge(old))
+            run = self._write(self._merged(old))
             for name in old:
-                self.scratch.remove(name)
+                self._drop(name)
             level += 1
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    def frequent(self, min_docs: int) -> DataFrame:
-        """The keys (k1, k2) that at least ``min_docs`` documents of all runs hold."""
-        return self._merge(self.runs()).filter(F.col("n") >= min_docs).select("k1", "k2")
+    def frequent(self) -> DataFrame:
+        """(k1, k2, n) of keys in at least ``min_docs`` documents; n counts until they were settled."""
+        return self._merged(self.runs()).filter(F.col("n") >= self.min_docs)
+
+    def close(self) -> None:
+        for name in self.runs():
+            self._drop(name)
+        self.levels = []
 
 
 def document_keys(docs: DataFrame, id_col: str, text_col: str, min_key_chars: int, batches: int) -> DataFrame:
@@ -102,6 +133,19 @@ def document_keys(docs: DataFrame, id_col: str, text_col: str, min_key_chars: in
     return slim.select(F.pmod(F.xxhash64("id", "th"), F.lit(batches)).cast("int").alias("batch"), "id", "th", "key.k1", "key.k2")
 
 
+def hits_of(keys: DataFrame, frequent: DataFrame, batches: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of ``keys`` whose key is in ``frequent`` (k1, k2, n), a table."""
+    if frequent.count() <= broadcast_keys:
+        return keys.join(F.broadcast(frequent.select(*KEY)), KEY, "left_semi")
+    # A settled key was counted in the batch that settled it, about its share of all lines.
+    lines = F.lit(keys.count())
+    hot = F.col("n") * batches * HOT_SHARE >= lines
+    is_hot = frequent.filter(hot).select(*KEY, F.lit(True).alias("__hot"))
+    marked = keys.join(F.broadcast(is_hot), KEY, "left")
+    cold = marked.filter("__hot is null").drop("__hot").join(frequent.filter(~hot).select(*KEY), KEY, "left_semi")
+    return marked.filter("__hot").drop("__hot").unionByName(cold)
+
+
 def drop_frequent_lines(
     docs: DataFrame,
     min_docs: int = 10,
@@ -110,6 +154,7 @@ def drop_frequent_lines(
     text_col: str = "text",
     batches: int = 4,
     fanout: int = 2,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """``docs`` with lines removed whose key at least ``min_docs`` documents hold.
 
@@ -119,29 +164,35 @@ def drop_frequent_lines(
     """
     need(docs, id_col, text_col)
     spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped")
     scratch = Scratch(spark, "line-dedup")
     keys = scratch.write(document_keys(docs, id_col, text_col, min_key_chars, batches), "keys", "batch")
-    runs = LineRuns(spark, scratch, fanout)
+    runs = LineRuns(spark, scratch, fanout, min_docs)
     for batch in range(batches):
         runs.add(keys.filter(F.col("batch") == batch))
-    # A hot key meets all its lines here; adaptive execution splits such partitions.
-    hits = keys.join(runs.frequent(min_docs), ["k1", "k2"], "left_semi")
-    drops = durable(hits.groupBy("id", "th").agg(F.collect_set(F.struct("k1", "k2")).alias("__drops")))
+    frequent = scratch.write(runs.frequent(), "frequent")
+    hits = hits_of(keys, frequent, batches, broadcast_keys)
+    drops = durable(hits.groupBy("id", "th").agg(F.collect_set(F.struct(*KEY)).alias("drops")))
+    runs.close()
     scratch.remove()
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    drops = drops.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__drops")
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
-    kept = F.filter(lines_of(text), lambda line: ~F.array_contains(F.col("__drops"), key_hash(line_key(line))))
-    joined = joined.withColumns(
-        {"n_lines": F.size(lines_of(text)).cast("long"), "__kept": F.when(F.col("__drops").isNotNull(), kept)}
-    )
-    return joined.withColumns(
-        {
-            "n_dropped": F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"),
-            text_col: F.when(F.col("__kept").isNull(), text).otherwise(F.array_join("__kept", "\n")),
-        }
-    ).drop("__id", "__th", "__drops", "__kept")
+    salts = F.when(F.col("id").isNull(), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = drops.select("id", "th", F.explode(salts).alias("salt"), "drops")
+    # Rows travel as one column, so that no name of theirs can clash. The salt only spreads rows
+    # without id over equal lists: it needn't be the same in a rerun.
+    row, text = F.col("row"), F.coalesce(F.col("row")[text_col], F.lit(""))
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    salt = F.when(row[id_col].isNull(), F.monotonically_increasing_id() % NULL_SALTS).otherwise(0).cast("int")
+    left = left.select("row", F.xxhash64(text).alias("own"), salt.alias("own_salt"))
+    same = row[id_col].eqNullSafe(F.col("id")) & (F.col("own") == F.col("th")) & (F.col("own_salt") == F.col("salt"))
+    kept = F.filter(lines_of(text), lambda line: ~F.array_contains(F.col("drops"), key_hash(line_key(line))))
+    joined = left.join(right, same, "left").select("row", F.size(lines_of(text)).cast("long").alias("lines"), F.when(F.col("drops").isNotNull(), kept).alias("kept"))
+    whole = F.col("kept").isNull()
+    own = {text_col: F.when(whole, text).otherwise(F.array_join("kept", "\n"))}
+    return joined.select(
+        *[own.get(c, row[c]).alias(c) for c in docs.columns], F.col("lines").alias("n_lines"),
+        F.when(whole, F.lit(0)).otherwise(F.col("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+    )
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,14 +138,33 @@ def test_line_dedup(docs, batches, fanout):
 
 
 def test_line_runs_compact(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
+    runs = line_dedup.LineRuns(spark, fanout=2, min_docs=3)
     for i in range(6):
-        runs.add(spark.createDataFrame([(1, 1), (i, 2)], "k1 long, k2 long"))
+        runs.add(spark.createDataFrame([(1, 1), (i, 2), (i // 3, 3)], "k1 long, k2 long"))
     assert [len(level) for level in runs.levels] == [0, 1, 1]
-    assert [tuple(r) for r in runs.frequent(6).collect()] == [(1, 1)]
+    assert sorted(tuple(r)[:2] for r in runs.frequent().collect()) == [(0, 3), (1, 1), (1, 3)]
+    # (1, 1) was settled by the first four batches; the last two met the runs and left it out
+    later = spark.table(runs.levels[1][0])
+    assert later.filter("k1 = 1 and k2 = 1").isEmpty() and later.filter("k1 = 5 and k2 = 2").count() == 1
+    plan = later._sc._jvm.PythonSQLUtils.explainString(runs._merged(runs.runs())._jdf.queryExecution(), "formatted")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # sorted buckets are merged in place
+    names = runs.runs()
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
     runs.scratch.remove()
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_line_dedup_with_hot_and_cold_keys(spark, most, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 3)
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, "\n".join([f"line {rng.randint(0, 60)}" for _ in range(rng.randint(1, 5))] + ["Hot line"] * (i % 3 > 0))) for i in range(200)]
+    rows += [(None, "again\nHot line")] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__drops": F.lit(1), "n_dropped": F.lit("x"), "k1": F.lit(2)})
+    got = line_dedup.drop_frequent_lines(docs, broadcast_keys=most).collect()
+    assert sorted((r.text, r.n_lines, r.n_dropped) for r in got) == sorted(brute_lines([t for _, t in rows], 10))
+
+
 def test_line_dedup_of_nothing(none):
     assert line_dedup.drop_frequent_lines(none).isEmpty()
 
