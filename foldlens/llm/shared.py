@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary one is set.
+    A session on one machine (master local) that has none, as in tests, gets a temporary one;
+    on a cluster that would be a folder the executors can't see, and is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="foldlens-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -32,11 +35,22 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """A folder of tables inside the shared folder, removed with ``drop()``."""
+    """A folder of tables inside the shared folder.
+
+    ``remove()`` deletes it or one of its tables; what is left, such as tables that a lazy
+    result still reads, goes when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        at, files = self._at("")
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+
+    def _at(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -50,9 +64,30 @@ class Scratch:
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
-    def remove(self, name: str = "") -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+    def remove(self, *names: str) -> None:
+        for name in names or ("",):
+            at, files = self._at(name)
+            files.delete(at, True)
+
+
+#: A key is hot if it holds more than one of so many equal parts of all rows.
+HOT_SHARE = 1000
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each key once and how many rows of ``left`` hold it.
+
+    Keys that hold more than a ``HOT_SHARE``-th of the ``total`` rows, of which there can't be
+    more than ``HOT_SHARE``, are broadcast, and their rows stay where they are; the others
+    meet by a shuffle in which no key is hot.
+    """
+    heavy = F.col(weight) * HOT_SHARE > F.lit(max(total, HOT_SHARE))
+    rest = [c for c in right.columns if c not in (*keys, weight)]
+    hot = right.filter(heavy).select(*keys, F.struct(*rest).alias("__hot"))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    cold = marked.filter("__hot is null").drop("__hot").join(right.filter(~heavy).drop(weight), keys)
+    warm = marked.filter("__hot is not null").select(*left.columns, *[F.col("__hot")[c].alias(c) for c in rest])
+    return warm.unionByName(cold)
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
