@@ -12,14 +12,21 @@ The scan keeps the algorithm's jumps but moves many windows together: texts are
 lanes of a few hundred words that overlap by m - 1 words, and each numpy step moves every
 lane's window by its own shift.
 
-The pattern side is the benchmark: it is read in blocks of at most ``block_items`` items,
-so that what is sent to the executors has a fixed bound, and every block is searched over
-all documents in one pass over the same rows; hit words of all blocks are united.
+The pattern side is the benchmark: it is read in blocks of at most ``BLOCK_BYTES`` bytes of
+text (a longer item is cut into overlapping runs of words, whose windows are just its own), so
+that the tables sent to the executors have a fixed bound. One block is searched in the pass
+that makes the result. Several are searched one after the other, each in a pass of its own over
+the texts; a pass writes the hits of texts that have any and its tables are destroyed. Then
+the documents are joined once with the hits, by 128 bits of their text, and no plan holds more
+than one Python operator or one block's tables.
 
 Defined results: a null or empty text has no words and no hits; an item without words has
 no window; several items may share a window and all of them are reported; rows with the
 same item_id count once in ``n_items``; an item without id still marks words, without
-being listed; an empty benchmark contaminates nothing; other columns stay.
+being listed; an empty benchmark contaminates nothing and empty documents give an empty table;
+repeated documents are searched each for itself; a text of any length is searched whole, at
+about 60 bytes of memory a word; columns named n_words, hit_words or item_ids are replaced,
+all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import need
+from .shared import Scratch, named_as, need, place_of, plainly_named
 from .words import ALPHANUMERIC, Words, packs, to_bytes
 
 WINDOW = 10
+#: A word before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TABLE_BITS = 18
 LANE = 256
-BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 4 << 20
 
 
 class WuManber:
@@ -143,58 +152,94 @@ def scan(texts: list[str | None], searchers: list[WuManber]) -> Iterator[tuple[i
             yield int(b - a), np.flatnonzero(marked[a:b]), found[i]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[list[tuple]]:
-    """(item_id, text) in lists of at most ``block_items``, never all at once."""
-    block = []
+def _runs(text: str | None, most: int, window: int) -> Iterator[str]:
+    """``text`` in runs of whole words of about ``most`` bytes, each beginning window - 1 words before the last one's end."""
+    raw = to_bytes(text)
+    if len(raw) <= most:
+        yield text
+        return
+    words = Words([raw], ALPHANUMERIC, hashes=False)
+    at = 0
+    while at < len(words):
+        end = max(int(np.searchsorted(words.end, words.start[at] + most, "right")), min(at + window, len(words)))
+        yield raw[words.start[at] : words.end[end - 1]].decode("utf-8", "surrogatepass")
+        at = len(words) if end == len(words) else end - window + 1
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
+    """(item_id, text) in lists of about ``block_bytes`` bytes of text, never all at once."""
+    block, held = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
-            yield block
-            block = []
+        for run in _runs(row[1], block_bytes, window):
+            size = len(to_bytes(run)) + 64
+            if block and held + size > block_bytes:
+                yield block
+                block, held = [], 0
+            block.append((row[0], run))
+            held += size
     if block:
         yield block
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_items: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``docs`` plus n_words, hit_words (positions, ascending) and item_ids (sorted strings)."""
     need(docs, text_col)
     need(benchmark, "item_id", "text")
     spark = docs.sparkSession
     docs = docs.drop("n_words", "hit_words", "item_ids")
-    columns = docs.columns
-    out = T.StructType(
-        [
-            *docs.schema.fields,
-            T.StructField("n_words", T.LongType()),
-            T.StructField("hit_words", T.ArrayType(T.IntegerType())),
-            T.StructField("item_ids", T.ArrayType(T.StringType())),
-        ]
-    )
+    added = [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("hit_words", T.ArrayType(T.IntegerType())),
+        T.StructField("item_ids", T.ArrayType(T.StringType())),
+    ]
 
-    def search(first: bool, tables):
+    def searching(tables, text: str, columns: list[str], hits_only: bool):
         def run(frames):
             searchers = tables.value if tables is not None else []
             for pdf in frames:
-                rows = scan(pdf[text_col].tolist(), searchers)
-                n, hits, items = zip(*rows, strict=True) if len(pdf) else ((), (), ())
-                if not first:
-                    hits = [np.union1d(h, old) for h, old in zip(hits, pdf["hit_words"], strict=True)]
-                    items = [i | set(old) for i, old in zip(items, pdf["item_ids"], strict=True)]
-                yield pdf[columns].assign(
+                n, hits, items = zip(*scan(pdf[text].tolist(), searchers), strict=True) if len(pdf) else ((), (), ())
+                out = pdf[columns].assign(
                     n_words=pd.Series(n, dtype="int64", index=pdf.index),
                     hit_words=pd.Series([h.astype(np.int32) for h in hits], dtype=object, index=pdf.index),
                     item_ids=pd.Series([sorted(i) for i in items], dtype=object, index=pdf.index),
                 )
+                yield out[[len(h) > 0 for h in hits]].drop(columns="n_words") if hits_only else out
 
         return run
 
-    done = None
-    for block in benchmark_blocks(benchmark, block_items):
+    blocks = benchmark_blocks(benchmark, window, block_bytes)
+    block, following = next(blocks, None), next(blocks, None)
+    if following is None:
+        tables = spark.sparkContext.broadcast(build(block, window)) if block else None
+        return docs.mapInPandas(searching(tables, text_col, docs.columns, False), T.StructType([*docs.schema.fields, *added]))
+
+    scratch = Scratch(spark, "decontamination")
+    key = lambda text: [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text).alias("k2")]
+    texts = docs.select(F.col(f"`{text_col}`").alias("text")).filter("text is not null").select(*key(F.col("text")), "text")
+    keys = [T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]
+    made, like = 0, None
+    while block is not None:
         tables = spark.sparkContext.broadcast(build(block, window))
-        done = (docs if done is None else done).mapInPandas(search(done is None, tables), out)
-    return docs.mapInPandas(search(True, None), out) if done is None else done
+        hits = texts.mapInPandas(searching(tables, "text", ["k1", "k2"], True), T.StructType([*keys, *added[1:]]))
+        once = hits.groupBy("k1", "k2").agg(F.first("hit_words").alias("hit_words"), F.first("item_ids").alias("item_ids"))
+        like = scratch.write(once, f"hits/block={made}")
+        tables.destroy()
+        block, following, made = following, next(blocks, None), made + 1
+    every = spark.read.schema(like.schema).parquet(scratch.path("hits")).groupBy("k1", "k2")
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    found = scratch.write(every.agg(united("hit_words").alias("hit_words"), united("item_ids").alias("item_ids")), "found")
+    scratch.remove("hits")
+    # Rows travel as one column, so that no name of theirs can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    joined = docs.select(row, *key(F.col(f"`{text_col}`"))).join(found, ["k1", "k2"], "left")
+    return joined.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns],
+        F.coalesce(F.regexp_count(F.col("row")[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+    )
 
 
 def item_digest(items: list[str]) -> str:
@@ -203,7 +248,8 @@ def item_digest(items: list[str]) -> str:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a window of a benchmark item."""
-    return find_contamination(docs, benchmark).filter(F.size("hit_words") == 0).select(*docs.columns)
+    found = find_contamination(plainly_named(docs), benchmark, text_col=place_of(docs, "text"))
+    return named_as(found.filter(F.size("hit_words") == 0), docs)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,18 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing column(s): {', '.join(missing)}")
+
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., so that names that an operator adds can't clash."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named_as(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of ``df`` under the names of ``like``, the rest left out."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(like.columns)])
+
+
+def place_of(df: DataFrame, column: str) -> str:
+    """The name of ``column`` in ``plainly_named(df)``."""
+    return f"c{df.columns.index(column)}"

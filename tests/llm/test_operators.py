@@ -58,14 +58,44 @@ def brute_contamination(text, items):
     return len(ws), sorted(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [1, 2, 1000])
+@pytest.mark.parametrize("block", [1, 100, 150, 1 << 20])
 def test_contamination(spark, docs, block):
     benchmark = spark.createDataFrame(ITEMS, "item_id string, text string")
-    clash = docs.withColumn("n_words", F.lit("x"))
-    got = [(r.text, r.n_words, r.hit_words, r.item_ids) for r in decontam.find_contamination(clash, benchmark, block_items=block).collect()]
-    assert len(got) == len(ROWS)
+    clash = docs.withColumns({"n_words": F.lit("x"), "k1": F.lit(1), "row": F.lit(2)})
+    found = decontam.find_contamination(clash, benchmark, block_bytes=block)
+    got = [(r.text, r.n_words, r.hit_words, r.item_ids) for r in found.collect()]
+    assert len(got) == len(ROWS) and set(clash.columns) <= set(found.columns)
     for text, n, hit, items in got:
         assert (n, hit, items) == brute_contamination(text, ITEMS)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert plan.count("MapInPandas") <= 1  # whatever the number of blocks
+
+
+def test_long_items_are_cut_with_overlap(spark):
+    rng = random.Random(12)
+    item = " ".join(rng.choice("abc") for _ in range(400))
+    benchmark = spark.createDataFrame([("1", item)], "item_id string, text string")
+    blocks = list(decontam.benchmark_blocks(benchmark, 10, 60))
+    assert len(blocks) > 5
+    texts = [item[a : a + 50] for a in range(0, 700, 31)]
+    for text in texts:
+        hits = [next(decontam.scan([text], decontam.build(b))) for b in blocks]
+        assert sorted(set().union(*(h.tolist() for _, h, _ in hits))) == brute_contamination(text, [("1", item)])[1]
+
+
+def test_texts_larger_than_a_pack(spark):
+    """Every Python operator takes a text above the size at which texts are packed together."""
+    text = "\n".join(f"word{i} of a long text, line {i}." for i in range(30_000)) + "\npassword = abcdefgh1 mail a@b.co"
+    assert len(text) > 2 * (1 << 19)
+    docs = spark.createDataFrame([(1, text), (2, text + " x")], "doc_id long, text string")
+    items = spark.createDataFrame([("1", "of a long text line 29999")], "item_id string, text string")
+    assert [r.n for r in decontam.find_contamination(docs, items).select(F.size("hit_words").alias("n")).collect()] == [6, 6]
+    assert {r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1}
+    assert {r.n_assign for r in secrets.find_secrets(docs).collect()} == {1}
+    assert {r.n_email for r in pii.find_pii(docs).collect()} == {1}
+    assert {r.n_bytes for r in jpeg.with_media(docs).collect()} == {len(text), len(text) + 2}
+    assert quality.score_quality(docs, quality.AttentionMil()).count() == 2
+    assert toxicity.score_toxicity(docs, toxicity.NoisyOr()).count() == 2
 
 
 def test_contamination_random_texts():
