@@ -6,22 +6,26 @@ in zigzag order. A byte b stands as the coefficient b if b >= 128, else b - 255;
 just the 256 values of JPEG's size category 8, whose extra bits are b itself.
 Quantisation tables are all ones, so nothing is rounded. The Huffman tables are chosen
 for it: AC has the one symbol 0/8 with a 1-bit code; a DC difference of category c has a
-code of 10 - c bits. Each block then takes 577 bits, and a scan is read or written as a
-matrix of bits. Files are proper baseline JPEG (SOI, COM with the payload's length, DQT,
+code of 10 - c bits. Each block then takes 577 bits, so that a scan can be written as a matrix
+of bits. Files are proper baseline JPEG (SOI, COM with the payload's length, DQT,
 SOF0, DHT, SOS, EOI).
 
 ``read`` parses the markers of any single-component baseline file and Huffman-decodes the
-scan: symbol by symbol, or, if the tables make all symbols of a kind equally long (as
-above), all blocks at once with every code checked. The thumbnail is reconstructed from
+scan. Every symbol is looked up in tables made from the file's DHT segments: one by one, or,
+if these tables make all symbols of a kind equally long with their extra bits (as above), so
+that it is known where each begins, those of ``SLICE`` blocks at once. The thumbnail is reconstructed from
 the DC coefficients alone, one luminance sample for each 8x8 block.
 
 Defined results: a null text is an empty one, whose payload is 192 blanks; equal texts
-give equal values; a payload of any length up to 4 GB fits (an image is 24 pixels wide
-until it would be higher than 65,528, then wider).
+give equal values, and repeated rows too; an empty table gives an empty one; columns named
+like the results are replaced, all others stay. A payload of any length up to 4 GB fits the
+format (an image is 24 pixels wide until it would be higher than 65,528, then wider). Blocks
+are handled in slices; a text needs about ten times its bytes of memory.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 
@@ -35,6 +39,8 @@ from .words import to_bytes
 UNIT = 192
 MAX_SIDE = 8191  # blocks
 AC_BITS, BLOCK_BITS = 9, 10 + 63 * 9
+#: Blocks handled at once; a multiple of 8, so that slices end with a byte.
+SLICE = 2048
 
 
 class BadJpeg(ValueError):
@@ -88,12 +94,15 @@ def write(payload: bytes) -> bytes:
     size = _size(diff)
     # The code of category c: 9 - c ones and a zero; then c extra bits.
     word = (((1 << (9 - size)) - 1) << (size + 1)) | np.where(diff >= 0, diff, diff + (1 << size) - 1)
-    bits = np.zeros((len(raw), BLOCK_BITS), np.uint8)
-    bits[:, :10] = (word[:, None] >> np.arange(9, -1, -1)) & 1
-    bits[:, 10:].reshape(len(raw), 63, AC_BITS)[:, :, 1:] = np.unpackbits(raw[:, 1:].reshape(-1)).reshape(len(raw), 63, 8)
-    flat = bits.reshape(-1)
-    packed = np.packbits(np.concatenate([flat, np.ones(-len(flat) % 8, np.uint8)]))
-    scan = packed.tobytes().replace(b"\xff", b"\xff\x00")
+    parts = []
+    for at in range(0, len(raw), SLICE):
+        own = raw[at : at + SLICE]
+        bits = np.zeros((len(own), BLOCK_BITS), np.uint8)
+        bits[:, :10] = (word[at : at + SLICE, None] >> np.arange(9, -1, -1)) & 1
+        bits[:, 10:].reshape(len(own), 63, AC_BITS)[:, :, 1:] = np.unpackbits(own[:, 1:].reshape(-1)).reshape(len(own), 63, 8)
+        flat = bits.reshape(-1)
+        parts.append(np.packbits(np.concatenate([flat, np.ones(-len(flat) % 8, np.uint8)])).tobytes())
+    scan = b"".join(parts).replace(b"\xff", b"\xff\x00")
     frame = bytes([8]) + (high * 8).to_bytes(2, "big") + (wide * 8).to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
     return b"".join(
         [
@@ -153,31 +162,54 @@ def _parse(data: bytes) -> dict:
             return found | {"scan": data[at:end], "dc": body[2] >> 4, "ac": 0x10 | (body[2] & 15)}
 
 
-def _decode_equal(scan: bytes, blocks: int) -> np.ndarray:
-    """Coefficients (blocks, 64) in scan order where every block takes BLOCK_BITS bits."""
-    bits = np.unpackbits(np.frombuffer(scan.replace(b"\xff\x00", b"\xff"), np.uint8))
-    if not blocks * BLOCK_BITS <= len(bits) < blocks * BLOCK_BITS + 8:
+class Lookup:
+    """A Huffman table as arrays: the next 16 bits give the code's length (0: none) and symbol."""
+
+    def __init__(self, codes: dict[tuple[int, int], int]):
+        self.length, self.symbol = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+        for (length, code), symbol in codes.items():
+            low = code << (16 - length)
+            self.length[low : low + (1 << (16 - length))] = length
+            self.symbol[low : low + (1 << (16 - length))] = symbol
+        sizes = {length + (symbol & 15) for (length, _), symbol in codes.items()}
+        #: Bits of each symbol with its extra bits, if all take as many, else 0; as AC table, if none is a run or an end.
+        self.stride = sizes.pop() if len(sizes) == 1 else 0
+        self.ac_stride = self.stride if all(0 < symbol < 16 for symbol in codes.values()) else 0
+
+
+def _decode_equal(scan: bytes, blocks: int, dc: Lookup, ac: Lookup) -> np.ndarray:
+    """Coefficients (blocks, 64) in scan order, for tables whose symbols are equally long."""
+    raw = scan.replace(b"\xff\x00", b"\xff")
+    first, step = dc.stride, ac.ac_stride
+    per = first + 63 * step
+    if not blocks * per <= 8 * len(raw) < blocks * per + 8:
         raise BadJpeg("the scan's length doesn't fit its blocks")
-    bits = bits[: blocks * BLOCK_BITS].reshape(blocks, BLOCK_BITS)
-    head = bits[:, :10].astype(np.int64) @ (1 << np.arange(9, -1, -1))
-    size = 9 - np.argmin(bits[:, :10], axis=1)
-    if (bits[:, :10].min(axis=1) == 1).any():
-        raise BadJpeg("a code of ones only")
-    extra = head & ((1 << size) - 1)
-    low = (size > 0) & (extra < (1 << np.maximum(size - 1, 0)))
-    out = np.empty((blocks, 64), np.int64)
-    out[:, 0] = np.cumsum(np.where(low, extra - (1 << size) + 1, extra))
-    rest = bits[:, 10:].reshape(blocks, 63, AC_BITS)
-    if rest[:, :, 0].any():
-        raise BadJpeg("a code that isn't in the table")
-    value = np.packbits(rest[:, :, 1:].reshape(-1)).reshape(blocks, 63).astype(np.int64)
-    out[:, 1:] = np.where(value >= 128, value, value - 255)
+    data = np.frombuffer(raw + bytes(4), np.uint8)
+    out = np.empty((blocks, 64), np.int16)
+    within = np.concatenate([[0], first + step * np.arange(63)])
+
+    def peek(at: np.ndarray) -> np.ndarray:
+        byte = at >> 3
+        word = data[byte].astype(np.uint32) << np.uint32(16) | data[byte + 1].astype(np.uint32) << np.uint32(8) | data[byte + 2]
+        return word >> (8 - (at & 7)).astype(np.uint32) & np.uint32(0xFFFF)
+
+    for begin in range(0, blocks, SLICE):
+        at = (np.arange(begin, min(begin + SLICE, blocks)) * per)[:, None] + within
+        code = peek(at)
+        length, size = ac.length[code], ac.symbol[code] & 15
+        length[:, 0], size[:, 0] = dc.length[code[:, 0]], dc.symbol[code[:, 0]]
+        if not length.all():
+            raise BadJpeg("a code that isn't in the table")
+        extra = (peek(at + length) >> (16 - size).astype(np.uint32)).astype(np.int32)
+        full = np.left_shift(1, size.astype(np.int32))
+        out[begin : begin + SLICE] = np.where(2 * extra >= full, extra, extra - full + 1)
+    out[:, 0] = np.cumsum(out[:, 0], dtype=np.int64)
     return out
 
 
 def _decode_any(scan: bytes, blocks: int, dc: dict, ac: dict, restart: int) -> np.ndarray:
     """Coefficients (blocks, 64) in scan order, symbol by symbol."""
-    out = np.zeros((blocks, 64), np.int64)
+    out = np.zeros((blocks, 64), np.int16)
     parts, at = [], 0
     while (cut := next((i for i in range(at, len(scan) - 1) if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD7), -1)) >= 0:
         parts.append(scan[at:cut])
@@ -228,6 +260,11 @@ def _decode_any(scan: bytes, blocks: int, dc: dict, ac: dict, restart: int) -> n
     return out
 
 
+@functools.lru_cache(maxsize=16)
+def _lookup(counts: tuple[int, ...], symbols: bytes) -> Lookup:
+    return Lookup(canonical(list(counts), symbols))
+
+
 def read(data: bytes) -> dict:
     """wide, high, coefficients (blocks, 64) in scan order, quant, note."""
     file = _parse(data)
@@ -235,8 +272,9 @@ def read(data: bytes) -> dict:
     dc, ac = file["huffman"].get(file["dc"]), file["huffman"].get(file["ac"])
     if dc is None or ac is None or file["q"] not in file["quant"]:
         raise BadJpeg("a table is missing")
-    if dc == (_DC_COUNTS, _DC_SYMBOLS) and ac == (_AC_COUNTS, _AC_SYMBOLS) and not file["restart"]:
-        found = _decode_equal(file["scan"], blocks)
+    tables = _lookup(tuple(dc[0]), dc[1]), _lookup(tuple(ac[0]), ac[1])
+    if not file["restart"] and tables[0].stride and tables[1].ac_stride:
+        found = _decode_equal(file["scan"], blocks, *tables)
     else:
         found = _decode_any(file["scan"], blocks, canonical(*dc), canonical(*ac), file["restart"])
     return {"wide": file["wide"], "high": file["high"], "coefficients": found, "quant": file["quant"][file["q"]], "note": file["note"]}
