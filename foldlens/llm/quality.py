@@ -10,8 +10,14 @@ which passages matter is learned without passage labels.
 Fitted on the driver with at most ``SAMPLE`` labelled documents; every text is
 scored whole, in passages. Labels, language, source and id are no input of a score.
 
-Defined results: a text without words is one passage whose features are 0; without
-labelled documents the score is that of an untrained network.
+Features are shares and shapes only: which words stand in a passage, and their order, play no
+part.
+
+Defined results: a null or empty text, or one without words, is one passage whose features are
+0; a text of any length is scored whole, at about 60 bytes of memory a word; without labelled
+documents the score is that of an untrained network; a row without id is never learned from
+and not held out; repeated rows have equal scores; an empty table gives an empty one; columns
+named score or predicted are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labelled import fold, training_sample
+from .labelled import in_fold, training_sample
+from .shared import named_as, place_of, plainly_named
 from .words import NOT_BLANK, Words, packs, to_bytes
 
 PASSAGE = 64
@@ -145,14 +152,14 @@ class AttentionMil:
         return np.concatenate(out)
 
 
-def score_quality(docs: DataFrame, model: AttentionMil) -> DataFrame:
+def score_quality(docs: DataFrame, model: AttentionMil, text_col: str = "text") -> DataFrame:
     """``docs`` plus score and predicted."""
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     columns = [f.name for f in kept]
 
     def run(frames):
         for pdf in frames:
-            score = model.score(pdf["text"].tolist())
+            score = model.score(pdf[text_col].tolist())
             yield pdf[columns].assign(score=score, predicted=(score >= THRESHOLD).astype(np.int32))
 
     return docs.mapInPandas(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
@@ -164,12 +171,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> AttentionMil:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
-    scored = score_quality(docs, fit_quality(docs, labels))
-    return scored.filter(F.col("predicted") == 1).select(*docs.columns)
+    scored = score_quality(plainly_named(docs), fit_quality(docs, labels), place_of(docs, "text"))
+    return named_as(scored.filter(F.col("predicted") == 1), docs)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_quality(docs, model)
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")

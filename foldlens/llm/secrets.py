@@ -12,8 +12,10 @@ is scored by how sensitive its target's name is times how much it looks like a s
 span of kind ``literal``, unless a base span covers it already.
 
 Defined results: a null text is an empty one; spans are in code points, end exclusive,
-sorted by start, then kind as listed in ``KINDS``, then end. Texts without any sign of an
-assignment, an access key or a long hexadecimal run cost one pass.
+sorted by start, then kind as listed in ``KINDS``, then end; texts of any length are read whole;
+repeated rows have equal results; an empty table gives an empty one; columns named like the
+results are replaced, all others stay. Texts without any sign of an assignment, an access key
+or a long hexadecimal run cost one pass.
 """
 
 from __future__ import annotations
