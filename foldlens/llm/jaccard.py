@@ -64,10 +64,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, join_by_weight, need
+from .shared import Scratch, join_by_weight, named_as, need, place_of, plainly_named
 from .words import NOT_BLANK, Words, mix64, packs, to_bytes
 
-CHUNK_SETS = 512
+CHUNK_SETS = 256
 CHUNK_ELEMENTS = 1 << 20
 #: Sets of a large group that all its chunks are compared with.
 PIVOTS = 16
@@ -76,7 +76,7 @@ PART_SIGNS = 1 << 21
 #: Elements in a part of a sketch.
 PART_ELEMENTS = 8
 #: Signatures that a task collects before it packs them.
-PACK_SIGNS = 1 << 20
+PACK_SIGNS = 1 << 19
 #: Up to so many clustered sets (8 bytes each and their cluster) are broadcast to the texts.
 BROADCAST_NODES = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -685,18 +685,22 @@ def meeting_parts(docs: DataFrame, bands: Bands) -> int:
     return max(floor, min(1 << 24, int(signs / PART_SIGNS) + 1))
 
 
-def keep_one_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id") -> DataFrame:
+def keep_one_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those whose component has a smaller id.
 
-    Of rows with the same id the one with the smallest text stays.
-
+    Of rows with the same id the one with the smallest text stays, and one of equal ones.
     Rows without id stay, as nothing tells which of them would be kept.
     """
-    found = near_duplicates(docs, n, num, den, id_col).filter(F.col(id_col) == F.col("component_id"))
-    heads = found.select(F.col(id_col).alias("__head")).distinct()
-    own = docs.filter(F.col(id_col).isNotNull()).join(heads, F.col(id_col) == F.col("__head"), "left_semi")
-    own = own.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy("text"))).filter("__n = 1").drop("__n")
-    return own.unionByName(docs.filter(F.col(id_col).isNull()))
+    need(docs, id_col, text_col)
+    found = near_duplicates(docs, n, num, den, id_col, text_col)
+    plain, ident, text = plainly_named(docs), place_of(docs, id_col), place_of(docs, text_col)
+    heads = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("head")).distinct()
+    own = plain.filter(F.col(ident).isNotNull()).join(heads, F.col(ident) == F.col("head"), "left_semi")
+    # one row of each id, by minima that are combined before the shuffle
+    rest = [c for c in plain.columns if c != ident]
+    least = own.groupBy(ident).agg(F.min_by(F.struct(*rest), F.struct(text, F.xxhash64(*rest))).alias("row"))
+    own = least.select(ident, *[F.col("row")[c].alias(c) for c in rest]).select(*plain.columns)
+    return named_as(own.unionByName(plain.filter(F.col(ident).isNull())), docs)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 from test_operators import brute_components, brute_contamination, brute_lines  # noqa: E402
@@ -85,3 +86,20 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, folder):
         assert docs.isEmpty(), name
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.dtypes == empty.dtypes
+
+
+def test_stages_keep_columns_that_clash(spark, folder):
+    """Columns named like what the operators add pass unchanged, and repeated rows too."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["n_words", "score", "predicted", "n_lines", "n_dropped", "hit_words", "head", "row", "node", "g", "k1", "c0", "c3"]
+    clash = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    clash = clash.unionByName(clash.filter("doc_id = 5003"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, clash, folder)
+        assert got.columns == clash.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+    mixed = corpus_pipeline.mixing_stage(spark, clash.withColumns({"size": F.lit("x"), "taken": F.lit("y")}), folder)
+    assert set(clash.columns) <= set(mixed.columns) and dict(mixed.dtypes)["size"] == "bigint"
+    rows = mixed.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
