@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``. Stages are written to the shared folder and read again, so
-that none is computed twice and a lost executor costs one stage's tasks at most.
+that none is computed twice and a lost executor costs one stage's tasks at most. Stage folders
+are removed when the next stage is written, the last one when the driver's JVM ends.
+
+Defined results: null and empty texts pass each stage by its operator's rules (the
+classifier decides on them, they have no shingles, windows or words, and take 0 words of the
+mixture, so the last stage leaves them out); texts of any length pass whole; rows without id
+are never near duplicates; of rows with one id the near-duplicate stage keeps one; an empty
+table stays empty through all stages; extra columns pass all stages but the last unchanged,
+whatever their names; the last one replaces columns named size, source_size, target or taken.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlens.llm import decontam, jaccard, line_dedup, mixing, quality
-from foldlens.llm.shared import Scratch
+from foldlens.llm.shared import Scratch, named_as, place_of, plainly_named
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +29,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that 10 documents or more hold go; a document stays even if none is left."""
-    done = line_dedup.drop_frequent_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return done.select(*docs.columns)
+    ident, text = place_of(docs, "doc_id"), place_of(docs, "text")
+    done = line_dedup.drop_frequent_lines(plainly_named(docs), id_col=ident, text_col=text)
+    if "n_chars" in docs.columns:
+        done = done.withColumn(place_of(docs, "n_chars"), F.length(text).cast("long"))
+    return named_as(done, docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
