@@ -175,7 +175,13 @@ QUERIES = {
         lambda s, d: duplicates.hamming_pairs(hashes(s, d), 15),
         W + HASHES + f" SELECT a.id AS id_a, b.id AS id_b, {HAMMING} AS distance FROM hashes a JOIN hashes b ON a.id < b.id WHERE {HAMMING} <= 15",
     ),
-    "candidate_pairs": (lambda s, d: duplicates.candidate_pairs(images(s, d), 15), None),
+    "candidate_pairs": (
+        lambda s, d: duplicates.candidate_pairs(images(s, d), 15),
+        W + HASHES + f""", images AS (SELECT h.id, low, high, array_to_string([round(x, 1)::VARCHAR FOR x IN embedding], ',') AS pixels FROM hashes h JOIN embeddings ON vec_id = h.id WHERE h.id % 29 <> 0)
+SELECT id_a, id_b, byte_identical, pixel_identical, distance, CASE WHEN pixel_identical THEN 'yes' ELSE '' END AS verified_related, CASE WHEN pixel_identical THEN 'exact decoded pixels' ELSE 'candidate only; review required' END AS review_reason
+FROM (SELECT a.id AS id_a, b.id AS id_b, a.low = b.low AND a.high = b.high AS byte_identical, a.pixels = b.pixels AS pixel_identical, {HAMMING} AS distance FROM images a JOIN images b ON a.id < b.id)
+WHERE distance <= 15 OR pixel_identical""",
+    ),
     "numbered_pairs": (
         lambda s, d: duplicates.numbered_pairs(duplicates.hamming_pairs(hashes(s, d), 18).withColumn("exact", F.col("id_b") % 2 == 0), "exact", "distance"),
         W + HASHES + f", p AS (SELECT a.id AS id_a, b.id AS id_b, {HAMMING} AS distance, b.id % 2 = 0 AS exact FROM hashes a JOIN hashes b ON a.id < b.id WHERE {HAMMING} <= 18) SELECT *, row_number() OVER (ORDER BY exact DESC, distance, id_a, id_b) AS pair_id FROM p",

@@ -149,6 +149,70 @@ BOOT_SQL = f"""{W}{v.RATERS}
 SELECT count(kappa) AS valid, {R("CASE WHEN count(kappa) >= 1800 THEN quantile_cont(kappa, 0.025::DOUBLE) END", "kappa95_low")}, {R("CASE WHEN count(kappa) >= 1800 THEN quantile_cont(kappa, 0.975::DOUBLE) END", "kappa95_high")} FROM kappas"""
 
 
+def exact_sql(cells: str) -> str:
+    """Recursive tables: Clopper-Pearson bounds of ``cells`` (k, n, alpha), by halving on sums of binomial terms.
+
+    A bound p solves P(X >= k) = alpha / 2 (low) or P(X <= k) = alpha / 2 (high).
+    """
+    term = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))"
+    tail = f"list_sum(list_transform(range(CASE side WHEN 'low' THEN k ELSE 0 END, CASE side WHEN 'low' THEN n + 1 ELSE k + 1 END), lambda i: {term}))"
+    right = f"CASE side WHEN 'low' THEN {tail} < alpha / 2 ELSE {tail} > alpha / 2 END"
+    return f"""halved(k, n, alpha, side, lo, hi, step) AS (
+  SELECT DISTINCT k::BIGINT, n::BIGINT, alpha::DOUBLE, side, 0::DOUBLE, 1::DOUBLE, 0 FROM ({cells}) CROSS JOIN (VALUES ('low'), ('high')) s(side) WHERE n > 0
+  UNION ALL
+  SELECT k, n, alpha, side, CASE WHEN {right} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {right} THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM halved WHERE step < 52
+), exact_bounds AS (
+  SELECT k, n, alpha, max(CASE WHEN side = 'low' THEN CASE WHEN k = 0 THEN 0 ELSE (lo + hi) / 2 END END) AS low, max(CASE WHEN side = 'high' THEN CASE WHEN k = n THEN 1 ELSE (lo + hi) / 2 END END) AS high
+  FROM halved WHERE step = 52 GROUP BY k, n, alpha)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+CP_SQL = recursive(DOC_ROWS) + GROUPS + ", " + exact_sql("SELECT correct AS k, n, 0.05::DOUBLE AS alpha FROM grouped") + f"""
+SELECT model, scope, attribute, "group", g.n, correct, {R("correct / g.n::DOUBLE", "accuracy")}, {_bounds(("correct", "g.n", "wilson"))}, 0.05::DOUBLE AS alpha, {R("low", "low")}, {R("high", "high")}
+FROM grouped g JOIN exact_bounds b ON b.k = correct AND b.n = g.n"""
+
+WGA_BOUNDS_SQL = recursive(DOC_ROWS) + GROUPS + f""", eligible AS (
+  SELECT *, 0.05::DOUBLE / count(*) OVER (PARTITION BY model, scope, attribute, minimum_n) AS alpha FROM grouped CROSS JOIN {THRESHOLDS} WHERE n >= minimum_n
+), """ + exact_sql("SELECT correct AS k, n, alpha FROM eligible") + f"""
+SELECT model, scope, attribute, minimum_n, {R("min(low)", "wga95_low")}, {R("min(high)", "wga95_high")}
+FROM eligible e JOIN exact_bounds b ON b.k = correct AND b.n = e.n AND b.alpha = e.alpha GROUP BY model, scope, attribute, minimum_n"""
+
+EOD_BOUNDS_SQL = recursive(DOC_ROWS) + DOC_RATES + """, sides AS (
+  SELECT model, scope, attribute, "group", cls, 'tpr' AS rate, tp AS k, positive_n AS n, tpr AS value FROM rates WHERE n >= 15 AND positive_n >= 1
+  UNION ALL SELECT model, scope, attribute, "group", cls, 'fpr', fp, negative_n, fpr FROM rates WHERE n >= 15 AND negative_n >= 1
+), cells AS (SELECT *, 0.05::DOUBLE / count(*) OVER (PARTITION BY model, scope, attribute) AS alpha FROM sides
+), """ + exact_sql("SELECT k, n, alpha FROM cells") + f"""
+, bounded AS (SELECT c.*, low, high FROM cells c JOIN exact_bounds b USING (k, n, alpha)
+), pairs AS (
+  SELECT x.model, x.scope, x.attribute, x.cls, x.rate, max(abs(x.value - y.value)) AS gap, max(greatest(0, x.low - y.high, y.low - x.high)) AS gap_low, max(greatest(0, x.high - y.low, y.high - x.low)) AS gap_high
+  FROM bounded x JOIN bounded y ON x.model = y.model AND x.scope = y.scope AND x.attribute = y.attribute AND x.cls = y.cls AND x.rate = y.rate AND x."group" < y."group" GROUP BY ALL)
+SELECT model, scope, attribute, cls, {R("max(gap)", "eod")}, {R("max(gap_low)", "eod95_low")}, {R("max(gap_high)", "eod95_high")} FROM pairs GROUP BY model, scope, attribute, cls HAVING count(*) = 2"""
+
+#: P(|T| < t) of Student's distribution with 6 degrees, of seven folds, in closed form.
+_WITHIN = "sin(atan({t} / sqrt(6::DOUBLE))) * (1 + cos(atan({t} / sqrt(6::DOUBLE))) ** 2 / 2 + 3 * cos(atan({t} / sqrt(6::DOUBLE))) ** 4 / 8)"
+PAIRED_TEST_SQL = recursive(ORDERS) + PAIRED + ", " + v.MANIFEST + f"""
+, ratios AS (SELECT avg(ratio) AS test_train_ratio FROM (SELECT count(*) FILTER (role = 'Test')::DOUBLE / count(*) FILTER (role = 'Train') AS ratio FROM manifest GROUP BY fold))
+, sums AS (SELECT avg(delta) AS mean_difference, stddev_samp(delta) AS sample_sd, count(delta) AS k, any_value(test_train_ratio) AS test_train_ratio FROM deltas CROSS JOIN ratios)
+, errors AS (SELECT *, sample_sd * sqrt(1 / k::DOUBLE + test_train_ratio) AS corrected_se FROM sums)
+, halved(lo, hi, step) AS (SELECT 0::DOUBLE, 100::DOUBLE, 0 UNION ALL SELECT CASE WHEN {_WITHIN.format(t="((lo + hi) / 2)")} < 0.95::DOUBLE THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_WITHIN.format(t="((lo + hi) / 2)")} < 0.95::DOUBLE THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM halved WHERE step < 60)
+SELECT {R("mean_difference", "mean_difference")}, {R("sample_sd", "sample_sd")}, {R("corrected_se", "corrected_se")}, {R("test_train_ratio", "test_train_ratio")}, k,
+       {R("mean_difference - lo * corrected_se", "ci_low")}, {R("mean_difference + lo * corrected_se", "ci_high")}, {R("1 - " + _WITHIN.format(t="abs(mean_difference / corrected_se)"), "two_sided_p")} FROM errors CROSS JOIN halved WHERE step = 60"""
+
+MACRO_ROC_SQL = f"""{SCORED}
+, points AS (SELECT model, cls, sum(neg) OVER w / (sum(neg) OVER e)::DOUBLE AS fpr, sum(pos) OVER w / (sum(pos) OVER e)::DOUBLE AS tpr FROM scored
+  WINDOW w AS (PARTITION BY model, cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING), e AS (PARTITION BY model, cls)
+), curve AS (SELECT model, cls, fpr, max(tpr) AS top, min(tpr) AS bottom FROM (SELECT * FROM points UNION ALL SELECT DISTINCT model, cls, 0::DOUBLE, 0::DOUBLE FROM points) GROUP BY ALL
+), grid AS (SELECT model, fpr, cls FROM (SELECT DISTINCT model, fpr FROM curve) JOIN (SELECT DISTINCT model, cls FROM curve) USING (model)
+), before AS (SELECT g.*, c.fpr AS x0, c.top AS y0 FROM grid g ASOF JOIN curve c ON g.model = c.model AND g.cls = c.cls AND g.fpr >= c.fpr
+), around AS (SELECT b.*, c.fpr AS x1, c.bottom AS y1 FROM before b ASOF LEFT JOIN curve c ON b.model = c.model AND b.cls = c.cls AND b.fpr <= c.fpr
+), macro AS (SELECT model, fpr, sum(CASE WHEN x0 = fpr OR x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (fpr - x0) / (x1 - x0) END) / 3 AS tpr FROM around GROUP BY ALL
+), steps AS (SELECT model, (fpr - lag(fpr, 1, 0::DOUBLE) OVER o) * (tpr + lag(tpr, 1, 0::DOUBLE) OVER o) / 2 AS part FROM macro WINDOW o AS (PARTITION BY model ORDER BY fpr, tpr))
+SELECT model, {R("sum(part)", "area")} FROM steps GROUP BY model"""
+
+
 def bounds_of_groups(spark, d) -> DataFrame:
     return subgroups.with_exact_bounds(subgroups.subgroup_accuracy(doc_rows(spark, d)).withColumn("alpha", F.lit(0.05)), "correct", "n", "alpha")
 
@@ -205,7 +269,7 @@ QUERIES = {
         class_areas,
         ORDERS + AUC_SQL.split("SELECT model, cls, positives")[0] + f" SELECT model, cls, {R('auc', 'area')} FROM per",
     ),
-    "macro_roc_area": (macro_roc_area, None),
+    "macro_roc_area": (macro_roc_area, ORDERS + MACRO_ROC_SQL),
     "class_weights": (
         lambda s, d: metrics.class_weights(v.pred_docs(s, d), ["0", "1", "2"], "y_true"),
         DOCS + f", c AS (SELECT cls, count(sample_id) AS n FROM (SELECT unnest(['0', '1', '2']) AS cls) LEFT JOIN pred_docs ON y_true = cls GROUP BY cls), w AS (SELECT *, CASE WHEN n > 0 THEN 1 / (n + 1e-6::DOUBLE) ELSE 0 END AS raw FROM c) SELECT cls, n, {R('raw / (SELECT sum(raw) FROM w) * 3', 'weight')} FROM w",
@@ -249,9 +313,9 @@ QUERIES = {
         lambda s, d: metrics.text_report(subgroups.by_axes(v.pred_docs(s, d), ["toxic"]).withColumn("model", F.col("group")), ["0", "1"], "model"),
         DOCS + ", g AS (SELECT toxic AS model, y_true, y_pred FROM pred_docs), " + ovr_sql("g", "model", "['0', '1']") + REPORT_SQL,
     ),
-    "cp_bounds": (bounds_of_groups, None),
-    "wga_bounds": (lambda s, d: subgroups.wga_bounds(subgroups.subgroup_accuracy(doc_rows(s, d))), None),
-    "eod_bounds": (lambda s, d: subgroups.eod_bounds(subgroups.rate_table(doc_rows(s, d), ["0", "1"]), 15), None),
+    "cp_bounds": (bounds_of_groups, CP_SQL),
+    "wga_bounds": (lambda s, d: subgroups.wga_bounds(subgroups.subgroup_accuracy(doc_rows(s, d))), WGA_BOUNDS_SQL),
+    "eod_bounds": (lambda s, d: subgroups.eod_bounds(subgroups.rate_table(doc_rows(s, d), ["0", "1"]), 15), EOD_BOUNDS_SQL),
     "paired_fold_delta": (
         lambda s, d: comparison.fold_deltas(comparison.paired(orders(s, d), "a", "b")),
         ORDERS + PAIRED + f" SELECT fold, {R('accuracy_a', 'accuracy_a')}, {R('accuracy_b', 'accuracy_b')}, {R('delta', 'delta')} FROM deltas",
@@ -266,7 +330,7 @@ QUERIES = {
     ),
     "corrected_paired_test": (
         lambda s, d: comparison.corrected_paired_test(comparison.fold_deltas(comparison.paired(orders(s, d), "a", "b")), comparison.test_train_ratio(v.manifest(s, d))),
-        None,
+        PAIRED_TEST_SQL,
     ),
     "rater_agreement_kappa": (
         lambda s, d: comparison.agreement(v.raters(s, d), "rater_a", "rater_b"),
