@@ -2,36 +2,70 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import one_hot
 from ..functions.ordering import hashed_rank
 
 UNKNOWN = "<UNK>"
 
 
+def train_values(rows: DataFrame, value: str) -> DataFrame:
+    """(fold, value, code): the sorted distinct values of the training rows, coded 1, 2, ..., in table form.
+
+    The unknown token is 0. A value that many rows hold is one row here, and codes come from a
+    window over distinct values only.
+    """
+    seen = rows.filter("role = 'Train'").select("fold", F.col(value).cast("string").alias("value")).filter("value is not null").distinct()
+    return seen.withColumn("code", F.row_number().over(Window.partitionBy("fold").orderBy("value")))
+
+
 def train_vocabulary(rows: DataFrame, value: str) -> DataFrame:
-    """(fold, vocabulary): sorted distinct values of the training rows, the unknown token first."""
-    seen = rows.filter("role = 'Train'").filter(F.col(value).isNotNull()).groupBy("fold").agg(F.collect_set(F.col(value).cast("string")).alias("v"))
-    return seen.select("fold", F.concat(F.array(F.lit(UNKNOWN)), F.array_sort("v")).alias("vocabulary"))
+    """(fold, vocabulary): the values of ``train_values`` as one array for each fold, the unknown token first.
+
+    For one-hot vectors, which are as wide as the vocabulary anyway.
+    """
+    held = train_values(rows, value).groupBy("fold").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    return held.select("fold", F.concat(F.array(F.lit(UNKNOWN)), "v").alias("vocabulary"))
 
 
 def encode(rows: DataFrame, value: str) -> DataFrame:
-    """``rows`` with ``code``: the place in the fold's vocabulary, 0 for values unseen in training."""
-    table = train_vocabulary(rows, value)
-    place = F.array_position("vocabulary", F.col(value).cast("string"))
-    return rows.join(F.broadcast(table), "fold").withColumn("code", F.when(place > 0, place - 1).otherwise(0).cast("int")).drop("vocabulary")
+    """``rows`` with ``code``: the place in the fold's vocabulary, 0 for values unseen in training.
 
+    Rows meet their code by fold and value, so a vocabulary of any size will do; values that
+    hold many rows are split by adaptive execution or broadcast where the table is small.
+    """
+    table = train_values(rows, value).select(F.col("fold").alias("__fold"), F.col("value").alias("__value"), F.col("code").alias("__code"))
+    met = rows.join(table, (F.col("fold") == F.col("__fold")) & (F.col(value).cast("string") == F.col("__value")), "left")
+    return met.withColumn("code", F.coalesce("__code", F.lit(0)).cast("int")).drop("__fold", "__value", "__code")
 
-def standardize(rows: DataFrame, values: str) -> DataFrame:
-    """(id, fold, role, dim, z): train mean and population deviation per fold; a deviation of 0 counts as 1."""
-    long = rows.select("id", "fold", "role", F.posexplode(values).alias("dim", "x"))
-    x = F.when(F.col("role") == "Train", F.col("x").cast("double"))
+
+def standardized(rows: DataFrame, values: str, name: str = "z") -> DataFrame:
+    """``rows`` with the array ``name``: ``values`` by the train mean and population deviation of their fold.
+
+    A deviation of 0 counts as 1. Sums are combined before the shuffle, and what is broadcast is
+    two arrays for each fold; vectors never leave their rows.
+    """
+    long = rows.filter("role = 'Train'").select("fold", F.posexplode(values).alias("dim", "x"))
+    x = F.col("x").cast("double")
     stats = long.groupBy("fold", "dim").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
     scale = F.when(F.round("sd", 12) == 0, 1.0).otherwise(F.col("sd"))
-    return long.join(F.broadcast(stats), ["fold", "dim"]).select("id", "fold", "role", "dim", ((F.col("x") - F.col("mean")) / scale).alias("z"))
+    per = F.array_sort(F.collect_list(F.struct("dim", "mean", scale.alias("scale"))))
+    table = stats.groupBy("fold").agg(per.alias("__stats"))
+    z = F.zip_with(values, "__stats", lambda v, s: (v.cast("double") - s["mean"]) / s["scale"])
+    return rows.join(F.broadcast(table), "fold").withColumn(name, z).drop("__stats")
+
+
+def standardize(rows: DataFrame, values: str) -> DataFrame:
+    """(id, fold, role, dim, z): ``standardized`` in long form."""
+    return standardized(rows, values).select("id", "fold", "role", F.posexplode("z").alias("dim", "z"))
 
 
 def nearest_centroid(rows: DataFrame, values: str) -> DataFrame:
@@ -55,27 +89,30 @@ def nearest_centroid(rows: DataFrame, values: str) -> DataFrame:
     return test.select("id", "fold", "label", best["c"].alias("predicted"))
 
 
-def logistic_oof(rows: DataFrame, values: str, c: float = 1.0, max_iter: int = 3000) -> DataFrame:
-    """(id, fold, label, predicted, p): out-of-fold multinomial logistic regression, L2 with strength c.
+def logistic_oof(rows: DataFrame, values: str, c: float = 1.0, max_iter: int = 3000, parallel: int = 7) -> DataFrame:
+    """(id, fold, label, predicted, p, iterations): out-of-fold multinomial logistic regression, L2 with strength c.
 
-    Folds are few, so one model is fitted for each; features are standardized with train rows.
-    A fit that has not converged after ``max_iter`` iterations is an error.
+    Folds are few, so one distributed model is fitted for each, ``parallel`` of them at a time as
+    an iteration is a short job, on ``values`` as they are. A fit
+    that has not converged after ``max_iter`` iterations is an error, and so is a fold whose
+    training rows lack a class.
     """
-    wide = standardize(rows, values).groupBy("id", "fold", "role").agg(
-        array_to_vector(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda s: s["z"])).alias("features")
-    )
-    data = wide.join(rows.select("id", "fold", F.col("label").cast("double").alias("label")), ["id", "fold"]).cache()
-    folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-    out = None
-    for fold in folds:
+    data = rows.select("id", "fold", "role", array_to_vector(values).alias("features"), F.col("label").cast("double").alias("label")).cache()
+    sizes = {r["fold"]: r for r in data.groupBy("fold").agg(F.count_if(F.col("role") == "Train").alias("n"), F.count_distinct(F.when(F.col("role") == "Train", F.col("label"))).alias("seen"), F.count_distinct("label").alias("all")).collect()}
+
+    def fitted(fold: int) -> DataFrame:
+        if sizes[fold]["seen"] < sizes[fold]["all"]:
+            raise ValueError(f"fold {fold}: the training rows lack a class")
         own = data.filter(F.col("fold") == fold)
-        train = own.filter("role = 'Train'")
-        model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(1, train.count())), standardization=False, maxIter=max_iter).fit(train)
+        # the penalty is on the mean loss, c on the sum
+        model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(1, sizes[fold]["n"])), standardization=False, maxIter=max_iter).fit(own.filter("role = 'Train'"))
         if model.summary.totalIterations >= max_iter:
             raise ValueError(f"fold {fold}: the probe has not converged after {max_iter} iterations")
-        scored = model.transform(own.filter("role = 'Test'")).select("id", "fold", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predicted"), F.col("probability").cast("string").alias("p"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        scored = model.transform(own.filter("role = 'Test'"))
+        return scored.select("id", "fold", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predicted"), vector_to_array("probability").alias("p"), F.lit(model.summary.totalIterations).alias("iterations"))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(fitted), sorted(sizes)))
 
 
 def permuted(rows: DataFrame, columns: list[str], mode: str, seed: str = "perm") -> DataFrame:
@@ -96,20 +133,28 @@ def permuted(rows: DataFrame, columns: list[str], mode: str, seed: str = "perm")
 def feature_blocks(rows: DataFrame, image: str, metadata: list[str]) -> DataFrame:
     """``rows`` with the three inputs of a probe: image_only, metadata_only and concat.
 
-    Metadata is one-hot by each fold's training vocabulary; values unseen there are all zero.
+    Images are standardized by each fold's training rows. Metadata is one-hot by each fold's
+    training vocabulary and isn't scaled; values unseen there are all zero.
     """
-    from ..functions.arrays import one_hot
-
-    out = rows
+    out = standardized(rows, image, "image_only")
     for name in metadata:
         table = train_vocabulary(rows, name).withColumnRenamed("vocabulary", f"__{name}")
         out = out.join(F.broadcast(table), "fold")
     hot = F.concat(*[one_hot(F.col(name).cast("string"), F.col(f"__{name}")) for name in metadata])
-    out = out.withColumns({"image_only": F.transform(image, lambda x: x.cast("double")), "metadata_only": hot})
-    return out.withColumn("concat", F.concat("image_only", "metadata_only")).drop(*[f"__{name}" for name in metadata])
+    return out.withColumn("metadata_only", hot).withColumn("concat", F.concat("image_only", "metadata_only")).drop(*[f"__{name}" for name in metadata])
+
+
+def randomized_training(rows: DataFrame, metadata: list[str], mode: str, seed: str) -> DataFrame:
+    """``rows`` (id, fold, role, metadata) with the training rows' metadata permuted within each fold; test rows stay."""
+    train = permuted(rows.filter("role = 'Train'").select("id", "fold", *metadata), metadata, mode, seed)
+    rest = [c for c in rows.columns if c not in metadata]
+    moved = rows.filter("role = 'Train'").select(*rest).join(train, ["id", "fold"])
+    return rows.filter("role <> 'Train'").unionByName(moved.select(*rows.columns))
 
 
-def fold_log(predicted: DataFrame) -> DataFrame:
-    """(fold, n_test, accuracy) of out-of-fold predictions (fold, label, predicted)."""
+def fold_log(predicted: DataFrame, blocks: DataFrame, values: str) -> DataFrame:
+    """(fold, n_train, n_test, n_features, accuracy, iterations) of out-of-fold predictions on ``blocks``."""
     hit = F.avg((F.col("label") == F.col("predicted")).cast("double"))
-    return predicted.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), hit.alias("accuracy"))
+    tested = predicted.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), hit.alias("accuracy"), F.max("iterations").alias("iterations"))
+    trained = blocks.filter("role = 'Train'").groupBy("fold").agg(F.count(F.lit(1)).alias("n_train"), F.max(F.size(values)).alias("n_features"))
+    return trained.join(tested, "fold").select("fold", "n_train", "n_test", "n_features", "accuracy", "iterations")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def one_hot_sizes(rows: DataFrame) -> DataFrame:
     from ..functions.arrays import one_hot
 
     vocabulary = probe.train_vocabulary(rows, "value")
-    hot = one_hot(F.col("value"), F.col("vocabulary"))
+    hot = one_hot(F.col("value").cast("string"), F.col("vocabulary"))
     ones = F.aggregate(hot, F.lit(0.0), lambda a, x: a + x)
     return rows.join(F.broadcast(vocabulary), "fold").select("id", "fold", F.size(hot).alias("width"), (F.array_position(hot, F.lit(1.0)) - 1).alias("place"), ones.alias("ones"))
 
@@ -115,8 +117,10 @@ def logistic(spark, d) -> DataFrame:
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
     rows = probe_rows(spark, d).join(docs, "id", "left").na.fill("missing", ["lang", "source"])
     blocks = probe.feature_blocks(rows, "embedding", ["lang", "source"])
-    parts = [probe.logistic_oof(blocks, b).select(F.lit(b).alias("block"), "*") for b in ("image_only", "metadata_only", "concat")]
-    return reduce(DataFrame.unionByName, parts)
+    blocks = blocks.select("id", "fold", "role", "label", *(names := ["image_only", "metadata_only", "concat"])).cache()
+    with ThreadPoolExecutor(len(names)) as pool:
+        parts = pool.map(inheritable_thread_target(lambda b: probe.logistic_oof(blocks, b).select(F.lit(b).alias("block"), "*")), names)
+        return reduce(DataFrame.unionByName, parts)
 
 
 def permutation(spark, d, mode: str) -> DataFrame:

@@ -129,18 +129,26 @@ def rater_agreement(a: DataFrame, b: DataFrame, columns: list[str], confirmed: b
     return out
 
 
-def probes(features: DataFrame, meta: DataFrame, manifest: DataFrame, columns: list[str], confirmed: bool) -> dict[str, DataFrame]:
-    """Out-of-fold logistic probes on images, metadata and both. Labels are numbers."""
+def probes(features: DataFrame, meta: DataFrame, manifest: DataFrame, columns: list[str], confirmed: bool, train_control_repeats: int = 0, seed: int = 42) -> dict[str, DataFrame]:
+    """Out-of-fold logistic probes on images, metadata and both. Labels are numbers.
+
+    Each repeat adds two controls whose training metadata is permuted, by whole tuples and by
+    column; their test metadata stays authentic. Validation rows aren't used.
+    """
     contracts.require_consent(confirmed, "that the features were frozen independently of these labels")
     contracts.require_none(contracts.duplicate_keys(features, "sample_id"), "repeated features")
     contracts.require_none(folds.held_out_once_violations(meta.select(F.col("sample_id").alias("id")), manifest), "rows not held out exactly once")
     rows = manifest.select("id", "fold", "role").join(meta.withColumnRenamed("sample_id", "id").select("id", "label", *columns), "id")
     rows = rows.join(features.withColumnRenamed("sample_id", "id").select("id", "features"), "id")
-    blocks = probe.feature_blocks(rows, "features", columns)
+    inputs = [(block, rows, block) for block in ("image_only", "metadata_only", "concat")]
+    for repeat in range(train_control_repeats):
+        for mode, name in (("joint", "joint_tuple"), ("independent", "independent_columns")):
+            inputs.append((f"{name}_train_randomized_r{repeat}", probe.randomized_training(rows, columns, mode, f"{seed}|{repeat}"), "concat"))
     out = {}
-    for block in ("image_only", "metadata_only", "concat"):
+    for name, given, block in inputs:
+        blocks = probe.feature_blocks(given, "features", columns)
         predicted = probe.logistic_oof(blocks, block)
-        out |= {f"{block}_predictions": predicted, f"{block}_folds": probe.fold_log(predicted)}
+        out |= {f"{name}_predictions": predicted, f"{name}_folds": probe.fold_log(predicted, blocks, block)}
     return out
 
 

@@ -130,3 +130,20 @@ def test_probe_must_converge(spark):
 @fixtures
 def test_bootstrap_has_the_references_replicates(spark):
     assert catalog.QUERIES["bootstrap_kappa"](spark, SF).first().valid > 1800
+
+
+def test_probe_blocks_and_controls(spark):
+    rows = spark.range(40).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("fold"), (F.col("id") % 3).cast("int").alias("label"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("site"), F.array(F.col("id").cast("float"), F.lit(5.0)).alias("x"))
+    rows = rows.withColumn("role", F.when(F.col("id") % 2 + 1 == F.col("fold"), "Test").otherwise("Train"))
+    got = probe.feature_blocks(rows, "x", ["site"]).cache()
+    train = got.filter("role = 'Train'").groupBy("fold").agg(F.avg(F.col("image_only")[0]).alias("m"), F.stddev_pop(F.col("image_only")[0]).alias("s"), F.max(F.col("image_only")[1]).alias("c")).collect()
+    assert all(abs(r.m) < 1e-9 and abs(r.s - 1) < 1e-9 and r.c == 0 for r in train)
+    # one-hot columns aren't scaled
+    assert {tuple(r.metadata_only) for r in got.filter("fold = 2").select("metadata_only").distinct().collect()} <= {(0.0, 0.0, 1.0), (0.0, 1.0, 0.0), (0.0, 0.0, 0.0), (1.0, 0.0), (0.0, 1.0)}
+    moved = probe.randomized_training(rows, ["site"], "joint", "s")
+    same = ["id", "fold", "site"]
+    assert moved.count() == rows.count() and rows.filter("role = 'Test'").select(*same).exceptAll(moved.filter("role = 'Test'").select(*same)).isEmpty()
+    tally = lambda df: sorted(map(tuple, df.filter("role = 'Train'").groupBy("fold", "site").count().collect()))
+    assert tally(rows) == tally(moved)
+    log = probe.fold_log(probe.logistic_oof(got, "concat"), got, "concat").collect()
+    assert all((r.n_train, r.n_test) == (20, 20) and r.n_features in (4, 5) and r.iterations > 0 for r in log)
