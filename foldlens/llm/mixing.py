@@ -19,8 +19,9 @@ up to ``BROADCAST_SOURCES`` rows. Only DataFrame functions run here; nothing but
 per source and hash bucket is aggregated, and sums are combined before the shuffle.
 
 Defined results: a null text has 0 words; a null source is one source, the last; documents
-of 0 words take 0; repeated rows are documents of their own; other columns stay; without
-any words every target is 0. Reruns agree whatever the partitions, as order and offsets
+of 0 words take 0; words are counted in whole texts of any length; repeated rows are documents
+of their own; an empty table gives an empty one; columns named source_size, target or taken
+are replaced, other columns stay; without any words every target is 0. Reruns agree whatever the partitions, as order and offsets
 come from md5 of seed, id and size.
 """
 
