@@ -632,10 +632,12 @@ def near_duplicates(
     classes = scratch.write(known.groupBy("c1", "c2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), *most), "classes")
 
     # Classes whose first halves of the hash agree come together and are told apart later.
-    kept = scratch.write(allocated(met.filter("kind = 1").select("bucket", "size", "signs", "c1"), classes), "kept")
+    # Chunks, pivots and pieces all read the members, so these meet their sketches once.
+    kept = allocated(met.filter("kind = 1").select("bucket", "size", "signs", "c1"), classes)
+    kept = scratch.write(kept.join(classes.select(F.col("c1").alias("node"), "n_shingles", "sketch"), "node"), "kept")
     large = kept.groupBy("g").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > CHUNK_SETS)
     large = scratch.write(large.withColumn("chunks", F.ceil(F.col("sets") / CHUNK_SETS)), "large-buckets")
-    members = chunked(kept, large).join(classes.select(F.col("c1").alias("node"), "n_shingles", "sketch"), "node")
+    members = chunked(kept, large)
 
     def by_sketch(pdf: pd.DataFrame, ask):
         return passing_forest(aligned(pdf["sketch"].tolist()), pdf["n_shingles"].to_numpy(), num, den, ask)
