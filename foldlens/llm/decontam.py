@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, named_as, need, place_of, plainly_named
+from .shared import Scratch, bounded_batches, named_as, need, place_of, plainly_named
 from .words import ALPHANUMERIC, Words, packs, to_bytes
 
 WINDOW = 10
@@ -188,6 +188,7 @@ def find_contamination(
     need(docs, text_col)
     need(benchmark, "item_id", "text")
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.drop("n_words", "hit_words", "item_ids")
     added = [
         T.StructField("n_words", T.LongType()),

@@ -64,7 +64,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, join_by_weight, named_as, need, place_of, plainly_named
+from .shared import Scratch, bounded_batches, join_by_weight, named_as, need, place_of, plainly_named
 from .words import NOT_BLANK, Words, mix64, packs, to_bytes
 
 CHUNK_SETS = 256
@@ -620,6 +620,8 @@ def near_duplicates(
     """One row per document: id_col, n_shingles, component_id (the smallest id it is linked to)."""
     need(docs, id_col, text_col)
     spark = docs.sparkSession
+    bounded_batches(spark)
+    bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     bands = Bands(num, den)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import in_fold, training_sample
-from .shared import named_as, place_of, plainly_named
+from .shared import bounded_batches, named_as, place_of, plainly_named
 from .words import NOT_BLANK, Words, packs, to_bytes
 
 PASSAGE = 64
@@ -157,6 +157,8 @@ def score_quality(docs: DataFrame, model: AttentionMil, text_col: str = "text")
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     columns = [f.name for f in kept]
 
+    bounded_batches(docs.sparkSession)
+
     def run(frames):
         for pdf in frames:
             score = model.score(pdf[text_col].tolist())

@@ -34,6 +34,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's own bounds of an Arrow batch, and the ones that operators with Python workers take instead.
+_BATCH = {"maxRecordsPerBatch": ("10000", "2000"), "maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to 4 MB, as a task holds one several times over outside of the heap.
+
+    A session that has set bounds of its own keeps them.
+    """
+    for name, (usual, lower) in _BATCH.items():
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", lower)
+
+
 class Scratch:
     """A folder of tables inside the shared folder.
 
