@@ -621,7 +621,6 @@ def near_duplicates(
     need(docs, id_col, text_col)
     spark = docs.sparkSession
     bounded_batches(spark)
-    bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     bands = Bands(num, den)
