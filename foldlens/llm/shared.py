@@ -69,9 +69,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *partition_by: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` as Parquet and read it back with its own schema."""
         out = df.write.mode("overwrite")
+        if compression:
+            out = out.option("compression", compression)
         (out.partitionBy(*partition_by) if partition_by else out).parquet(self.path(name))
         return self.read(name, df)
 
