@@ -14,10 +14,9 @@ for an id), and the sums for each document. For those sums the most common pairs
 ``HOT_PAIRS``, are broadcast; links of rarer pairs meet their counts by a shuffle, in which no
 pair is hot, as all common ones are gone.
 
-Texts are cut at single spaces between characters that are not white space. No token crosses
+Long texts are cut at single spaces between characters that are not white space. No token crosses
 such a place (checked against both vocabularies when they are loaded; otherwise texts are encoded
-whole), so equal words are encoded once for a worker. Tokenizer files are read by the driver and
-broadcast.
+whole). Tokenizer files are read by the driver and broadcast.
 
 Defined results: null and empty texts, and texts that a tokenizer doesn't give back byte for byte,
 have no tokens: counts of 0 and no digest; repeated rows are documents of their own; rows
@@ -30,13 +29,14 @@ input, so the input should be a table, or a deterministic query of one.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -50,15 +50,12 @@ TOKENIZERS = "/opt/tokenizers"
 SPAN = 1 << 15
 #: Pairs of ids that are broadcast at most: 17 bytes each.
 HOT_PAIRS = 1 << 20
-#: Characters of texts that are encoded together, and words that a worker remembers.
-PACK, WORDS_KEPT = 1 << 19, 1 << 18
-#: Words longer than this are encoded each time.
-LONG_WORD = 64
+#: Characters of texts whose events are put together, and of a piece of a long text that is encoded alone.
+PACK, PIECE = 1 << 19, 1 << 19
 #: Distinct pairs that a task combines before it passes them on, and links of one output row.
 COMBINED, ROW_LINKS = 1 << 20, 1 << 15
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_BLANK_RUN = re.compile(r"\s\s")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,8 +65,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: How byte-level vocabularies of this family split texts before merging. A fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _by_ranks(a_json: bytes):
+    """A faster encoder with the ids of ``a_json``, if that is plain byte-level BPE whose ids follow its merges."""
+    import tiktoken
+
+    told = json.loads(a_json)
+    model, split = told["model"], told.get("pre_tokenizer") or {}
+    alphabet, vocabulary = byte_alphabet(), model.get("vocab", {})
+    plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    plain = plain and not told.get("normalizer") and not any(model.get(k) for k in ("dropout", "end_of_word_suffix", "continuing_subword_prefix", "ignore_merges"))
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    if not plain or any(vocabulary.get("".join(m)) != 256 + i for i, m in enumerate(pairs)):
+        return None
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(pairs)}
+    return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoders:
-    """Both tokenizers, their tokens' bytes, and the words encoded so far."""
+    """Both tokenizers and their tokens' bytes."""
 
     def __init__(self, a_json: bytes, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,6 +95,7 @@ class Encoders:
 
         self.a = Tokenizer.from_str(a_json.decode())
         self.a.encode_special_tokens = True
+        self.fast_a = _by_ranks(a_json)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         alphabet = byte_alphabet()
         vocabulary = self.a.get_vocab()
@@ -90,53 +108,30 @@ class Encoders:
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.separable = not any(_CUT.search(x.decode(errors="replace")) for side in (self.bytes_a, self.bytes_b) for x in side)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids_a, self.ids_b, self.good = [], [], []
-
-    def words(self, text: str) -> list[str]:
-        if not self.separable:
-            return [text]
-        if _BLANK_RUN.search(text) or text[0].isspace() or text[-1].isspace():
-            return _CUT.split(text)
-        return text.split(" ")
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode ``new``, each with a space before it."""
-        for word, a, b in zip(new, self.a.encode_batch([f" {w}" for w in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
-            whole = f" {word}".encode()
-            good = b"".join([self.bytes_a[i] for i in a.ids]) == whole == b"".join([self.bytes_b[i] for i in b])
-            if len(word) <= LONG_WORD:
-                self.place[word] = len(self.good)
-            self.good.append(good)
-            self.ids_a.append(np.array(a.ids if good else [], np.int64))
-            self.ids_b.append(np.array(b if good else [], np.int64))
+
+    def pieces(self, text: str) -> list[str]:
+        """``text`` in pieces of about ``PIECE`` characters that are encoded alone; a space stood between them."""
+        out, begin = [], 0
+        while self.separable and len(text) - begin > PIECE and (cut := _CUT.search(text, begin + PIECE)):
+            out.append(text[begin : cut.start()])
+            begin = cut.end()
+        return [*out, text[begin:]]
+
+    def _ids(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        spaced = [f" {p}" for p in pieces]
+        a = [self.fast_a.encode_ordinary(p) for p in spaced] if self.fast_a else [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
+        return a, self.b.encode(pieces, num_threads=1)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and of B for each text; none for texts that don't come back whole."""
-        if len(self.good) > WORDS_KEPT:
-            self.forget()
-        held, first = [], [0]
         for text in texts:
-            held += self.words(text) if text else []
-            first.append(len(held))
-        codes, distinct = pd.factorize(np.array(held, dtype=object)) if held else (np.zeros(0, np.int64), [])
-        known = [self.place.get(w, -1) for w in distinct]
-        new = [i for i, k in enumerate(known) if k < 0]
-        start = len(self.good)
-        if new:
-            self._learn([distinct[i] for i in new])
-        at = np.array(known, np.int64)
-        at[new] = np.arange(start, start + len(new))
-        place = at[codes]
-        for i in range(len(texts)):
-            mine = place[first[i] : first[i + 1]].tolist()
-            if not mine or not all([self.good[k] for k in mine]):
-                yield np.zeros(0, np.int64), np.zeros(0, np.int64)
+            a, b = self._ids(self.pieces(text)) if text else ([], [])
+            a, b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+            whole = f" {text}".encode()
+            if b"".join([self.bytes_a[i] for i in a]) == whole == b"".join([self.bytes_b[i] for i in b]):
+                yield np.array(a, np.int64), np.array(b, np.int64)
             else:
-                yield np.concatenate([self.ids_a[k] for k in mine]), np.concatenate([self.ids_b[k] for k in mine])
+                yield np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 _loaded: dict[str, Encoders] = {}
@@ -223,14 +218,17 @@ class Sweep:
 
     def close(self) -> None:
         """Emit all groups that are whole."""
-        common = np.intersect1d(*self.ends, assume_unique=True)
+        place = np.searchsorted(self.ends[1], self.ends[0])
+        in_b = place < len(self.ends[1])
+        in_b[in_b] = self.ends[1][place[in_b]] == self.ends[0][in_b]
+        common = self.ends[0][in_b]
         if not len(common):
             return
         upto = [int(np.searchsorted(e, common[-1], "right")) for e in self.ends]
         ends, ids = ([x[s][: upto[s]] for s in (0, 1)] for x in (self.ends, self.ids))
         for s in (0, 1):
             self.ends[s], self.ids[s] = self.ends[s][upto[s] :], self.ids[s][upto[s] :]
-        cut = np.union1d(*ends)
+        cut = np.sort(np.concatenate([ends[0][~in_b[: upto[0]]], ends[1]]), kind="stable")
         code = (ids[0][np.searchsorted(ends[0], cut)] << 32) | ids[1][np.searchsorted(ends[1], cut)]
         self._count(code, np.ones(len(code), np.int64))
         order = np.concatenate([np.searchsorted(common, ends[s]) * 2 + s for s in (0, 1)])
