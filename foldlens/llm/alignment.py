@@ -32,7 +32,6 @@ import hashlib
 import json
 import os
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -163,11 +162,18 @@ def _spans(ids: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, bytes]]:
     cuts = [0, *(np.flatnonzero(np.diff(span)) + 1).tolist(), len(ids)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
-            yield int(span[a]), zlib.compress(ids[a:b].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+            yield int(span[a]), packed(ids[a:b])
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Ids byte plane by byte plane, compressed, after their number."""
+    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(ids).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0].astype(np.int64)
+    planes = pa.decompress(raw[4:], 4 * int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64)
 
 
 def end_events(docs: DataFrame, id_col: str, text_col: str, files: Broadcast) -> DataFrame:
