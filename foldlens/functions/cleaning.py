@@ -97,11 +97,11 @@ def without_prefix(path: Column, prefix: str) -> Column:
 
 
 def path_parts(path: Column) -> dict[str, Column]:
-    """Split (first part), label (parent folder) and lower-cased base name of a relative path."""
+    """Split (first of three parts or more), label (parent folder, if there is one) and lower-cased base name of a relative path."""
     parts = F.split(posix(path), "/")
     return {
-        "archive_split": F.when(F.size(parts) >= 2, F.element_at(parts, 1)).otherwise("unknown"),
-        "archive_label": F.when(F.size(parts) >= 3, F.element_at(parts, -2)).otherwise("unknown"),
+        "archive_split": F.when(F.size(parts) >= 3, F.try_element_at(parts, F.lit(1))).otherwise("unknown"),
+        "archive_label": F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))).otherwise("unknown"),
         "basename": F.lower(F.element_at(parts, -1)),
     }
 

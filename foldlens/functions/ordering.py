@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared_folder import durable
+
 #: Hexadecimal digits of a digest that name its bucket: 65,536 buckets for each group.
 DIGITS = 4
 
@@ -41,3 +43,18 @@ def hashed_rank(df: DataFrame, keys: list[str], digest: Column, tie: str, name:
     marked = df.withColumn("__digest", digest)
     ranked = running_sums(marked, keys, F.substring("__digest", 1, DIGITS), [F.col("__digest"), F.col(tie)], {name: F.lit(1).cast("long")})
     return ranked.drop("__digest")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... along ``order``, which should tell all rows apart.
+
+    Rows are dealt by range, so that partitions follow the order and have about the same size
+    whatever the values are; each is numbered by itself and shifted by the rows before it.
+    The deal is written once, as its bounds come from a sample.
+    """
+    dealt = durable(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    shifts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.join(shifts, "__part").withColumn(name, F.col("__shift") + place).drop("__part", "__shift")

@@ -57,6 +57,19 @@ def corrected_paired_test(deltas: DataFrame, ratios: DataFrame) -> DataFrame:
     return tested.select("mean_difference", "sample_sd", "corrected_se", "test_train_ratio", "k", "t.ci_low", "t.ci_high", F.col("t.p").alias("two_sided_p"))
 
 
+def paired_folds(rows: DataFrame, a: str, b: str, metrics: list[str]) -> DataFrame:
+    """(fold, metric, value_a, value_b, delta) of two models' result rows (model, fold, metrics); a fold that either lacks is an error."""
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    long = rows.filter(F.col("model").isin(a, b)).select("model", "fold", values.alias("v")).select("model", "fold", "v.*")
+    sides = long.groupBy("fold", "metric").agg(
+        F.count_if(F.col("model") == a).alias("n_a"), F.count_if(F.col("model") == b).alias("n_b"),
+        F.max(F.when(F.col("model") == a, F.col("value"))).alias("value_a"), F.max(F.when(F.col("model") == b, F.col("value"))).alias("value_b"),
+    )
+    wrong = F.raise_error(F.concat(F.lit("the models don't both have exactly one row of fold "), F.col("fold").cast("string")))
+    checked = sides.withColumn("delta", F.when((F.col("n_a") == 1) & (F.col("n_b") == 1), F.col("value_a") - F.col("value_b")).otherwise(wrong.cast("double")))
+    return checked.select("fold", "metric", "value_a", "value_b", "delta")
+
+
 def complete_pairs(raters: DataFrame, a: str, b: str) -> DataFrame:
     """Rows where both raters said something; 'unclear' is something."""
     x, y = F.trim(F.col(a).cast("string")), F.trim(F.col(b).cast("string"))

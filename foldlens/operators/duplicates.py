@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import fingerprint, hamming
 from ..functions.cleaning import identifies
-from ..functions.ordering import running_sums
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed into ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldlens-"))
-    return df.checkpoint(eager=True)
+from ..functions.ordering import numbered
+from ..shared_folder import durable
 
 
 def exact_pairs(rows: DataFrame, id_col: str, content: Column) -> DataFrame:
@@ -53,35 +46,97 @@ def _band(low: Column, high: Column, begin: int, end: int) -> Column:
     return value
 
 
-def hamming_pairs(hashes: DataFrame, distance: int) -> DataFrame:
+#: Values that a band is looked up with at most, and rows of a block of the grid.
+MOST_PROBES, BLOCK = 5000, 1024
+
+
+def _ball(width: int, radius: int) -> int:
+    """Values of ``width`` bits within ``radius`` bits of one."""
+    return sum(comb(width, r) for r in range(radius + 1))
+
+
+def _edges(bands: int) -> list[int]:
+    return [64 * i // bands for i in range(bands + 1)]
+
+
+def plan_bands(rows: int, distance: int) -> int:
+    """How many bands cost least for so many hashes; 0 if comparing all pairs costs less.
+
+    Hashes at most ``distance`` bits apart are at most distance // bands bits apart in one
+    band. A band is looked up with every value so near; rows then meet by chance at a rate of
+    those values among all values of the band.
+    """
+    costs = {0: rows * rows / 2}
+    for bands in range(1, 65):
+        radius, widths = distance // bands, [e - b for b, e in zip(_edges(bands), _edges(bands)[1:], strict=False)]
+        probes = [_ball(w, radius) for w in widths]
+        if max(probes) <= MOST_PROBES:
+            costs[bands] = rows * sum(probes) + rows * rows / 2 * sum(p / 2**w for p, w in zip(probes, widths, strict=True))
+    return min(costs, key=costs.get)
+
+
+def hamming_pairs(hashes: DataFrame, distance: int, bands: int | None = None) -> DataFrame:
     """(id_a, id_b, distance) of hashes that differ in at most ``distance`` bits.
 
-    64 bits are cut into distance + 1 bands: such a pair agrees in one, so pairs meet by an
-    equi-join on (band, value) and are verified, each in the first band that it shares only.
-    Beyond 15 bits bands are too short to tell anything and all pairs are compared.
+    The 64 bits are cut into ``bands`` (as many as ``plan_bands`` finds cheapest for the number
+    of hashes): pairs meet by equi-joins on (band, value), where one side has all values near
+    its own, and count in the first band that brings them together. Where no bands prune
+    enough, all pairs are compared, block by block: rows are dealt into blocks of about ``BLOCK``, and a
+    pair of blocks is a key of an equi-join, so that no side is broadcast and no task holds
+    more than two blocks.
     """
     if not 0 <= distance <= 64:
         raise ValueError("distance is 0 to 64")
     hashes = durable(hashes)
-    a = hashes.withColumnsRenamed({"id": "id_a", "low": "low_a", "high": "high_a"})
-    b = hashes.withColumnsRenamed({"id": "id_b", "low": "low_b", "high": "high_b"})
+    count = hashes.count()
+    bands = plan_bands(count, distance) if bands is None else bands
+    met = _probed(hashes, distance, bands) if bands else _all_blocks(hashes, max(1, -(-count // BLOCK)))
     apart = hamming(F.col("low_a"), F.col("high_a"), F.col("low_b"), F.col("high_b"))
-    if distance > 15:
-        return a.join(b, F.col("id_a") < F.col("id_b")).withColumn("distance", apart).filter(F.col("distance") <= distance).select("id_a", "id_b", "distance")
-    edges = [64 * i // (distance + 1) for i in range(distance + 2)]
-    bands = lambda side: F.array(*[_band(F.col(f"low_{side}"), F.col(f"high_{side}"), s, e) for s, e in zip(edges, edges[1:], strict=False)])
-    left = a.select("*", bands("a").alias("all_a")).select("*", F.posexplode("all_a").alias("band", "value"))
-    right = b.select("*", bands("b").alias("all_b")).select("*", F.posexplode("all_b").alias("band", "value"))
-    met = left.join(right, ["band", "value"]).filter("id_a < id_b").withColumn("distance", apart).filter(F.col("distance") <= distance)
-    first = F.array_position(F.zip_with("all_a", "all_b", lambda x, y: x == y), True) - 1
-    return met.filter(first == F.col("band")).select("id_a", "id_b", "distance")
+    return met.withColumn("distance", apart).filter(F.col("distance") <= distance).select("id_a", "id_b", "distance")
+
+
+def _side(hashes: DataFrame, s: str) -> DataFrame:
+    return hashes.withColumnsRenamed({"id": f"id_{s}", "low": f"low_{s}", "high": f"high_{s}"})
+
+
+def _probed(hashes: DataFrame, distance: int, bands: int) -> DataFrame:
+    edges, radius = _edges(bands), distance // bands
+    spans = list(zip(edges, edges[1:], strict=False))
+    value = lambda s, k: _band(F.col(f"low_{s}"), F.col(f"high_{s}"), *spans[k])
+    near = []
+    for k, (begin, end) in enumerate(spans):
+        masks = [sum(1 << i for i in chosen) for r in range(radius + 1) for chosen in combinations(range(end - begin), r)]
+        flips = F.expr(f"array({', '.join(f'{m}L' for m in masks)})")
+        near.append(_side(hashes, "a").select("*", F.lit(k).alias("band"), F.explode(flips).alias("flip")).withColumn("value", value("a", k).bitwiseXOR(F.col("flip"))).drop("flip"))
+    left = near[0]
+    for more in near[1:]:
+        left = left.unionByName(more)
+    own = F.posexplode(F.array(*[value("b", k) for k in range(bands)]))
+    right = _side(hashes, "b").select("*", own.alias("band", "value"))
+    # A pair is brought together once in each band where it is near: the first of them counts.
+    first = F.lit(bands)
+    for k in reversed(range(bands)):
+        first = F.when(F.bit_count(value("a", k).bitwiseXOR(value("b", k))) <= radius, k).otherwise(first)
+    return left.join(right, ["band", "value"]).filter("id_a < id_b").filter(first == F.col("band"))
+
+
+def _all_blocks(hashes: DataFrame, blocks: int) -> DataFrame:
+    """Every pair of rows once, by an equi-join on pairs of blocks."""
+    dealt = hashes.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    ones = _side(dealt, "a").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y")).withColumnRenamed("__block", "x")
+    others = _side(dealt, "b").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x")).withColumnRenamed("__block", "y")
+    return ones.join(others.hint("merge"), ["x", "y"]).filter("id_a < id_b").drop("x", "y")
+
+
+#: Why a pair is listed.
+EXACT_REASON, CANDIDATE_REASON = "exact decoded pixels", "CANDIDATE ONLY; visual/source review required"
 
 
 def candidate_pairs(images: DataFrame, distance: int = 6) -> DataFrame:
     """Candidates of duplicate review: equal bytes, equal pixels, or near fingerprints.
 
     ``images``: id, sha256, pixel_sha256, low, high and decode_ok; rows that couldn't be
-    decoded don't take part.
+    decoded don't take part. Where it has archive_split and archive_label, pairs have them of both sides.
     """
     good = images.filter("decode_ok").drop("decode_ok")
     pairs = exact_pairs(good, "id", F.col("sha256")).union(exact_pairs(good, "id", F.col("pixel_sha256")))
@@ -93,15 +148,14 @@ def candidate_pairs(images: DataFrame, distance: int = 6) -> DataFrame:
         "id_a", "id_b", (F.col("sha256_a") == F.col("sha256_b")).alias("byte_identical"), pixels.alias("pixel_identical"),
         hamming(F.col("low_a"), F.col("high_a"), F.col("low_b"), F.col("high_b")).alias("distance"),
         F.when(pixels, "yes").otherwise("").alias("verified_related"),
-        F.when(pixels, "exact decoded pixels").otherwise("candidate only; review required").alias("review_reason"),
+        F.when(pixels, EXACT_REASON).otherwise(CANDIDATE_REASON).alias("review_reason"),
+        *[F.col(f"{old}_{s}").alias(f"{new}_{s}") for old, new in (("archive_split", "split"), ("archive_label", "label")) if old in good.columns for s in "ab"],
     )
 
 
 def numbered_pairs(pairs: DataFrame, exact: str, distance: str) -> DataFrame:
     """``pairs`` with pair_id 1 ... n: exact ones first, then by distance and ids."""
-    place = F.when(F.col(exact), 0).otherwise(65) + F.col(distance)
-    rows = running_sums(pairs.withColumn("__all", F.lit(0)), ["__all"], place, [F.col("id_a"), F.col("id_b")], {"pair_id": F.lit(1).cast("long")})
-    return rows.drop("__all")
+    return numbered(pairs, [F.when(F.col(exact), 0).otherwise(1), F.col(distance), F.col("id_a"), F.col("id_b")], "pair_id")
 
 
 def within_cohort(pairs: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -147,6 +201,14 @@ def review_violations(pairs: DataFrame) -> DataFrame:
     return pairs.filter(~status.isin("yes", "no")).select("id_a", "id_b", status.alias("status"))
 
 
+def stale_reviews(reviewed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(id_a, id_b, problem): pairs that were reviewed but are no candidates, are candidates but not reviewed, or were reviewed twice."""
+    side = lambda d, name: d.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias(name))
+    both = side(reviewed, "reviews").join(side(candidates, "current"), ["id_a", "id_b"], "full")
+    problem = F.when(F.col("current").isNull(), "not a candidate").when(F.col("reviews").isNull(), "not reviewed").when(F.col("reviews") > 1, "reviewed twice")
+    return both.withColumn("problem", problem).filter("problem is not null").select("id_a", "id_b", "problem")
+
+
 def star_edges(members: DataFrame) -> DataFrame:
     """(a, b) edges that connect the members (id, entity) of each known entity to its smallest id."""
     known = members.filter(identifies(F.col("entity"))).select("id", "entity")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import argmax
 from ..functions.ordering import running_sums
 from ..functions.statistics import ratio, wilson
+from ..shared_folder import durable
 
 #: Clipping of probabilities in the log-loss: the spacing of doubles at 1.
 EPS = 2.220446049250313e-16
@@ -214,28 +215,65 @@ def one_vs_rest_totals(preds: DataFrame, classes: list[str]) -> DataFrame:
     return counts.select("model", "n", rows.alias("r")).select("model", "r.cls", "r.positives", (F.col("n") - F.col("r.positives")).alias("negatives"))
 
 
+#: Curves are cut into so many stretches of false-positive rate. Distinct rates lie 1 / negatives
+#: apart at least, so a stretch has at most negatives / STRETCHES of each class.
+STRETCHES = 4096
+
+
+def _stretch() -> Column:
+    return F.least(F.floor(F.col("fpr") * STRETCHES), F.lit(STRETCHES - 1))
+
+
 def macro_roc(points: DataFrame, classes: int) -> DataFrame:
-    """(model, fpr, tpr): the mean of the classes' curves, interpolated on the union of their fprs."""
+    """(model, fpr, tpr): the mean of the classes' curves, interpolated on the union of their fprs.
+
+    Windows run within stretches of a curve. What they need from outside, the last known point
+    before a stretch and the first one after it, comes from a table of a row for each
+    stretch of each curve.
+    """
     start = points.select("model", "cls", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).distinct()
     curve = points.select("model", "cls", "fpr", "tpr").union(start).groupBy("model", "cls", "fpr").agg(F.max("tpr").alias("top"), F.min("tpr").alias("bottom"))
     grid = curve.select("model", "fpr").distinct().join(curve.select("model", "cls").distinct(), "model")
-    joined = grid.join(curve, ["model", "cls", "fpr"], "left").withColumn("known", F.when(F.col("top").isNotNull(), F.col("fpr")))
+    joined = grid.join(curve, ["model", "cls", "fpr"], "left").withColumns({"known": F.when(F.col("top").isNotNull(), F.col("fpr")), "stretch": _stretch()})
+    joined = durable(joined)  # read twice
+    keys = ["model", "cls", "stretch"]
+    is_known = F.col("known").isNotNull()
+    ends = joined.groupBy(*keys).agg(F.max(F.when(is_known, F.struct("known", "top"))).alias("last"), F.min(F.when(is_known, F.struct("known", "bottom"))).alias("first"))
+    along = Window.partitionBy("model", "cls").orderBy("stretch")  # STRETCHES rows at most
+    back = Window.partitionBy("model", "cls").orderBy(F.col("stretch").desc())
+    outside = ends.select(
+        *keys, F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.last("first", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("after")
+    )
+    joined = joined.join(outside, keys)
     # Both frames grow from their first row; one that shrinks would be summed anew for each row.
-    up = Window.partitionBy("model", "cls").orderBy("fpr").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("model", "cls").orderBy(F.col("fpr").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    x0, y0 = F.last("known", True).over(up), F.last("top", True).over(up)
-    x1, y1 = F.last("known", True).over(down), F.last("bottom", True).over(down)
+    up = Window.partitionBy(*keys).orderBy("fpr").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.col("fpr").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    x0, y0 = F.coalesce(F.last("known", True).over(up), "before.known"), F.coalesce(F.last("top", True).over(up), "before.top")
+    x1, y1 = F.coalesce(F.last("known", True).over(down), "after.known"), F.coalesce(F.last("bottom", True).over(down), "after.bottom")
     joined = joined.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1})
     value = F.coalesce("top", F.col("y0") + (F.col("y1") - F.col("y0")) * F.try_divide(F.col("fpr") - F.col("x0"), F.col("x1") - F.col("x0")), "y0")
     return joined.withColumn("at", value).groupBy("model", "fpr").agg((F.sum("at") / classes).alias("tpr"))
 
 
 def trapezoid_area(points: DataFrame, *keys: str) -> DataFrame:
-    """Area under each curve of (fpr, tpr) points, from (0, 0)."""
-    order = Window.partitionBy(*keys).orderBy("fpr", "tpr")
-    width = F.col("fpr") - F.coalesce(F.lag("fpr").over(order), F.lit(0.0))
-    height = (F.col("tpr") + F.coalesce(F.lag("tpr").over(order), F.lit(0.0))) / 2
-    return points.withColumn("part", width * height).groupBy(*keys).agg(F.sum("part").alias("area"))
+    """Area under each curve of (fpr, tpr) points, from (0, 0).
+
+    Neighbours are found within stretches of a curve; the first point of a stretch follows the
+    last one of the stretch before.
+    """
+    cut = durable(points.select(*keys, "fpr", "tpr").withColumn("stretch", _stretch()))  # read twice
+    last = cut.groupBy(*keys, "stretch").agg(F.max(F.struct("fpr", "tpr")).alias("last"))
+    along = Window.partitionBy(*keys).orderBy("stretch")  # STRETCHES rows at most
+    outside = last.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("stretch").alias("__stretch"), F.lag("last").over(along).alias("before"))
+    same = F.col("stretch") == F.col("__stretch")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    order = Window.partitionBy(*keys, "stretch").orderBy("fpr", "tpr")
+    earlier = F.coalesce(F.lag(F.struct("fpr", "tpr")).over(order), "before")
+    parts = cut.join(outside, same).withColumn("earlier", earlier)
+    width = F.col("fpr") - F.coalesce("earlier.fpr", F.lit(0.0))
+    height = (F.col("tpr") + F.coalesce("earlier.tpr", F.lit(0.0))) / 2
+    return parts.withColumn("part", width * height).groupBy(*keys).agg(F.sum("part").alias("area"))
 
 
 def class_weights(labels: DataFrame, classes: list[str], label: str) -> DataFrame:

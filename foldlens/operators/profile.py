@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import wilson
+from ..shared_folder import durable
 
 
 def crosstabs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -19,11 +22,58 @@ def crosstabs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return joined.select(F.col("gl").alias("left"), F.col("gr").alias("right"), F.col("ga").alias("a"), F.col("gb").alias("b"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Parts that a pass of ``exact_medians`` cuts a range into, and values that are sorted at the end.
+PARTS, SORTED = 4096, 10_000
+
+
+def exact_medians(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, count, median, min, max) of the finite values ``x`` of each group.
+
+    No aggregator holds a group's values. A pass counts the values of the range that has the
+    wanted rank in ``PARTS`` parts of it and goes on with the part that has the rank, until that
+    part is one value or has ``SORTED`` values at most, which are sorted. Ranges are joined to the
+    rows by group. Two or three passes do for smooth data; each pass divides a range by ``PARTS``.
+    """
+    rows = long.filter(F.col("x").isNotNull() & (F.abs("x") < float("inf"))).select(*keys, "x")
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min("x").alias("min"), F.max("x").alias("max"))
+    totals = durable(totals)
+    middle = F.explode(F.array(F.expr("(count - 1) div 2"), F.expr("count div 2")))  # the same for an odd count
+    wanted = totals.select(*keys, F.col("min").alias("lo"), F.col("max").alias("hi"), F.col("count").alias("n"), middle.alias("rank")).distinct()
+    wanted = wanted.withColumn("place", F.col("rank"))
+    while True:
+        wanted = durable(wanted)
+        if wanted.filter((F.col("n") > SORTED) & (F.col("lo") < F.col("hi"))).isEmpty():
+            break
+        open_ = wanted.filter((F.col("n") > SORTED) & (F.col("lo") < F.col("hi")))
+        inside = _within(rows, open_, keys)
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)  # halves can't overflow
+        part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1))
+        counted = inside.groupBy(*keys, "place", "rank", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = Window.partitionBy(*keys, "place").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # PARTS rows at most
+        ranked = counted.withColumn("end", F.sum("n").over(upto)).withColumn("begin", F.col("end") - F.col("n"))
+        narrowed = ranked.filter((F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("end"))).withColumn("rank", F.col("rank") - F.col("begin"))
+        closed = wanted.filter((F.col("n") <= SORTED) | (F.col("lo") >= F.col("hi")))
+        wanted = closed.unionByName(narrowed.select(*wanted.columns))
+    found = wanted.filter("lo >= hi").select(*keys, "place", F.col("lo").alias("value"))
+    rest = _within(rows, wanted.filter("lo < hi"), keys).groupBy(*keys, "place", "rank").agg(F.array_sort(F.collect_list("x")).alias("values"))  # SORTED values at most
+    found = found.unionByName(rest.select(*keys, "place", F.element_at("values", (F.col("rank") + 1).cast("int")).alias("value")))
+    medians = found.groupBy(*keys).agg(F.avg("value").alias("median")).toDF(*[f"__{k}" for k in keys], "median")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return totals.join(medians, same).select(*keys, "count", "median", "min", "max")
+
+
+def _within(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows inside of each group's ranges (place, rank, lo, hi)."""
+    named = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], "place", "rank", "lo", "hi")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(named, same).filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).drop(*[f"__{k}" for k in keys])
+
+
 def numeric_profile(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """count, exact median, min and max of each column by group, long form."""
+    """count, exact median, min and max of each column by group, long form; NaN and infinities are missing, and all-missing columns have no row."""
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))
     long = df.select(group, values.alias("v")).select(group, "v.*")
-    return long.groupBy(group, "column").agg(F.count("x").alias("count"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return exact_medians(long, [group, "column"])
 
 
 def accounting(df: DataFrame, id_col: str, ok: str, axes: list[str]) -> DataFrame:
@@ -79,17 +129,36 @@ def merge_counts(counts: DataFrame, *keys: str) -> DataFrame:
     return pooled.withColumns({"accuracy": F.col("correct") / F.col("n"), "wilson95_low": low, "wilson95_high": high})
 
 
+#: Distinct rows that a leaf of the digest tree has on average at most; its array is no longer than a few times that.
+LEAF = 64
+
+
+def tree_depth(distinct: int) -> int:
+    """Hexadecimal digits of a row's hash that name its leaf: as many as ``LEAF`` rows a leaf need."""
+    depth = 1
+    while distinct > LEAF * 16**depth:
+        depth += 1
+    return depth
+
+
 def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, digest): SHA-256 over the sorted SHA-256 of the rows, independent of their order.
+    """(rows, digest): the root of a tree of SHA-256 digests, independent of the rows' order.
 
-    Rows are digested in 4,096 buckets by their hash's first digits, and only the buckets'
-    digests are put together, so no task gathers the table.
+    A row's hash and the times it occurs are an entry of the leaf that its first digits name.
+    A node's digest is that of its entries or of its children's digests in order, 16 at
+    most, so no array is longer than a leaf; the tree is as deep as the table needs.
     """
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
-    rows = df.select(row.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
-    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "")
-    return buckets.agg(F.sum("n").alias("rows"), F.sha2(joined, 256).alias("digest"))
+    entries = durable(df.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    depth = tree_depth(entries.count())
+    part = F.concat("h", F.lit(":"), F.col("n").cast("string"))
+    nodes = entries.select(F.substring("h", 1, depth).alias("prefix"), part.alias("part"), "n")
+    for level in range(depth, -1, -1):
+        joined = F.array_join(F.array_sort(F.collect_list("part")), ",")
+        nodes = nodes.groupBy("prefix").agg(F.sha2(joined, 256).alias("digest"), F.sum("n").alias("n"))
+        if level:
+            nodes = nodes.select(F.substring("prefix", 1, level - 1).alias("prefix"), F.concat("prefix", F.lit(":"), "digest").alias("part"), "n")
+    return nodes.select(F.col("n").alias("rows"), "digest")
 
 
 def early_stopping(history: DataFrame, patience: int = 20) -> DataFrame:

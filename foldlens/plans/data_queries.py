@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning
 from ..operators import contracts, duplicates, profile
+from ..sources import images, tables
 from . import views as v
 from .evaluation_queries import ORDER_ROWS, R, W, _bounds, order_rows
 
 META = W + v.DIRTY_META
+PATHS = r", p AS (SELECT sample_id, label, parts, len(parts) AS n FROM (SELECT sample_id, label, string_split(substr(replace(filepath, '\', '/'), 6), '/') AS parts FROM dirty_meta))"
 
 
 def doc_pairs(spark, d) -> DataFrame:
@@ -45,7 +47,37 @@ HASHES = """bits AS (
 HAMMING = "(bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high)))::INT"
 
 
-def images(spark, d) -> DataFrame:
+def near_copies(spark, d) -> DataFrame:
+    """The hashes of all vectors and two copies of each with one and with three other bits."""
+    own = hashes(spark, d)
+    bit = lambda n: F.expr(f"shiftleft(1L, cast(id % {n} as int))")
+    one = own.select((F.col("id") + 1_000_000_000).alias("id"), F.col("low").bitwiseXOR(bit(31)).alias("low"), "high")
+    three = own.select((F.col("id") + 2_000_000_000).alias("id"), F.col("low").bitwiseXOR(bit(29)).alias("low"), F.col("high").bitwiseXOR(bit(13) * 3).alias("high"))
+    return own.unionByName(one).unionByName(three)
+
+
+NEAR_COPIES = """, copies AS (SELECT * FROM hashes UNION ALL SELECT id + 1000000000, xor(low, 1::BIGINT << (id % 31)::INT), high FROM hashes
+  UNION ALL SELECT id + 2000000000, xor(low, 1::BIGINT << (id % 29)::INT), xor(high, 3::BIGINT << (id % 13)::INT) FROM hashes)"""
+
+
+def pixel_hash(spark, d) -> DataFrame:
+    """Perceptual hashes of texts drawn as squares: 1,024 characters at even steps are the luminances."""
+    docs = v.table(spark, d, "documents").filter("length(text) > 0").select("doc_id", F.split("text", "").alias("letters"), F.length("text").alias("n"))
+    square = F.expr("transform(sequence(0L, 1023L), k -> ascii(element_at(letters, cast(k * n div 1024 + 1 as int))) % 256)")
+    hashed = images.pixel_hashes(docs.select("doc_id", square.alias("square")), "square")
+    return hashed.select("doc_id", images.hash_digits(F.col("low"), F.col("high")).alias("phash"))
+
+
+PIXEL_HASH = """WITH px AS (SELECT doc_id, k % 32 AS x, k // 32 AS y, unicode(substr(text, (k * length(text)) // 1024 + 1, 1)) % 256 AS p FROM documents, range(1024) t(k) WHERE length(text) > 0),
+m AS (SELECT k, x, cos(pi() * (2 * x + 1) * k / 64) * CASE WHEN k = 0 THEN sqrt(1 / 32) ELSE sqrt(2 / 32) END AS c FROM range(8) a(k), range(32) b(x)),
+across AS (SELECT doc_id, y, k AS v, sum(p * c) AS s FROM px JOIN m USING (x) GROUP BY ALL),
+low AS (SELECT doc_id, 8 * k + v AS i, round(sum(s * c), 6) AS f FROM across JOIN m ON m.x = across.y GROUP BY ALL),
+mid AS (SELECT doc_id, median(f) AS middle FROM low WHERE i > 0 GROUP BY doc_id),
+halves AS (SELECT doc_id, sum(CASE WHEN f > middle AND i < 32 THEN 1::BIGINT << i::INT ELSE 0 END)::BIGINT AS low, sum(CASE WHEN f > middle AND i >= 32 THEN 1::BIGINT << (i - 32)::INT ELSE 0 END)::BIGINT AS high FROM low JOIN mid USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, lpad(lower(to_hex(high)), 8, '0') || lpad(lower(to_hex(low)), 8, '0') AS phash FROM halves"""
+
+
+def image_rows(spark, d) -> DataFrame:
     """Vectors as images: the label stands for their pixels, the hash halves for the content."""
     rows = hashes(spark, d).join(v.vectors(spark, d), "id")
     text = F.concat_ws(",", F.transform("embedding", lambda x: F.round(x, 1).cast("string")))
@@ -127,6 +159,18 @@ def history(spark, d) -> DataFrame:
     return profile.early_stopping(rows)
 
 
+def _digest_tree(row: str, deepest: int = 8) -> str:
+    """Digests level by level; rows enter at the level that their number asks for."""
+    sql = f"""WITH e AS (SELECT sha256({row}) AS h, count(*) AS n FROM customer GROUP BY 1), size AS (SELECT greatest(1, ceil(log(count(*) / {profile.LEAF}) / log(16)))::INT AS depth FROM e)"""
+    for level in range(deepest, -1, -1):
+        above = f" UNION ALL SELECT prefix[1:{level}] AS prefix, prefix || ':' || digest AS part, n FROM t{level + 1}" if level < deepest else ""
+        sql += f""", t{level} AS (SELECT prefix, sha256(string_agg(part, ',' ORDER BY part)) AS digest, sum(n)::BIGINT AS n FROM (SELECT h[1:{level}] AS prefix, h || ':' || n AS part, n FROM e, size WHERE depth = {level}{above}) GROUP BY prefix)"""
+    return sql + " SELECT n AS rows, digest FROM t0"
+
+
+DIGEST_TREE = _digest_tree("concat_ws(chr(31), c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)")
+
+
 QUERIES = {
     "proxy_binning": (
         lambda s, d: v.audit_meta(s, d).select("sample_id", "age_proxy", "age_group_model", "age_display_legacy"),
@@ -154,8 +198,12 @@ QUERIES = {
         META + f', o AS (SELECT age_proxy, unnest([\'p_size\', \'p_retailprice\']) AS "column", unnest([p_size::DOUBLE, p_retailprice]) AS x FROM audit_meta) SELECT age_proxy, "column", count(x) AS count, {R("median(x)", "median")}, {R("min(x)", "min")}, {R("max(x)", "max")} FROM o GROUP BY ALL',
     ),
     "path_parts": (
-        lambda s, d: v.dirty_meta(s, d).select("sample_id", *[c.alias(n) for n, c in cleaning.path_parts(cleaning.without_prefix(F.col("filepath"), "data")).items()], cleaning.safe_name(F.col("label")).alias("safe")),
-        META + r", p AS (SELECT sample_id, label, string_split(replace(filepath, '\', '/'), '/') AS parts FROM dirty_meta) SELECT sample_id, parts[2] AS archive_split, parts[3] AS archive_label, lower(parts[4]) AS basename, regexp_replace(label, '[^\p{L}\p{N}_-]', '_', 'g') AS safe FROM p",
+        lambda s, d: v.dirty_meta(s, d).select("sample_id", *[c.alias(n) for n, c in cleaning.path_parts(cleaning.without_prefix(F.col("filepath"), "data\\")).items()], cleaning.safe_name(F.col("label")).alias("safe")),
+        META + PATHS + r" SELECT sample_id, CASE WHEN n >= 3 THEN parts[1] ELSE 'unknown' END AS archive_split, CASE WHEN n >= 2 THEN parts[n - 1] ELSE 'unknown' END AS archive_label, lower(parts[n]) AS basename, regexp_replace(label, '[^\p{L}\p{N}_-]', '_', 'g') AS safe FROM p",
+    ),
+    "class_folders": (
+        lambda s, d: tables.class_folders(v.dirty_meta(s, d).select("sample_id", *[c.alias(n) for n, c in cleaning.path_parts(cleaning.without_prefix(F.col("filepath"), "data\\")).items()])).select("sample_id", "archive_label", "class_id"),
+        META + PATHS + " SELECT sample_id, CASE WHEN n >= 2 THEN parts[n - 1] ELSE 'unknown' END AS archive_label, (dense_rank() OVER (ORDER BY CASE WHEN n >= 2 THEN parts[n - 1] ELSE 'unknown' END) - 1)::INT AS class_id FROM p",
     ),
     "ambiguous_basenames": (
         lambda s, d: contracts.ambiguous_basenames(v.dirty_meta(s, d).select(cleaning.path_parts(F.col("filepath"))["basename"].alias("basename")), "basename"),
@@ -171,14 +219,19 @@ QUERIES = {
         lambda s, d: duplicates.hamming_pairs(hashes(s, d), 20),
         W + HASHES + f" SELECT a.id AS id_a, b.id AS id_b, {HAMMING} AS distance FROM hashes a JOIN hashes b ON a.id < b.id WHERE {HAMMING} <= 20",
     ),
+    "hamming_near_copies": (
+        lambda s, d: duplicates.hamming_pairs(near_copies(s, d), 6),
+        W + HASHES + NEAR_COPIES + f" SELECT a.id AS id_a, b.id AS id_b, {HAMMING} AS distance FROM copies a JOIN copies b ON a.id < b.id WHERE {HAMMING} <= 6",
+    ),
+    "document_pixel_hash": (pixel_hash, PIXEL_HASH),
     "hamming_pairs_banded": (
-        lambda s, d: duplicates.hamming_pairs(hashes(s, d), 15),
+        lambda s, d: duplicates.hamming_pairs(hashes(s, d), 15, bands=4),
         W + HASHES + f" SELECT a.id AS id_a, b.id AS id_b, {HAMMING} AS distance FROM hashes a JOIN hashes b ON a.id < b.id WHERE {HAMMING} <= 15",
     ),
     "candidate_pairs": (
-        lambda s, d: duplicates.candidate_pairs(images(s, d), 15),
+        lambda s, d: duplicates.candidate_pairs(image_rows(s, d), 15),
         W + HASHES + f""", images AS (SELECT h.id, low, high, array_to_string([round(x, 1)::VARCHAR FOR x IN embedding], ',') AS pixels FROM hashes h JOIN embeddings ON vec_id = h.id WHERE h.id % 29 <> 0)
-SELECT id_a, id_b, byte_identical, pixel_identical, distance, CASE WHEN pixel_identical THEN 'yes' ELSE '' END AS verified_related, CASE WHEN pixel_identical THEN 'exact decoded pixels' ELSE 'candidate only; review required' END AS review_reason
+SELECT id_a, id_b, byte_identical, pixel_identical, distance, CASE WHEN pixel_identical THEN 'yes' ELSE '' END AS verified_related, CASE WHEN pixel_identical THEN 'exact decoded pixels' ELSE 'CANDIDATE ONLY; visual/source review required' END AS review_reason
 FROM (SELECT a.id AS id_a, b.id AS id_b, a.low = b.low AND a.high = b.high AS byte_identical, a.pixels = b.pixels AS pixel_identical, {HAMMING} AS distance FROM images a JOIN images b ON a.id < b.id)
 WHERE distance <= 15 OR pixel_identical""",
     ),
@@ -231,8 +284,8 @@ WHERE distance <= 15 OR pixel_identical""",
         "SELECT doc_id, 'left' AS only_in FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang <> 'fr') UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM documents WHERE lang <> 'fr' EXCEPT SELECT doc_id FROM labels)",
     ),
     "table_fingerprint": (
-        lambda s, d: profile.table_fingerprint(v.table(s, d, "customer"), ["c_custkey", "c_name", "c_mktsegment"]),
-        "WITH r AS (SELECT sha256(c_custkey || chr(31) || c_name || chr(31) || c_mktsegment) AS h FROM customer), b AS (SELECT substr(h, 1, 3) AS bucket, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM b",
+        lambda s, d: profile.table_fingerprint(v.table(s, d, "customer"), v.table(s, d, "customer").columns),
+        DIGEST_TREE,
     ),
     "early_stopping": (
         history,

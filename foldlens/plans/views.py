@@ -134,7 +134,9 @@ def dirty_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = F.when(key % 13 == 0, F.lit(None)).when(key % 17 == 0, "n/a").when(key % 19 == 0, "150").when(key % 11 == 0, "17.5").otherwise((F.col("p_size") * 2 - 1).cast("string"))
     gender = F.element_at(F.array(*[F.lit(x) for x in (" Man", "WOMAN", "female", "Other/Unclear", "", "robot", "unknown")]), (key % 7 + 1).cast("int"))
     look = F.element_at(F.array(*[F.lit(x) for x in ("White", " black ", "Asian", "INDIAN", "Latino Hispanic", "martian", "", "unclear")]), (key % 8 + 1).cast("int"))
-    path = F.concat(F.lit("data\\"), F.when(key % 5 == 0, "Train").when(key % 5 == 1, "Val").otherwise("Test"), F.lit("/"), F.col("p_brand"), F.lit("/IMG_"), (key % 1000).cast("string"), F.lit(".PNG"))
+    split = F.when(key % 7 < 2, "").when(key % 5 == 0, "Train/").when(key % 5 == 1, "Val/").otherwise("Test/")
+    folder = F.when(key % 7 == 0, "").otherwise(F.concat("p_brand", F.lit("/")))  # some paths have two parts, some one
+    path = F.concat(F.lit("data\\"), split, folder, F.lit("IMG_"), (key % 1000).cast("string"), F.lit(".PNG"))
     return table(spark, sf_dir, "part").select(key.alias("sample_id"), age.alias("age"), gender.alias("dominant_gender"), look.alias("dominant_race"), path.alias("filepath"), "p_size", "p_retailprice", F.col("p_brand").alias("label"))
 
 
@@ -142,7 +144,7 @@ DIRTY_META = r"""dirty_meta AS (
   SELECT p_partkey AS sample_id, CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 'n/a' WHEN p_partkey % 19 = 0 THEN '150' WHEN p_partkey % 11 = 0 THEN '17.5' ELSE (p_size * 2 - 1)::VARCHAR END AS age,
          [' Man', 'WOMAN', 'female', 'Other/Unclear', '', 'robot', 'unknown'][(p_partkey % 7 + 1)::INT] AS dominant_gender,
          ['White', ' black ', 'Asian', 'INDIAN', 'Latino Hispanic', 'martian', '', 'unclear'][(p_partkey % 8 + 1)::INT] AS dominant_race,
-         'data\' || CASE p_partkey % 5 WHEN 0 THEN 'Train' WHEN 1 THEN 'Val' ELSE 'Test' END || '/' || p_brand || '/IMG_' || (p_partkey % 1000) || '.PNG' AS filepath, p_size, p_retailprice, p_brand AS label
+         'data\' || CASE WHEN p_partkey % 7 < 2 THEN '' WHEN p_partkey % 5 = 0 THEN 'Train/' WHEN p_partkey % 5 = 1 THEN 'Val/' ELSE 'Test/' END || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand || '/' END || 'IMG_' || (p_partkey % 1000) || '.PNG' AS filepath, p_size, p_retailprice, p_brand AS label
   FROM part
 ), proxies AS (
   SELECT *, try_cast(age AS DOUBLE) AS years, lower(trim(coalesce(dominant_gender, ''))) AS g, lower(trim(coalesce(dominant_race, ''))) AS r FROM dirty_meta

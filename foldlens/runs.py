@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import cleaning
 from .operators import comparison, contracts, duplicates, folds, joins, metrics, probe, profile, subgroups
+from .shared_folder import durable
 from .sources import tables
+from .sources.images import read_images
 
 AXES = ("age_proxy", "gender_proxy", "appearance_proxy", "composite_proxy", "annotation_route", "source_status")
 
@@ -66,6 +68,53 @@ def audit_data(meta: DataFrame, images: DataFrame, manifest: DataFrame | None =
     return out
 
 
+def audit_folder(
+    spark: SparkSession, root: str, meta: DataFrame, strip_prefix: str = "", flat_images: bool = False, routes: DataFrame | None = None, manifest: DataFrame | None = None, distance: int = 6, reconstruct: bool = False
+) -> dict[str, DataFrame]:
+    """``audit_data`` from a folder of images and metadata that names them by ``filepath``.
+
+    Paths lead below ``root`` once ``strip_prefix`` is gone (an error for a path without it), or, with
+    ``flat_images``, are looked up by base name, which must be unique. ``routes`` (sample_id,
+    annotation_route) joins once per image. Files are decoded once; pairs have the metadata's
+    split and label of both sides. With ``reconstruct`` the folds are the seven stratified ones of seed 42.
+    """
+    images = durable(read_images(spark, root))
+    if images.isEmpty():
+        raise contracts.ContractError("no images below the given root")
+    contracts.require_columns(meta, "filepath", "label")
+    named = meta.drop("sample_id").withColumn("original_filepath", F.col("filepath"))
+    if flat_images:
+        named = joins.by_basename(named, images, "filepath", "sample_id").withColumnRenamed("resolved", "sample_id")
+        contracts.require_none(named.filter("sample_id is null").select("original_filepath"), "metadata names files that aren't there")
+    else:
+        path = cleaning.without_prefix(F.col("filepath"), strip_prefix) if strip_prefix else cleaning.posix(F.col("filepath"))
+        named = named.withColumn("sample_id", path)
+    if routes is not None:
+        if "annotation_route" in named.columns:
+            raise contracts.ContractError("a route column is already present: reconcile the sources explicitly")
+        contracts.require_none(routes.join(images, "sample_id", "left_anti").select("sample_id"), "routes of images outside of the inventory")
+        named = joins.attach(named, routes.select("sample_id", "annotation_route"), "sample_id", validate="one_to_one")
+    named = named.drop("filepath")
+    if reconstruct:
+        manifest = folds.manifest(folds.stratified_folds(named, "sample_id", "label", 7, 42), 7, 42)
+    if manifest is not None:
+        contracts.require_none(manifest.select(F.col("id").alias("sample_id")).join(images, "sample_id", "left_anti"), "fold ids outside of the inventory")
+    out = audit_data(named, images.withColumnRenamed("sample_id", "id"), manifest, distance)
+    pairs = out["duplicate_candidates"]
+    for s in "ab":
+        told = named.select(F.col("sample_id").alias(f"id_{s}"), *[(F.col(c) if c in named.columns else F.lit("unknown")).alias(f"metadata_{c}_{s}") for c in ("split", "label")])
+        pairs = pairs.join(told, f"id_{s}", "left")
+    counts = images.agg(F.count(F.lit(1)).alias("a"), F.count_if("decode_ok").alias("b"), F.count_if(~F.col("decode_ok")).alias("c"))
+    stages = {"a": "original image files", "b": "decode success", "c": "decode failures (not automatically excluded)"}
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("stage"), F.col(c).alias("n")) for c, t in stages.items()]))
+    return out | ({"reconstructed_fold_manifest": manifest} if reconstruct else {}) | {
+        "image_inventory": images,
+        "duplicate_candidates": pairs,
+        "image_accounting": counts.select(rows.alias("r")).select("r.*"),
+        "image_characteristics_by_route": profile.numeric_profile(out["audit_metadata"], "annotation_route", ["width", "height", "bytes", "grayscale_mean"]),
+    }
+
+
 def evaluate(preds: DataFrame, meta: DataFrame, classes: list[str], manifest: DataFrame | None = None, compare: tuple[str, str] | None = None, minimum_rate_n: int = 1) -> dict[str, DataFrame]:
     """All metrics, subgroup reports and comparisons of checked predictions."""
     found = contracts.prediction_violations(preds, classes).first().asDict()
@@ -95,11 +144,17 @@ def evaluate(preds: DataFrame, meta: DataFrame, classes: list[str], manifest: Da
     return out
 
 
-def grouped_splits(meta: DataFrame, pairs: DataFrame | None = None, k: int = 7, seed: int = 42) -> dict[str, DataFrame]:
-    """Clusters of samples that share an identifier or a confirmed pair, and folds that keep them."""
+def grouped_splits(meta: DataFrame, pairs: DataFrame | None = None, k: int = 7, seed: int = 42, candidates: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Clusters of samples that share an identifier or a confirmed pair, and folds that keep them.
+
+    With ``candidates`` (id_a, id_b) the reviewed ``pairs`` must be exactly these: a review of
+    another or of a shortened list doesn't stand for the current one.
+    """
     contracts.require_none(contracts.duplicate_keys(meta, "sample_id"), "repeated ids")
     edges = [duplicates.star_edges(meta.select(F.col("sample_id").alias("id"), F.col(c).alias("entity"))) for c in ("patient_id", "case_id", "parent_id", "acquisition_session") if c in meta.columns]
     if pairs is not None:
+        if candidates is not None:
+            contracts.require_none(duplicates.stale_reviews(pairs, candidates), "a review that differs from the current candidates")
         contracts.require_none(duplicates.review_violations(pairs), "pairs that nobody has reviewed")
         edges.append(pairs.filter(F.lower(F.trim("verified_related")) == "yes").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     if not edges:
@@ -115,7 +170,7 @@ def grouped_splits(meta: DataFrame, pairs: DataFrame | None = None, k: int = 7,
     return {"manifest": manifest, "fold_counts": folds.fold_counts(manifest)}
 
 
-def rater_agreement(a: DataFrame, b: DataFrame, columns: list[str], confirmed: bool, replicates: int = 2000) -> dict[str, DataFrame]:
+def rater_agreement(a: DataFrame, b: DataFrame, columns: list[str], confirmed: bool, replicates: int = 2000, seed: str = "boot") -> dict[str, DataFrame]:
     contracts.require_consent(confirmed, "that the raters were independent")
     for side in (a, b):
         contracts.require_none(contracts.duplicate_keys(side, "sample_id"), "repeated ids")
@@ -124,7 +179,7 @@ def rater_agreement(a: DataFrame, b: DataFrame, columns: list[str], confirmed: b
     for column in columns:
         pair = a.select("sample_id", F.col(column).alias("rater_a")).join(b.select("sample_id", F.col(column).alias("rater_b")), "sample_id")
         out[f"{column}_agreement"] = comparison.agreement(pair, "rater_a", "rater_b")
-        out[f"{column}_bootstrap"] = comparison.bootstrap_kappa(pair, "rater_a", "rater_b", replicates)
+        out[f"{column}_bootstrap"] = comparison.bootstrap_kappa(pair, "rater_a", "rater_b", replicates, seed)
         out[f"{column}_table"] = pair.na.fill("MISSING").groupBy("rater_a", "rater_b").agg(F.count(F.lit(1)).alias("n"))
     return out
 
@@ -152,8 +207,11 @@ def probes(features: DataFrame, meta: DataFrame, manifest: DataFrame, columns: l
     return out
 
 
-def audit_results(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:
-    """Result files of several models: summaries, pooled subgroup counts and their curves."""
+def audit_results(spark: SparkSession, pattern: str, compare: tuple[str, str] | None = None, metric: str = "accuracy") -> dict[str, DataFrame]:
+    """Result files of several models: summaries, pooled subgroup counts and their curves.
+
+    With ``compare`` also two models' folds in pairs, with the exact sign-flip test of ``metric``.
+    """
     rows = tables.read_fold_metrics(spark, pattern)
     contracts.require_none(contracts.duplicate_keys(rows, "model", "fold"), "a fold twice")
     counts = profile.parse_counts(rows.select("model", "fold", "accuracy", "pooled_groups"), "pooled_groups").drop("pooled_groups")
@@ -162,7 +220,11 @@ def audit_results(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:
     pooled = profile.merge_counts(counts, "model").withColumn("scope", F.lit("pooled"))
     per_fold = counts.withColumns({"scope": F.concat(F.lit("fold_"), F.col("fold")), "accuracy": F.col("correct") / F.col("n")})
     both = pooled.select("model", "scope", "attribute", "group", "n", "correct", "accuracy").unionByName(per_fold.select("model", "scope", "attribute", "group", "n", "correct", "accuracy"))
-    return {
+    paired = {}
+    if compare is not None:
+        folds_of = comparison.paired_folds(rows, *compare, ["accuracy", "roc_auc_macro", "kappa", "mcc", "wga_all", "wga_filtered"])
+        paired = {"paired_folds": folds_of, "sign_flip": comparison.sign_flip(folds_of.filter(F.col("metric") == metric).select("fold", "delta"))}
+    return paired | {
         "model_summary": profile.metric_summary(rows, ["accuracy", "roc_auc_macro", "kappa", "mcc", "wga_all", "wga_filtered"], "model"),
         "subgroup_counts": pooled,
         "support_sensitivity": subgroups.wga_sensitivity(both),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import path_parts
@@ -24,19 +27,36 @@ def read_fold_metrics(spark: SparkSession, pattern: str, schema: str = FOLD_METR
     return rows.withColumn("model", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
-def read_inventory(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
-    """A recursive scan of files by ending: path parts, size and SHA-256 of the content."""
+def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
+    """A recursive scan by ending: sample_id (the path below ``root``), bytes, sha256, content and path parts.
+
+    Spark's file sources leave empty files out; they are added from the listing, which the
+    driver holds anyway.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    ending = F.lower(F.element_at(F.split("path", r"\."), -1))
-    inside = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), f"^{root.rstrip('/')}/", "")
-    rows = files.filter(ending.isin(*extensions)).select(inside.alias("sample_id"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return rows.withColumns(path_parts(F.col("sample_id")))
+    plain = lambda path: F.regexp_replace(path, r"^file:/+", "/")
+    found = files.select(plain(F.col("path")).alias("path"), "length", "content")
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").select(plain(F.col("path")).alias("path"))
+    empty = listed.join(found.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    every = found.unionByName(empty).filter(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions))
+    inside = F.regexp_replace("path", "^" + re.escape(re.sub(r"^file:/+", "/", root.rstrip("/"))) + "/", "")
+    return every.select(inside.alias("sample_id"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content").withColumns(path_parts(F.col("sample_id")))
+
+
+def read_inventory(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
+    """Files by ending without their content: path parts, size and SHA-256."""
+    return scan_files(spark, root, extensions).drop("content")
 
 
 def class_folders(inventory: DataFrame) -> DataFrame:
-    """``inventory`` with ``class_id``: the place of its folder among the sorted folder names."""
-    names = inventory.groupBy().agg(F.array_sort(F.collect_set("archive_label")).alias("names"))
-    return inventory.join(F.broadcast(names)).withColumn("class_id", (F.array_position("names", F.col("archive_label")) - 1).cast("int")).drop("names")
+    """``inventory`` with ``class_id``: the place of its folder among the sorted folder names.
+
+    Names are counted first and numbered as a table of their own, one row a class.
+    """
+    names = inventory.select("archive_label").distinct()
+    order = Window.orderBy("archive_label")  # of the distinct classes
+    numbered = names.select("archive_label", (F.row_number().over(order) - 1).alias("class_id"))
+    return inventory.join(numbered, "archive_label").select(*inventory.columns, "class_id")
 
 
 def read_json_list(spark: SparkSession, path: str) -> list[str]:
