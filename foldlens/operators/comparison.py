@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +139,44 @@ def bootstrap_kappa(raters: DataFrame, a: str, b: str, replicates: int = 200, se
     )
 
 
+#: Cells (pairs of categories that occur) that each task of the bootstrap holds at most.
+MOST_CELLS = 1 << 20
+
+
+def bootstrap_kappa_cells(raters: DataFrame, a: str, b: str, replicates: int = 2000, seed: str = "boot") -> DataFrame:
+    """``bootstrap_kappa`` at the cost of replicates x cells: a resample is drawn as the counts of its cells.
+
+    A resample of n rows is multinomial over the cells, drawn as conditional binomials, one for each
+    cell, by a generator that seed and replicate start, so reruns agree. Replicates are spread over
+    tasks; the cells, whose number is checked, go to each. Rows are only counted.
+    """
+    cells = complete_pairs(raters, a, b).groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n")).orderBy("y_true", "y_pred").limit(MOST_CELLS + 1).collect()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} pairs of categories occur")
+    names = sorted({r["y_true"] for r in cells} | {r["y_pred"] for r in cells})
+    place = {c: i for i, c in enumerate(names)}
+    true, pred = (np.array([place[r[side]] for r in cells], np.int64) for side in ("y_true", "y_pred"))
+    counts = np.array([r["n"] for r in cells], np.int64)
+
+    def draw_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = int(counts.sum())
+        for batch in batches:
+            kappas = []
+            for replicate in batch.column("id").to_pylist():
+                word = hashlib.sha256(f"{seed}|{replicate}".encode()).digest()
+                drawn = np.random.Generator(np.random.PCG64(int.from_bytes(word[:16], "big"))).multinomial(n, counts / n) if n else counts
+                t, p = (np.bincount(side, drawn, len(names)) for side in (true, pred))
+                agreed, chance = drawn[true == pred].sum() / max(n, 1), (t * p).sum() / max(n, 1) ** 2
+                kappas.append((agreed - chance) / (1 - chance) if n and chance < 1 else None)
+            yield pa.RecordBatch.from_arrays([pa.array(kappas, pa.float64())], ["kappa"])
+
+    kappas = raters.sparkSession.range(1, replicates + 1).mapInArrow(draw_some, "kappa double")
+    valid = F.count("kappa") >= 0.9 * replicates
+    return kappas.agg(
+        F.count("kappa").alias("valid"), F.when(valid, F.percentile("kappa", F.lit(0.025))).alias("kappa95_low"), F.when(valid, F.percentile("kappa", F.lit(0.975))).alias("kappa95_high")
+    )
+
+
 def perturbation_effect(original: DataFrame, changed: DataFrame) -> DataFrame:
     """Per fold: share of rows with other inputs, and the change of accuracy and log-loss.
 

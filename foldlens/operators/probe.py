@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import one_hot
 from ..functions.ordering import hashed_rank
+from ..shared_folder import durable
 
 UNKNOWN = "<UNK>"
 
@@ -115,6 +119,189 @@ def logistic_oof(rows: DataFrame, values: str, c: float = 1.0, max_iter: int = 3
         return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(fitted), sorted(sizes)))
 
 
+#: The three inputs of a probe: (name, with images, with metadata).
+BLOCKS = (("image_only", True, False), ("metadata_only", False, True), ("concat", True, True))
+
+
+def sparse_blocks(rows: DataFrame, image: str, metadata: list[str]) -> DataFrame:
+    """(id, fold, role, label, image, ones, width): ``feature_blocks`` without dense one-hot vectors.
+
+    ``ones`` has the places of the ones among ``width`` metadata features of the fold; a value unseen
+    in training has none. Codes meet the rows by a join, so a vocabulary of any size will do.
+    """
+    out = standardized(rows, image, "image").select("id", "fold", "role", "label", "image", *metadata)
+    before, ones = F.lit(0), []
+    for i, name in enumerate(metadata):
+        sizes = train_values(rows, name).groupBy("fold").agg((F.count(F.lit(1)) + 1).cast("int").alias(f"__n{i}"))  # a row a fold
+        out = encode(out, name).withColumnRenamed("code", f"__c{i}").join(sizes, "fold", "left").withColumn(f"__n{i}", F.coalesce(f"__n{i}", F.lit(1)))
+        ones.append(F.when(F.col(f"__c{i}") > 0, before + F.col(f"__c{i}")))
+        before = before + F.col(f"__n{i}")
+    places = F.array_compact(F.array(*ones)) if ones else F.array().cast("array<int>")
+    return out.select("id", "fold", "role", "label", "image", places.alias("ones"), before.alias("width"))
+
+
+class _Descent:
+    """L-BFGS of one model, which is told loss and gradient at ``point`` from outside, one pass at a time."""
+
+    def __init__(self, size: int, tolerance: float, memory: int = 10):
+        self.point, self.tolerance, self.memory = np.zeros(size), tolerance, memory
+        self.steps, self.best, self.iterations, self.done = [], None, 0, False
+
+    def tell(self, loss: float, gradient: np.ndarray) -> None:
+        """Accept the point if the loss has fallen enough, else try a shorter step; then propose the next point."""
+        if self.best is not None:
+            at, was, old = self.best
+            if loss > was + 1e-4 * self.rate * (old @ self.way) and self.rate > 1e-12:
+                self.rate /= 2
+                self.point = at + self.rate * self.way
+                return
+            s, y = self.point - at, gradient - old
+            if s @ y > 1e-12 * (y @ y):
+                self.steps = [*self.steps, (s, y)][-self.memory :]
+            self.iterations += 1
+        self.best = (self.point, loss, gradient)
+        self.done = np.abs(gradient).max() <= self.tolerance
+        if self.done:
+            return
+        way, kept = -gradient, []
+        for s, y in reversed(self.steps):
+            share = (s @ way) / (s @ y)
+            way = way - share * y
+            kept.append(share)
+        if self.steps:
+            s, y = self.steps[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y), share in zip(self.steps, reversed(kept), strict=True):
+            way = way + (share - (y @ way) / (s @ y)) * s
+        self.way, self.rate = way, 1.0 if self.steps else min(1.0, 1 / np.abs(gradient).max())
+        self.point = self.point + self.rate * way
+
+
+def _design(batch: pa.RecordBatch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Images of the rows ``at``, and the places of their ones with the rows that have them."""
+    image = batch.column("image").take(pa.array(at))
+    ones = batch.column("ones").take(pa.array(at))
+    dense = image.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+    return dense, ones.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(at)), np.diff(ones.offsets.to_numpy()))
+
+
+def _scores(weights: np.ndarray, dense: np.ndarray, place: np.ndarray, row: np.ndarray, with_image: bool, with_ones: bool) -> np.ndarray:
+    """Logits of ``weights`` (classes, intercept + features)."""
+    out = np.repeat(weights[:, :1].T, len(dense), axis=0)
+    if with_image:
+        out += dense @ weights[:, 1 : 1 + dense.shape[1]].T
+    if with_ones:
+        np.add.at(out, row, weights[:, 1 + (dense.shape[1] if with_image else 0) + place].T)
+    return out
+
+
+def logistic_joint(rows: DataFrame, blocks: tuple = BLOCKS, c: float = 1.0, tolerance: float = 1e-6, max_passes: int = 3000) -> DataFrame:
+    """(block, id, fold, label, predicted, p, iterations, n_features): out-of-fold multinomial logistic regressions of all folds and blocks at once.
+
+    ``rows`` are ``sparse_blocks``. The models (folds x blocks) descend side by side: one pass over
+    the training rows gives loss and gradient of every model that isn't done, summed in tasks
+    and then by a shuffle, so that the passes are as many as the slowest model needs and not
+    the sum over models. What the driver holds is the models. A model is done when no part of
+    the gradient of its mean loss exceeds ``tolerance``; one that isn't after ``max_passes``
+    is an error, and so is a fold whose training rows lack a class.
+    """
+    rows = durable(rows.withColumns({"fold": F.col("fold").cast("int"), "label": F.col("label").cast("long")}))
+    known = rows.groupBy("fold", "label").agg(F.count_if(F.col("role") == "Train").alias("n"), F.max("width").alias("width"), F.max(F.size("image")).alias("dims")).collect()
+    classes = sorted({r["label"] for r in known})
+    folds = {f: [r for r in known if r["fold"] == f] for f in sorted({r["fold"] for r in known})}
+    for fold, parts in folds.items():
+        if len([r for r in parts if r["n"]]) < len(classes):
+            raise ValueError(f"fold {fold}: the training rows lack a class")
+    sizes = {f: sum(r["n"] for r in parts) for f, parts in folds.items()}
+    shape = {(f, b): (len(classes), 1 + with_image * parts[0]["dims"] + with_ones * parts[0]["width"]) for f, parts in folds.items() for b, (_, with_image, with_ones) in enumerate(blocks)}
+    models = {m: _Descent(k * d, tolerance) for m, (k, d) in shape.items()}
+    train = rows.filter("role = 'Train'").select("fold", "label", "image", "ones")
+
+    def one_pass(points: dict) -> dict:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {}
+            for batch in batches:
+                fold, label = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("fold", "label"))
+                for f in np.unique(fold).tolist():
+                    at = np.flatnonzero(fold == f)
+                    dense, place, row = _design(batch, at)
+                    truth = np.searchsorted(classes, label[at])
+                    for b, (_, with_image, with_ones) in enumerate(blocks):
+                        if (f, b) not in points:
+                            continue
+                        logits = _scores(points[f, b], dense, place, row, with_image, with_ones)
+                        logits -= logits.max(1, keepdims=True)
+                        norm = np.log(np.exp(logits).sum(1))
+                        loss = float((norm - logits[np.arange(len(at)), truth]).sum())
+                        off = np.exp(logits - norm[:, None])
+                        off[np.arange(len(at)), truth] -= 1
+                        g = np.zeros(shape[f, b])
+                        g[:, 0] = off.sum(0)
+                        if with_image:
+                            g[:, 1 : 1 + dense.shape[1]] = off.T @ dense
+                        if with_ones:
+                            np.add.at(g.T, 1 + (dense.shape[1] if with_image else 0) + place, off[row])
+                        was = total.get((f, b), (0.0, 0.0))
+                        total[f, b] = (was[0] + loss, was[1] + g)
+            for (f, b), (loss, g) in total.items():
+                n = g.size + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f] * n, pa.int32()), pa.array([b] * n, pa.int32()), pa.array(range(-1, n - 1), pa.int32()), pa.array(np.concatenate([[loss], g.ravel()]))], ["fold", "block", "place", "value"]
+                )
+
+        found = train.mapInArrow(sums, "fold int, block int, place int, value double").groupBy("fold", "block", "place").agg(F.sum("value").alias("value")).toArrow()
+        fold, block, place, value = (found[n].to_numpy() for n in ("fold", "block", "place", "value"))
+        out = {}
+        for f, b in points:
+            mine = (fold == f) & (block == b)
+            held = np.zeros(shape[f, b][0] * shape[f, b][1] + 1)
+            held[place[mine] + 1] = value[mine]
+            out[f, b] = held
+        return out
+
+    for _ in range(max_passes):
+        going = [m for m, d in models.items() if not d.done]
+        if not going:
+            break
+        points = {m: models[m].point.reshape(shape[m]) for m in going}
+        for m, held in one_pass(points).items():
+            n = sizes[m[0]]
+            free = points[m].copy()
+            free[:, 0] = 0  # the intercept has no penalty
+            models[m].tell(held[0] / n + (free**2).sum() / (2 * c * n), held[1:] / n + free.ravel() / (c * n))
+    if late := [m for m, d in models.items() if not d.done]:
+        raise ValueError(f"fold {late[0][0]}: the probe has not converged after {max_passes} passes")
+    fitted = {m: (d.best[0].reshape(shape[m]), d.iterations) for m, d in models.items()}
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            for f in np.unique(fold).tolist():
+                at = np.flatnonzero(fold == f)
+                dense, place, row = _design(batch, at)
+                kept = [batch.column(n).take(pa.array(at)) for n in ("id", "fold", "label")]
+                for b, (name, with_image, with_ones) in enumerate(blocks):
+                    weights, iterations = fitted[f, b]
+                    logits = _scores(weights, dense, place, row, with_image, with_ones)
+                    p = np.exp(logits - logits.max(1, keepdims=True))
+                    p /= p.sum(1, keepdims=True)
+                    guess = np.array(classes)[p.argmax(1)]
+                    more = [pa.array(guess.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64())), *(pa.array([v] * len(at), pa.int32()) for v in (iterations, weights.shape[1] - 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), *kept, *more], ["block", "id", "fold", "label", "predicted", "p", "iterations", "n_features"])
+
+    test = rows.filter("role = 'Test'").select("id", "fold", "label", "image", "ones")
+    kind = dict(test.dtypes)["id"]
+    return test.mapInArrow(predict, f"block string, id {kind}, fold int, label long, predicted long, p array<double>, iterations int, n_features int")
+
+
+def joint_fold_log(predicted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, fold, n_train, n_test, n_features, accuracy, iterations) of ``logistic_joint``."""
+    hit = F.avg((F.col("label") == F.col("predicted")).cast("double"))
+    tested = predicted.groupBy("block", "fold").agg(F.count(F.lit(1)).alias("n_test"), F.max("n_features").alias("n_features"), hit.alias("accuracy"), F.max("iterations").alias("iterations"))
+    trained = blocks.groupBy("fold").agg(F.count_if(F.col("role") == "Train").alias("n_train"))
+    return tested.join(trained, "fold").select("block", "fold", "n_train", "n_test", "n_features", "accuracy", "iterations")
+
+
 def permuted(rows: DataFrame, columns: list[str], mode: str, seed: str = "perm") -> DataFrame:
     """``rows`` (id, fold, columns) with columns shuffled within each fold.
 

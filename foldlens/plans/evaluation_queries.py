@@ -337,6 +337,7 @@ QUERIES = {
         W + v.RATERS + ", labelled AS (SELECT 'raters' AS model, * FROM rated), " + ovr_sql("labelled", "model", "['0', '1']") + f", o AS ({OVERALL_TAIL.strip().removeprefix(',').replace('sums AS', 'WITH sums AS', 1)}), h AS (SELECT count(*) FILTER (y_true = y_pred) AS c, count(*) AS n FROM rated) SELECT h.n, (SELECT count(*) FROM raters) - h.n AS missing_pairs, {R('h.c / h.n::DOUBLE', 'agreement')}, {_bounds(('h.c', 'h.n', 'agreement'))}, o.kappa FROM o CROSS JOIN h",
     ),
     "bootstrap_kappa": (lambda s, d: comparison.bootstrap_kappa(v.raters(s, d), "rater_a", "rater_b", 2000), BOOT_SQL),
+    "bootstrap_kappa_cells": (lambda s, d: comparison.bootstrap_kappa_cells(v.raters(s, d), "rater_a", "rater_b", 2000), None),
     "prediction_contract_violations": (
         lambda s, d: contracts.prediction_violations(orders(s, d), ["F", "O"]),
         ORDERS + " SELECT 0::BIGINT AS missing_fields, (count(*) FILTER (y_true NOT IN ('F', 'O') OR y_pred NOT IN ('F', 'O')))::BIGINT AS unknown_labels, count(*) AS invalid_probabilities, 0::BIGINT AS not_summing_to_one, (count(*) FILTER (['F', 'O'][list_position(p, list_max(p))] <> y_pred))::BIGINT AS argmax_mismatches, 0::BIGINT AS repeated_predictions, 0::BIGINT AS disagreeing_truths FROM pred_orders",

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,12 +77,11 @@ def encoded(rows: DataFrame) -> DataFrame:
 
 
 def one_hot_sizes(rows: DataFrame) -> DataFrame:
-    from ..functions.arrays import one_hot
-
-    vocabulary = probe.train_vocabulary(rows, "value")
-    hot = one_hot(F.col("value").cast("string"), F.col("vocabulary"))
-    ones = F.aggregate(hot, F.lit(0.0), lambda a, x: a + x)
-    return rows.join(F.broadcast(vocabulary), "fold").select("id", "fold", F.size(hot).alias("width"), (F.array_position(hot, F.lit(1.0)) - 1).alias("place"), ones.alias("ones"))
+    """The sparse one-hot vector of each value: its width, and the place of its one, if any."""
+    widths = probe.train_values(rows, "value").groupBy("fold").agg((F.count(F.lit(1)) + 1).cast("int").alias("width"))
+    code = F.col("code")
+    known = probe.encode(rows, "value").join(widths, "fold")
+    return known.select("id", "fold", "width", F.when(code > 0, code).otherwise(-1).cast("long").alias("place"), (code > 0).cast("int").cast("double").alias("ones"))
 
 
 def oof(spark, d) -> DataFrame:
@@ -116,11 +111,7 @@ def logistic(spark, d) -> DataFrame:
     """Out-of-fold probes of the vectors, of the documents' attributes with their ids, and of both."""
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
     rows = probe_rows(spark, d).join(docs, "id", "left").na.fill("missing", ["lang", "source"])
-    blocks = probe.feature_blocks(rows, "embedding", ["lang", "source"])
-    blocks = blocks.select("id", "fold", "role", "label", *(names := ["image_only", "metadata_only", "concat"])).cache()
-    with ThreadPoolExecutor(len(names)) as pool:
-        parts = pool.map(inheritable_thread_target(lambda b: probe.logistic_oof(blocks, b).select(F.lit(b).alias("block"), "*")), names)
-        return reduce(DataFrame.unionByName, parts)
+    return probe.logistic_joint(probe.sparse_blocks(rows, "embedding", ["lang", "source"]))
 
 
 def permutation(spark, d, mode: str) -> DataFrame:
@@ -193,7 +184,7 @@ QUERIES = {
     "cluster_role_violations": (lambda s, d: folds.role_violations(group_roles(numbered(clustered(s, d)))), W + LINE_MANIFEST + CROSSED),
     "missing_training_classes": (
         lambda s, d: folds.missing_training_classes(v.manifest(s, d).filter("not (fold = 3 and label = 4)").unionByName(v.manifest(s, d).filter("fold = 3 and label = 4 and role = 'Test'"))),
-        "SELECT 3::INT AS fold, 4::INT AS label",
+        W + v.MANIFEST + ", m AS (SELECT * FROM manifest WHERE NOT (fold = 3 AND label = 4 AND role <> 'Test')) SELECT fold, label FROM (SELECT DISTINCT fold FROM m), (SELECT DISTINCT label FROM m) WHERE (fold, label) NOT IN (SELECT (fold, label) FROM m WHERE role = 'Train')",
     ),
     "count_fingerprint": (
         lambda s, d: folds.count_fingerprint(v.pred_docs(s, d), v.pred_docs(s, d).filter("sample_id % 50 <> 0"), ["lang", "source"]),

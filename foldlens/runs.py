@@ -179,7 +179,7 @@ def rater_agreement(a: DataFrame, b: DataFrame, columns: list[str], confirmed: b
     for column in columns:
         pair = a.select("sample_id", F.col(column).alias("rater_a")).join(b.select("sample_id", F.col(column).alias("rater_b")), "sample_id")
         out[f"{column}_agreement"] = comparison.agreement(pair, "rater_a", "rater_b")
-        out[f"{column}_bootstrap"] = comparison.bootstrap_kappa(pair, "rater_a", "rater_b", replicates, seed)
+        out[f"{column}_bootstrap"] = comparison.bootstrap_kappa_cells(pair, "rater_a", "rater_b", replicates, seed)
         out[f"{column}_table"] = pair.na.fill("MISSING").groupBy("rater_a", "rater_b").agg(F.count(F.lit(1)).alias("n"))
     return out
 
@@ -195,15 +195,18 @@ def probes(features: DataFrame, meta: DataFrame, manifest: DataFrame, columns: l
     contracts.require_none(folds.held_out_once_violations(meta.select(F.col("sample_id").alias("id")), manifest), "rows not held out exactly once")
     rows = manifest.select("id", "fold", "role").join(meta.withColumnRenamed("sample_id", "id").select("id", "label", *columns), "id")
     rows = rows.join(features.withColumnRenamed("sample_id", "id").select("id", "features"), "id")
-    inputs = [(block, rows, block) for block in ("image_only", "metadata_only", "concat")]
+    blocks = probe.sparse_blocks(rows, "features", columns)
+    predicted = probe.logistic_joint(blocks)
+    log = probe.joint_fold_log(predicted, blocks)
+    out = {}
+    for name, _, _ in probe.BLOCKS:
+        out |= {f"{name}_predictions": predicted.filter(F.col("block") == name).drop("block"), f"{name}_folds": log.filter(F.col("block") == name).drop("block")}
     for repeat in range(train_control_repeats):
         for mode, name in (("joint", "joint_tuple"), ("independent", "independent_columns")):
-            inputs.append((f"{name}_train_randomized_r{repeat}", probe.randomized_training(rows, columns, mode, f"{seed}|{repeat}"), "concat"))
-    out = {}
-    for name, given, block in inputs:
-        blocks = probe.feature_blocks(given, "features", columns)
-        predicted = probe.logistic_oof(blocks, block)
-        out |= {f"{name}_predictions": predicted, f"{name}_folds": probe.fold_log(predicted, blocks, block)}
+            moved = probe.sparse_blocks(probe.randomized_training(rows, columns, mode, f"{seed}|{repeat}"), "features", columns)
+            control = probe.logistic_joint(moved, probe.BLOCKS[2:])
+            title = f"{name}_train_randomized_r{repeat}"
+            out |= {f"{title}_predictions": control.drop("block"), f"{title}_folds": probe.joint_fold_log(control, moved).drop("block")}
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldlens import __main__ as cli
 from foldlens import runs
 from foldlens.functions import ordering
-from foldlens.operators import comparison, duplicates, metrics, profile
+from foldlens.operators import comparison, duplicates, metrics, probe, profile
 
 
 def near_hashes(n, seed):
@@ -138,3 +138,59 @@ def test_runs_leave_their_provenance(spark, tmp_path):
     cli.main(["splits", "--metadata", str(meta), "--out", str(tmp_path / "again"), "--confirm-hash-order", "--seed", "7"])
     again = json.loads(next((tmp_path / "again" / "provenance").glob("part-*.json")).read_text())
     assert again["reports"] == told["reports"]
+
+
+def probe_rows(spark, n=120):
+    rng = random.Random(6)
+    rows = [(i, fold, rng.choice(["Train"] * 3 + ["Test"]), i % 3, [rng.gauss(i % 3, 2), rng.gauss(0, 1), 7.0], rng.choice("abc") + str(i % 3 if rng.random() < 0.5 else 9), rng.choice("xyz")) for i in range(n) for fold in (1, 2, 5)]
+    rows += [(1000 + i, 1, "Test", i % 3, [0.0, 0.0, 0.0], "unseen", None) for i in range(3)]
+    return spark.createDataFrame(rows, "id long, fold int, role string, label int, x array<double>, site string, device string")
+
+
+def test_joint_probes_equal_separate_fits(spark):
+    rows = probe_rows(spark)
+    sparse, dense = probe.sparse_blocks(rows, "x", ["site", "device"]), probe.feature_blocks(rows, "x", ["site", "device"])
+    joint = probe.logistic_joint(sparse)
+    for block, _, _ in probe.BLOCKS:
+        one = {(r["id"], r["fold"]): r for r in probe.logistic_oof(dense, block).collect()}
+        got = {(r["id"], r["fold"]): r for r in joint.filter(F.col("block") == block).collect()}
+        assert set(one) == set(got)
+        assert max(abs(a - b) for k in one for a, b in zip(one[k]["p"], got[k]["p"], strict=True)) < 2e-3
+        assert {r["n_features"] for r in got.values()} == {r[0] for r in dense.filter("role = 'Test'").select(F.size(block)).distinct().collect()}
+    log = {(r["block"], r["fold"]): r for r in probe.joint_fold_log(joint, sparse).collect()}
+    assert len(log) == 9 and all(r["n_train"] + r["n_test"] in (120, 123) and 0 < r["iterations"] < 200 for r in log.values())
+
+
+def test_joint_probes_reach_the_minimum(spark):
+    """The gradient of the penalised loss, in plain loops, is below the bound at what the models predict by."""
+    import numpy as np
+
+    rows = probe.sparse_blocks(probe_rows(spark), "x", ["site", "device"]).cache()
+    # the first order condition: training residuals times features equal the penalty's pull
+    told = []
+    real = probe._Descent.tell
+    probe._Descent.tell = lambda self, loss, gradient: (real(self, loss, gradient), told.append((id(self), self.done, np.abs(gradient).max(), loss)))[0]
+    try:
+        probe.logistic_joint(rows)
+    finally:
+        probe._Descent.tell = real
+    assert len({t[0] for t in told}) == 9 and sorted(t[1] for t in told).count(True) == 9
+    assert all(t[2] <= 1e-6 for t in told if t[1])
+    passes = max(sum(t[0] == m for t in told) for m in {t[0] for t in told})
+    assert passes < 120  # passes over the rows for all nine models together
+    with pytest.raises(ValueError, match="converged"):
+        probe.logistic_joint(rows, max_passes=3)
+    with pytest.raises(ValueError, match="lack a class"):
+        probe.logistic_joint(rows.filter("not (role = 'Train' and label = 2 and fold = 5)"))
+
+
+def test_cells_are_drawn_as_rows_are(spark):
+    rng = random.Random(8)
+    rows = [(str(i), a, a if rng.random() < 0.7 else rng.choice("pqr")) for i in range(200) for a in [rng.choice("pqr")]] + [("x", "p", ""), ("y", None, "q")]
+    raters = spark.createDataFrame(rows, "sample_id string, a string, b string")
+    slow, fast = (f(raters, "a", "b", 400).first() for f in (comparison.bootstrap_kappa, comparison.bootstrap_kappa_cells))
+    assert fast["valid"] == slow["valid"] == 400
+    assert abs(fast["kappa95_low"] - slow["kappa95_low"]) < 0.03 and abs(fast["kappa95_high"] - slow["kappa95_high"]) < 0.03
+    assert comparison.bootstrap_kappa_cells(raters, "a", "b", 400).first() == fast
+    assert comparison.bootstrap_kappa_cells(raters.filter("a = 'p'").withColumn("b", F.lit("p")), "a", "b", 50).first()["kappa95_low"] is None
+    assert comparison.bootstrap_kappa_cells(raters.limit(0), "a", "b", 50).first()["valid"] == 0

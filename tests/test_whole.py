@@ -113,7 +113,8 @@ def test_all_folds_are_returned(spark, name, rows):
 @fixtures
 def test_logistic_probe_has_all_blocks(spark, monkeypatch):
     # the fits take minutes; here only what they get
-    monkeypatch.setattr(probe, "logistic_oof", lambda rows, block: rows.select("id", "fold", F.size(block).alias("width")))
+    width = lambda x, m: F.size("image") * int(x) + F.col("width") * int(m)
+    monkeypatch.setattr(probe, "logistic_joint", lambda rows: rows.select("id", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), width(x, m).alias("width")) for b, x, m in probe.BLOCKS])).alias("b")).select("id", "b.*"))
     got = catalog.QUERIES["logistic_probe_oof"](spark, SF).groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("width").alias("width")).collect()
     width = {r.block: r.width for r in got}
     assert {r.n for r in got} == {3500} and width["image_only"] == 64 and width["concat"] == 64 + width["metadata_only"] > 64
