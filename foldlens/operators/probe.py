@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import one_hot
 from ..functions.ordering import hashed_rank
 from ..shared_folder import durable
+from .comparison import perturbation_effect
 
 UNKNOWN = "<UNK>"
 
@@ -317,6 +318,23 @@ def permuted(rows: DataFrame, columns: list[str], mode: str, seed: str = "perm")
     return base.select("id", "fold", *columns)
 
 
+def permutation_effects(rows: DataFrame, columns: list[str], predict: Callable[[DataFrame], DataFrame], repeats: int = 20, seed: str = "perm") -> DataFrame:
+    """(condition, repeat, fold, n, original_accuracy, permuted_accuracy, delta_accuracy, delta_log_loss, changed).
+
+    ``predict`` turns ``rows`` (id, fold, columns and what else it needs) into predictions
+    (sample_id, fold, y_true, y_pred, own_p, inputs). Each repeat permutes ``columns`` within folds, by whole tuples and
+    column by column, with hashed orders of its own; what isn't permuted stays with its id.
+    """
+    rest = rows.select("id", "fold", *[c for c in rows.columns if c not in ("id", "fold", *columns)])
+    original, out = predict(rows), []
+    for repeat in range(repeats):
+        for mode, condition in (("joint", "joint_tuple"), ("independent", "independent_columns")):
+            moved = permuted(rows.select("id", "fold", *columns), columns, mode, f"{seed}|{repeat}").join(rest, ["id", "fold"])
+            effect = perturbation_effect(original, predict(moved))
+            out.append(effect.select(F.lit(condition).alias("condition"), F.lit(repeat).alias("repeat"), "*", (F.col("original_accuracy") + F.col("delta_accuracy")).alias("permuted_accuracy")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def feature_blocks(rows: DataFrame, image: str, metadata: list[str]) -> DataFrame:
     """``rows`` with the three inputs of a probe: image_only, metadata_only and concat.
 

@@ -66,7 +66,8 @@ def wga_sensitivity(groups: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS)
     enough = F.col("n") >= F.col("minimum_n")
     ranked = F.array_sort(F.collect_list(F.when(enough, F.struct("accuracy", "group"))))
     return rows.groupBy(*keys, "minimum_n").agg(
-        F.count_if(enough).alias("groups_retained"), F.count(F.lit(1)).alias("groups_total"),
+        F.count_if(enough).alias("groups_retained"), F.count_if(~enough).alias("groups_excluded"), F.count(F.lit(1)).alias("groups_total"),
+        F.coalesce(F.sum(F.when(enough, F.col("n"))), F.lit(0)).alias("images_retained"), F.sum("n").alias("images_total"),
         ratio(F.coalesce(F.sum(F.when(enough, F.col("n"))), F.lit(0)), F.sum("n")).alias("coverage"),
         F.min(F.when(enough, F.col("accuracy"))).alias("wga"),
         F.to_json(F.transform(ranked, lambda r: r["group"])).alias("ranks_low_to_high"),

@@ -288,7 +288,7 @@ QUERIES = {
     ),
     "wga_sensitivity": (
         lambda s, d: subgroups.wga_sensitivity(subgroups.subgroup_accuracy(order_rows(s, d))),
-        ORDER_ROWS + GROUPS + f""" SELECT model, scope, attribute, minimum_n, count(*) FILTER (n >= minimum_n) AS groups_retained, count(*) AS groups_total, {R("coalesce(sum(n) FILTER (n >= minimum_n), 0) / sum(n)::DOUBLE", "coverage")}, {R("min(correct / n::DOUBLE) FILTER (n >= minimum_n)", "wga")},
+        ORDER_ROWS + GROUPS + f""" SELECT model, scope, attribute, minimum_n, count(*) FILTER (n >= minimum_n) AS groups_retained, count(*) FILTER (n < minimum_n) AS groups_excluded, count(*) AS groups_total, coalesce(sum(n) FILTER (n >= minimum_n), 0)::BIGINT AS images_retained, sum(n)::BIGINT AS images_total, {R("coalesce(sum(n) FILTER (n >= minimum_n), 0) / sum(n)::DOUBLE", "coverage")}, {R("min(correct / n::DOUBLE) FILTER (n >= minimum_n)", "wga")},
           '[' || coalesce(string_agg('"' || "group" || '"', ',' ORDER BY correct / n::DOUBLE, "group") FILTER (n >= minimum_n), '') || ']' AS ranks_low_to_high FROM grouped CROSS JOIN {THRESHOLDS} GROUP BY ALL""",
     ),
     "rate_table": (

@@ -119,34 +119,56 @@ def permutation(spark, d, mode: str) -> DataFrame:
     return probe.permuted(docs, ["lang", "source"], mode)
 
 
-def _permuted_sql(mode: str) -> str:
-    base = W + "docs AS (SELECT doc_id AS id, (doc_id % 7 + 1)::INT AS fold, lang, source FROM documents), base AS (SELECT id, fold, row_number() OVER (PARTITION BY fold ORDER BY md5('perm|base|' || id), id) AS place FROM docs)"
-    ranked = "SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY md5('perm|{name}|' || id), id) AS place, {part} FROM docs"
+def _permuted_sql(mode: str, seed: str = "perm") -> str:
+    base = W + f"docs AS (SELECT doc_id AS id, (doc_id % 7 + 1)::INT AS fold, lang, source FROM documents), base AS (SELECT id, fold, row_number() OVER (PARTITION BY fold ORDER BY md5('{seed}|base|' || id), id) AS place FROM docs)"
+    ranked = "SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY md5('{seed}|{name}|' || id), id) AS place, {part} FROM docs"
     if mode == "joint":
-        return f"{base} SELECT base.id, base.fold, lang, source FROM base JOIN ({ranked.format(name='tuple', part='lang, source')}) USING (fold, place)"
-    return f"{base} SELECT base.id, base.fold, lang, source FROM base JOIN ({ranked.format(name='lang', part='lang')}) USING (fold, place) JOIN ({ranked.format(name='source', part='source')}) USING (fold, place)"
+        return f"{base} SELECT base.id, base.fold, lang, source FROM base JOIN ({ranked.format(seed=seed, name='tuple', part='lang, source')}) USING (fold, place)"
+    return f"{base} SELECT base.id, base.fold, lang, source FROM base JOIN ({ranked.format(seed=seed, name='lang', part='lang')}) USING (fold, place) JOIN ({ranked.format(seed=seed, name='source', part='source')}) USING (fold, place)"
+
+
+def guessed(df: DataFrame) -> DataFrame:
+    """Whether a text is long, predicted by a rule that only sees lang."""
+    truth = F.when(F.col("long"), "1").otherwise("0")
+    guess = F.when(F.col("lang") == "en", "1").otherwise("0")
+    return df.select(F.col("id").alias("sample_id"), "fold", truth.alias("y_true"), guess.alias("y_pred"), F.when(truth == guess, 0.8).otherwise(0.2).alias("own_p"), F.concat_ws("|", "lang", "source").alias("inputs"))
+
+
+def long_docs(spark, d) -> DataFrame:
+    return v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 + 1).cast("int").alias("fold"), "lang", "source", (F.length("text") >= 400).alias("long"))
 
 
 def perturbation(spark, d) -> DataFrame:
-    """What the joint shuffle changes, for a predictor that only sees lang."""
-    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 + 1).cast("int").alias("fold"), "lang", "source", (F.length("text") >= 400).alias("long"))
+    """What the joint shuffle changes."""
+    docs = long_docs(spark, d)
     moved = probe.permuted(docs.select("id", "fold", "lang", "source"), ["lang", "source"], "joint").join(docs.select("id", "long"), "id")
+    return comparison.perturbation_effect(guessed(docs), guessed(moved))
 
-    def predicted(df: DataFrame) -> DataFrame:
-        truth = F.when(F.col("long"), "1").otherwise("0")
-        guess = F.when(F.col("lang") == "en", "1").otherwise("0")
-        return df.select(F.col("id").alias("sample_id"), "fold", truth.alias("y_true"), guess.alias("y_pred"), F.when(truth == guess, 0.8).otherwise(0.2).alias("own_p"), F.concat_ws("|", "lang", "source").alias("inputs"))
 
-    return comparison.perturbation_effect(predicted(docs), predicted(moved))
+def permutation_repeats(spark, d) -> DataFrame:
+    """Both shuffles, twice."""
+    effects = probe.permutation_effects(long_docs(spark, d), ["lang", "source"], guessed, 2)
+    rounded = ("original_accuracy", "delta_accuracy", "delta_log_loss", "changed")
+    return effects.withColumns({**{c: F.round(c, 9) for c in rounded}, "permuted_accuracy": F.round("permuted_accuracy", 6)})
 
 
-PERTURBED = _permuted_sql("joint").replace(" SELECT base.id, base.fold, lang", ", moved AS (SELECT base.id, base.fold, lang") + f""")
+def _perturbed_sql(mode: str, seed: str) -> str:
+    return _permuted_sql(mode, seed).replace(" SELECT base.id, base.fold, lang", ", moved AS (SELECT base.id, base.fold, lang") + f""")
 , truth AS (SELECT doc_id AS id, (length(text) >= 400)::INT AS y FROM documents)
 , both_ AS (SELECT o.fold, y, (o.lang = 'en')::INT AS y0, (m.lang = 'en')::INT AS y1, o.lang <> m.lang OR o.source <> m.source AS moved_ FROM docs o JOIN moved m USING (id) JOIN truth USING (id))
 SELECT fold, count(*) AS n, {R("avg((y = y0)::INT)", "original_accuracy")}, {R("avg((y = y1)::INT) - avg((y = y0)::INT)", "delta_accuracy")},
        {R("avg(-ln(CASE WHEN y = y1 THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END)) - avg(-ln(CASE WHEN y = y0 THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END))", "delta_log_loss")}, {R("avg(moved_::INT)", "changed")} FROM both_ GROUP BY fold"""
 
 
+PERTURBED = _perturbed_sql("joint", "perm")
+REPEATED = " UNION ALL ".join(
+    f"""SELECT '{condition}' AS condition, {repeat}::INT AS "repeat", fold, n, round(original_accuracy, 9) AS original_accuracy, round(delta_accuracy, 9) AS delta_accuracy, round(delta_log_loss, 9) AS delta_log_loss,
+    round(changed, 9) AS changed, round(original_accuracy + delta_accuracy, 6) AS permuted_accuracy FROM ({_perturbed_sql(mode, f"perm|{repeat}")})"""
+    for repeat in range(2)
+    for mode, condition in (("joint", "joint_tuple"), ("independent", "independent_columns"))
+)
+
+
 def sample(spark, d) -> DataFrame:
     return folds.stratified_sample(v.table(spark, d, "documents"), "doc_id", "lang", 100)
 
@@ -213,4 +235,5 @@ QUERIES = {
     "permutation_joint": (lambda s, d: permutation(s, d, "joint"), _permuted_sql("joint")),
     "permutation_independent": (lambda s, d: permutation(s, d, "independent"), _permuted_sql("independent")),
     "perturbation_effect": (perturbation, PERTURBED),
+    "permutation_repeats": (permutation_repeats, REPEATED),
 }

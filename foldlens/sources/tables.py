@@ -12,6 +12,7 @@ from ..functions.cleaning import path_parts
 
 #: File name endings of images.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
+#: The columns of the files that are read.
 METADATA = "filepath string, split string, label string, age string, dominant_gender string, dominant_race string"
 FOLD_METRICS = "fold int, accuracy double, roc_auc_macro double, kappa double, mcc double, wga_all double, eod_all double, wga_filtered double, eod_filtered double, pooled_groups string"
 
@@ -76,8 +77,8 @@ def notebook_outputs(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.select("path", "cell", F.array_join(texts, "\n").alias("text"))
 
 
-#: The summary that evaluation cells print.
-SCALARS = r"Accuracy\s*:\s*([\d.]+)\s*Macro ROC AUC\s*:\s*([\d.]+)\s*Cohen's Kappa\s*:\s*([\d.]+)\s*Matthews CorrCoef\s*:\s*([\d.]+)"
+#: The summary that evaluation cells print, and the span of a printed report.
+SCALARS = r"--- Overall Scalar Metrics ---\s*Accuracy\s*:\s*([\d.]+)\s*Macro ROC AUC\s*:\s*([\d.]+)\s*Cohen's Kappa\s*:\s*([\d.]+)\s*Matthews CorrCoef\s*:\s*([\d.]+)"
 
 
 def scalar_metrics(outputs: DataFrame) -> DataFrame:
@@ -85,3 +86,23 @@ def scalar_metrics(outputs: DataFrame) -> DataFrame:
     found = outputs.select("path", "cell", F.explode(F.regexp_extract_all("text", F.lit(f"({SCALARS})"), F.lit(1))).alias("m"))
     part = lambda i: F.regexp_extract("m", SCALARS, i).cast("double")
     return found.select("path", "cell", part(1).alias("accuracy"), part(2).alias("auc"), part(3).alias("kappa"), part(4).alias("mcc"))
+
+
+REPORT = r"precision\s+recall\s+f1-score\s+support[\s\S]*?weighted avg[^\n]*"
+
+
+def notebook_reports(outputs: DataFrame) -> DataFrame:
+    """(path, cell, report, text) of each printed classification report; reports of a cell are numbered from 0."""
+    found = F.posexplode(F.regexp_extract_all("text", F.lit(f"({REPORT})"), F.lit(1)))
+    return outputs.select("path", "cell", found.alias("report", "text"))
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    """(path, cell, report, cls, precision, recall, f1, support): the lines of printed reports as numbers; accuracy has only f1 and support."""
+    line = F.explode(F.split("text", "\n"))
+    pattern = r"^\s*(.+?)\s+(?:([\d.]+)\s+([\d.]+)\s+)?([\d.]+)\s+(\d+)\s*$"
+    lines = reports.select("path", "cell", "report", line.alias("line")).filter(F.col("line").rlike(pattern))
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    number = lambda i, kind: F.expr(f"try_cast(nullif(p{i}, '') as {kind})")
+    cut = lines.select("path", "cell", "report", *[part(i).alias(f"p{i}") for i in range(1, 6)])
+    return cut.select("path", "cell", "report", F.col("p1").alias("cls"), number(2, "double").alias("precision"), number(3, "double").alias("recall"), number(4, "double").alias("f1"), number(5, "long").alias("support"))

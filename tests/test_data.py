@@ -106,3 +106,22 @@ def test_windowed_accuracy_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.group, r.n, r.correct) for r in spark.table("seen").collect()] == [("g", 2, 1)]
+
+
+def test_reports_of_notebooks(spark, tmp_path):
+    import json
+
+    from foldlens.sources import tables
+
+    report = "              precision    recall  f1-score   support\n\n     Acne top       0.90      0.80      0.85        10\n           b       1.00      0.00      0.00         2\n\n    accuracy                           0.71        12\n   macro avg       0.95      0.40      0.42        12\nweighted avg       0.92      0.67      0.71        12\n"
+    scalars = "--- Overall Scalar Metrics ---\nAccuracy : 0.9\nMacro ROC AUC : 0.8\nCohen's Kappa : 0.7\nMatthews CorrCoef : 0.6\n"
+    outputs = [{"text": [scalars, report]}, {"data": {"text/plain": [report]}}, {"text": [scalars.replace("--- Overall Scalar Metrics ---\n", "")]}]
+    (tmp_path / "n.ipynb").write_text(json.dumps({"cells": [{"outputs": []}, {"outputs": outputs}]}))
+    told = tables.notebook_outputs(spark, str(tmp_path / "*.ipynb"))
+    assert [(r["cell"], r["accuracy"], r["mcc"]) for r in tables.scalar_metrics(told).collect()] == [(1, 0.9, 0.6)]
+    reports = tables.notebook_reports(told)
+    assert sorted((r["cell"], r["report"]) for r in reports.collect()) == [(1, 0), (1, 1)]
+    rows = {r["cls"]: r for r in tables.report_rows(reports.filter("report = 0")).collect()}
+    assert set(rows) == {"Acne top", "b", "accuracy", "macro avg", "weighted avg"}
+    assert (rows["Acne top"]["precision"], rows["Acne top"]["f1"], rows["Acne top"]["support"]) == (0.9, 0.85, 10)
+    assert (rows["accuracy"]["precision"], rows["accuracy"]["f1"], rows["accuracy"]["support"]) == (None, 0.71, 12)
