@@ -9,13 +9,15 @@ spans the table or a large stratum.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hashed_rank
+from ..functions.ordering import hashed_rank, numbered
+from ..shared_folder import durable
 
 
 def seeded(seed: int | str, *parts: Column) -> Column:
@@ -89,6 +91,47 @@ def _shapes(rows: DataFrame) -> DataFrame:
     return per.groupBy("cluster").agg(F.to_json(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("shape"))
 
 
+#: Distinct vectors of counts that the greedy pass of a part gets at most.
+GREEDY = 20_000
+
+
+def _rounds(sizes: DataFrame, parts: list[str], k: int) -> tuple[DataFrame, DataFrame, dict]:
+    """(the smallest ``GREEDY`` vectors of each part, the deal of the others, what that gives each fold by label).
+
+    Clusters that equal ones don't even out are sorted by their commonest label and size, and
+    each k neighbours in that order go to k folds, forwards and backwards by turns, so that a
+    fold's sums differ by about one cluster for each label. Sorting and dealing are spread over tasks.
+    """
+    vector = F.from_json("shape", "array<struct<label:string,n:bigint>>")
+    told = sizes.withColumn("vector", vector).withColumn("total", F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    told = told.withColumn("main", F.array_max(F.transform("vector", lambda x: F.struct(x["n"], x["label"])))["label"])
+    in_part = [F.col(p) for p in parts]
+    first = lambda df: df.groupBy(*parts).agg(F.min("place").alias("first")).toDF(*[f"__{p}" for p in parts], "first")
+
+    def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+        """``df`` with place 0, 1, ... within each part."""
+        rows = numbered(df, [*in_part, *order], "place")
+        if not parts:
+            return rows.withColumn("place", F.col("place") - 1)
+        same = reduce(Column.__and__, [F.col(p).eqNullSafe(F.col(f"__{p}")) for p in parts])
+        return rows.join(first(rows), same).withColumn("place", F.col("place") - F.col("first")).drop("first", *[f"__{p}" for p in parts])
+
+    by_size = durable(placed(told, [F.col("total"), F.col("shape")]))
+    small, large = by_size.filter(F.col("place") < GREEDY).select(*sizes.columns), by_size.filter(F.col("place") >= GREEDY).drop("place")
+    left = (F.col("clusters") % k).cast("int")
+    units = large.filter(left > 0).select(*parts, "shape", "vector", "main", "total", F.explode(F.sequence(F.lit(1), left)).alias("unit"))
+    turn, at = F.expr(f"place div {k}"), (F.col("place") % k).cast("int")
+    units = placed(units, [F.col("main"), F.col("total").desc(), F.col("shape"), F.col("unit")]).withColumn("__to", F.when(turn % 2 == 0, at + 1).otherwise(k - at))
+    units = durable(units)
+    given = units.select(*parts, "__to", F.explode("vector").alias("v")).groupBy(*parts, "__to", "v.label").agg(F.sum("v.n").alias("n"))
+    begun: dict = {}
+    for r in given.collect():  # parts x folds x labels
+        begun.setdefault(tuple(r[p] for p in parts), {})[r["__to"], r["label"]] = r["n"]
+    rest = units.groupBy(*parts, "shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "__to"))), lambda x: x["__to"]).alias("rest"))  # k at most
+    dealt = large.select(*parts, "shape", (F.col("clusters") - left).alias("even")).join(rest, [*parts, "shape"], "left")
+    return small, dealt.withColumn("many", F.lit(k)), begun
+
+
 def _deal(shapes: DataFrame, parts: list[str], k: int, digest: Column) -> DataFrame:
     """(parts, cluster, dealt): each part's clusters dealt to 1 ... k, or to as many as it has clusters.
 
@@ -96,18 +139,26 @@ def _deal(shapes: DataFrame, parts: list[str], k: int, digest: Column) -> DataFr
     seeded order, m - m % k are dealt in turn, as many to each fold. The other m % k go
     through a greedy pass, the least even counts first, each to the fold that keeps the
     labels' spread smallest. That pass is sequential and one task for each part, which gets a
-    row for each distinct vector of counts, whatever the number of clusters.
+    row for each distinct vector of counts, whatever the number of clusters, and ``GREEDY`` rows
+    at most: where there are more distinct vectors, only the smallest clusters go through it,
+    and it evens out what the larger ones, dealt by ``_rounds``, have left uneven.
     """
     sizes = shapes.groupBy(*parts, "shape").agg(F.count(F.lit(1)).alias("clusters"))
+    dealt_large, begun = None, {}
+    most = sizes.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > GREEDY:
+        sizes, dealt_large, begun = _rounds(sizes, parts, k)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = begun.get(tuple(pdf[p].iloc[0] for p in parts), {})
         pdf = pdf.sort_values("shape", ignore_index=True)
         many = min(k, int(pdf["clusters"].sum()))
         vectors = [{c.get("label"): c["n"] for c in json.loads(shape)} for shape in pdf["shape"]]
-        labels = sorted({label for vector in vectors for label in vector}, key=lambda x: (x is None, x or ""))
+        labels = sorted({label for vector in vectors for label in vector} | {label for _, label in start}, key=lambda x: (x is None, x or ""))
         counts = np.array([[vector.get(label, 0) for label in labels] for vector in vectors], float)
-        weights = counts / (counts * pdf["clusters"].to_numpy(float)[:, None]).sum(axis=0) ** 2
-        spread, held, out = counts.std(axis=1), np.zeros((many, len(labels))), [[] for _ in vectors]
+        held = np.array([[start.get((f + 1, label), 0) for label in labels] for f in range(many)], float)
+        weights = counts / ((counts * pdf["clusters"].to_numpy(float)[:, None]).sum(axis=0) + held.sum(axis=0)) ** 2
+        spread, out = counts.std(axis=1), [[] for _ in vectors]
         for i in sorted(range(len(vectors)), key=lambda i: (-spread[i], -counts[i].sum(), i)):
             for _ in range(int(pdf["clusters"][i]) % many):
                 # the sum of squares over all folds grows least where this product is least
@@ -119,6 +170,8 @@ def _deal(shapes: DataFrame, parts: list[str], k: int, digest: Column) -> DataFr
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shapes.schema.fields if f.name in parts)
     dealt = sizes.withColumn("one", F.lit(1)).groupBy("one", *parts).applyInPandas(greedy, f"{kinds}shape string, even long, rest array<int>, many int")
+    if dealt_large is not None:
+        dealt = dealt.unionByName(dealt_large)
     ranked = hashed_rank(shapes, [*parts, "shape"], digest, "cluster", "place").join(dealt, [*parts, "shape"])
     in_turn = ((F.col("place") - 1) % F.col("many") + 1).cast("int")
     fold = F.when(F.col("place") <= F.col("even"), in_turn).otherwise(F.get("rest", (F.col("place") - F.col("even") - 1).cast("int")))

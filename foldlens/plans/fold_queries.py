@@ -43,9 +43,15 @@ def grouped_violations(spark, d) -> DataFrame:
     return folds.role_violations(folds.grouped_manifest(grouped(spark, d)))
 
 
-def grouped_balance(spark, d) -> DataFrame:
+def by_customer(spark, d) -> DataFrame:
+    """Lines in folds that keep customers together: larger clusters, nearly all with counts of their own."""
+    rows = v.table(spark, d, "lineitem").join(v.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ident = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return folds.grouped_folds(rows.select(ident.alias("sample_id"), F.col("l_returnflag").alias("label"), F.col("o_custkey").alias("customer")), "sample_id", "label", "customer")
+
+
+def grouped_balance(own: DataFrame) -> DataFrame:
     """What grouped folds promise, by label: every line once, no cluster split, no fold far from a seventh."""
-    own = grouped(spark, d)
     per = own.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
     spread = per.groupBy("label").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("folds"), (F.max("n") - F.min("n") <= 0.02 * F.sum("n")).alias("even"))
     split = own.groupBy("cluster").agg(F.count_distinct("fold").alias("f")).agg(F.count_if(F.col("f") > 1).alias("split_clusters"))
@@ -201,7 +207,11 @@ QUERIES = {
     ),
     "stratified_sample": (sample, SAMPLE_SQL),
     "grouped_folds": (grouped, None),
-    "grouped_fold_balance": (grouped_balance, "SELECT l_returnflag AS label, count(*) AS lines, 7::BIGINT AS folds, true AS even, 0::BIGINT AS split_clusters FROM lineitem GROUP BY l_returnflag"),
+    "grouped_fold_balance_customers": (
+        lambda s, d: grouped_balance(by_customer(s, d)),
+        "SELECT l_returnflag AS label, count(*) AS lines, 7::BIGINT AS folds, true AS even, 0::BIGINT AS split_clusters FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_returnflag",
+    ),
+    "grouped_fold_balance": (lambda s, d: grouped_balance(grouped(s, d)), "SELECT l_returnflag AS label, count(*) AS lines, 7::BIGINT AS folds, true AS even, 0::BIGINT AS split_clusters FROM lineitem GROUP BY l_returnflag"),
     "grouped_fold_violations": (grouped_violations, "SELECT l_orderkey AS cluster, 1::INT AS fold, '' AS roles, count(*) AS n FROM lineitem WHERE false GROUP BY l_orderkey"),
     "cluster_role_violations": (lambda s, d: folds.role_violations(group_roles(numbered(clustered(s, d)))), W + LINE_MANIFEST + CROSSED),
     "missing_training_classes": (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldlens import __main__ as cli
 from foldlens import runs
 from foldlens.functions import ordering
-from foldlens.operators import comparison, duplicates, metrics, probe, profile
+from foldlens.operators import comparison, duplicates, folds, metrics, probe, profile
 
 
 def near_hashes(n, seed):
@@ -194,3 +194,26 @@ def test_cells_are_drawn_as_rows_are(spark):
     assert comparison.bootstrap_kappa_cells(raters, "a", "b", 400).first() == fast
     assert comparison.bootstrap_kappa_cells(raters.filter("a = 'p'").withColumn("b", F.lit("p")), "a", "b", 50).first()["kappa95_low"] is None
     assert comparison.bootstrap_kappa_cells(raters.limit(0), "a", "b", 50).first()["valid"] == 0
+
+
+def test_grouped_folds_of_many_different_clusters(spark, monkeypatch):
+    """Beyond the bound of the greedy pass larger clusters are dealt in rounds; labels stay as even."""
+    monkeypatch.setattr(folds, "GREEDY", 60)
+    rng = random.Random(12)
+    rows = []
+    for cluster in range(700):
+        main = rng.choice("abc")
+        for label in [main] * rng.randint(1, 25) + [rng.choice(["a", "b", "c", None]) for _ in range(rng.randint(0, 9))]:
+            rows.append((len(rows), label, cluster))
+    df = spark.createDataFrame(rows, "id long, label string, cluster long")
+    own = folds.grouped_folds(df, "id", "label", "cluster").cache()
+    got = [tuple(r) for r in own.select("id", "label", "cluster", "fold").collect()]
+    assert sorted(r[:3] for r in got) == rows
+    assert all(len({r[3] for r in got if r[2] == c}) == 1 for c in range(0, 700, 7))
+    for label in ("a", "b", "c", None):
+        counts = [sum(r[1] == label and r[3] == f for r in got) for f in range(1, 8)]
+        assert max(counts) - min(counts) <= 0.02 * sum(counts) + 2, (label, counts)
+    manifest = folds.grouped_manifest(own)
+    assert folds.role_violations(manifest).isEmpty() and manifest.count() == 7 * len(rows)
+    sizes = {(r["fold"], r["role"]): r["count"] for r in manifest.groupBy("fold", "role").count().collect()}
+    assert len(sizes) == 21 and all(abs(sizes[f, "Val"] - len(rows) / 7) < 0.05 * len(rows) / 7 for f in range(1, 8))
