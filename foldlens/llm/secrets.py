@@ -25,6 +25,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -221,6 +222,7 @@ class Lexer:
 
 
 def literal_spans(text: str, base: list[Span]) -> list[Span]:
+    """Literals of sensitive names outside of ``base``, which is sorted by start."""
     found, told = set(), set()
     for name, expression in Lexer(text).pairs():
         if (worth := name_score(name)) and worth * expression.value().score() >= MIN_SCORE:
@@ -230,7 +232,10 @@ def literal_spans(text: str, base: list[Span]) -> list[Span]:
                     told.add(one)
                     left += [p for p in one.parts if isinstance(p, Expression)]
                     found |= {("literal", p[1], p[2]) for p in one.parts if not isinstance(p, Expression) and p[2] > p[1]}
-    return [s for s in found if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
+    # base is sorted by start: a span lies within one of those that begin by then if the farthest end reaches it
+    starts = [a for _, a, _ in base]
+    reach = [0, *accumulate((b for _, _, b in base), max)]
+    return [s for s in found if reach[bisect_right(starts, s[1])] < s[2]]
 
 
 def written(spans: list[Span]) -> str:
