@@ -27,7 +27,9 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -220,15 +222,22 @@ def model() -> tuple[BoostedTrees, dict[str, float]]:
 
 
 def added_spans(text: str, base: list[Span], trees: BoostedTrees, limits: dict[str, float]) -> list[Span]:
-    taken = [(a, b) for _, a, b in base]
-    free = [s for s in candidates(text) if not any(s[1] < b and a < s[2] for a, b in taken)]
+    taken = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    reach = [0, *accumulate((b for _, b in taken), max)]  # the farthest end of the spans before each
+    free = [s for s in candidates(text) if reach[bisect_left(starts, s[2])] <= s[1]]
     if not free:
         return []
     scores = trees.predict(np.array([features(text, s) for s in free]))
     kept: list[Span] = []
+    begins, ends = [], []  # of the kept spans, in order: they don't overlap, so only the last that begins before can
     for score, span in sorted(zip(scores.tolist(), free, strict=True), key=lambda x: (-x[0], x[1][1], x[1][0])):
-        if score >= limits[span[0]] and not any(span[1] < b and a < span[2] for _, a, b in kept):
-            kept.append(span)
+        if score >= limits[span[0]]:
+            at = bisect_left(begins, span[2])
+            if not at or ends[at - 1] <= span[1]:
+                kept.append(span)
+                begins.insert(at, span[1])
+                ends.insert(at, span[2])
     return kept
 
 
