@@ -11,8 +11,8 @@ sidebars, hidden parts) are left out by their name or role.
    paragraphs rise and lone long lines between menus fall.
 3. Threshold clustering: what reaches ``SPREAD`` standard deviations of the smoothed ratios
    is marked as content.
-4. Evidence: a line is worth its characters, ``FAINT`` of them if it isn't marked,
-   ``SEMANTIC`` times them within ``article`` or ``main``. A container that looks by class,
+4. Evidence: a line is worth its characters, ``MARKED`` times them if it is marked,
+   ``SEMANTIC`` times that within ``article`` or ``main``. A container that looks by class,
    id or element like a form, header, sidebar, advert or comment section is left out only
    if others have evidence too: one that holds ``WRAPPER`` of all of it (comments:
    ``DISCUSSION``) is a wrapper of the content whatever its name.
@@ -25,8 +25,9 @@ Defined results: null or empty html gives ''; unclosed and misnested tags are cl
 the next boundary of an outer element; a page without any line outside of menus, footers,
 scripts and the like gives ''; a page that ends within a tag loses that tag, while a ``<`` that
 begins none is text; repeated rows give repeated results; an empty table gives an empty
-one; columns named text or n_chars are replaced, others stay. A page's memory is its text
-and one path of container numbers for each line.
+one; columns named text or n_chars are replaced, others stay. A page costs its text, its
+lines and its elements, however deeply these are nested: a line knows its innermost element,
+an element its parent, and sums over elements are carried up once.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTAINERS = frozenset("html body div section article main center table tbody tr td form header span".split())
 SIGMA, SPREAD = 1.5, 0.5
-FAINT, SEMANTIC, WRAPPER, DISCUSSION, SHARE = 0.1, 100.0, 0.8, 0.98, 2 / 3
+MARKED, SEMANTIC, WRAPPER, DISCUSSION, SHARE = 10, 100, 0.8, 0.98, 2 / 3
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAMED = re.compile(r"<([A-Za-z][A-Za-z0-9]*)")
@@ -78,12 +79,12 @@ _ATTRIBUTE = re.compile(r"\s[A-Za-z-]+\s*=")
 
 
 class Line:
-    """Text between block boundaries; ``path`` are the numbers of its open elements, outermost first."""
+    """Text between block boundaries; ``node`` is the number of its innermost open element."""
 
-    __slots__ = ("text", "tags", "linked", "excluded", "region", "path", "tag")
+    __slots__ = ("text", "tags", "linked", "excluded", "region", "node", "tag")
 
-    def __init__(self, text, tags, linked, excluded, region, path, tag):
-        self.text, self.tags, self.linked, self.excluded, self.region, self.path, self.tag = text, tags, linked, excluded, region, path, tag
+    def __init__(self, text, tags, linked, excluded, region, node, tag):
+        self.text, self.tags, self.linked, self.excluded, self.region, self.node, self.tag = text, tags, linked, excluded, region, node, tag
 
     def ratio(self) -> float:
         return 0.0 if self.excluded else max(0, len(self.text) - self.linked) / self.tags
@@ -93,23 +94,32 @@ class Line:
 
 
 class Open:
-    """An open element: what of it its lines inherit."""
+    """An open element: what of it its lines inherit.
 
-    __slots__ = ("tag", "excluded", "region", "number", "link")
+    ``wall`` is the place among the open elements of the innermost block, ``block`` the
+    innermost tag that isn't an inline one.
+    """
 
-    def __init__(self, tag, excluded, region, number, link):
-        self.tag, self.excluded, self.region, self.number, self.link = tag, excluded, region, number, link
+    __slots__ = ("tag", "excluded", "region", "number", "link", "wall", "block")
+
+    def __init__(self, tag, excluded, region, number, link, wall, block):
+        self.tag, self.excluded, self.region, self.number, self.link, self.wall, self.block = tag, excluded, region, number, link, wall, block
 
 
 class PageLines(HTMLParser):
-    """Collects the lines of one page, and what is doubtful or a container of its elements."""
+    """Collects the lines of one page, and what is doubtful or a container of its elements.
+
+    Elements are numbered as they open, so that an element's parent has a smaller number.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         # region: the number of the outermost article or main
-        self.open: list[Open] = [Open("", False, 0, 0, False)]
-        self.tag_of: dict[int, str] = {0: ""}
+        self.open: list[Open] = [Open("", False, 0, 0, False, 0, "")]
+        self.open_tags = Counter()
+        self.tag_of: list[str] = [""]
+        self.parent: list[int] = [0]
         #: number of each doubtful element: the share of the evidence that makes it a wrapper
         self.doubtful: dict[int, float] = {}
         self.held: list[str] = []
@@ -126,12 +136,15 @@ class PageLines(HTMLParser):
             self._close_implied(tag)
         outer = self.open[-1]
         number = len(self.tag_of)
-        self.tag_of[number] = tag
+        self.tag_of.append(tag)
+        self.parent.append(outer.number)
         region = outer.region or (number if tag in CONTENT else 0)
         excluded = outer.excluded or tag in EXCLUDED or self._hidden(tag, attrs)
         if not excluded and (doubt := self._doubt(tag, attrs, bool(outer.region))):
             self.doubtful[number] = doubt
-        self.open.append(Open(tag, excluded, region, number, outer.link or tag == "a"))
+        wall = len(self.open) if tag in BLOCK else outer.wall
+        self.open.append(Open(tag, excluded, region, number, outer.link or tag == "a", wall, outer.block if tag in INLINE else tag))
+        self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -142,10 +155,13 @@ class PageLines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self._flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if self.open_tags[tag]:
+            while self.open[-1].tag != tag:
+                self._pop()
+            self._pop()
+
+    def _pop(self):
+        self.open_tags[self.open.pop().tag] -= 1
 
     def handle_data(self, data):
         self.held.append(data)
@@ -162,14 +178,10 @@ class PageLines(HTMLParser):
 
     def _close_implied(self, tag):
         """A paragraph ends before the next block, a list item before the next item."""
-        ends = "li" if tag == "li" else "p"
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i].tag
-            if name == ends:
-                del self.open[i:]
-                return
-            if name in BLOCK:
-                return
+        wall = self.open[-1].wall
+        if wall and self.open[wall].tag == ("li" if tag == "li" else "p"):
+            while len(self.open) > wall:
+                self._pop()
 
     @staticmethod
     def _hidden(tag, attrs) -> bool:
@@ -201,8 +213,7 @@ class PageLines(HTMLParser):
         self.held.clear()
         if text:
             inner = self.open[-1]
-            tag = next((o.tag for o in reversed(self.open) if o.tag not in INLINE), "")
-            self.lines.append(Line(text, max(1, self.tags), min(self.linked, len(text)), inner.excluded, inner.region, tuple(o.number for o in self.open), tag))
+            self.lines.append(Line(text, max(1, self.tags), min(self.linked, len(text)), inner.excluded, inner.region, inner.number, inner.block))
             self.tags = 0
         self.linked = 0
 
@@ -215,25 +226,38 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, weight, "valid") / np.convolve(within, weight, "valid")
 
 
-def _evidence(lines: list[Line], worth: dict[int, float]) -> Counter:
+def _summed(lines: list[Line], worth: list[int], parent: list[int]) -> list[int]:
     """The worth of the lines within each element, by its number; 0 is the page."""
-    mass = Counter()
-    for line in lines:
-        for number in line.path:
-            mass[number] += worth[id(line)]
+    mass = [0] * len(parent)
+    for line, own in zip(lines, worth, strict=True):
+        mass[line.node] += own
+    for number in range(len(parent) - 1, 0, -1):
+        mass[parent[number]] += mass[number]
     return mass
 
 
-def _region(lines: list[Line], mass: Counter, tag_of: dict[int, str]) -> tuple[int, int]:
-    """(number, depth) of the container that holds most evidence, as far down as one does."""
-    at, depth = 0, 0
-    while tag_of[at] not in CONTENT:
-        inner = {line.path[depth + 1] for line in lines if len(line.path) > depth + 1 and line.path[depth] == at}
-        best = max(inner, key=lambda n: (mass[n], -n), default=0)
-        if not best or tag_of[best] not in CONTAINERS or mass[best] < SHARE * mass[at]:
+def _within(roots: set[int], parent: list[int]) -> list[bool]:
+    """For each element whether it is one of ``roots`` or stands in one."""
+    inside = [0 in roots] * len(parent)
+    for number in range(1, len(parent)):
+        inside[number] = number in roots or inside[parent[number]]
+    return inside
+
+
+def _region(mass: list[int], page: PageLines) -> int:
+    """The container that holds most evidence, as far down as one does."""
+    best = [0] * len(mass)  # of each element's children the one with most evidence, the first of equals
+    for number in range(1, len(mass)):
+        outer = page.parent[number]
+        if mass[number] > (mass[best[outer]] if best[outer] else 0):
+            best[outer] = number
+    at = 0
+    while page.tag_of[at] not in CONTENT:
+        inner = best[at]
+        if not inner or page.tag_of[inner] not in CONTAINERS or mass[inner] < SHARE * mass[at]:
             break
-        at, depth = best, depth + 1
-    return at, depth
+        at = inner
+    return at
 
 
 def content_lines(page: PageLines) -> list[Line]:
@@ -244,29 +268,29 @@ def content_lines(page: PageLines) -> list[Line]:
     smooth = smoothed(ratios)
     limit = SPREAD * smooth.std()
     raised = {id(line) for line, s in zip(page.lines, smooth, strict=True) if not line.excluded and s >= limit}
-    worth = {id(line): len(line.text) * (1.0 if id(line) in raised else FAINT) * (SEMANTIC if line.region else 1.0) for line in free}
 
+    def evidence(lines: list[Line]) -> list[int]:
+        worth = [len(line.text) * (MARKED if id(line) in raised else 1) * (SEMANTIC if line.region else 1) for line in lines]
+        return _summed(lines, worth, page.parent)
+
+    mass = evidence(free)
     if page.doubtful:
-        mass = _evidence(free, worth)
-        gone = {n for n, share in page.doubtful.items() if mass[n] < share * mass[0]}
-        free = [line for line in free if gone.isdisjoint(line.path)]
-    mass = _evidence(free, worth)
-    at, depth = _region(free, mass, page.tag_of)
-    inside = [len(line.path) > depth and line.path[depth] == at for line in free]
+        gone = _within({n for n, share in page.doubtful.items() if mass[n] < share * mass[0]}, page.parent)
+        free = [line for line in free if not gone[line.node]]
+        mass = evidence(free)
+    at = _region(mass, page)
+    inside = _within({at}, page.parent)
     if page.tag_of[at] in CONTENT:
-        return [line for line, own in zip(free, inside, strict=True) if own]
+        return [line for line in free if inside[line.node]]
 
-    size, plain = Counter(), set()
-    for line in free:
-        size.update(line.path)
-        if not line.is_link():
-            plain.update(line.path)
-    menus = {n for n, k in size.items() if k > 2 and n not in plain}
+    size = _summed(free, [1] * len(free), page.parent)
+    plain = _summed(free, [not line.is_link() for line in free], page.parent)
+    menu = _within({n for n, k in enumerate(size) if k > 2 and not plain[n]}, page.parent)
     long = {id(line) for line, r in zip(page.lines, ratios, strict=True) if r >= limit or line.tag in HEADINGS}
     kept = []
-    for line, own in zip(free, inside, strict=True):
+    for line in free:
         beside = id(line) in raised and id(line) in long and not line.is_link()
-        if menus.isdisjoint(line.path) if own else beside:
+        if not menu[line.node] if inside[line.node] else beside:
             kept.append(line)
     return kept
 
