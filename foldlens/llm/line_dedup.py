@@ -17,8 +17,10 @@ Then each line meets the frequent keys. Up to ``BROADCAST_KEYS`` of them (16 byt
 broadcast. Beyond that only hot ones are, those that hold more than a ``HOT_SHARE`` of all
 lines, of which there can't be more than ``HOT_SHARE`` times the batches; the others meet
 their lines by a shuffle in which no key is hot. Text is never shuffled line by line: per
-document only the hashes of its frequent lines travel, and the documents are joined with
-those short lists once. Rows without an id are spread over ``NULL_SALTS`` keys there.
+document only the places of its frequent lines travel, and the documents are joined with
+those short lists once; what stays are the stretches between the places, so that a document
+costs its lines, not its lines times its frequent ones. Rows without an id are spread over
+``NULL_SALTS`` keys there.
 
 Only DataFrame functions run here.
 
@@ -122,15 +124,45 @@ class LineRuns:
 
 
 def document_keys(docs: DataFrame, id_col: str, text_col: str, min_key_chars: int, batches: int) -> DataFrame:
-    """(batch, id, th, k1, k2): the distinct line keys of each document."""
+    """(batch, id, th, k1, k2, pos, first): the lines of each document with a key.
+
+    ``pos`` is the line's place in its text, from 0; ``first`` marks one line of each key in a
+    document. Sorting the document's lines by key finds it, so that a document costs its lines
+    times their logarithm.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = F.array_distinct(
-        F.transform(
-            F.filter(F.transform(lines_of(text), line_key), lambda k: F.length(k) >= min_key_chars), key_hash
-        )
+    keyed = F.transform(lines_of(text), lambda line, at: F.struct(line_key(line).alias("key"), at.alias("pos")))
+    hashed = F.transform(
+        F.filter(keyed, lambda x: F.length(x["key"]) >= min_key_chars),
+        lambda x: F.struct(*[key_hash(x["key"])[k].alias(k) for k in KEY], x["pos"].alias("pos")),
     )
+
+    def marked(ordered: Column) -> Column:
+        before = lambda at: F.get(ordered, at - 1)
+        return F.transform(
+            ordered,
+            lambda x, at: F.struct(
+                x["k1"].alias("k1"), x["k2"].alias("k2"), x["pos"].alias("pos"),
+                (~(before(at)["k1"].eqNullSafe(x["k1"]) & before(at)["k2"].eqNullSafe(x["k2"]))).alias("first"),
+            ),
+        )
+
+    # the array around it binds the sorted lines to a name, so that they are sorted once
+    keys = F.transform(F.array(F.sort_array(hashed)), marked)[0]
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.explode(keys).alias("key"))
-    return slim.select(F.pmod(F.xxhash64("id", "th"), F.lit(batches)).cast("int").alias("batch"), "id", "th", "key.k1", "key.k2")
+    return slim.select(F.pmod(F.xxhash64("id", "th"), F.lit(batches)).cast("int").alias("batch"), "id", "th", "key.*")
+
+
+def without_lines(lines: Column, drops: Column) -> Column:
+    """``lines`` without those at the places ``drops`` (ascending, from 0): the stretches between them."""
+
+    def stretches(b: Column) -> Column:
+        ends = b["ends"]
+        gap = lambda i: F.slice(b["lines"], F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 2), gap))
+
+    ends = F.concat(F.array(F.lit(-1)), drops, F.array(F.size(lines)))
+    return F.transform(F.array(F.struct(lines.alias("lines"), ends.alias("ends"))), stretches)[0]
 
 
 def hits_of(keys: DataFrame, frequent: DataFrame, batches: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -168,13 +200,17 @@ def drop_frequent_lines(
     scratch = Scratch(spark, "line-dedup")
     keys = scratch.write(document_keys(docs, id_col, text_col, min_key_chars, batches), "keys", "batch")
     runs = LineRuns(spark, scratch, fanout, min_docs)
-    for batch in range(batches):
-        runs.add(keys.filter(F.col("batch") == batch))
-    frequent = scratch.write(runs.frequent(), "frequent")
-    hits = hits_of(keys, frequent, batches, broadcast_keys)
-    drops = durable(hits.groupBy("id", "th").agg(F.collect_set(F.struct(*KEY)).alias("drops")))
-    runs.close()
-    scratch.remove()
+    try:
+        for batch in range(batches):
+            runs.add(keys.filter((F.col("batch") == batch) & F.col("first")).select(*KEY))
+        frequent = scratch.write(runs.frequent(), "frequent")
+        hits = hits_of(keys, frequent, batches, broadcast_keys)
+        # rows that repeat a document give each place as often
+        places = F.sort_array(F.array_distinct(F.collect_list("pos")))
+        drops = durable(hits.groupBy("id", "th").agg(places.alias("drops")))
+    finally:
+        runs.close()
+        scratch.remove()
 
     salts = F.when(F.col("id").isNull(), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = drops.select("id", "th", F.explode(salts).alias("salt"), "drops")
@@ -185,14 +221,14 @@ def drop_frequent_lines(
     salt = F.when(row[id_col].isNull(), F.monotonically_increasing_id() % NULL_SALTS).otherwise(0).cast("int")
     left = left.select("row", F.xxhash64(text).alias("own"), salt.alias("own_salt"))
     same = row[id_col].eqNullSafe(F.col("id")) & (F.col("own") == F.col("th")) & (F.col("own_salt") == F.col("salt"))
-    kept = F.filter(lines_of(text), lambda line: ~F.array_contains(F.col("drops"), key_hash(line_key(line))))
-    joined = left.join(right, same, "left").select("row", F.size(lines_of(text)).cast("long").alias("lines"), F.when(F.col("drops").isNotNull(), kept).alias("kept"))
-    whole = F.col("kept").isNull()
-    own = {text_col: F.when(whole, text).otherwise(F.array_join("kept", "\n"))}
+    kept = F.when(F.col("drops").isNotNull(), without_lines(lines_of(text), F.col("drops")))
+    joined = left.join(right, same, "left").select(
+        "row", F.size(lines_of(text)).cast("long").alias("lines"), F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("gone"), kept.alias("kept")
+    )
+    own = {text_col: F.when(F.col("kept").isNull(), text).otherwise(F.array_join("kept", "\n"))}
     return joined.select(
-        *[own.get(c, row[c]).alias(c) for c in docs.columns], F.col("lines").alias("n_lines"),
-        F.when(whole, F.lit(0)).otherwise(F.col("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-    )
+        *[own.get(c, row[c]).alias(c) for c in docs.columns], F.col("lines").alias("n_lines"), F.col("gone").alias("n_dropped")
+    )
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
