@@ -1,12 +1,14 @@
 """Benchmark decontamination: Wu-Manber search for many word sequences at once.
 
 The alphabet is words. Patterns of the same length m form one searcher. A block is two
-consecutive words (one for m = 1), hashed to ``TABLE_BITS`` bits. SHIFT holds for every
+consecutive words (one for m = 1), hashed to a table of at least ``SLOTS`` slots for each
+different block of the patterns, so that it stays sparse. SHIFT holds for every
 block how far the window can move on: m - 1 for blocks that no pattern has, else the
 distance of the block's last occurrence from the pattern's end. Where SHIFT is 0 the
 block may end a pattern: the patterns with that suffix block stand together, sorted by
-suffix hash, and each is compared with the text word by word (hashes first, then the
-bytes themselves).
+the hash of their first block, and those with the text's first block are compared word by
+word (hashes first, then the bytes themselves). A pattern is the place of its first word in
+one array of all words.
 
 The scan keeps the algorithm's jumps but moves many windows together: texts are cut into
 lanes of a few hundred words that overlap by m - 1 words, and each numpy step moves every
@@ -46,91 +48,152 @@ from .words import ALPHANUMERIC, Words, packs, to_bytes
 WINDOW = 10
 #: A word before A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TABLE_BITS = 18
+#: Least size of a SHIFT table, and its slots for each different block.
+TABLE_BITS, SLOTS = 16, 8
 LANE = 256
 BLOCK_BYTES = 4 << 20
 
 
+class Book:
+    """The words of all items, one space after each: ``data``, ``start``, ``end``, ``hash``, the item's number ``owner``."""
+
+    def __init__(self, texts: list[bytes]):
+        data, start, end, hashes, owner, at = [], [], [], [], [], 0
+        for begin, stop in packs(texts):
+            words = Words(texts[begin:stop], ALPHANUMERIC)
+            inside = ALPHANUMERIC[words.data]
+            held = inside.copy()
+            held[1:] |= inside[:-1]
+            data.append(np.where(inside, words.data, np.uint8(32))[held])
+            size = words.end - words.start
+            start.append(at + np.cumsum(size + 1) - size - 1)
+            end.append(start[-1] + size)
+            hashes.append(words.hash)
+            owner.append(begin + words.doc())
+            at += len(data[-1])
+        none = np.zeros(0, np.int64)
+        self.data = np.concatenate([none.astype(np.uint8), *data])
+        self.start, self.end, self.owner = (np.concatenate([none, *x]) for x in (start, end, owner))
+        self.hash = np.concatenate([none.astype(np.uint64), *hashes])
+
+    def spelled(self, at: int, m: int) -> bytes:
+        return self.data[self.start[at] : self.end[at + m - 1]].tobytes()
+
+
+def blocks_of(hashes: np.ndarray, block: int) -> np.ndarray:
+    """The hash of the block of words that ends at each word."""
+    if block == 1 or not len(hashes):
+        return hashes
+    return np.concatenate([hashes[:1], hashes[1:] + hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)])
+
+
 class WuManber:
-    """Searches all sequences of ``m`` words of ``patterns`` (hash rows and their texts)."""
+    """Searches the sequences of ``m`` words that begin at the words ``at`` of ``book``.
+
+    Sequence i belongs to the items ``owners[owner_first[i]:owner_first[i + 1]]`` of ``names``.
+    """
 
-    def __init__(self, m: int, rows: np.ndarray, spelled: list[bytes], items: list[np.ndarray]):
-        self.m, self.rows, self.spelled, self.items = m, rows, spelled, items
+    def __init__(self, m: int, book: Book, at: np.ndarray, owners: np.ndarray, owner_first: np.ndarray, names: list[str]):
+        self.m, self.book, self.owners, self.names = m, book, owners, names
         self.block = min(2, m)
-        self.shift = np.full(1 << TABLE_BITS, m - self.block + 1, np.int16 if m < 30_000 else np.int32)
-        for at in range(self.block - 1, m):  # later positions give smaller shifts
-            self.shift[self._slot(rows, at)] = m - 1 - at
-        suffix = self._slot(rows, m - 1)
-        self.order = np.argsort(suffix, kind="stable")
-        self.suffix = suffix[self.order]
-
-    def _slot(self, rows: np.ndarray, at: int) -> np.ndarray:
-        """The block of each row of words that ends at ``at``."""
-        mixed = rows[:, at] if self.block == 1 else rows[:, at] + rows[:, at - 1] * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-    def ends(self, words: Words) -> np.ndarray:
-        """Positions of words where SHIFT is 0 and a whole window fits into the text."""
+        blocks = blocks_of(book.hash, self.block)
+        held = np.zeros(len(blocks), bool)
+        for k in range(self.block - 1, m):
+            held[at + k] = True
+        self.bits = max(TABLE_BITS, (SLOTS * len(np.unique(blocks[held])) - 1).bit_length())
+        slot = self._slot(blocks)
+        self.shift = np.full(1 << self.bits, m - self.block + 1, np.min_scalar_type(m))
+        for k in range(self.block - 1, m):  # later positions give smaller shifts
+            self.shift[slot[at + k]] = m - 1 - k
+        bucket = self._bucket(blocks, at + m - 1)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.at = bucket[order], at[order]
+        self.low, self.high = owner_first[:-1][order], owner_first[1:][order]
+
+    def _slot(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _bucket(self, blocks: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The slot of the suffix block of windows that end at ``last``, then the hash of their prefix block."""
+        suffix, prefix = blocks[last], blocks[last - self.m + self.block]
+        return (suffix >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits)) | (prefix >> np.uint64(self.bits))
+
+    def ends(self, words: Words, blocks: np.ndarray) -> tuple[np.ndarray, int]:
+        """Positions of words where SHIFT is 0 and a whole window fits into the text; how many were looked at."""
         m, first = self.m, words.first
         lengths = np.diff(first)
         texts = np.flatnonzero(lengths >= m)
         if not len(texts):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), 0
         lanes = -(-(lengths[texts] - m + 1) // LANE)
         lane = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         at = np.repeat(first[texts], lanes) + lane * LANE + m - 1
         stop = np.minimum(at + LANE, np.repeat(first[texts + 1], lanes))
-        found = []
-        mixed = words.hash if self.block == 1 else np.concatenate(
-            [words.hash[:1], words.hash[1:] + words.hash[:-1] * np.uint64(0x9E3779B97F4A7C15)]
-        )
-        step = self.shift[(mixed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        found, looked = [], 0
+        step = self.shift[self._slot(blocks)]
         while len(at):
+            looked += len(at)
             jump = step[at]
             if (hit := jump == 0).any():
                 found.append(at[hit])
             at = at + np.maximum(jump, 1)
             live = at < stop
             at, stop = at[live], stop[live]
-        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64), looked
 
     def matches(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(last word, pattern) of all true occurrences."""
-        ends = self.ends(words)
+        """(last word, sequence) of all true occurrences."""
+        blocks = blocks_of(words.hash, self.block)
+        ends, _ = self.ends(words, blocks)
         if not len(ends):
             return ends, ends
-        span = np.arange(1 - self.m, 1)
-        slots = self._slot(words.hash[ends[:, None] + span[-self.block :]], self.block - 1)
-        low, high = np.searchsorted(self.suffix, slots), np.searchsorted(self.suffix, slots, "right")
-        at = np.repeat(ends, high - low)
-        which = self.order[np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())]
-        same = (words.hash[at[:, None] + span] == self.rows[which]).all(axis=1)
-        at, which = at[same], which[same]
+        wanted = self._bucket(blocks, ends)
+        low, high = np.searchsorted(self.bucket, wanted), np.searchsorted(self.bucket, wanted, "right")
+        last = np.repeat(ends, high - low)
+        which = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+        span = np.arange(self.m)
+        same = (words.hash[last[:, None] + span + 1 - self.m] == self.book.hash[self.at[which][:, None] + span]).all(axis=1)
+        last, which = last[same], which[same]
         data, start, end = words.data, words.start, words.end
-        true = [
-            b" ".join(data[start[i] : end[i]].tobytes() for i in range(e - self.m + 1, e + 1)) == self.spelled[p]
-            for e, p in zip(at.tolist(), which.tolist(), strict=True)
-        ]
-        return at[true], which[true]
+        true = np.array([
+            b" ".join(data[start[i] : end[i]].tobytes() for i in range(e - self.m + 1, e + 1)) == self.book.spelled(p, self.m)
+            for e, p in zip(last.tolist(), self.at[which].tolist(), strict=True)
+        ], bool)
+        return last[true], which[true]
+
+    def items(self, sequence: int) -> list[str]:
+        return [self.names[i] for i in self.owners[self.low[sequence] : self.high[sequence]].tolist()]
 
 
 def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[WuManber]:
     """One searcher for each length of window among ``items`` (id, text)."""
-    held: dict[int, dict[bytes, tuple[np.ndarray, set]]] = {}
-    for begin, end in packs(texts := [to_bytes(t) for _, t in items]):
-        words = Words(texts[begin:end], ALPHANUMERIC)
-        for i in range(begin, end):
-            first, last = words.first[i - begin], words.first[i - begin + 1]
-            m = min(window, last - first)
-            for at in range(first, last - m + 1 if m else first):
-                spelled = b" ".join(words.data[words.start[k] : words.end[k]].tobytes() for k in range(at, at + m))
-                owners = held.setdefault(int(m), {}).setdefault(spelled, (words.hash[at : at + m], set()))[1]
-                if items[i][0] is not None:
-                    owners.add(items[i][0])
-    return [
-        WuManber(m, np.array([h for h, _ in by.values()]).reshape(len(by), m), list(by), [sorted(o) for _, o in by.values()])
-        for m, by in sorted(held.items())
-    ]
+    book = Book([to_bytes(t) for _, t in items])
+    names = sorted({i for i, _ in items if i is not None})
+    number = {name: k for k, name in enumerate(names)} | {None: -1}
+    named = np.array([number[i] for i, _ in items], np.int64)
+    first = np.searchsorted(book.owner, np.arange(len(items) + 1))
+    lengths = np.diff(first)
+    sizes = np.minimum(lengths, window)
+    made = []
+    for m in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == m)
+        windows = lengths[own] - m + 1
+        at = np.repeat(first[own] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+        owner = np.repeat(named[own], windows)
+        # equal windows stand together, and of those the same item's
+        mixed = np.zeros(len(at), np.uint64)
+        for k in range(m):
+            mixed = mixed * np.uint64(0xD6E8FEB86659FD93) + book.hash[at + k]
+        order = np.lexsort((owner, mixed))
+        at, owner, mixed = at[order], owner[order], mixed[order]
+        fresh = np.concatenate([[True], mixed[1:] != mixed[:-1]])
+        for i in np.flatnonzero(~fresh).tolist():
+            fresh[i] = book.spelled(at[i], m) != book.spelled(at[i - 1], m)
+        sequence = np.cumsum(fresh) - 1
+        once = np.concatenate([[True], (sequence[1:] != sequence[:-1]) | (owner[1:] != owner[:-1])]) & (owner >= 0)
+        owner_first = np.searchsorted(sequence[once], np.arange(sequence[-1] + 2))
+        made.append(WuManber(m, book, at[fresh], owner[once].astype(np.int32), owner_first, names))
+    return made
 
 
 def scan(texts: list[str | None], searchers: list[WuManber]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
@@ -145,7 +208,7 @@ def scan(texts: list[str | None], searchers: list[WuManber]) -> Iterator[tuple[i
             np.add.at(hit, at - s.m + 1, 1)
             np.add.at(hit, at + 1, -1)
             for d, p in zip((np.searchsorted(words.first, at, "right") - 1).tolist(), which.tolist(), strict=True):
-                found[d].update(s.items[p])
+                found[d].update(s.items(p))
         marked = np.cumsum(hit[:-1]) > 0
         for i in range(n):
             a, b = words.first[i], words.first[i + 1]

@@ -1,4 +1,4 @@
-"""One long document: the work grows with its length, not with its square."""
+"""One long document: the work grows with its length, not with its square; one full benchmark block."""
 
 import hashlib
 import random
@@ -7,7 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from foldlens.llm import html_text, line_dedup, pii, secrets
+from foldlens.llm import decontam, html_text, line_dedup, pii, secrets
+from foldlens.llm.words import ALPHANUMERIC, Words
 
 
 def growth(run, small, large) -> float:
@@ -114,3 +115,28 @@ def test_documents_of_many_lines(spark, shared):
     assert {(r.n_lines, r.n_dropped) for r in got} == {(40000, 40000 if shared else 0)} and len(got) == 12
     if shared:
         assert {r.h for r in got} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_full_benchmark_block_still_skips():
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"word{int(rng.paretovariate(0.7)) % 200_000}" for _ in range(n))
+    items = [(str(i), text(150)) for i in range(5000)]
+    assert sum(len(t) for _, t in items) > 0.8 * decontam.BLOCK_BYTES
+    (searcher,) = decontam.build(items)
+    assert (searcher.shift == 0).mean() < 0.15 and searcher.shift.itemsize == 1
+    words = Words([" ".join(f"v{rng.randrange(50_000)}" for _ in range(300)).encode() for _ in range(200)], ALPHANUMERIC)
+    stopped, looked = searcher.ends(words, decontam.blocks_of(words.hash, 2))
+    assert len(stopped) < 0.05 * len(words) and looked < 0.2 * len(words)
+    planted = f"{text(30)} {items[4321][1]} {text(30)}"
+    ((n, hit, found),) = decontam.scan([planted], [searcher])
+    assert n == 210 and {*range(30, 180)} <= {*hit.tolist()} and "4321" in found
+
+
+def test_equal_windows_of_many_items():
+    shared = " ".join(f"s{i}" for i in range(40))
+    items = [(str(i % 700) if i % 11 else None, shared if i % 2 else f"{shared} own{i}") for i in range(2000)] + [("x", "s1 s2"), ("y", None)]
+    searchers = decontam.build(items)
+    assert sorted((s.m, len(s.at)) for s in searchers) == [(2, 1), (10, 31 + 1000)]
+    got = list(decontam.scan([shared, "s1 s2", "s2 s1", None], searchers))
+    assert [(n, len(h)) for n, h, _ in got] == [(40, 40), (2, 2), (2, 0), (0, 0)]
+    assert got[0][2] == {i for i, t in items if i is not None and t} and got[1][2] == {"x"}
