@@ -28,6 +28,16 @@ def require_none(violations: DataFrame, what: str) -> None:
         raise ContractError(f"{what}, for example {found[0].asDict()}")
 
 
+def first_examples(violations: DataFrame, *keys: str, n: int = 10) -> DataFrame:
+    """The first ``n`` violations by ``keys`` for a message; each task keeps ``n`` rows, nothing is sorted as a whole."""
+    return violations.orderBy(*keys).limit(n)
+
+
+def missing_columns(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(table, column) of each required column that its table lacks; reads schemas only."""
+    return [(name, c) for name, columns in sorted(required.items()) for c in columns if c not in tables[name].columns]
+
+
 def require_consent(given: bool, what: str) -> None:
     if not given:
         raise ContractError(f"{what} must be confirmed explicitly")

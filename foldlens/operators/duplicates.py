@@ -28,6 +28,18 @@ def exact_groups(rows: DataFrame, id_col: str, content: Column) -> DataFrame:
     return hashed.join(groups, "h").select("id", "first_id", "copies")
 
 
+def copy_edges(rows: DataFrame, id_col: str, content: Column) -> DataFrame:
+    """(a, b) edges that connect copies to their group's smallest id: k copies give k - 1 edges, not all pairs."""
+    return exact_groups(rows, id_col, content).filter("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
+
+
+def copies_across_roles(rows: DataFrame, id_col: str, content: Column, manifest: DataFrame) -> DataFrame:
+    """(first_id, fold, roles, n): groups of copies that stand in several roles of a fold, linear in the copies."""
+    groups = exact_groups(rows, id_col, content).select("id", "first_id")
+    per = manifest.join(groups, "id").groupBy("fold", "first_id").agg(F.array_join(F.array_sort(F.collect_set("role")), "|").alias("roles"), F.count(F.lit(1)).alias("n"))
+    return per.filter(F.instr("roles", "|") > 0).select("first_id", "fold", "roles", "n")
+
+
 def fingerprints(vectors: DataFrame, id_col: str, values: Column) -> DataFrame:
     """(id, low, high): the 64-bit hash of 64 values in two halves."""
     low, high = fingerprint(F.transform(values, lambda v: v.cast("double")))

@@ -344,7 +344,7 @@ def feature_blocks(rows: DataFrame, image: str, metadata: list[str]) -> DataFram
     out = standardized(rows, image, "image_only")
     for name in metadata:
         table = train_vocabulary(rows, name).withColumnRenamed("vocabulary", f"__{name}")
-        out = out.join(F.broadcast(table), "fold")
+        out = out.join(table, "fold")
     hot = F.concat(*[one_hot(F.col(name).cast("string"), F.col(f"__{name}")) for name in metadata])
     return out.withColumn("metadata_only", hot).withColumn("concat", F.concat("image_only", "metadata_only")).drop(*[f"__{name}" for name in metadata])
 

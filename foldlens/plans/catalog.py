@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import data_queries, evaluation_queries, fold_queries
+from . import data_queries, evaluation_queries, fold_queries, join_queries, source_queries
 
 Q = dict[str, tuple[Callable, str | None]]
 
@@ -21,6 +21,6 @@ def _query(build: Callable) -> Callable:
     return lambda spark, sf_dir: rounded(build(spark, sf_dir))
 
 
-_ALL: Q = {**evaluation_queries.QUERIES, **fold_queries.QUERIES, **data_queries.QUERIES}
+_ALL: Q = {**evaluation_queries.QUERIES, **fold_queries.QUERIES, **data_queries.QUERIES, **join_queries.QUERIES, **source_queries.QUERIES}
 QUERIES = {name: _query(build) for name, (build, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql is not None}

@@ -109,7 +109,7 @@ ENTITIES = "entities AS (SELECT doc_id AS id, source || '-' || (doc_id % 40) AS
 
 
 def components(spark, d) -> DataFrame:
-    edges = doc_pairs(spark, d).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(duplicates.star_edges(entities(spark, d)))
+    edges = duplicates.copy_edges(v.table(spark, d, "documents"), "doc_id", F.col("text")).union(duplicates.star_edges(entities(spark, d)))
     nodes = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     return duplicates.connected_components(spark, nodes, edges)
 

@@ -40,7 +40,8 @@ def finite(df: DataFrame) -> DataFrame:
 
 
 def write_new_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").csv(path, header=True)
+    """A CSV that ``read_csv`` gives back as it was: quotes are doubled, blanks at the ends stay. CSV has no NULL: '' comes back as one."""
+    df.write.mode("errorifexists").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_new_json(df: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from foldlens import __main__ as cli
 from foldlens import runs
+from foldlens.functions import schedules
 from foldlens.operators import contracts, joins
 
 
@@ -62,7 +63,7 @@ def test_joins_state_their_multiplicity(spark):
 
 
 def test_learning_rate(spark):
-    rates = [r[0] for r in spark.range(0, 101, 50).select(joins.learning_rate(F.col("id"), 50, 100, 1.0)).collect()]
+    rates = [r[0] for r in spark.range(0, 101, 50).select(schedules.learning_rate(F.col("id"), 50, 100, 1.0)).collect()]
     assert rates == pytest.approx([0, 1, 0])
 
 
