@@ -7,8 +7,6 @@ before the shuffle) give each bucket's offset, and windows run within buckets on
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +21,14 @@ def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Col
 
     ``bucket`` must not fall along ``order``. With ``own`` a row's own value is included.
     """
-    bucketed = df.withColumn("__bucket", bucket).withColumns({f"__v_{n}": v for n, v in sums.items()})
-    totals = bucketed.groupBy(*keys, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    names = [*keys, "__bucket"]
-    offsets = totals.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)],
-        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
-    )
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(names)])
-    within = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    joined = bucketed.join(offsets, same)
+    # Fields of a struct are equal where both are NULL, and join and window ask for the same deal: rows move once.
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("bucket"))
+    bucketed = df.withColumn("__key", key).withColumns({f"__v_{n}": v for n, v in sums.items()})
+    totals = bucketed.groupBy("__key").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    before = Window.partitionBy(*[f"__key.k{i}" for i in range(len(keys))]).orderBy("__key.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__key", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    within = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    joined = bucketed.join(offsets, "__key")
     out = {n: F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(within), F.lit(0)) for n in sums}
     return joined.select(*[c for c in df.columns if c not in sums], *[v.alias(n) for n, v in out.items()])
 

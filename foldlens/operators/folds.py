@@ -24,19 +24,20 @@ def seeded(seed: int | str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
-def stratified_folds(rows: DataFrame, id_col: str, label_col: str, k: int = 7, seed: int = 42) -> DataFrame:
-    """(id, label, fold): every id in one of k folds; labels and totals are spread within 1.
+def stratified_folds(rows: DataFrame, id_col: str, label_col: str, k: int = 7, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, label, fold) and ``keep``: every id in one of k folds; labels and totals are spread within 1.
 
     One cyclic sequence runs through all labels: restarting it in each label would always
     favour the first folds.
     """
-    slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), *keep)
     ranked = hashed_rank(slim, ["label"], seeded(seed, F.col("id")), "id", "place")
-    sizes = ranked.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = slim.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    offsets = F.broadcast(offsets)  # one row a label
     placed = ranked.join(offsets, ranked["label"].eqNullSafe(offsets["label"])).drop(offsets["label"])
-    return placed.select("id", "label", ((F.col("offset") + F.col("place") - 1) % k + 1).cast("int").alias("fold"))
+    return placed.select("id", "label", ((F.col("offset") + F.col("place") - 1) % k + 1).cast("int").alias("fold"), *keep)
 
 
 def _largest_remainder(counts: DataFrame, keys: list[str], label: str, wanted: Column) -> DataFrame:
@@ -50,22 +51,48 @@ def _largest_remainder(counts: DataFrame, keys: list[str], label: str, wanted: C
     return share.withColumns({"left": left, "rank": rank}).withColumn("take", F.col("base") + (F.col("rank") <= F.col("left")).cast("long")).select(*keys, label, "take")
 
 
-def manifest(folds: DataFrame, k: int = 7, seed: int = 42, validation: float = 0.175) -> DataFrame:
-    """(id, label, fold, role): each id is Test in its fold and Val or Train in the others.
+#: The roles of a manifest.
+ROLES = ("Test", "Train", "Val")
+#: Hexadecimal digits that narrow down where validation ends: 4,096 buckets for each fold and label.
+END_DIGITS = 3
 
-    Validation takes ceil(validation * remainder) rows, dealt over the labels by largest
-    remainder.
+
+def _ends(folds: DataFrame, takes: DataFrame, digest: Column, k: int) -> DataFrame:
+    """(fold, label, last_digest, last_id): the last validation row of each fold and label, where there is one.
+
+    Counts of buckets of the digest tell which bucket it is in, and only that bucket's rows are ranked.
     """
     runs = folds.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    rest = runs.filter("own <> fold")
-    counts = rest.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("size"))
+    rest = runs.filter("own <> fold").select("fold", "label", "id", digest.alias("last_digest")).withColumn("bucket", F.substring("last_digest", 1, END_DIGITS))
+    counts = rest.groupBy("fold", "label", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("fold", "label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    at = upto.join(F.broadcast(takes), ["fold", "label"]).filter("upto >= take and upto - n < take").select("fold", "label", "bucket", (F.col("take") - F.col("upto") + F.col("n")).alias("left"))
+    place = F.row_number().over(Window.partitionBy("fold", "label").orderBy("last_digest", "id"))
+    near = rest.join(F.broadcast(at), ["fold", "label", "bucket"]).withColumn("place", place)
+    return near.filter(F.col("place") == F.col("left")).select("fold", "label", "last_digest", F.col("id").alias("last_id"))
+
+
+def manifest(folds: DataFrame, k: int = 7, seed: int = 42, validation: float = 0.175, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, label, fold, role) and ``keep``: each id is Test in its fold and Val or Train in the others.
+
+    Validation takes ceil(validation * remainder) rows, dealt over the labels by largest
+    remainder: those with the least digests. A row's role follows from its own digest and the last
+    one that is taken, so that rows are neither sorted nor moved. With ``keep`` rows are dealt by these
+    columns before there are k of each, which serves a count by them.
+    """
+    folds = durable(folds)  # read four times
+    own = folds.groupBy(F.col("fold").alias("own"), "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = own.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k)))).filter("own <> fold").groupBy("fold", "label").agg(F.sum("n").alias("size"))
     wanted = F.ceil(F.round(F.sum("size").over(Window.partitionBy("fold")) * validation, 9)).cast("long")
     takes = _largest_remainder(counts, ["fold"], "label", wanted)
-    ranked = hashed_rank(rest, ["fold", "label"], seeded_by_fold(seed), "id", "place")
-    joined = ranked.join(F.broadcast(takes), ["fold", "label"])
-    role = F.when(F.col("place") <= F.col("take"), "Val").otherwise("Train")
-    test = runs.filter("own = fold").select("id", "label", "fold", F.lit("Test").alias("role"))
-    return joined.select("id", "label", "fold", role.alias("role")).unionByName(test)
+    ends = _ends(folds, takes, seeded_by_fold(seed), k)
+    dealt = folds.repartition(*keep) if keep else folds
+    runs = dealt.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    known = runs.filter("own = fold or label is not null").join(F.broadcast(ends), ["fold", "label"], "left")
+    known = known.withColumn("digest", F.when(F.col("own") != F.col("fold"), seeded_by_fold(seed)))
+    taken = F.expr("digest < last_digest or (digest = last_digest and id <= last_id)")
+    role = F.when(F.col("own") == F.col("fold"), "Test").when(taken, "Val").otherwise("Train")
+    return known.select("id", "label", "fold", role.alias("role"), *keep)
 
 
 def seeded_by_fold(seed: int) -> Column:
@@ -204,10 +231,19 @@ def grouped_manifest(own: DataFrame, k: int = 7, inner: int = 6, seed: int = 42)
     return rest.unionByName(own.select("id", "label", "cluster", "fold", F.lit("Test").alias("role")))
 
 
-def role_violations(manifest_rows: DataFrame) -> DataFrame:
-    """(cluster, fold, roles, n) of clusters that stand in more than one role of a fold."""
-    roles = F.array_join(F.array_sort(F.collect_set("role")), "|")
-    return manifest_rows.groupBy("cluster", "fold").agg(roles.alias("roles"), F.count(F.lit(1)).alias("n")).filter(F.instr("roles", "|") > 0)
+def role_violations(manifest_rows: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
+    """(cluster, fold, roles, n) of clusters that stand in more than one role of a fold.
+
+    Where the ``roles`` that occur are known, such as ``ROLES``, a flag for each is all that is held of a
+    cluster, and another role is an error; otherwise sets of them are gathered.
+    """
+    if roles is None:
+        found, n = F.array_join(F.array_sort(F.collect_set("role")), "|"), F.count(F.lit(1))
+        return manifest_rows.groupBy("cluster", "fold").agg(found.alias("roles"), n.alias("n")).filter(F.instr("roles", "|") > 0)
+    place = F.coalesce(*[F.when(F.col("role") == r, F.lit(1 << i)) for i, r in enumerate(sorted(roles))], F.when(F.col("role").isNotNull(), F.raise_error(F.concat(F.lit("unknown role "), "role")).cast("int")))
+    held = manifest_rows.select("cluster", "fold", place.alias("place")).groupBy("cluster", "fold").agg(F.bit_or("place").alias("held"), F.count(F.lit(1)).alias("n"))
+    names = F.concat_ws("|", *[F.when(F.col("held").bitwiseAND(1 << i) > 0, r) for i, r in enumerate(sorted(roles))])
+    return held.filter(F.bit_count("held") > 1).select("cluster", "fold", names.alias("roles"), "n")
 
 
 def missing_training_classes(manifest_rows: DataFrame) -> DataFrame:

@@ -34,13 +34,13 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def group_roles(rows: DataFrame) -> DataFrame:
     """A manifest that forgets the clusters: lines of one order land in several roles."""
-    own = folds.stratified_folds(rows, "sample_id", "label")
-    return folds.manifest(own).join(rows.select(F.col("sample_id").alias("id"), F.col("order_id").alias("cluster")), "id")
+    own = folds.stratified_folds(rows.withColumnRenamed("order_id", "cluster"), "sample_id", "label", keep=("cluster",))
+    return folds.manifest(own, keep=("cluster",))
 
 
 def grouped_violations(spark, d) -> DataFrame:
     """Violations over Train, Val and Test of all grouped folds: none."""
-    return folds.role_violations(folds.grouped_manifest(grouped(spark, d)))
+    return folds.role_violations(folds.grouped_manifest(grouped(spark, d)), folds.ROLES)
 
 
 def by_customer(spark, d) -> DataFrame:
@@ -213,7 +213,7 @@ QUERIES = {
     ),
     "grouped_fold_balance": (lambda s, d: grouped_balance(grouped(s, d)), "SELECT l_returnflag AS label, count(*) AS lines, 7::BIGINT AS folds, true AS even, 0::BIGINT AS split_clusters FROM lineitem GROUP BY l_returnflag"),
     "grouped_fold_violations": (grouped_violations, "SELECT l_orderkey AS cluster, 1::INT AS fold, '' AS roles, count(*) AS n FROM lineitem WHERE false GROUP BY l_orderkey"),
-    "cluster_role_violations": (lambda s, d: folds.role_violations(group_roles(numbered(clustered(s, d)))), W + LINE_MANIFEST + CROSSED),
+    "cluster_role_violations": (lambda s, d: folds.role_violations(group_roles(numbered(clustered(s, d))), folds.ROLES), W + LINE_MANIFEST + CROSSED),
     "missing_training_classes": (
         lambda s, d: folds.missing_training_classes(v.manifest(s, d).filter("not (fold = 3 and label = 4)").unionByName(v.manifest(s, d).filter("fold = 3 and label = 4 and role = 'Test'"))),
         W + v.MANIFEST + ", m AS (SELECT * FROM manifest WHERE NOT (fold = 3 AND label = 4 AND role <> 'Test')) SELECT fold, label FROM (SELECT DISTINCT fold FROM m), (SELECT DISTINCT label FROM m) WHERE (fold, label) NOT IN (SELECT (fold, label) FROM m WHERE role = 'Train')",

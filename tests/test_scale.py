@@ -217,3 +217,16 @@ def test_grouped_folds_of_many_different_clusters(spark, monkeypatch):
     assert folds.role_violations(manifest).isEmpty() and manifest.count() == 7 * len(rows)
     sizes = {(r["fold"], r["role"]): r["count"] for r in manifest.groupBy("fold", "role").count().collect()}
     assert len(sizes) == 21 and all(abs(sizes[f, "Val"] - len(rows) / 7) < 0.05 * len(rows) / 7 for f in range(1, 8))
+
+
+def test_manifest_moves_no_row_for_each_fold(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], i // 4) for i in range(400)], "id long, label string, cluster long")
+    own = folds.stratified_folds(rows, "id", "label", keep=("cluster",))
+    made = folds.manifest(own, keep=("cluster",))
+    found = folds.role_violations(made, folds.ROLES)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, folds.role_violations(made).collect()))
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("hashpartitioning(cluster") == 1  # the deal before there are seven rows of each serves the count, too
+    with pytest.raises(Exception, match="unknown role"):
+        folds.role_violations(made.withColumn("role", F.lit("test")), folds.ROLES).collect()
