@@ -106,11 +106,16 @@ def draw(seed: str, replicate: Column, place: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(word, 1, 8), 16, 10).cast("long"), n)
 
 
+#: Draws of a piece, tasks that pieces are spread over, and slices of the places that cells are cut at.
+PIECE, PIECE_TASKS, SLICES = 1 << 16, 200, 4096
+
+
 def bootstrap_kappa(raters: DataFrame, a: str, b: str, replicates: int = 200, seed: str = "boot") -> DataFrame:
     """Percentile bounds of kappa over hash-drawn resamples.
 
     A resample of n rows is drawn as counts of the rated pairs (cells): places are numbered
-    by cell, so a draw needs no row of the table, and only cells (a few) are joined.
+    by cell, so a draw needs no row of the table, and only cells (a few) are joined. Draws are
+    made in pieces, spread over tasks, and counted by cell where they are made.
     Degenerate resamples have no kappa; bounds need 90 % of valid ones.
     """
     cells = complete_pairs(raters, a, b).groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
@@ -120,10 +125,19 @@ def bootstrap_kappa(raters: DataFrame, a: str, b: str, replicates: int = 200, se
     cells = cells.select("y_true", "y_pred", (F.col("end") - F.col("n")).alias("begin"), "end", "all")
     total = cells.agg(F.max("all").alias("all"))
     runs = total.select("all", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draws = runs.select("all", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("place"))
-    places = draws.select("replicate", draw(seed, F.col("replicate"), F.col("place"), F.col("all")).alias("at")).groupBy("replicate", "at").agg(F.count(F.lit(1)).alias("times"))
-    drawn = places.join(F.broadcast(cells.drop("all")), (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end")))
-    drawn = drawn.groupBy("replicate", "y_true", "y_pred").agg(F.sum("times").alias("n"))
+    # one row for each piece of a replicate, spread over tasks before there is a row for each draw
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.lit(PIECE).cast("long")))
+    pieces = runs.select("all", "replicate", starts.alias("start")).repartition(PIECE_TASKS, "replicate", "start")
+    upto_piece = F.least(F.col("start") + PIECE, F.col("all")) - 1
+    draws = pieces.select("all", "replicate", F.explode(F.sequence(F.col("start"), upto_piece)).alias("place"))
+    at = draws.select("replicate", draw(seed, F.col("replicate"), F.col("place"), F.col("all")).alias("at"), F.ceil(F.col("all") / SLICES).cast("long").alias("wide"))
+    # cells are cut at slices of the places, so that a draw meets few cells by an equi-join, however many there are
+    wide = F.ceil(F.col("all") / SLICES).cast("long")
+    slices = F.explode(F.sequence(F.expr("begin div wide"), F.expr("(end - 1) div wide")))
+    cut = cells.withColumn("wide", wide).select("begin", "end", slices.alias("slice"))
+    drawn = at.select("replicate", "at", F.expr("at div wide").alias("slice")).join(F.broadcast(cut), "slice").filter("at >= begin and at < end")
+    drawn = drawn.groupBy("replicate", "begin").agg(F.count(F.lit(1)).alias("n"))
+    drawn = drawn.join(F.broadcast(cells.select("begin", "y_true", "y_pred")), "begin").select("replicate", "y_true", "y_pred", "n")
     total_n = F.sum("n").over(Window.partitionBy("replicate"))
     marks = drawn.select("replicate", "n", total_n.alias("all"), "y_true", "y_pred")
     true, pred = (marks.groupBy("replicate", F.col(c).alias("c")).agg(F.sum("n").alias(f"m_{c}")) for c in ("y_true", "y_pred"))

@@ -230,3 +230,13 @@ def test_manifest_moves_no_row_for_each_fold(spark):
     assert plan.count("hashpartitioning(cluster") == 1  # the deal before there are seven rows of each serves the count, too
     with pytest.raises(Exception, match="unknown role"):
         folds.role_violations(made.withColumn("role", F.lit("test")), folds.ROLES).collect()
+
+
+def test_bootstrap_draws_are_spread_and_counted_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(comparison, "PIECE", 7)
+    raters = spark.createDataFrame([(i, "xyz"[i % 3], "xyz"[i * i % 3]) for i in range(60)], "sample_id long, a string, b string")
+    small = comparison.bootstrap_kappa(raters, "a", "b", 20)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "REPARTITION_BY_NUM" in plan and "hashpartitioning(replicate#" in plan and ", at#" not in plan.split("hashpartitioning(replicate#")[-1].split("\n")[0]
+    monkeypatch.undo()
+    assert small.collect() == comparison.bootstrap_kappa(raters, "a", "b", 20).collect()
