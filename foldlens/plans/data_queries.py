@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +64,21 @@ NEAR_COPIES = """, copies AS (SELECT * FROM hashes UNION ALL SELECT id + 1000000
   UNION ALL SELECT id + 2000000000, xor(low, 1::BIGINT << (id % 29)::INT), xor(high, 3::BIGINT << (id % 13)::INT) FROM hashes)"""
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, square) of (doc_id, text): each text is turned into code points once."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 1000):
+            batch = whole.slice(begin, 1000)
+            points = [np.frombuffer(t.as_py().encode("utf-32-le"), np.uint32) for t in batch.column("text")]
+            flat = [p[np.arange(1024) * len(p) // 1024] % 256 for p in points]
+            values = pa.array(np.concatenate(flat).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * 1024), values)], ["doc_id", "square"])
+
+
 def pixel_hash(spark, d) -> DataFrame:
     """Perceptual hashes of texts drawn as squares: 1,024 characters at even steps are the luminances."""
-    docs = v.table(spark, d, "documents").filter("length(text) > 0").select("doc_id", F.split("text", "").alias("letters"), F.length("text").alias("n"))
-    square = F.expr("transform(sequence(0L, 1023L), k -> ascii(element_at(letters, cast(k * n div 1024 + 1 as int))) % 256)")
-    hashed = images.pixel_hashes(docs.select("doc_id", square.alias("square")), "square")
+    docs = v.table(spark, d, "documents").filter("length(text) > 0").select(F.col("doc_id").cast("long"), "text")
+    hashed = images.pixel_hashes(docs.mapInArrow(_drawn, "doc_id long, square array<int>"), "square")
     return hashed.select("doc_id", images.hash_digits(F.col("low"), F.col("high")).alias("phash"))
 
 
