@@ -67,10 +67,15 @@ def features_back(spark, d) -> DataFrame:
     return spark.read.parquet(path).select("sample_id", F.size("features").alias("width"), F.round(total, 6).alias("total"))
 
 
+#: Texts in a file of the inventory at most.
+FILE_ROWS = 10_000
+
+
 def file_inventory(spark, d) -> DataFrame:
     """Bytes by folder of the documents' texts as files, found by a recursive scan for their ending in any case."""
     rows, path = v.table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")), new_folder(spark)
-    rows.repartition("lang").write.partitionBy("lang").text(path)
+    # each task writes files of its own for each language, so that no file and no task has all of a language's texts
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("lang").text(path)
     return tables.read_inventory(spark, path, ("txt",)).groupBy("archive_label").agg(F.sum("bytes").alias("bytes"))
 
 
