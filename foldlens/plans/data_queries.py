@@ -137,7 +137,7 @@ SELECT id, min(other) AS cluster FROM reach GROUP BY id"""
 
 def serialized(spark, d) -> DataFrame:
     """Nested counts in cells, as result files hold them; one cell is hostile, one impossible."""
-    rows = order_rows(spark, d).filter("attribute in ('c_mktsegment', 'r_name')").join(v.pred_orders(spark, d).select("model").distinct(), "model")
+    rows = order_rows(spark, d).filter("attribute in ('c_mktsegment', 'r_name') and model is not null")
     per = rows.groupBy("model", "attribute", "group").agg(F.count_if(F.col("y_true") == F.col("y_pred")).alias("k"), F.count(F.lit(1)).alias("n"))
     pair = F.concat(F.lit("'"), F.col("group"), F.lit("': (np.int64("), F.col("k"), F.lit("), np.int64("), F.col("n"), F.lit("))"))
     axis = per.groupBy("model", "attribute").agg(F.array_join(F.array_sort(F.collect_list(pair)), ", ").alias("groups"))
