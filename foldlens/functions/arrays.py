@@ -29,8 +29,9 @@ def fingerprint(values: Column) -> tuple[Column, Column]:
     Two halves, as 64-bit hashes don't fit a signed long when written in hexadecimal.
     """
     rest = F.array_sort(F.slice(values, 2, 63))
-    middle = F.element_at(rest, 32)
-    bit = F.transform(values, lambda v: (v > middle).cast("long"))
+    middle = F.when(F.size(values) > 0, F.element_at(rest, F.lit(32)))
+    # as a variable: an expression inside of the inner function would be sorted anew for each value
+    bit = F.element_at(F.transform(F.array(middle), lambda m: F.transform(values, lambda v: (v > m).cast("long"))), 1)
 
     def half(start: int) -> Column:
         part = F.slice(bit, start + 1, 32)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +61,11 @@ def _band(low: Column, high: Column, begin: int, end: int) -> Column:
     return value
 
 
-#: Values that a band is looked up with at most, and rows of a block of the grid.
+#: Values that a band is looked up with at most, and rows of a block of the grid while there are few blocks.
 MOST_PROBES, BLOCK = 5000, 1024
+#: Blocks of the grid, tasks that their pairs are spread over, and hashes that are compared in a grid
+#: where bands are possible, at most.
+MOST_BLOCKS, GRID_TASKS, MOST_IN_GRID = 48, 400, 4_000_000
 
 
 def _ball(width: int, radius: int) -> int:
@@ -90,23 +96,64 @@ def plan_bands(rows: int, distance: int) -> int:
 def hamming_pairs(hashes: DataFrame, distance: int, bands: int | None = None) -> DataFrame:
     """(id_a, id_b, distance) of hashes that differ in at most ``distance`` bits.
 
-    The 64 bits are cut into ``bands`` (as many as ``plan_bands`` finds cheapest for the number
-    of hashes): pairs meet by equi-joins on (band, value), where one side has all values near
-    its own, and count in the first band that brings them together. Where no bands prune
-    enough, all pairs are compared, block by block: rows are dealt into blocks of about ``BLOCK``, and a
-    pair of blocks is a key of an equi-join, so that no side is broadcast and no task holds
-    more than two blocks.
+    Where it moves fewer rows than comparing all pairs in blocks (``_grid``), the 64 bits are cut into
+    ``bands`` (as many as ``plan_bands`` finds cheapest for the number of hashes): pairs meet by
+    equi-joins on (band, value), where one side has all values near its own, and count in the
+    first band that brings them together. Rows that this moves grow with the values near one, which are
+    thousands for long distances, while the grid moves each row ``MOST_BLOCKS`` times at most.
     """
     if not 0 <= distance <= 64:
         raise ValueError("distance is 0 to 64")
-    hashes = durable(hashes)
+    hashes = durable(hashes).filter("id is not null and low is not null and high is not null")
     count = hashes.count()
     bands = plan_bands(count, distance) if bands is None else bands
-    met = _probed(hashes, distance, bands) if bands else _all_blocks(hashes, max(1, -(-count // BLOCK)))
+    blocks = min(MOST_BLOCKS, max(1, -(-count // BLOCK)))
+    looked_up = bands * (1 + _ball(-(-64 // bands), distance // bands)) if bands else 0
+    if not bands or looked_up > blocks and count <= MOST_IN_GRID:
+        return _grid(hashes, distance, blocks)
     apart = hamming(F.col("low_a"), F.col("high_a"), F.col("low_b"), F.col("high_b"))
+    met = _probed(hashes, distance, bands)
     return met.withColumn("distance", apart).filter(F.col("distance") <= distance).select("id_a", "id_b", "distance")
 
 
+def _grid(hashes: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """All pairs, block by block: a row for each pair of blocks, whose hashes meet in arrays of numbers.
+
+    Blocks are lists of ids and hashes; no task holds more than two, and answers leave it in pieces.
+    """
+    code = F.shiftleft("high", 32).bitwiseOR(F.col("low"))
+    dealt = hashes.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("x"), F.struct("id", code.alias("code")).alias("row"))
+    packed = durable(dealt.groupBy("x").agg(F.collect_list("row").alias("rows"))).select("x", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ones = packed.select("x", F.col("ids").alias("ids_x"), F.col("codes").alias("codes_x"), every.alias("y")).filter("x <= y")
+    others = packed.select(F.col("x").alias("y"), F.col("ids").alias("ids_y"), F.col("codes").alias("codes_y"), every.alias("x")).filter("x <= y")
+    tasks = min(blocks * (blocks + 1) // 2, GRID_TASKS)
+    ones, others = ones.repartition(tasks, "x", "y"), others.repartition(tasks, "x", "y")
+    kind = hashes.schema["id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy() for c in ("x", "y"))
+            for r in range(batch.num_rows):
+                (ids_a, a), (ids_b, b) = ((batch.column(f"ids_{s}")[r].values, batch.column(f"codes_{s}")[r].values.to_numpy().view(np.uint64)) for s in "xy")
+                held: list[tuple] = []
+                for begin in range(0, len(a), 64):
+                    for at in range(0, len(b), 8192):
+                        apart = np.bitwise_count(a[begin : begin + 64, None] ^ b[None, at : at + 8192])
+                        i, j = np.nonzero(apart <= distance)
+                        if len(i):
+                            held.append((i + begin, j + at, apart[i, j]))
+                    if begin + 64 >= len(a) or sum(len(h[0]) for h in held) >= 8192:
+                        if held:
+                            i, j, far = (np.concatenate(h) for h in zip(*held, strict=True))
+                            once = i < j if x[r] == y[r] else slice(None)  # each pair of one block once
+                            yield pa.RecordBatch.from_arrays([ids_a.take(pa.array(i[once])), ids_b.take(pa.array(j[once])), pa.array(far[once].astype(np.int32))], ["a", "b", "distance"])
+                        held = []
+
+    met = ones.join(others.hint("merge"), ["x", "y"]).mapInArrow(compare, f"a {kind}, b {kind}, distance int")
+    return met.filter("a <> b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "distance")
+
+
 def _side(hashes: DataFrame, s: str) -> DataFrame:
     return hashes.withColumnsRenamed({"id": f"id_{s}", "low": f"low_{s}", "high": f"high_{s}"})
 
@@ -132,14 +179,6 @@ def _probed(hashes: DataFrame, distance: int, bands: int) -> DataFrame:
     return left.join(right, ["band", "value"]).filter("id_a < id_b").filter(first == F.col("band"))
 
 
-def _all_blocks(hashes: DataFrame, blocks: int) -> DataFrame:
-    """Every pair of rows once, by an equi-join on pairs of blocks."""
-    dealt = hashes.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    ones = _side(dealt, "a").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y")).withColumnRenamed("__block", "x")
-    others = _side(dealt, "b").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x")).withColumnRenamed("__block", "y")
-    return ones.join(others.hint("merge"), ["x", "y"]).filter("id_a < id_b").drop("x", "y")
-
-
 #: Why a pair is listed.
 EXACT_REASON, CANDIDATE_REASON = "exact decoded pixels", "CANDIDATE ONLY; visual/source review required"
 

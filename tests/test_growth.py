@@ -1,9 +1,13 @@
 """Queries whose largest task must not grow with a language, a model or a text: what their plans and files hold."""
 
 import os
+import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from foldlens.operators import duplicates
 from foldlens.plans import data_queries, source_queries
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +34,22 @@ def test_inventory_has_no_file_of_a_whole_language(spark, tmp_path, monkeypatch)
 def test_nested_counts_read_predictions_once(spark):
     # a join by model dealt all rows to as many tasks as there are models
     assert plan_of(data_queries.serialized(spark, SF)).count("orders.parquet") == 1
+
+
+def test_far_pairs_in_bands_move_no_looked_up_values(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.getrandbits(32) & 0xF0F0F0F, rng.getrandbits(32) & 0xF0F) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, low long, high long").repartition(3)
+    found = duplicates.hamming_pairs(df, 9, bands=3)
+    assert "Generate explode([0" not in plan_of(found) and "MapInArrow" in plan_of(found)
+    bits = [(i, low | high << 32) for i, low, high in rows]
+    want = {(i, j, (a ^ b).bit_count()) for i, a in bits for j, b in bits if i < j and (a ^ b).bit_count() <= 9}
+    got = found.collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_fingerprints_sort_a_vector_once(spark):
+    vectors = spark.range(3000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: F.sin(x * F.col("id"))).alias("v"))
+    began = time.time()
+    duplicates.fingerprints(vectors, "id", F.col("v")).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 8
