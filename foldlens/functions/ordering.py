@@ -14,12 +14,21 @@ from ..shared_folder import durable
 
 #: Hexadecimal digits of a digest that name its bucket: 65,536 buckets for each group.
 DIGITS = 4
+#: Rows that a task gets where their number is known. Adaptive execution sizes tasks by compressed
+#: bytes, and ids and counts of few values take tens of times as much in memory.
+TASK_ROWS = 250_000
 
 
-def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], own: bool = True) -> DataFrame:
+def tasks_of(rows: int) -> int:
+    """Partitions for ``rows``: a number given to ``repartition`` isn't coalesced, so the rows of a task stay bounded."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], own: bool = True, tasks: int | None = None) -> DataFrame:
     """``df`` with running sums of ``sums`` (name: value) within ``keys`` along ``order``.
 
-    ``bucket`` must not fall along ``order``. With ``own`` a row's own value is included.
+    ``bucket`` must not fall along ``order``. With ``own`` a row's own value is included. ``tasks`` is
+    the number of partitions that rows are dealt to, where it is known.
     """
     # Fields of a struct are equal where both are NULL, and join and window ask for the same deal: rows move once.
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("bucket"))
@@ -27,16 +36,19 @@ def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Col
     totals = bucketed.groupBy("__key").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     before = Window.partitionBy(*[f"__key.k{i}" for i in range(len(keys))]).orderBy("__key.bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__key", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    if tasks:
+        bucketed = bucketed.repartition(tasks, "__key")
     within = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     joined = bucketed.join(offsets, "__key")
     out = {n: F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(within), F.lit(0)) for n in sums}
     return joined.select(*[c for c in df.columns if c not in sums], *[v.alias(n) for n, v in out.items()])
 
 
-def hashed_rank(df: DataFrame, keys: list[str], digest: Column, tie: str, name: str) -> DataFrame:
+def hashed_rank(df: DataFrame, keys: list[str], digest: Column, tie: str, name: str, digits: int = DIGITS, tasks: int | None = None) -> DataFrame:
     """``df`` with ``name``: 1, 2, ... within ``keys`` by a hexadecimal ``digest``, then ``tie``."""
-    marked = df.withColumn("__digest", digest)
-    ranked = running_sums(marked, keys, F.substring("__digest", 1, DIGITS), [F.col("__digest"), F.col(tie)], {name: F.lit(1).cast("long")})
+    marked = df.withColumn("__digest", F.unhex(digest))  # half as long, in the same order
+    bucket = F.substring(F.hex(F.substring("__digest", 1, (digits + 1) // 2)), 1, digits)
+    ranked = running_sums(marked, keys, bucket, [F.col("__digest"), F.col(tie)], {name: F.lit(1).cast("long")}, tasks=tasks)
     return ranked.drop("__digest")
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hashed_rank, numbered
+from ..functions.ordering import hashed_rank, numbered, tasks_of
 from ..shared_folder import durable
 
 
@@ -112,14 +112,21 @@ def stratified_sample(rows: DataFrame, id_col: str, label_col: str, n: int, seed
     return ranked.join(F.broadcast(takes), "label").filter("place <= take").select("id", "label")
 
 
-def _shapes(rows: DataFrame) -> DataFrame:
-    """(cluster, shape): the counts of every label of each cluster of ``rows`` (label, cluster)."""
-    per = rows.filter("cluster is not null").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("cluster").agg(F.to_json(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("shape"))
+def _shapes(rows: DataFrame, tasks: int, *sets: str) -> DataFrame:
+    """(cluster, shape) and ``sets``: the counts of every label of each cluster of ``rows`` (label, cluster), and its distinct values of ``sets``.
+
+    Rows are dealt by cluster once, for both counts.
+    """
+    held = rows.filter("cluster is not null").repartition(tasks, "cluster")
+    per = held.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), *[F.collect_set(c).alias(c) for c in sets])
+    every = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in sets]
+    return per.groupBy("cluster").agg(F.to_json(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("shape"), *every)
 
 
 #: Distinct vectors of counts that the greedy pass of a part gets at most.
 GREEDY = 20_000
+#: Hexadecimal digits of the buckets in which equal clusters are ranked: 4,096 for each vector.
+RANK_DIGITS = 3
 
 
 def _rounds(sizes: DataFrame, parts: list[str], k: int) -> tuple[DataFrame, DataFrame, dict]:
@@ -159,8 +166,8 @@ def _rounds(sizes: DataFrame, parts: list[str], k: int) -> tuple[DataFrame, Data
     return small, dealt.withColumn("many", F.lit(k)), begun
 
 
-def _deal(shapes: DataFrame, parts: list[str], k: int, digest: Column) -> DataFrame:
-    """(parts, cluster, dealt): each part's clusters dealt to 1 ... k, or to as many as it has clusters.
+def _deal(shapes: DataFrame, parts: list[str], k: int, digest: Column, tasks: int) -> DataFrame:
+    """(parts, cluster, dealt): each part's clusters dealt to 1 ... k, or to as many as it has clusters, by ``tasks`` tasks.
 
     Clusters with equal counts of every label are interchangeable. Of m such clusters, in
     seeded order, m - m % k are dealt in turn, as many to each fold. The other m % k go
@@ -193,13 +200,18 @@ def _deal(shapes: DataFrame, parts: list[str], k: int, digest: Column) -> DataFr
                 best = min(range(many), key=lambda f: (added[f], full[f], f))
                 held[best] += counts[i]
                 out[i].append(best + 1)
-        return pdf[[*parts, "shape"]].assign(even=pdf["clusters"] // many * many, rest=out, many=many)
+        return pdf[[*parts, "shape"]].assign(even=pdf["clusters"] // many * many, rest=out, many=many, kind=np.arange(len(pdf)))
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shapes.schema.fields if f.name in parts)
-    dealt = sizes.withColumn("one", F.lit(1)).groupBy("one", *parts).applyInPandas(greedy, f"{kinds}shape string, even long, rest array<int>, many int")
-    if dealt_large is not None:
-        dealt = dealt.unionByName(dealt_large)
-    ranked = hashed_rank(shapes, [*parts, "shape"], digest, "cluster", "place").join(dealt, [*parts, "shape"])
+    dealt = sizes.withColumn("one", F.lit(1)).groupBy("one", *parts).applyInPandas(greedy, f"{kinds}shape string, even long, rest array<int>, many int, kind long")
+    if dealt_large is None:  # GREEDY rows a part: clusters are ranked by the number of their vector, and none moves to meet it
+        dealt = durable(dealt)  # read twice
+        marked = shapes.join(F.broadcast(dealt.select(*parts, "shape", "kind")), [*parts, "shape"]).select(*parts, "kind", "cluster")
+        dealt = F.broadcast(dealt.drop("shape"))
+    else:
+        dealt = dealt.drop("kind").unionByName(dealt_large).withColumnRenamed("shape", "kind")
+        marked = shapes.select(*parts, F.col("shape").alias("kind"), "cluster")
+    ranked = hashed_rank(marked, [*parts, "kind"], digest, "cluster", "place", RANK_DIGITS, tasks).join(dealt, [*parts, "kind"])
     in_turn = ((F.col("place") - 1) % F.col("many") + 1).cast("int")
     fold = F.when(F.col("place") <= F.col("even"), in_turn).otherwise(F.get("rest", (F.col("place") - F.col("even") - 1).cast("int")))
     return ranked.select(*parts, "cluster", fold.alias("dealt"))
@@ -211,8 +223,11 @@ def grouped_folds(rows: DataFrame, id_col: str, label_col: str, cluster_col: str
     A null label is a label; rows without cluster are in no fold.
     """
     slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(cluster_col).alias("cluster"))
-    dealt = _deal(_shapes(slim), [], k, seeded(seed, F.col("cluster")))
-    return slim.join(dealt.withColumnRenamed("dealt", "fold"), "cluster").select("id", "label", "cluster", "fold")
+    tasks = tasks_of(slim.count())
+    shapes = durable(_shapes(slim, tasks))  # read three times
+    dealt = durable(_deal(shapes, [], k, seeded(seed, F.col("cluster")), tasks_of(shapes.count())))  # read with every use of the folds
+    whole = slim.repartition(tasks, "cluster").join(dealt.withColumnRenamed("dealt", "fold").repartition(tasks, "cluster"), "cluster")
+    return whole.select("id", "label", "cluster", "fold")
 
 
 def grouped_manifest(own: DataFrame, k: int = 7, inner: int = 6, seed: int = 42) -> DataFrame:
@@ -221,14 +236,17 @@ def grouped_manifest(own: DataFrame, k: int = 7, inner: int = 6, seed: int = 42)
     What is not a fold's test is split anew for each fold, by seed + fold, into ``inner``
     parts that keep clusters together; the first of them is the fold's validation.
     """
-    once = own.select("label", "cluster", "fold")
-    shapes = _shapes(once).join(once.select("cluster", F.col("fold").alias("own")).distinct(), "cluster")
-    runs = shapes.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    tasks = tasks_of(own.count())
+    shapes = durable(_shapes(own.select("label", "cluster", F.col("fold").alias("owns")), tasks, "owns"))  # read three times
+    runs = shapes.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k)))).filter(F.exists("owns", lambda f: f != F.col("fold")))
     digest = F.md5(F.concat_ws("|", (F.lit(seed) + F.col("fold")).cast("string"), F.col("cluster").cast("string")))
-    dealt = _deal(runs.filter("own <> fold").select("fold", "cluster", "shape"), ["fold"], inner, digest)
-    roles = dealt.select("fold", "cluster", F.when(F.col("dealt") == 1, "Val").otherwise("Train").alias("role"))
-    rest = own.withColumnRenamed("fold", "own").join(roles, "cluster").select("id", "label", "cluster", "fold", "role")
-    return rest.unionByName(own.select("id", "label", "cluster", "fold", F.lit("Test").alias("role")))
+    dealt = _deal(runs.select("fold", "cluster", "shape"), ["fold"], inner, digest, tasks_of(k * shapes.count()))
+    # a row for each cluster, and all folds of a line made where it is
+    chosen = dealt.repartition(tasks, "cluster").groupBy("cluster").agg(*[F.max(F.when(F.col("fold") == f, F.col("dealt") == 1)).alias(f"v{f}") for f in range(1, k + 1)])
+    role = lambda f: F.when(F.col("own") == f, "Test").when(F.col(f"v{f}"), "Val").when(~F.col(f"v{f}"), "Train")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), role(f).alias("role")) for f in range(1, k + 1)]))
+    rows = own.withColumnRenamed("fold", "own").repartition(tasks, "cluster").join(chosen, "cluster", "left").select("id", "label", "cluster", each.alias("__run"))
+    return rows.select("id", "label", "cluster", "__run.fold", "__run.role").filter("role is not null")
 
 
 def role_violations(manifest_rows: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:

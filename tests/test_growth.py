@@ -7,7 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from foldlens.operators import duplicates
+from foldlens.functions import ordering
+from foldlens.operators import duplicates, folds
 from foldlens.plans import data_queries, source_queries
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,19 @@ def test_fingerprints_sort_a_vector_once(spark):
     began = time.time()
     duplicates.fingerprints(vectors, "id", F.col("v")).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 8
+
+
+def test_grouped_folds_bound_the_rows_of_a_task(spark, monkeypatch):
+    # adaptive execution made tasks of 64 compressed MB, and these took ten times and more in memory
+    monkeypatch.setattr(ordering, "TASK_ROWS", 100)
+    rows = spark.range(1000).select("id", F.concat(F.lit("l"), F.col("id") % 3).alias("label"), F.expr("id div 4").alias("cluster"))
+    own = folds.grouped_folds(rows, "id", "label", "cluster")
+    found = folds.role_violations(folds.grouped_manifest(own), folds.ROLES)
+    plan = plan_of(found)
+    assert "REPARTITION_BY_NUM" in plan and "fold#" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+    assert all(", 10), REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange hashpartitioning(cluster" in line and "ENSURE" not in line)
+    assert found.isEmpty()
+    split = own.withColumn("fold", F.when(F.col("id") == 20, F.col("fold") % 7 + 1).otherwise(F.col("fold")))
+    made = folds.grouped_manifest(split)
+    assert made.groupBy("id").agg(F.count_distinct("fold").alias("n"), F.count(F.lit(1)).alias("rows")).filter("n <> 7 or rows <> 7").isEmpty()
+    assert {r.cluster for r in folds.role_violations(made, folds.ROLES).collect()} == {5}
