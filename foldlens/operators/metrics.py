@@ -276,6 +276,71 @@ def trapezoid_area(points: DataFrame, *keys: str) -> DataFrame:
     return parts.withColumn("part", width * height).groupBy(*keys).agg(F.sum("part").alias("area"))
 
 
+#: Buckets of scores of a curve whose areas are summed from counts.
+BUCKETS = 4096
+
+
+def _counts_in_buckets(preds: DataFrame, classes: list[str]) -> DataFrame:
+    """(key, score, pos, neg): counts by score; key names model, class and a bucket, numbered from the highest scores."""
+    bucket = -F.floor(F.col("score") * BUCKETS)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("pos", "neg")]
+    return _by_score(preds, classes).select(F.struct("model", "cls", bucket.alias("bucket")).alias("key"), "score", *counts)
+
+
+def _within(column: str) -> Column:
+    return F.sum(column).over(Window.partitionBy("key").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _before(value: Column) -> Column:
+    """``value`` summed over a curve's buckets before a bucket."""
+    along = Window.partitionBy("key.model", "key.cls").orderBy("key.bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows
+    return F.coalesce(F.sum(value).over(along), F.lit(0))
+
+
+def roc_areas(preds: DataFrame, classes: list[str]) -> DataFrame:
+    """(model, cls, area) under the curves of ``roc_points``, as ``trapezoid_area`` gives.
+
+    A trapezoid needs what is above its score only: each bucket sums its own, and what the buckets
+    before it add is its negatives times their positives. So scores are neither joined nor read again.
+    """
+    own = F.sum(F.col("neg") * (F.col("upto") - F.col("pos") / 2))
+    per = _counts_in_buckets(preds, classes).withColumn("upto", _within("pos")).groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), own.alias("own"))
+    per = per.withColumn("part", F.col("own") + F.col("neg") * _before(F.col("pos")))
+    area = F.try_divide(F.sum("part"), F.sum("pos").cast("double") * F.sum("neg"))
+    return per.groupBy("key.model", "key.cls").agg(area.alias("area"))
+
+
+def macro_roc_areas(preds: DataFrame, classes: list[str]) -> DataFrame:
+    """(model, area) under the curves of ``macro_roc``, as ``trapezoid_area`` gives, without their points.
+
+    Between neighbouring rates of all classes a class's curve is straight, so its trapezoids add up to its own
+    area. Only where it jumps at a rate, the point of ``macro_roc`` is the top of the jump, and the
+    stretch from the rate before it, of any class, gains half of the jump: a window over the rates finds that one.
+    """
+    counts = _counts_in_buckets(preds, classes)
+    curve = Window.partitionBy("key.model", "key.cls")
+    sums = counts.groupBy("key").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    sums = sums.select("key", _before(F.col("p")).alias("true"), _before(F.col("n")).alias("false"), F.sum("p").over(curve).alias("positives"), F.sum("n").over(curve).alias("negatives"))
+    rows = counts.join(F.broadcast(sums), "key")  # BUCKETS rows a curve
+    rows = rows.withColumns({"true": F.col("true") + _within("pos"), "false": F.col("false") + _within("neg")})
+    fpr = ratio(F.col("false"), F.col("negatives"))
+    area = F.try_divide(F.col("neg") * (F.col("true") - F.col("pos") / 2), F.col("positives").cast("double") * F.col("negatives"))
+    jump = F.when(F.col("neg") == 0, ratio(F.col("pos"), F.col("positives")))
+    rates = rows.withColumn("fpr", fpr).groupBy("key", "fpr").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("area"), F.coalesce(F.sum(jump), F.lit(0.0)).alias("jump"))
+    rates = rates.filter("fpr is not null").select(F.col("key.model").alias("model"), _stretch().alias("stretch"), "fpr", "area", "jump")
+    along = Window.partitionBy("model", "stretch").orderBy("fpr")
+    earlier = F.lag("fpr").over(along)
+    rates = rates.withColumn("lower", F.when(earlier < F.col("fpr"), earlier))
+    rates = rates.withColumn("lower", F.last("lower", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    per = rates.groupBy("model", "stretch").agg(
+        F.sum("area").alias("area"), F.sum(F.col("jump") * (F.col("fpr") - F.col("lower"))).alias("known"), F.sum(F.when(F.col("lower").isNull(), F.col("jump"))).alias("jump"),
+        F.min("fpr").alias("first"), F.max("fpr").alias("last"),
+    )
+    gap = F.col("first") - F.coalesce(F.lag("last").over(Window.partitionBy("model").orderBy("stretch")), F.lit(0.0))  # STRETCHES rows
+    gain = (F.coalesce("known", F.lit(0.0)) + F.col("jump") * gap) / 2
+    return per.withColumn("part", F.col("area") + gain).groupBy("model").agg((F.sum("part") / len(classes)).alias("area"))
+
+
 def class_weights(labels: DataFrame, classes: list[str], label: str) -> DataFrame:
     """Inverse frequencies scaled to sum to the number of classes; an absent class weighs 0."""
     counted = labels.groupBy(F.col(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))

@@ -224,12 +224,11 @@ def argmax_rows(spark, d) -> DataFrame:
 
 
 def macro_roc_area(spark, d) -> DataFrame:
-    points = metrics.roc_points(orders(spark, d), v.STATUS)
-    return metrics.trapezoid_area(metrics.macro_roc(points, len(v.STATUS)), "model")
+    return metrics.macro_roc_areas(orders(spark, d), v.STATUS)
 
 
 def class_areas(spark, d) -> DataFrame:
-    return metrics.trapezoid_area(metrics.roc_points(orders(spark, d), v.STATUS), "model", "cls")
+    return metrics.roc_areas(orders(spark, d), v.STATUS)
 
 
 def normalized_confusion(spark, d) -> DataFrame:

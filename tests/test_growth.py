@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldlens.functions import ordering
-from foldlens.operators import duplicates, folds
-from foldlens.plans import data_queries, source_queries
+from foldlens.operators import duplicates, folds, metrics
+from foldlens.plans import data_queries, evaluation_queries, source_queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="fixtures are absent")
@@ -70,3 +70,32 @@ def test_grouped_folds_bound_the_rows_of_a_task(spark, monkeypatch):
     made = folds.grouped_manifest(split)
     assert made.groupBy("id").agg(F.count_distinct("fold").alias("n"), F.count(F.lit(1)).alias("rows")).filter("n <> 7 or rows <> 7").isEmpty()
     assert {r.cluster for r in folds.role_violations(made, folds.ROLES).collect()} == {5}
+
+
+@pytest.mark.parametrize("buckets", [3, 4096])
+def test_areas_are_those_of_the_curves(spark, monkeypatch, buckets):
+    monkeypatch.setattr(metrics, "BUCKETS", buckets)
+    monkeypatch.setattr(metrics, "STRETCHES", buckets)
+    rng = random.Random(buckets)
+    rows = []
+    for model, steps, truths in (("ties", 7, "xyz"), ("fine", 10**6, "xyz"), ("absent", 50, "xy"), ("one", 20, "x")):
+        for _ in range(150):
+            p = [rng.randint(0, steps) / steps for _ in "xyz"]
+            rows.append((model, rng.choice(truths), p))
+    rows += [("apart", t, [float(t == c) for c in "xyz"]) for t in "xyzzy"]
+    preds = spark.createDataFrame(rows, "model string, y_true string, p array<double>")
+    told = lambda df: {tuple(r)[:-1]: r.area and round(r.area, 9) for r in df.collect()}
+    points = metrics.roc_points(preds, list("xyz"))
+    assert told(metrics.roc_areas(preds, list("xyz"))) == told(metrics.trapezoid_area(points, "model", "cls"))
+    assert told(metrics.macro_roc_areas(preds, list("xyz"))) == told(metrics.trapezoid_area(metrics.macro_roc(points, 3), "model"))
+
+
+def test_class_areas_move_scores_twice_at_most(spark):
+    # curves were joined with their own stretches and dealt again
+    plan = plan_of(evaluation_queries.class_areas(spark, SF))
+    assert plan.count("score#") and "SortMergeJoin [__key" not in plan and plan.count("orders.parquet") == 1 and "ExistingRDD" not in plan
+
+
+def test_macro_area_has_no_grid_of_rates_and_classes(spark):
+    plan = plan_of(evaluation_queries.macro_roc_area(spark, SF))
+    assert "SortMergeJoin [model" not in plan and "ExistingRDD" not in plan and "fpr#" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
