@@ -106,6 +106,7 @@ class Encoders:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        self.flat = [(np.frombuffer(b"".join(side), np.uint8), np.cumsum(n) - n) for side, n in ((self.bytes_a, self.length_a), (self.bytes_b, self.length_b))]
         self.separable = not any(_CUT.search(x.decode(errors="replace")) for side in (self.bytes_a, self.bytes_b) for x in side)
 
     def pieces(self, text: str) -> list[str]:
@@ -119,16 +120,25 @@ class Encoders:
     def _ids(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         spaced = [f" {p}" for p in pieces]
         a = [self.fast_a.encode_ordinary(p) for p in spaced] if self.fast_a else [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        return a, self.b.encode(pieces, num_threads=1)
+        return a, [self.b.EncodeAsIds(p) for p in pieces]  # a list would start a pool of threads each time
+
+    def _whole(self, side: int, ids: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the tokens' bytes are those of ``text``."""
+        length = (self.length_a, self.length_b)[side][ids]
+        ends = np.cumsum(length)
+        if not len(ids) or ends[-1] != len(text):
+            return False
+        flat, start = self.flat[side]
+        return np.array_equal(flat[np.repeat(start[ids] - ends + length, length) + np.arange(len(text))], text)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and of B for each text; none for texts that don't come back whole."""
         for text in texts:
             a, b = self._ids(self.pieces(text)) if text else ([], [])
-            a, b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
-            whole = f" {text}".encode()
-            if b"".join([self.bytes_a[i] for i in a]) == whole == b"".join([self.bytes_b[i] for i in b]):
-                yield np.array(a, np.int64), np.array(b, np.int64)
+            a, b = (np.array(x[0] if len(x) == 1 else list(chain.from_iterable(x)), np.int64) for x in (a, b))
+            whole = np.frombuffer(f" {text}".encode(), np.uint8)
+            if self._whole(0, a, whole) and self._whole(1, b, whole):
+                yield a, b
             else:
                 yield np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -158,7 +168,11 @@ def _packs(texts: list[str | None]) -> Iterator[list[int]]:
 
 def _spans(ids: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(span, ids) of the tokens that end in each span of a document."""
-    span = (np.cumsum(length[ids]) - 1) // SPAN
+    ends = np.cumsum(length[ids])
+    if len(ids) and ends[-1] <= SPAN:
+        yield 0, packed(ids)
+        return
+    span = (ends - 1) // SPAN
     cuts = [0, *(np.flatnonzero(np.diff(span)) + 1).tolist(), len(ids)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
@@ -166,14 +180,13 @@ def _spans(ids: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """Ids byte plane by byte plane, compressed, after their number."""
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(ids).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    """Ids in two bytes each, or four, after that number; the shuffle compresses them."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    planes = pa.decompress(raw[4:], 4 * int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 def end_events(docs: DataFrame, id_col: str, text_col: str, files: Broadcast) -> DataFrame:
