@@ -92,9 +92,11 @@ SELECT doc_id, lpad(lower(to_hex(high)), 8, '0') || lpad(lower(to_hex(low)), 8,
 
 
 def image_rows(spark, d) -> DataFrame:
-    """Vectors as images: the label stands for their pixels, the hash halves for the content."""
+    """Vectors as images: their rounded values stand for their pixels, the hash halves for the content."""
     rows = hashes(spark, d).join(v.vectors(spark, d), "id")
-    text = F.concat_ws(",", F.transform("embedding", lambda x: F.round(x, 1).cast("string")))
+    # Spark's round drops the sign of what becomes 0, SQL's keeps it: -0.0 and 0.0 are different pixels
+    tenths = lambda x: F.when(F.round(x, 1) == 0, x * F.lit(0.0).cast("float")).otherwise(F.round(x, 1))
+    text = F.concat_ws(",", F.transform("embedding", lambda x: tenths(x).cast("string")))
     return rows.select("id", F.sha2(F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string")), 256).alias("sha256"), F.sha2(text, 256).alias("pixel_sha256"), "low", "high", (F.col("id") % 29 != 0).alias("decode_ok"))
 
 

@@ -66,3 +66,22 @@ def test_matches_sql(spark, name):
 
     test_matches_sql(spark, name)
     assert name in catalog.ORACLES
+
+
+def test_values_that_round_to_zero_keep_their_sign_as_pixels(spark, tmp_path):
+    import duckdb
+    from pyspark.sql import types as T
+
+    base = [((i * 37) % 64 - 31) / 50 for i in range(64)]
+    at = lambda x: [*base[:5], x, *base[6:]]
+    values = [-0.02, 0.02, -0.0, 0.0, -0.049, 0.25, 0.3, -0.25, -0.3, 1e7, 1e30, float("nan"), float("nan"), float("-inf")]
+    schema = T.StructType().add("vec_id", T.LongType()).add("embedding", T.ArrayType(T.FloatType())).add("label", T.IntegerType())
+    spark.createDataFrame([(i, at(x), 0) for i, x in enumerate(values, 1)], schema).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["candidate_pairs"])
+    columns = want.columns
+    found = [tuple(r[c] for c in columns) for r in catalog.QUERIES["candidate_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(want.fetchall())
+    same = {(r[0], r[1]) for r in found if r[3]}
+    assert same == {(1, 3), (1, 5), (3, 5), (2, 4), (6, 7), (8, 9), (12, 13)}
